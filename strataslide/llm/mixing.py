@@ -75,7 +75,7 @@ def targets(sized: DataFrame, ratio: float, max_repeats: float, cycle: tuple[flo
     return per.select("has_source", "source_key", "source_rows", "source_size", "turn", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, ratio: float = 1.5, max_repeats: float = 2.0, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), curriculum: tuple = CURRICULUM, rows_per_bucket: int = 4_000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, *, ratio: float = 1.5, max_repeats: float = 2.0, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), curriculum: tuple = CURRICULUM, rows_per_bucket: int = 4_000, broadcast_sources: int = 50_000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies, taken, positions.
 
     docs has doc_id, source and text; `carry` names further columns to hand through, which
@@ -93,6 +93,9 @@ def mix(docs: DataFrame, *, ratio: float = 1.5, max_repeats: float = 2.0, cycle:
     per = per.withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long"))
     per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("source_rows") / rows_per_bucket))
     key = ["has_source", "source_key"]
+    per = keep(per, "sources")
+    if per.count() <= broadcast_sources:  # beyond it Spark joins by shuffle and splits hot sources
+        per = F.broadcast(per)
     rows = sized.join(per, key).withColumn("bucket", F.pmod("mark", F.col("buckets")))
     sums = sized.select(*key, "size", "mark").join(per.select(*key, "buckets"), key).groupBy(*key, F.pmod("mark", F.col("buckets")).alias("bucket")).agg(F.sum("size").alias("bucket_size"))
     before = F.sum("bucket_size").over(Window.partitionBy(*key).orderBy("bucket")) - F.col("bucket_size")

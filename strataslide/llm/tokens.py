@@ -34,7 +34,7 @@ def tokenizer_path(name: str) -> str:
 class ChunkTokenizer:
     """ids(text) gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, max_cached: int = 500_000):
+    def __init__(self, path: str, max_cached: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -52,9 +52,9 @@ class ChunkTokenizer:
     def _learn(self, chunks: set[str]) -> None:
         if len(self._chunks) > self._max:
             self._chunks.clear()
-        if len(self._pieces) > self._max:
+        if len(self._pieces) > 2 * self._max:
             self._pieces.clear()
-        chunks = {c for c in chunks if c not in self._chunks}
+        chunks = chunks - self._chunks.keys()
         cut = {}
         for c in chunks:
             if len(c) <= 64 and _PLAIN.fullmatch(c) and "<|" not in c:
@@ -86,8 +86,9 @@ class ChunkTokenizer:
                 n += len(texts[at])
                 at += 1
             known = self._chunks
-            if any(c not in known for chunks in cut for c in chunks):
-                self._learn({c for chunks in cut for c in chunks})
+            seen = set().union(*cut)
+            if not known.keys() >= seen:
+                self._learn(seen)
             for chunks in cut:
                 yield b"".join([known[c] for c in chunks])
 
