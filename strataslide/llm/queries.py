@@ -22,6 +22,13 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_order(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "position")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return find(docs, fit(docs)).drop("found")
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -48,6 +55,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_mixing": op3_mixing,
+    "op4_pii": op4_pii,
     "op6_simhash": op6_simhash,
     "op8_topk": op8_topk,
     "op9_toxicity": op9_toxicity,
