@@ -16,6 +16,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read, write
+
+    return read(write(table(spark, sf_dir, "pages"))).drop("url")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import in_order, mix
 
@@ -29,6 +35,13 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(docs, fit(docs)).drop("found")
 
 
+def op5_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .imatch import against_next, lexicon
+
+    docs = table(spark, sf_dir, "documents")
+    return against_next(docs, lexicon(docs))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -52,13 +65,22 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"), "passages")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_warc": op2_warc,
     "op3_mixing": op3_mixing,
     "op4_pii": op4_pii,
+    "op5_imatch": op5_imatch,
     "op6_simhash": op6_simhash,
     "op8_topk": op8_topk,
     "op9_toxicity": op9_toxicity,
+    "op10_licenses": op10_licenses,
 }
 
 #: Floor of the scaled components as integers; the list is unnested by position, so scores are exact.
