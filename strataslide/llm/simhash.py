@@ -22,33 +22,52 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import keep
 from .components import components
 
 
-def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
-    """The unsigned 64-bit SimHash of a text's word shingles, repeats included."""
+#: Odd factors that spread a shingle's hash over further words of a wide fingerprint.
+_ODD = (np.random.default_rng(64).integers(0, 2**63, 64, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def shingle_hashes(text: str | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; fewer words are one shingle, none is no hash."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8", "replace").lower().split()  # bytes: A-Z and ASCII white space only
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxh64_intdigest(b" ".join(words), seed)
     joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxh64_intdigest(joined, seed)] if words else [], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - shingle + 1
     view = memoryview(joined)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, n, 65536):
-        upto = min(n, at + 65536)
-        h = np.array([xxh64_intdigest(view[a:b], seed) for a, b in zip(starts[at:upto].tolist(), ends[at + shingle - 1 : upto + shingle - 1].tolist(), strict=True)], np.uint64)
-        votes += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0])
+    return np.array([xxh64_intdigest(view[a:b], seed) for a, b in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def sketch(hashes: np.ndarray, width: int = 1) -> np.ndarray:
+    """`width` words of 64 majority bits; the first is the contract's fingerprint."""
+    out, n = np.zeros(width, np.uint64), len(hashes)
+    for w in range(width if n else 0):
+        h = hashes
+        if w:
+            h = hashes * _ODD[w]
+            h = (h ^ (h >> np.uint64(29))) * _ODD[w - 1]
+            h ^= h >> np.uint64(32)
+        votes = np.zeros(64, np.int64)
+        for at in range(0, n, 65536):
+            votes += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(votes * 2 > n, bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The unsigned 64-bit SimHash of a text's word shingles."""
+    return int(sketch(shingle_hashes(text, shingle))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -70,98 +89,138 @@ def runs(radius: int) -> list[tuple[int, int]]:
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
-    """64 bit planes; bit j of word w of plane p is bit p of fingerprint 64 w + j."""
-    wide = -(-len(fps) // 64) * 64
-    bits = np.zeros((wide, 64), np.uint8)
-    bits[: len(fps)] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Bit planes of fingerprints (n x words); bit j of word w of plane p is bit p of fingerprint 64 w + j."""
+    bits = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1] * 64), np.uint8)
+    bits[: len(fps)] = np.unpackbits(np.ascontiguousarray(fps).view(np.uint8).reshape(len(fps), -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little")).view(np.uint64)
 
 
-def within(fp: int, sliced: np.ndarray, radius: int, check_every: int = 8) -> np.ndarray:
-    """Words with a bit set for each column at distance <= radius.
+def within(fp: np.ndarray, sliced: np.ndarray, radius: int, alive: np.ndarray, check_every: int = 8) -> np.ndarray:
+    """Words with a bit set for each column of alive at distance <= radius from fp.
 
-    A saturating vertical counter: bits of `low` planes count up to radius, `over` holds the
-    columns that are beyond it.
+    Vertical counters: bit k of a column's distance lies in low[k]; a plane is added with
+    carry-save steps, and what runs over the top counter, or is beyond the radius where the
+    counters are looked at, is out for good. Words in which all are out are abandoned.
     """
     width = max(1, radius.bit_length())
-    words = np.arange(sliced.shape[1])
-    low = [np.zeros(len(words), np.uint64) for _ in range(width)]
-    over = np.zeros(len(words), np.uint64)
     ones = ~np.uint64(0)
-    for p in range(64):
-        row = sliced[p, words]
-        carry = ~row if fp >> p & 1 else row
+    words = np.flatnonzero(alive)
+    over = ~alive[words]
+    low = [np.zeros(len(words), np.uint64) for _ in range(width)]
+    bits = np.unpackbits(fp.view(np.uint8), bitorder="little").tolist()
+    for p, bit in enumerate(bits):
+        carry = sliced[p, words]
+        if bit:
+            carry = ~carry
         for k in range(width):
             low[k], carry = low[k] ^ carry, low[k] & carry
         over |= carry
-        if radius + 1 < 1 << width:  # the counter holds more than the radius
-            beyond = np.zeros(len(words), np.uint64)
-            for value in range(radius + 1, 1 << width):
-                eq = np.full(len(words), ones)
-                for k in range(width):
-                    eq &= low[k] if value >> k & 1 else ~low[k]
-                beyond |= eq
-            over |= beyond
-        if p % check_every == check_every - 1 and p < 63:
-            alive = over != ones
-            if not alive.all():
-                words, over = words[alive], over[alive]
-                low = [x[alive] for x in low]
+        if p % check_every == check_every - 1 or p == len(bits) - 1:
+            # counter > radius, from the highest bit down
+            more, equal = np.zeros(len(words), np.uint64), np.full(len(words), ones)
+            for k in reversed(range(width)):
+                if radius >> k & 1:
+                    equal &= low[k]
+                else:
+                    more |= equal & low[k]
+                    equal &= ~low[k]
+            over |= more
+            left = over != ones
+            if not left.all():
+                words, over = words[left], over[left]
+                low = [x[left] for x in low]
                 if not len(words):
                     break
-    out = np.zeros(sliced.shape[1], np.uint64)
+    out = np.zeros(len(alive), np.uint64)
     out[words] = ~over
     return out
 
 
-def _root(parent: list[int], x: int) -> int:
-    while parent[x] != x:
-        parent[x] = parent[parent[x]]
-        x = parent[x]
-    return x
+class _Side:
+    """Fingerprints of one side of a comparison, and which of them no component holds yet."""
+
+    def __init__(self, fps: np.ndarray):
+        self.fps, self.n = fps, len(fps)
+        self.sliced = planes(fps) if self.n >= 64 else None
+        self.alive = np.packbits(np.arange(-(-self.n // 64) * 64) < self.n, bitorder="little").view(np.uint64).copy()
+        self.open = np.ones(self.n, bool)
+
+    def take(self, j: int) -> None:
+        self.open[j] = False
+        self.alive[j >> 6] &= ~(np.uint64(1) << np.uint64(j & 63))
+
+    def near(self, fp: np.ndarray, radius: int) -> list[int]:
+        if self.sliced is None:  # less than a word of columns
+            rest = np.flatnonzero(self.open)
+            return rest[np.bitwise_count(self.fps[rest] ^ fp).sum(axis=1) <= radius].tolist()
+        hits = within(fp, self.sliced, radius, self.alive)
+        return np.flatnonzero(np.unpackbits(hits.view(np.uint8), bitorder="little")[: self.n]).tolist()
 
 
 def forest(fps: np.ndarray, radius: int, split: int | None = None) -> list[tuple[int, int]]:
-    """Index pairs (i, j), i's component root and j, that span the components of the links.
+    """Index pairs that span the components of the links among fps (n x words).
 
-    split: only links between fps[:split] and fps[split:].
+    A component grows from one member; each member is compared with those that no component
+    holds yet, so a group of copies costs little more than its size. split: only links
+    between fps[:split] and fps[split:] count.
     """
+    if split is None:
+        sides, firsts = [_Side(fps)], [0]
+    else:
+        sides, firsts = [_Side(fps[:split]), _Side(fps[split:])], [0, split]
     found: list[tuple[int, int]] = []
-    n = len(fps)
-    parent = list(range(n))
-    if n < 64:  # too few for a word of columns: distances of one to the rest at once
-        for i in range(n - 1 if split is None else split):
-            lo = i + 1 if split is None else split
-            near = np.flatnonzero(np.bitwise_count(fps[lo:] ^ fps[i]) <= radius)
-            for j in near.tolist():
-                a, b = _root(parent, i), _root(parent, lo + j)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-                    found.append((i, lo + j))
-        return found
-    first = 0 if split is None else split
-    sliced = planes(fps[first:])
-    last = n - first
-    for i in range(n if split is None else split):
-        skip = i // 64 if split is None else 0  # columns before i were compared from their side
-        hits = within(int(fps[i]), sliced[:, skip:], radius)
-        for w in np.flatnonzero(hits).tolist():
-            bits = int(hits[w])
-            while bits:
-                j = (w + skip) * 64 + (bits & -bits).bit_length() - 1
-                bits &= bits - 1
-                if j < last and first + j > i:
-                    a, b = _root(parent, i), _root(parent, first + j)
-                    if a != b:
-                        parent[max(a, b)] = min(a, b)
-                        found.append((i, first + j))
+    for s, side in enumerate(sides):
+        for i in range(side.n):
+            if not side.open[i]:
+                continue
+            side.take(i)
+            queue = [(s, i)]
+            while queue:
+                at, x = queue.pop()
+                to = 0 if len(sides) == 1 else 1 - at
+                for j in sides[to].near(sides[at].fps[x], radius):
+                    sides[to].take(j)
+                    found.append((firsts[at] + x, firsts[to] + j))
+                    queue.append((to, j))
     return found
 
 
+def compare_buckets(keyed: DataFrame, payload: DataFrame, radius: int, block: int) -> DataFrame:
+    """Links (a, b) that span the components within each bucket.
+
+    keyed: (name, slot, bits), a fingerprint's buckets; payload: (name, words), its words of
+    64 bits. A bucket of more than `block` is compared as pairs of blocks.
+    """
+    sizes = keyed.groupBy("slot", "bits").agg(F.count("*").alias("n")).filter("n > 1").select("slot", "bits", F.ceil(F.col("n") / block).alias("blocks"))
+    rows = keyed.join(sizes, ["slot", "bits"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("name", "slot", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    rows = rows.join(payload, "name")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[2], key[3]
+        group = group.sort_values("name")
+        split = None
+        if i != j:
+            group = pd.concat([group[group["own"] == i], group[group["own"] != i]])
+            split = int((group["own"] == i).sum())
+        names = group["name"].to_numpy()
+        fps = np.frombuffer(b"".join(group["words"].tolist()), "<u8").reshape(len(names), -1)
+        at = np.array(forest(fps, radius, split), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": names[at[:, 0]], "b": names[at[:, 1]]})
+
+    return rows.groupBy("slot", "bits", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _words_of(fp: F.Column) -> F.Column:
+    """A long as 8 bytes, the lowest first."""
+    high = F.lpad(F.hex(fp), 16, "0")
+    return F.unhex(F.concat(*[F.substring(high, 15 - 2 * k, 2) for k in range(8)]))
+
+
 def links(classes: DataFrame, radius: int = 3, block: int = 4096) -> DataFrame:
     """Links (a, b) between class fingerprints that span every component; classes has a distinct `fp` long."""
     cut = runs(radius)
-    pairs = list(combinations(range(len(cut)), 2))
 
     def key(pair: tuple[int, int]) -> F.Column:
         out = F.lit(0).cast("long")
@@ -170,32 +229,107 @@ def links(classes: DataFrame, radius: int = 3, block: int = 4096) -> DataFrame:
             out = F.shiftleft(out, n).bitwiseOR(F.shiftrightunsigned("fp", first).bitwiseAND(F.lit((1 << n) - 1)))
         return out
 
-    keyed = classes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), key(p).alias("bits")) for k, p in enumerate(pairs)])).alias("at")).select("fp", "at.pair", "at.bits")
-    sizes = keyed.groupBy("pair", "bits").agg(F.count("*").alias("n")).filter("n > 1").select("pair", "bits", F.ceil(F.col("n") / block).alias("blocks"))
-    rows = keyed.join(sizes, ["pair", "bits"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    rows = rows.select("fp", "pair", "bits", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    slots = [F.struct(F.lit(k).alias("slot"), key(p).alias("bits")) for k, p in enumerate(combinations(range(len(cut)), 2))]
+    keyed = classes.select(F.col("fp").alias("name"), F.explode(F.array(*slots)).alias("at")).select("name", "at.slot", "at.bits")
+    return compare_buckets(keyed, classes.select(F.col("fp").alias("name"), _words_of(F.col("fp")).alias("words")), radius, block)
 
-    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        own, i, j = group["own"].to_numpy(), key[2], key[3]
-        fps = group["fp"].to_numpy().view(np.uint64)
-        if i == j:
-            at = forest(fps, radius)
-        else:
-            side = np.argsort(own != i, kind="stable")
-            fps = fps[side]
-            at = forest(fps, radius, int((own == i).sum()))
-        signed = fps.view(np.int64)
-        return pd.DataFrame({"a": [signed[x] for x, _ in at], "b": [signed[y] for _, y in at]}, dtype="int64")
 
-    return rows.groupBy("pair", "bits", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+#: Stands for a null id, which sorts last.
+NO_ID = 2**63 - 1
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, block: int = 4096, id_col: str = "doc_id") -> DataFrame:
     """Per row: id_col, fp, component_id (the smallest id reachable over links, itself included)."""
-    marked = keep(fingerprints(docs, id_col, shingle), "fingerprints")
+    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(id_col), "text")
+    marked = keep(fingerprints(known, id_col, shingle), "fingerprints")
     classes = keep(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
     joined = components(links(classes, radius, block))
     whole = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return marked.join(whole.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
+    found = marked.join(whole.join(least, "component").select("fp", "component_id"), "fp")
+    return found.select(F.nullif(id_col, F.lit(NO_ID)).alias(id_col), "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+
+
+# --- texts that are similar, not only almost equal -----------------------------
+
+#: Words of a wide fingerprint, and bands x rows of least shingle hashes that choose its buckets.
+WIDTH, BANDS, ROWS = 16, 10, 3
+
+
+def wide_radius(similarity: float, width: int = WIDTH) -> int:
+    """The expected distance of two texts whose shingle sets of one size have this Jaccard similarity."""
+    cosine = 2 * similarity / (1 + similarity)
+    return round(64 * width * float(np.arccos(cosine)) / np.pi)
+
+
+def _bands(hashes: np.ndarray) -> list[int]:
+    least = [int((hashes * m >> np.uint64(7)).min()) for m in _ODD[: BANDS * ROWS]] if len(hashes) else [0] * (BANDS * ROWS)
+    out = []
+    for k in range(0, BANDS * ROWS, ROWS):
+        h = 0
+        for v in least[k : k + ROWS]:
+            h = (h * 0x9E3779B97F4A7C15 + v) & (2**64 - 1)
+        out.append(h - 2**63)
+    return out
+
+
+def _described(texts: list, shingle: int) -> tuple[list[int], list[bytes], list[list[int]]]:
+    from xxhash import xxh64_intdigest
+
+    names, held, bands = [], [], []
+    for text in texts:
+        names.append(xxh64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split()), 7) - 2**63)
+        h = shingle_hashes(text, shingle)
+        held.append(sketch(h, WIDTH).astype("<u8").tobytes())
+        bands.append(_bands(h))
+    return names, held, bands
+
+
+def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, block: int = 4096, id_col: str = "doc_id") -> DataFrame:
+    """Per row: id_col, name (equal for equal word sequences), component (a name of its group).
+
+    A 64-bit fingerprint can't tell a similarity of 0.8 from 0.6, so texts are compared by
+    wide ones of 64 * WIDTH bits, within buckets of equal bands of least shingle hashes. Two
+    texts of similarity s share a bucket with probability 1 - (1 - s**ROWS)**BANDS, 0.999 at
+    0.8, and are linked if their distance is at most that expected at `similarity`.
+    """
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            names, held, bands = _described(b["text"].tolist(), shingle)
+            yield pd.DataFrame({"k": b["k"], "name": names, "words": held, "bands": bands})
+
+    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), "text")
+    marked = keep(known.mapInPandas(each, "k long, name long, words binary, bands array<long>").withColumnRenamed("k", id_col), "sketches")
+    classes = keep(marked.groupBy("name").agg(F.first("words").alias("words"), F.first("bands").alias("bands")), "classes")
+    keyed = classes.select("name", F.posexplode("bands").alias("slot", "bits"))
+    joined = components(compare_buckets(keyed, classes.select("name", "words"), wide_radius(similarity), block))
+    labels = joined.withColumnRenamed("node", "name")
+    return marked.select(id_col, "name").join(labels, "name", "left").select(id_col, "name", F.coalesce("component", "name").alias("component"))
+
+
+def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, block: int = 4096, id_col: str = "doc_id") -> DataFrame:
+    """docs with one row of each group: that of the smallest id.
+
+    Rows whose id is theirs alone are matched by id; of rows that share an id, or have none,
+    the words tell which is meant, and of equal ones any one stays.
+    """
+    found = keep(similar_groups(docs, similarity, shingle, block, id_col), "groups")
+    stay = found.groupBy("component").agg(F.min(F.struct(id_col, "name")).alias("first")).select(F.col(f"first.{id_col}").alias("own_id"), F.col("first.name").alias("own_name"))
+    rows = found.groupBy(F.col(id_col).alias("own_id")).agg(F.count("*").alias("rows"))
+    stay = keep(stay.join(rows, "own_id"), "stay")
+    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    lone = docs.join(stay.filter("rows = 1").select("own_id"), own == F.col("own_id"), "left_semi")
+    shared = stay.filter("rows > 1")
+    if shared.isEmpty():
+        return lone
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = _described(b.column(b.schema.get_field_index("text")).to_pylist(), shingle)[0]
+            yield b.append_column("own_name_", pa.array(names, pa.int64()))
+
+    again = docs.join(shared.select("own_id").distinct(), own == F.col("own_id"), "left_semi")
+    again = again.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("own_name_", T.LongType())]))
+    again = again.join(shared, (own == F.col("own_id")) & (F.col("own_name_") == F.col("own_name")), "left_semi").dropDuplicates([id_col, "own_name_"])
+    return lone.unionByName(again.drop("own_name_"))
