@@ -1,10 +1,10 @@
-"""Exact subword ids from a tokenizer file, with a cache by white-space chunk.
+"""Exact subword ids from a tokenizer file, with a cache by pre-token.
 
-Ids of a white-space separated chunk don't depend on its neighbours in a tokenizer
-whose pre-tokenizer drops white space, so each distinct chunk is encoded once per
-worker. Chunks of plain letters, digits and signs are cut into the pre-tokenizer's
-own pieces first; pieces that are new are encoded in one call and told apart by the
-end-of-word mark. Any other chunk goes to the tokenizer as it is.
+The pre-tokenizer of the word vocabulary drops white space and cuts text into runs of
+letters, single digits and runs of signs, each encoded on its own. Text of plain letters,
+digits and signs is cut into those pieces here and each distinct piece is encoded once per
+worker; new pieces are encoded in one call and told apart by the end-of-word mark. Any
+other stretch between white space goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ import numpy as np
 _BY_PATH: dict[str, "ChunkTokenizer"] = {}
 
 # The contractions that the pre-tokenizer of the word vocabulary splits off.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-@\[-`{-~¡«»¿°–—‘’“”…€]+")
+#: Characters that lower-case and normalise one by one, and white space that every part agrees on.
+_PLAIN = re.compile(r"[ \t\n\r!-~À-ÖØ-öø-ÿ¡«»¿°–—‘’“”…€]*")
 _CHUNK = re.compile(r"[^ \t\n\r]+")
 
 
@@ -34,63 +35,72 @@ def tokenizer_path(name: str) -> str:
 class ChunkTokenizer:
     """ids(text) gives little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, max_cached: int = 400_000):
+    def __init__(self, path: str, max_cached: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._known: dict[str, bytes] = {}
         self._max = max_cached
         vocab = self._tok.get_vocab(with_added_tokens=True)
         self._end = np.zeros(max(vocab.values()) + 1, bool)
         self._end[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        self._cuts = bool(self._end.any())  # else the vocabulary is of another kind
 
     def _encode(self, text: str) -> bytes:
         return np.array(self._tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, chunks: set[str]) -> None:
-        if len(self._chunks) > self._max:
-            self._chunks.clear()
-        if len(self._pieces) > 2 * self._max:
-            self._pieces.clear()
-        chunks = chunks - self._chunks.keys()
-        cut = {}
-        for c in chunks:
-            if len(c) <= 64 and _PLAIN.fullmatch(c) and "<|" not in c:
-                cut[c] = _PIECE.findall(c.lower())
+    def _plain(self, text: str) -> bool:
+        return _PLAIN.fullmatch(text) is not None and "<|" not in text
+
+    def _cut(self, text: str) -> list[str]:
+        """The keys of a text, in order: pieces, or stretches that the tokenizer gets whole (marked by a first space)."""
+        if self._plain(text):
+            return _PIECE.findall(text.lower())
+        out = []
+        for c in _CHUNK.findall(text):
+            if self._plain(c):
+                out += _PIECE.findall(c.lower())
             else:
-                self._chunks[c] = self._encode(c)
-        new = list({p for ps in cut.values() for p in ps} - self._pieces.keys())
+                out.append(" " + c)
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        if len(self._known) + len(pieces) > self._max:
+            self._known.clear()
+        new = [p for p in pieces - self._known.keys() if p[0] != " "]
+        for p in pieces:
+            if p[0] == " ":
+                self._known[p] = self._encode(p[1:])
         if new:
             ids = np.array(self._tok.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self._end[ids]) + 1
-            if len(ends) == len(new) and ends[-1] == len(ids):
-                raw, at = ids.tobytes(), 0
-                for p, e in zip(new, ends.tolist()):
-                    self._pieces[p] = raw[at : 4 * e]
-                    at = 4 * e
-            else:  # not a vocabulary with an end-of-word mark on every word
-                for p in new:
-                    self._pieces[p] = self._encode(p)
-        for c, ps in cut.items():
-            self._chunks[c] = b"".join([self._pieces[p] for p in ps])
+            ends = (np.flatnonzero(self._end[ids]) + 1) * 4
+            if len(ends) != len(new) or ends[-1] != 4 * len(ids):
+                raise ValueError("the tokenizer doesn't end every piece with an end-of-word mark")
+            raw, at = ids.tobytes(), 0
+            for p, e in zip(new, ends.tolist(), strict=True):
+                self._known[p] = raw[at:e]
+                at = e
 
     def ids(self, texts: list[str], group: int = 2_000_000):
-        """Yields each text's ids; new chunks are encoded together for about group characters."""
+        """Yields each text's ids; new pieces are encoded together for about group characters."""
+        if not self._cuts:
+            for text in texts:
+                yield self._encode(text)
+            return
         at = 0
         while at < len(texts):
             cut, n = [], 0
             while at < len(texts) and (not cut or n + len(texts[at]) <= group):
-                cut.append(_CHUNK.findall(texts[at]))
+                cut.append(self._cut(texts[at]))
                 n += len(texts[at])
                 at += 1
-            known = self._chunks
             seen = set().union(*cut)
-            if not known.keys() >= seen:
+            if not self._known.keys() >= seen:
                 self._learn(seen)
-            for chunks in cut:
-                yield b"".join([known[c] for c in chunks])
+            get = self._known.__getitem__
+            for pieces in cut:
+                yield b"".join(map(get, pieces))
 
 
 def chunk_tokenizer(name: str) -> ChunkTokenizer:
