@@ -4,9 +4,9 @@ The dimensions are cut into slices; for a query each slice holds a list of local
 whose sum is the score. Candidates lie in row blocks, queries in blocks of bounded size that
 are broadcast one after another.
 
-1. Every row block gathers the k best local scores of each slice and sums what it gathered,
-   with the slice's least score for what it didn't: lower bounds of scores. The k-th
-   greatest lower bound over all blocks is a safe cutoff.
+1. Every row block gathers the k best local scores of each slice and sums those entries over
+   the slices. The k-th greatest of these sums over all blocks is a safe cutoff: k candidates
+   reach it.
 2. The cutoffs go to all blocks. A candidate that reaches its cutoff has a slice in which it
    is at least the cutoff's excess over the least scores, divided by the number of slices,
    above that slice's least score. Those entries are collected, and bounded from above with
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-_NONE = -(2.0**60)
+_NONE = -(2.0**60)  # exact in float32 too
 
 
 def whole_components(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -43,8 +43,8 @@ def whole_components(vectors: DataFrame, id_col: str, vec_col: str, scale: int)
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).filter(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
-def _matrix(rows: list, dims: int) -> np.ndarray:
-    out = np.zeros((len(rows), dims))
+def _matrix(rows: list, dims: int, kind: type) -> np.ndarray:
+    out = np.zeros((len(rows), dims), kind)
     for k, v in enumerate(rows):
         out[k, : min(dims, len(v))] = v[:dims]
     return out
@@ -55,20 +55,17 @@ def _local(queries: np.ndarray, block: np.ndarray, slices: list[slice]) -> list[
 
 
 def _lower_bounds(local: list[np.ndarray], own: np.ndarray, k: int) -> np.ndarray:
-    """Per query the k greatest sums of what the slices' k best entries give."""
-    total = np.zeros_like(local[0])
-    for x in local:
-        n = x.shape[1]
-        least = x.min(axis=1, keepdims=True)
-        if n > k:
-            cut = np.partition(x, n - k, axis=1)[:, n - k, None]
-            total += np.where(x >= cut, x, least)
-        else:
-            total += x
-    total[own] = _NONE
-    n = total.shape[1]
-    best = total if n <= k else np.partition(total, n - k, axis=1)[:, n - k :]
-    return np.pad(best, ((0, 0), (0, max(0, k - n))), constant_values=_NONE)
+    """Per query the k greatest sums over the slices of the entries in any slice's local list."""
+    n = local[0].shape[1]
+    if n <= k:
+        total = sum(local)
+        total[own] = _NONE
+        return np.pad(total, ((0, 0), (0, k - n)), constant_values=_NONE)
+    at = np.sort(np.concatenate([np.argpartition(x, n - k, axis=1)[:, n - k :] for x in local], axis=1), axis=1)
+    total = sum(np.take_along_axis(x, at, axis=1) for x in local)
+    total[:, 1:][at[:, 1:] == at[:, :-1]] = _NONE  # in several lists: counts once
+    total[np.take_along_axis(own, at, axis=1)] = _NONE
+    return np.partition(total, total.shape[1] - k, axis=1)[:, -k:]
 
 
 def _resolve(local: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, k: int):
@@ -99,6 +96,7 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
     n, dims, high = (x or 0 for x in rows.select(F.count(F.when(F.col("id") % query_every == 0, 1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first())
     if high * high * dims >= 2**53:
         raise ValueError("scores of these vectors are not exact in float64")
+    kind = np.float32 if high * high * dims < 2**24 else np.float64  # the narrowest in which every sum is exact
     cut = np.linspace(0, dims, min(slices, max(dims, 1)) + 1).astype(int)
     parts = [slice(a, b) for a, b in zip(cut, cut[1:], strict=False)]
     blocks = max(1, -(-n // query_block))
@@ -106,13 +104,13 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
     for at in range(blocks):
         mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == at).orderBy("id").collect()  # about query_block rows
         ids = np.array([r["id"] for r in mine], np.int64)
-        sent = spark.sparkContext.broadcast((ids, _matrix([r["v"] for r in mine], dims)))
+        sent = spark.sparkContext.broadcast((ids, _matrix([r["v"] for r in mine], dims, kind)))
 
         def bounds(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             asked_ids, queries = sent.value
-            best = np.full((len(asked_ids), k), _NONE)
+            best = np.full((len(asked_ids), k), _NONE, kind)
             for b in batches:
-                block, block_ids = _matrix(b["v"].tolist(), dims), b["id"].to_numpy()
+                block, block_ids = _matrix(b["v"].tolist(), dims, kind), b["id"].to_numpy()
                 for q in range(0, len(asked_ids) if len(b) else 0, step):
                     own = asked_ids[q : q + step, None] == block_ids[None, :]
                     here = _lower_bounds(_local(queries[q : q + step], block, parts), own, k)
@@ -125,12 +123,12 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
         cutoffs = rows.mapInPandas(bounds, "query_id long, bound double").withColumn("nth", nth).filter(F.col("nth") == k).select("query_id", "bound")
         known = {r["query_id"]: r["bound"] for r in cutoffs.collect()}  # one number a query of this block
         # without k candidates there is no cutoff: everything is resolved
-        safe = spark.sparkContext.broadcast(np.array([known.get(x, _NONE / 2) for x in ids.tolist()]))
+        safe = spark.sparkContext.broadcast(np.array([known.get(x, _NONE / 2) for x in ids.tolist()], kind))
 
         def resolve(batches: Iterator[pd.DataFrame], sent=sent, safe=safe) -> Iterator[pd.DataFrame]:
             asked_ids, queries = sent.value
             for b in batches:
-                block, block_ids = _matrix(b["v"].tolist(), dims), b["id"].to_numpy()
+                block, block_ids = _matrix(b["v"].tolist(), dims, kind), b["id"].to_numpy()
                 for q in range(0, len(asked_ids) if len(b) else 0, step):
                     own = asked_ids[q : q + step, None] == block_ids[None, :]
                     row, found, score = _resolve(_local(queries[q : q + step], block, parts), own, block_ids, safe.value[q : q + step], k)
