@@ -29,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_000, z_min
     n = marked.count()
     if n > max_fit_rows:
         marked = marked.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < int(1e6 * max_fit_rows / n))
-    rows = docs.select("doc_id", "text").join(marked, "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "toxic")  # about max_fit_rows pairs of numbers
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, list[int]] = {}
@@ -208,6 +209,19 @@ def _calibrate(model: Model, seen: list) -> Model:
     return Model(model.lexicon, model.gap, decay, scale, tuple(float(v) for v in w))
 
 
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model predicts to be toxic; all columns are untouched."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(sent.value)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            yield b.filter(pa.array([scorer.score(scorer.passages(words(t))) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(each, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """keep_cols, score, predicted, passages: array of (start, end in tokens, end exclusive; score; e_value) that are significant."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the rows fitted
