@@ -49,6 +49,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_ctxmix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctxmix import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_imatch": op5_imatch,
     "op6_simhash": op6_simhash,
+    "op7_ctxmix": op7_ctxmix,
     "op8_topk": op8_topk,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
