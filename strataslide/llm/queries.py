@@ -93,9 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: Floor of the scaled components as integers; the list is unnested by position, so scores are exact.
 OP8_SQL = """
 WITH v AS (
-    SELECT vec_id, list_transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE)) AS q
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS DOUBLE)) AS q
     FROM embeddings
-    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
     SELECT a.vec_id AS query_id, b.vec_id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
     FROM v a JOIN v b ON a.vec_id <> b.vec_id
@@ -106,6 +106,21 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+#: SHA-1 in base32: five bits at a time out of two hexadecimal digits.
+OP2_SQL = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), d AS (
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes, upper(sha1(html)) AS x, min(page_id) OVER (PARTITION BY html) AS first_id FROM p
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (((instr('0123456789ABCDEF', x[(5 * i) // 4 + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[(5 * i) // 4 + 2]) - 1 >> CAST(3 - (5 * i) % 4 AS INTEGER)) & 31) AS INTEGER), 1)), '') AS payload_digest,
+    CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_warc": OP2_SQL,
     "op8_topk": OP8_SQL,
 }
