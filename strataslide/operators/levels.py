@@ -86,7 +86,8 @@ def best_level(downsamples: Column, target: Column, rule: str = "floor") -> Colu
         return F.when(target < F.get(downsamples, F.lit(0)), 0).otherwise(F.coalesce(F.array_min(hits) - 1, last)).cast("int")
     if rule == "prev":
         hits = F.filter(F.sequence(F.lit(0), last), lambda i: F.get(downsamples, i) >= target)
-        return F.coalesce(F.greatest(F.array_min(hits) - 1, F.lit(0)), last).cast("int")
+        first = F.array_min(hits)
+        return F.when(first.isNull(), last).otherwise(F.greatest(first - 1, F.lit(0))).cast("int")
     raise ValueError(f"no rule {rule}")
 
 

@@ -95,7 +95,7 @@ def best_level_floor(spark, sf_dir):
     return _asked(spark, sf_dir, "floor")
 
 
-@query(f"SELECT request_id, CAST(coalesce(greatest(0, min(level) FILTER (WHERE ds >= t) - 1), any_value(level_count) - 1) AS INTEGER) AS best_level FROM ({_AS_OF}) GROUP BY request_id")
+@query(f"SELECT request_id, CAST(CASE WHEN min(level) FILTER (WHERE ds >= t) IS NULL THEN any_value(level_count) - 1 ELSE greatest(0, min(level) FILTER (WHERE ds >= t) - 1) END AS INTEGER) AS best_level FROM ({_AS_OF}) GROUP BY request_id")
 def best_level_prev(spark, sf_dir):
     return _asked(spark, sf_dir, "prev")
 
