@@ -14,8 +14,8 @@ FORMATS = (
     ("czi", (".czi",), "czi", False, False, False, False, False, False, "zeros", "single", "single"),
     ("ome_tiff", (".tif", ".tiff"), "multiplex", True, False, False, False, True, True, "zeros", "single", "single"),
     ("mcd", (".mcd",), "multiplex", False, False, False, False, False, True, "zeros", "single", "single"),
-    ("hdf5", (".h5", ".hdf5", ".h5ad"), "multiplex", True, False, False, False, False, True, "zeros", "single", "single"),
-    ("ims", (".ims",), "multiplex", True, False, False, True, True, True, "zeros", "floor", "stored"),
+    ("hdf5", (".h5", ".hdf5", ".h5ad"), "multiplex", True, True, False, False, False, True, "zeros", "single", "single"),
+    ("ims", (".ims",), "multiplex", True, True, False, True, True, True, "zeros", "floor", "stored"),
     ("qptiff", (".qptiff",), "qptiff", False, False, False, True, True, True, "zeros", "floor", "stored"),
     ("kfb", (".kfb",), "brightfield", False, False, False, True, True, False, "white", "native", "stored"),
     ("tmap", (".tmap",), "brightfield", False, True, False, True, True, False, "grey", "prev", "ceil"),

@@ -583,7 +583,56 @@ def tiff_page_pixels(blob: Blob, page: dict) -> np.ndarray:
     return out
 
 
-MAGIC = ((b"TMAP06", tmap06), (b"TMAP07", tmap07), (b"DPTWSI", dyj), (b"BKIO", mdsx), (b"\xd0\xcf\x11\xe0", mds), (b"SQLite format 3\0", ibl), (b"PK\x03\x04", tron), (b"II*\0", tiff), (b"MM\0*", tiff), (b"II+\0", tiff), (b"MM\0+", tiff))
+# --- hdf5, ims ---------------------------------------------------------------------
+
+
+def hdf5(blob: Blob) -> Parsed:
+    """Multiplex planes; there are no tiles, see the source slide_planes."""
+    from .hdf5 import File, ims_names, levels_of_ims, multiplex_dataset
+
+    nodes = list(File(blob).walk())
+    levels = levels_of_ims(nodes)
+    if levels and 0 in levels:
+        out = Parsed("ims", channels=ims_names(nodes, sorted(levels[0])))
+        for channels in levels.values():
+            sizes = {n.shape[-2:] for n in channels.values()}
+            if len(sizes) > 1:
+                raise ValueError("a level's channels differ in size")
+            h, w = sizes.pop()
+            first = out.levels[0] if out.levels else (w, h)
+            out.levels.append((w, h, max(first[0] / w, first[1] / h)))
+        out.width, out.height = out.levels[0][:2]
+        return out.stated("ims")
+    found = multiplex_dataset(nodes)
+    if found is None:
+        raise ValueError("no multiplex dataset")
+    node, names = found
+    out = Parsed("hdf5", node.shape[2], node.shape[1], [(node.shape[2], node.shape[1], 1.0)], channels=names)
+    out.properties["hdf5.dataset"] = node.path
+    return out.stated("hdf5")
+
+
+def planes(blob: Blob) -> Iterator[tuple[int, str, int, np.ndarray]]:
+    """(channel, name, level, plane) of an HDF5 or IMS file, one plane at a time."""
+    from .hdf5 import File, ims_names, levels_of_ims, multiplex_dataset
+
+    file = File(blob)
+    nodes = list(file.walk())
+    levels = levels_of_ims(nodes)
+    if levels and 0 in levels:
+        names = ims_names(nodes, sorted(levels[0]))
+        for level, channels in levels.items():
+            for (c, node), name in zip(sorted(channels.items()), names, strict=False):
+                yield c, name, level, file.plane(node, 0 if len(node.shape) == 3 else None)
+        return
+    found = multiplex_dataset(nodes)
+    if found is None:
+        raise ValueError("no multiplex dataset")
+    for c, name in enumerate(found[1]):
+        yield c, name, 0, file.plane(found[0], c)
+
+
+MAGIC = ((b"TMAP06", tmap06), (b"TMAP07", tmap07), (b"DPTWSI", dyj), (b"BKIO", mdsx), (b"\xd0\xcf\x11\xe0", mds), (b"SQLite format 3\0", ibl), (b"PK\x03\x04", tron), (b"II*\0", tiff), (b"MM\0*", tiff), (b"II+\0", tiff), (b"MM\0+", tiff), (b"\x89HDF\r\n\x1a\n", hdf5))
 
 
 def parse(blob: Blob, with_data: bool = False) -> Parsed:

@@ -14,9 +14,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .blob import Blob, listed
-from .containers import parse
+from .containers import parse, planes
 
 TILES = "path string, format_id string, level int, z int, channel int, col int, row_no int, x0 long, y0 long, cov_w int, cov_h int, file_id int, offset long, length long, data binary"
+PLANES = "path string, channel_index int, name string, level int, height int, width int, dtype string, data binary"
 METADATA = "path string, format_id string, width long, height long, level_count int, levels array<struct<width: long, height: long, downsample: double>>, mpp double, channels array<string>, properties map<string,string>, stored map<string,struct<offset: long, length: long>>, error struct<class: string, message: string>"
 
 
@@ -69,6 +70,32 @@ class _MetadataReader(_Reader):
             yield (partition.path, None, None, None, None, None, None, None, None, None, (type(e).__name__, str(e)))
 
 
+class _PlanesReader(_Reader):
+    def read(self, partition: _File) -> Iterator[tuple]:
+        blob = Blob(partition.path)
+        try:
+            for channel, name, level, plane in planes(blob):
+                yield (partition.path, channel, name, level, *plane.shape, plane.dtype.str, plane.tobytes())
+        except ValueError:
+            return
+        finally:
+            blob.close()
+
+
+class SlidePlanesSource(DataSource):
+    """The planes of multiplex containers, a row a channel and level."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "slide_planes"
+
+    def schema(self) -> str:
+        return PLANES
+
+    def reader(self, schema) -> DataSourceReader:
+        return _PlanesReader(self.options)
+
+
 class SlideTilesSource(DataSource):
     """The tile index of each file; option data=true reads the tiles' bytes."""
 
@@ -98,5 +125,5 @@ class SlideMetadataSource(DataSource):
 
 
 def register_sources(spark: SparkSession) -> None:
-    for source in (SlideTilesSource, SlideMetadataSource):
+    for source in (SlideTilesSource, SlideMetadataSource, SlidePlanesSource):
         spark.dataSource.register(source)
