@@ -36,8 +36,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix in training order: a row per copy that the mix takes."""
-    columns = tuple(docs.columns)
-    return mixing.schedule(mixing.mix(docs, carry=columns)).select(*[F.col("carried").getField(c).alias(c) for c in columns])
+    return mixing.mixture(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

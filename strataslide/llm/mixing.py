@@ -13,8 +13,11 @@ sources sorted by cap / weight.
 
 Documents are taken whole: every one floor(target / size of the source) times, then once
 more in hashed order while the rest of the target lasts; in the bucket where it runs out,
-small documents fill what is left. Cumulative sums go over hashed buckets of a source and
-then within a bucket, so a source with most of the rows is spread over many tasks.
+small documents fill what is left. Cumulative sums are kept for ranges of the hash (buckets)
+only, of which there are at most `max_buckets` and one a source: a document's place is its
+bucket's sum and its hash's place in the bucket. So each document's copies and positions
+follow from its own columns and a table of bounded size, which is broadcast; texts are not
+shuffled until they go into order, and a source with most of the rows is no task's work.
 
 Defined results: null text has size 0 and is taken for 0 words; a null source is a source of
 its own, ordered last; equal rows are taken independently; an empty table gives an empty
@@ -75,55 +78,88 @@ def targets(sized: DataFrame, ratio: float, max_repeats: float, cycle: tuple[flo
     return per.select("has_source", "source_key", "source_rows", "source_size", "turn", "weight", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, *, ratio: float = 1.5, max_repeats: float = 2.0, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), curriculum: tuple = CURRICULUM, rows_per_bucket: int = 4_000, broadcast_sources: int = 50_000, seed: int = 17, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken, positions.
+#: A mark is below this.
+_MARKS = float(2**63)
+_KEY = ("has_source", "source_key")
 
-    docs has doc_id, source and text; `carry` names further columns to hand through, which
-    are returned in one struct `carried`. The rows are not sorted yet; see in_order().
+
+def _mark(seed: int) -> Column:
+    """Orders documents, and with doc_id tells their texts apart; not negative."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "source", "text"), 1)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("has_source", F.col("source").isNotNull()).withColumn("source_key", F.coalesce("source", F.lit("")))
+
+
+def _bucket() -> Column:
+    return F.least(F.floor(F.col("mark") / F.lit(_MARKS) * F.col("buckets")).cast("long"), F.col("buckets") - 1)
+
+
+def plan(sized: DataFrame, ratio: float, max_repeats: float, cycle: tuple[float, ...], rows_per_bucket: int, max_buckets: int) -> tuple[DataFrame, DataFrame]:
+    """What decides about each document: a table of buckets, and the few documents that fill the rests.
+
+    sized: has_source, source_key, doc_id, mark, size.
     """
-    carried = [F.struct(*[F.col(c) for c in carry]).alias("carried")] if carry else []
-    sized = keep(
-        docs.select(
-            F.col("doc_id"), F.col("source"), F.col("source").isNotNull().alias("has_source"), F.coalesce("source", F.lit("")).alias("source_key"),
-            word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"), *carried,
-        ),
-        "sized",
-    )
     per = targets(sized, ratio, max_repeats, cycle)
     per = per.withColumn("whole", F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long"))
-    per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("buckets", F.ceil(F.col("source_rows") / rows_per_bucket))
-    key = ["has_source", "source_key"]
-    per = keep(per, "sources")
-    if per.count() <= broadcast_sources:  # beyond it Spark joins by shuffle and splits hot sources
-        per = F.broadcast(per)
-    rows = sized.join(per, key).withColumn("bucket", F.pmod("mark", F.col("buckets")))
-    sums = sized.select(*key, "size", "mark").join(per.select(*key, "buckets"), key).groupBy(*key, F.pmod("mark", F.col("buckets")).alias("bucket")).agg(F.sum("size").alias("bucket_size"))
-    before = F.sum("bucket_size").over(Window.partitionBy(*key).orderBy("bucket")) - F.col("bucket_size")
-    sums = sums.select(*key, "bucket", "bucket_size", before.alias("before"))
-    bucket = [*key, "bucket"]
-    order = ["mark", "doc_id"]
-    rows = rows.join(sums, bucket)
-    rows = rows.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy(*bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("again", (F.col("upto") <= F.col("rest")) & (F.col("rest") > 0))
-    # in the bucket where the rest runs out, the smallest documents that are left fill the gap
-    edge = (F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("bucket_size"))
-    filled = F.max(F.when(F.col("again"), F.col("upto")).otherwise(F.col("before"))).over(Window.partitionBy(*bucket))
-    small = F.sum(F.when(F.col("again"), 0).otherwise(F.col("size"))).over(Window.partitionBy(*bucket).orderBy("again", "size", *order).rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("filled", filled).withColumn("small", small)
-    fills = edge & ~F.col("again") & (F.col("size") > 0) & (F.col("filled") + F.col("small") - F.col("size") / 2 <= F.col("rest"))
-    extra_at = F.when(F.col("again"), F.col("upto")).when(fills, F.col("filled") + F.col("small"))
-    rows = rows.withColumn("extra_at", extra_at).withColumn("copies", (F.col("whole") + F.col("extra_at").isNotNull().cast("long")).cast("long"))
-    # each copy's middle, in words of its source; the last words taken end at `target`
-    half, unit = F.col("size") / 2, F.greatest("target", F.lit(1.0))
-    spots = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda e: (F.when(e < F.col("whole"), e * F.col("source_size") + F.col("upto")).otherwise(e * F.col("source_size") + F.col("extra_at")) - half) / unit)
-    spots = F.when(F.col("copies") > 0, spots).otherwise(F.array().cast("array<double>"))
-    rows = rows.withColumn("spots", spots)
-    positions = F.col("spots")
+    per = per.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    wide = F.greatest(F.lit(float(rows_per_bucket)), F.sum("source_rows").over(Window.partitionBy(F.lit(1))) / max_buckets)
+    per = keep(per.withColumn("buckets", F.ceil(F.col("source_rows") / wide)), "sources")
+    rows = sized.join(_small(per, 50_000), list(_KEY)).withColumn("bucket", _bucket())
+    sums = rows.groupBy(*_KEY, "bucket").agg(F.sum("size").alias("bucket_size"))
+    before = F.sum("bucket_size").over(Window.partitionBy(*_KEY).orderBy("bucket")) - F.col("bucket_size")
+    table = keep(per.join(sums.select(*_KEY, "bucket", "bucket_size", before.alias("before")), list(_KEY)), "buckets")
+    # the bucket of each source in which the rest runs out
+    edge = table.filter((F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("bucket_size")))
+    near = rows.select(*_KEY, "bucket", "doc_id", "mark", "size").join(_small(edge.select(*_KEY, "bucket", "before", "rest"), 50_000), [*_KEY, "bucket"])
+    near = near.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy(*_KEY).orderBy("mark")))  # equal marks stand or fall together
+    near = keep(near.withColumn("again", F.col("upto") <= F.col("rest")), "edges")
+    filled = near.groupBy(*_KEY).agg(F.max(F.when(F.col("again"), F.col("mark"))).alias("cut"), F.greatest(F.max(F.when(F.col("again"), F.col("upto"))), F.max("before")).alias("filled"))
+    small = F.sum("size").over(Window.partitionBy(*_KEY).orderBy("size", "mark"))
+    fills = near.filter(~F.col("again") & (F.col("size") > 0)).withColumn("small", small).join(filled, list(_KEY))
+    fills = keep(fills.filter(F.col("filled") + F.col("small") - F.col("size") / 2 <= F.col("rest")).select(F.col("doc_id").alias("fill_id"), F.col("mark").alias("fill_mark")).distinct(), "fills")
+    cut = table.join(filled.select(*_KEY, "cut"), list(_KEY), "left")
+    # buckets before the edge are taken whole, those behind it not at all
+    last = F.when(F.col("before") + F.col("bucket_size") <= F.col("rest"), F.lit(2**63 - 1)).when(F.col("before") < F.col("rest"), F.coalesce("cut", F.lit(-1))).otherwise(F.lit(-1))
+    return keep(cut.withColumn("last", F.when(F.col("rest") > 0, last).otherwise(F.lit(-1))).drop("cut"), "plan"), fills
+
+
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df to be broadcast if it has at most that many rows; else as it is, for Spark to join by shuffle and split what is hot."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def placed(docs: DataFrame, table: DataFrame, fills: DataFrame, curriculum: tuple, max_buckets: int) -> DataFrame:
+    """docs (with has_source, source_key, doc_id, mark) with copies, positions and their source's columns of the table."""
+    rows = docs.join(_small(table.select(*_KEY, "buckets").distinct(), max_buckets), list(_KEY)).withColumn("bucket", _bucket()).drop("buckets")
+    rows = rows.join(_small(table, 2 * max_buckets), [*_KEY, "bucket"])
+    rows = rows.join(_small(fills, 2 * max_buckets), rows["doc_id"].eqNullSafe(fills["fill_id"]) & (rows["mark"] == fills["fill_mark"]), "left")
+    fill = F.col("fill_mark").isNotNull()
+    again = fill | (F.col("mark") <= F.col("last"))
+    rows = rows.withColumn("copies", F.col("whole") + again.cast("long"))
+    # words of the source up to a copy; those that fill are spread over the last, partial turn
+    place = F.col("mark") / F.lit(_MARKS)
+    own = F.col("before") + (place * F.col("buckets") - F.col("bucket")) * F.col("bucket_size")
+    spot = F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), lambda e: (e * F.col("source_size") + F.when(fill & (e == F.col("whole")), place * F.col("rest")).otherwise(own)) / F.greatest("target", F.lit(1.0)))
+    rows = rows.withColumn("spots", F.when(F.col("copies") > 0, spot).otherwise(F.array().cast("array<double>")))
     at = None
     for k, shape in reversed(list(enumerate(curriculum))):
-        here = F.transform(positions, _placed(shape))
+        here = F.transform("spots", _placed(shape))
         at = here if at is None else F.when(F.pmod("turn", F.lit(len(curriculum))) == k, here).otherwise(at)
-    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), at.alias("positions"), *(["carried"] if carry else []))
+    return rows.withColumn("positions", at)
+
+
+def mix(docs: DataFrame, *, ratio: float = 1.5, max_repeats: float = 2.0, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), curriculum: tuple = CURRICULUM, rows_per_bucket: int = 4_000, max_buckets: int = 50_000, seed: int = 17) -> DataFrame:
+    """Per document: doc_id, source, mark, size, source_size, target, copies, taken, positions.
+
+    docs has doc_id, source and text; texts are read once, for their size and mark, and don't
+    go along. The rows are not sorted yet; see in_order().
+    """
+    sized = keep(_keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark(seed).alias("mark"))), "sized")
+    table, fills = plan(sized, ratio, max_repeats, cycle, rows_per_bucket, max_buckets)
+    rows = placed(sized, table, fills, curriculum, max_buckets)
+    return rows.select("doc_id", "source", "mark", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions")
 
 
 def in_order(mixed: DataFrame) -> DataFrame:
@@ -135,3 +171,13 @@ def in_order(mixed: DataFrame) -> DataFrame:
 def schedule(mixed: DataFrame) -> DataFrame:
     """The training order: a row per copy, range-sorted by position."""
     return mixed.select(*[c for c in mixed.columns if c != "positions"], F.posexplode("positions").alias("copy", "position")).orderBy("position", "doc_id", "copy")
+
+
+def mixture(docs: DataFrame, *, ratio: float = 1.5, max_repeats: float = 2.0, cycle: tuple[float, ...] = (5.0, 2.0, 1.0), curriculum: tuple = CURRICULUM, rows_per_bucket: int = 4_000, max_buckets: int = 50_000, seed: int = 17) -> DataFrame:
+    """The rows of docs as the mix takes them: a row per copy, range-sorted by position. Texts are shuffled once, into order."""
+    sized = keep(_keyed(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _mark(seed).alias("mark"))), "sized")
+    table, fills = plan(sized, ratio, max_repeats, cycle, rows_per_bucket, max_buckets)
+    whole = docs.select("doc_id", "source", _mark(seed).alias("mark"), F.struct(*[F.col(c) for c in docs.columns]).alias("row_"))
+    rows = placed(_keyed(whole), table, fills, curriculum, max_buckets)
+    rows = rows.select("doc_id", "row_", F.posexplode("positions").alias("copy", "position")).orderBy("position", "doc_id", "copy")
+    return rows.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
