@@ -132,7 +132,15 @@ def test_mixing(spark, odd):
     again = mixing.in_order(mixing.mix(docs, rows_per_bucket=37)).collect()
     assert [(r["doc_id"], r["taken"], r["position"]) for r in again] == [(r["doc_id"], r["taken"], r["position"]) for r in got]
     assert mixing.mix(odd.limit(0)).count() == 0
-    assert {r["size"] for r in mixing.mix(odd, carry=("rank", "size")).filter("doc_id = 3").collect()} == {0}
+    assert {r["size"] for r in mixing.mix(odd).filter("doc_id = 3").collect()} == {0}
+    whole = mixing.mixture(odd)
+    assert whole.columns == odd.columns
+    times = Counter((r["doc_id"], r["text"]) for r in whole.collect())
+    want = Counter()
+    for r in mixing.mix(odd).select("mark", "copies").join(odd.select("doc_id", "text", mixing._mark(17).alias("mark")).distinct(), "mark").collect():
+        want[r["doc_id"], r["text"]] += r["copies"]
+    assert times == +want
+    assert [r["doc_id"] for r in mixing.mixture(docs).collect()] == [r["doc_id"] for r in mixing.schedule(mixing.mix(docs)).collect()]
     plan = mixing.in_order(mixing.mix(docs))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
 
@@ -421,10 +429,19 @@ def test_context_mixing_is_a_distribution():
     from strataslide.llm import ctxmix
 
     texts = ["the cat sat on the mat. " * k for k in (1, 3, 9, 40)] + ["", "Ünï"]
-    code = ctxmix.prefix_code(ctxmix.pair_counts(texts).reshape(256, 256).astype(float))
-    for before in (0, 32, 116):
-        lengths = code.length[before * 256 : before * 256 + 256].astype(float)
-        assert abs((2.0**-lengths).sum() - 1) < 1e-12
+    pairs = ctxmix.pair_counts(texts).astype(float)
+    contexts = np.flatnonzero(pairs)[:40]
+    row = np.zeros(65536, np.int32)
+    row[contexts] = np.arange(1, len(contexts) + 1)
+    triples = ctxmix.triple_counts(texts, row).reshape(-1, 256)[1:].astype(float)
+    code = ctxmix.prefix_code(pairs.reshape(256, 256), contexts, triples)
+    for two in [0, 32, 116, *contexts[:5].tolist()]:
+        r, last = int(code.row[two]), two % 256
+        own, low = code.length2[r * 256 :][:256].astype(float), code.length1[last * 256 :][:256].astype(float)
+        lengths = own + np.where(code.escaped[r * 256 :][:256], low, 0)
+        covered = (2.0**-lengths).sum()
+        # all bytes have a code; what is missing to one is the escape to bytes that have a code of their own
+        assert covered <= 1 + 1e-12 and (lengths > 0).all() and (r or abs(covered - 1) < 1e-12)
     counts = ctxmix.Counts(code, 12)
     counts.add(texts)
     model = ctxmix.start_model(code, 12, tuple(ctxmix.log_odds(s.reshape(-1, 2).T) for s in counts.seen))
