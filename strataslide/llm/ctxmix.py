@@ -1,13 +1,15 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its UTF-8 bytes and an end mark. Each byte is a few binary decisions, along a
-prefix code for what follows the byte before it. For every decision several predictors look
+prefix code for what follows the two bytes before it (of the commonest pairs; else, and for
+bytes not seen there, for what follows the byte before). For every decision several predictors look
 up a hashed context (the bytes before, the word so far) in tables of counts that cover all
 training texts. Their log-odds are mixed by weights that a gate picks (depth of the decision,
-whether the word was seen before), and a map from the mixed log-odds corrects them. Weights
-and map start from values fitted on `dev_rows` training texts that the tables leave out, and
-adapt along each text: after every block of bytes, so the probability of a block rests on
-what came before it only. Blocks grow with the distance from the start.
+whether the word was seen before); a map from the mixed log-odds, and a slope and an offset
+of each text's own, correct them. Weights and map start from values fitted on `dev_rows`
+training texts that the tables leave out. Weights, slope and offset adapt along each text:
+after every block of bytes, so the probability of a block rests on what came before it only.
+Blocks grow with the distance from the start.
 
 Beside it a unigram base: token counts over all training texts. Counts are summed per input
 part and joined part-wise: a part's texts need the counts of that part's words only, so no
@@ -30,67 +32,98 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import keep
 
 #: The end mark: a byte that UTF-8 never has.
 END = 255
-CONTEXTS = 3  # hashed: three and five bytes, and the word so far
+CONTEXTS = 2  # hashed: five bytes, and the word so far
 INPUTS = CONTEXTS + 2  # with the code's own odds and a bias
 GATES, CELLS = 8, 24
 SCALE = 16.0  # of stored log-odds
+#: Characters worked on at once; what they unfold to stays in a core's cache.
+COUNT_AT_ONCE, SCORE_AT_ONCE = 100_000, 300_000
 #: Step sizes of a text's own weights: an input of larger log-odds moves less.
-RATE = np.array([0.15, 0.1, 0.1, 0.1, 0.5], np.float32)
+RATE = np.array([0.15, 0.1, 0.1, 0.5], np.float32)
 _M = np.uint32(0x9E3779B1)
 
 
 @dataclass(frozen=True)
 class Code:
-    """A prefix code for each preceding byte, flat: symbol pair -> first decision and how many."""
+    """Prefix codes, flat. Row of a pair of bytes before: a code of its own for what was seen there and an escape; then the last byte's code.
 
-    first: np.ndarray
-    length: np.ndarray
+    row: by the two bytes before, 0 if they have no code of their own; first2, length2: by row
+    and byte; escaped: whether the last byte's code follows; first1, length1: by byte pair;
+    node, sign, depth, odds: by decision.
+    """
+
+    row: np.ndarray
+    first2: np.ndarray
+    length2: np.ndarray
+    escaped: np.ndarray
+    first1: np.ndarray
+    length1: np.ndarray
     node: np.ndarray
-    bit: np.ndarray
     sign: np.ndarray
     depth: np.ndarray
     odds: np.ndarray
 
 
-def prefix_code(counts: np.ndarray) -> Code:
-    """counts: 256 x 256, of a byte after a byte. Every byte has a code after every byte."""
-    shared = counts.sum(axis=0) + 0.01
+def _paths(weights: list[tuple[int, float]]) -> dict[int, list[tuple[int, int, float]]]:
+    """Huffman: symbol -> [(node, bit, log-odds of a 1)] from the root down."""
+    heap = [(w, s, s) for s, w in weights]
+    heapq.heapify(heap)
+    up: dict[int, tuple[int, int]] = {}
+    odds: dict[int, float] = {}
+    at = 512
+    while len(heap) > 1:
+        w0, _, a = heapq.heappop(heap)
+        w1, _, b = heapq.heappop(heap)
+        up[a], up[b], odds[at] = (at, 0), (at, 1), float(np.log(w1 / w0))
+        heapq.heappush(heap, (w0 + w1, at, at))
+        at += 1
+    out = {}
+    for s, _ in weights:
+        path, x = [], s
+        while x in up:
+            x, bit = up[x]
+            path.append((x - 512, bit, odds[x]))
+        out[s] = path[::-1]
+    return out
+
+
+def prefix_code(pairs: np.ndarray, contexts: np.ndarray, triples: np.ndarray) -> Code:
+    """pairs: 256 x 256 counts of a byte after a byte; triples: counts of a byte after each of contexts (two bytes: the last one low)."""
+    shared = pairs.sum(axis=0) + 0.01
     shared = shared / shared.sum()
-    first, length = np.zeros(65536, np.int32), np.zeros(65536, np.uint8)
-    node, bit, depth, odds = [], [], [], []
+    flat: list[tuple[int, int, int, float]] = []  # node, bit, depth, odds
+
+    def put(path: list, of: int, deeper: int) -> tuple[int, int]:
+        first = len(flat)
+        flat.extend((of * 512 + x, bit, min(deeper + d, GATES // 2 - 1), o) for d, (x, bit, o) in enumerate(path))
+        return first, len(path)
+
+    first1, length1 = np.zeros(65536, np.int32), np.zeros(65536, np.int32)
     for before in range(256):
-        weight = counts[before] + shared
-        heap = [(w, s, s) for s, w in enumerate(weight.tolist())]
-        heapq.heapify(heap)
-        up: dict[int, tuple[int, int]] = {}
-        mass: dict[int, tuple[float, float]] = {}
-        at = 256
-        while len(heap) > 1:
-            w0, _, a = heapq.heappop(heap)
-            w1, _, b = heapq.heappop(heap)
-            up[a], up[b] = (at, 0), (at, 1)
-            mass[at] = (w0, w1)
-            heapq.heappush(heap, (w0 + w1, at, at))
-            at += 1
-        for s in range(256):
-            path, x = [], s
-            while x in up:
-                x, b = up[x]
-                path.append((x, b))
-            first[before * 256 + s], length[before * 256 + s] = len(node), len(path)
-            for d, (x, b) in enumerate(reversed(path)):
-                node.append((before * 256 + x - 256) & 0xFFFFFFFF)
-                bit.append(b)
-                depth.append(min(d, GATES // 2 - 1))
-                odds.append(np.log(mass[x][1] / mass[x][0]))
-    return Code(first, length, (np.array(node, np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B), np.array(bit, np.uint8), np.array(bit, np.float32) * 2 - 1, np.array(depth, np.uint8), np.clip(np.array(odds) * SCALE, -127, 127).astype(np.int8))
+        for s, path in _paths(list(enumerate((pairs[before] + shared).tolist()))).items():
+            first1[before * 256 + s], length1[before * 256 + s] = put(path, before, 1)
+    n = len(contexts) + 1
+    row = np.zeros(65536, np.int32)
+    row[contexts] = np.arange(1, n)
+    first2, length2, escaped = np.zeros(n * 256, np.int32), np.zeros(n * 256, np.int32), np.ones(n * 256, bool)
+    for r, counts in enumerate(triples, 1):
+        seen = np.flatnonzero(counts)
+        paths = _paths([*((int(s), float(counts[s])) for s in seen), (256, 0.5 + 0.1 * len(seen))])
+        at = put(paths[256], 256 + r, 0)
+        first2[r * 256 : r * 256 + 256], length2[r * 256 : r * 256 + 256] = at
+        for s in seen.tolist():
+            first2[r * 256 + s], length2[r * 256 + s] = put(paths[s], 256 + r, 0)
+            escaped[r * 256 + s] = False
+    node, bit, depth, odds = zip(*flat, strict=True)
+    node = (np.array(node, np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
+    return Code(row, first2, length2, escaped, first1, length1, node, np.array(bit, np.float32) * 2 - 1, np.array(depth, np.uint8), np.clip(np.round(np.array(odds) * SCALE), -127, 127).astype(np.int8))
 
 
 def _bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -99,32 +132,40 @@ def _bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join([b"\0\0\0\0\0" + r + b"\xff" for r in raw]), np.uint8), np.array([len(r) + 1 for r in raw], np.int64)
 
 
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2**32, and of its inverse; kept."""
+    if len(_POWERS[0]) < n:
+        for k, base in enumerate((0x01000193, pow(0x01000193, -1, 2**32))):
+            _POWERS[k] = np.cumprod(np.full(n + n // 4, base, np.uint32), dtype=np.uint32)
+    return _POWERS[0][:n], _POWERS[1][:n]
+
+
+_LETTER = np.array([65 <= (c & ~32) <= 90 or 128 <= c < 255 for c in range(256)])
+_LOW = np.array([(c | 32 if 65 <= c <= 90 else c) + 1 if _LETTER[c] else 0 for c in range(256)], np.uint32)
+
+
 def _contexts(data: np.ndarray) -> list[np.ndarray]:
-    """Hash of each context before every byte; uint32, for the whole array (the five leading zeros are no symbols)."""
+    """Hash of each context before every byte, as uint32: the five bytes before, and the letters since the last other byte."""
     d = data.astype(np.uint32)
     n = len(d)
-
-    def back(k: int) -> np.ndarray:
-        out = np.zeros(n, np.uint32)
-        out[k:] = d[: n - k]
-        return out
-
-    b1, b2, b3 = back(1), back(2), back(3)
-    two = b1 | b2 << np.uint32(8)
-    three = two | b3 << np.uint32(16)
-    five = (three * _M) ^ ((back(4) | back(5) << np.uint32(8)) * np.uint32(0xC2B2AE35))
-    # hash of the letters since the last other byte, by powers of an odd number modulo 2**32
-    letter = ((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128) & (data < 255)
-    low = np.where((data >= 65) & (data <= 90), data | 32, data).astype(np.uint32)
-    with np.errstate(over="ignore"):
-        power = np.cumprod(np.full(n, 0x01000193, np.uint32), dtype=np.uint32)
-        inverse = np.cumprod(np.full(n, pow(0x01000193, -1, 2**32), np.uint32), dtype=np.uint32)
-        sums = np.concatenate([[np.uint32(0)], np.cumsum(np.where(letter, (low + np.uint32(1)) * power, np.uint32(0)), dtype=np.uint32)])
-        start = np.maximum.accumulate(np.where(letter, 0, np.arange(1, n + 1)))  # just after the last other byte
-        start = np.concatenate([[0], start[:-1]])  # for the letters before each byte
-        word = (sums[:-1] - sums[start]) * inverse[start]
-        word = word * np.uint32(0xB5297A4D) + np.where(start == np.arange(n), b1, np.uint32(7))
-    return [three * np.uint32(0x846CA68B) ^ np.uint32(0x5A5A5A5A), five, word]
+    four = np.zeros(n, np.uint32)
+    for k in range(1, 5):
+        four[k:] |= d[: n - k] << np.uint32(8 * k - 8)
+    five = four * _M
+    five[5:] ^= d[: n - 5] * np.uint32(0xC2B2AE35)
+    power, inverse = _powers(n)
+    sums = np.zeros(n + 1, np.uint32)
+    np.cumsum(_LOW[data] * power, dtype=np.uint32, out=sums[1:])
+    start = np.zeros(n, np.int32)  # just after the last other byte before each place
+    start[1:] = np.where(_LETTER[data[:-1]], 0, np.arange(1, n, dtype=np.int32))
+    np.maximum.accumulate(start, out=start)
+    word = (sums[:-1] - sums[start]) * inverse[start]
+    word *= np.uint32(0xB5297A4D)
+    word += np.where(start == np.arange(n, dtype=np.int32), four & np.uint32(255), np.uint32(7))
+    return [five, word]
 
 
 def _symbols(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -134,14 +175,26 @@ def _symbols(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(n) + lead
 
 
-def _expand(code: Code, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each symbol's (byte before, byte): the symbol and the code's entry of every decision."""
-    k = code.length[pair]
-    which = np.repeat(np.arange(len(pair), dtype=np.int32), k)
-    first = np.cumsum(k, dtype=np.int32) - k
-    entry = np.repeat(code.first[pair] - first, k)
-    entry += np.arange(len(which), dtype=np.int32)
-    return which, entry
+def _pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each symbol: (two bytes before, the last one low), (byte before, byte), byte."""
+    last, now = data[at - 1].astype(np.int32), data[at].astype(np.int32)
+    return data[at - 2].astype(np.int32) * 256 + last, last * 256 + now, now
+
+
+def _expand(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The decisions of the symbols at `at`, in order: each one's symbol and the code's entry."""
+    two, one, now = _pairs(data, at)
+    key = code.row[two] * 256 + now
+    size = np.empty((len(at), 2), np.int32)
+    size[:, 0] = code.length2[key]
+    size[:, 1] = np.where(code.escaped[key], code.length1[one], 0)
+    first = np.stack([code.first2[key], code.first1[one]], axis=1).ravel()
+    size = size.ravel()
+    part = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    entry = (first - (np.cumsum(size, dtype=np.int32) - size))[part]
+    entry += np.arange(len(part), dtype=np.int32)
+    part >>= 1
+    return part, entry
 
 
 def _slots(context: np.ndarray, which: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -153,29 +206,52 @@ def _slots(context: np.ndarray, which: np.ndarray, node: np.ndarray, bits: int)
 
 
 def pair_counts(texts: list) -> np.ndarray:
+    """65536 counts of a byte after a byte."""
     data, lengths = _bytes(texts)
-    at = _symbols(data, lengths)
-    return np.bincount(data[at - 1].astype(np.int64) * 256 + data[at], minlength=65536)
+    return np.bincount(_pairs(data, _symbols(data, lengths))[1], minlength=65536)
+
+
+def triple_counts(texts: list, row: np.ndarray) -> np.ndarray:
+    """Counts of a byte after each context of row (0: none)."""
+    data, lengths = _bytes(texts)
+    two, _, now = _pairs(data, _symbols(data, lengths))
+    return np.bincount(row[two] * 256 + now, minlength=256 * (int(row.max()) + 1))
 
 
 class Counts:
     """What a task has seen of every slot: times 0 and times 1."""
 
-    def __init__(self, code: Code, bits: int):
-        self.code, self.bits = code, bits
+    def __init__(self, code: Code, bits: int, hold: int = 5_000_000):
+        self.code, self.bits, self._hold = code, bits, hold
         self.seen = [np.zeros(2 << bits, np.uint32) for _ in range(CONTEXTS)]
+        self._slots: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+        self._held = 0
 
     def add(self, texts: list) -> None:
         data, lengths = _bytes(texts)
         at = _symbols(data, lengths)
-        which, entry = _expand(self.code, data[at - 1].astype(np.int32) * 256 + data[at])
-        node, bit = self.code.node[entry], self.code.bit[entry]
-        for seen, context in zip(self.seen, _contexts(data), strict=True):
-            slot = _slots(context[at], which, node, self.bits) * np.uint32(2) + bit
-            np.add(seen, np.bincount(slot, minlength=len(seen)), out=seen, casting="unsafe")
+        which, entry = _expand(self.code, data, at)
+        node, bit = self.code.node[entry], self.code.sign[entry] > 0
+        for held, context in zip(self._slots, _contexts(data), strict=True):
+            slot = _slots(context[at], which, node, self.bits)
+            slot <<= np.uint32(1)
+            slot += bit
+            held.append(slot)
+        self._held += len(which)
+        if self._held >= self._hold:
+            self.settle()
+
+    def settle(self) -> None:
+        """Add up the slots that are held."""
+        for seen, held in zip(self.seen, self._slots, strict=True):
+            if held:
+                np.add(seen, np.bincount(np.concatenate(held), minlength=len(seen)), out=seen, casting="unsafe")
+                held.clear()
+        self._held = 0
 
     def rows(self, shard_bits: int = 16) -> Iterator[tuple[int, bytes]]:
         """(shard, packed): the slots that were seen, with their two counts."""
+        self.settle()
         size = min(1 << shard_bits, 1 << self.bits)
         for k, seen in enumerate(self.seen):
             both = seen.reshape(-1, 2)
@@ -207,7 +283,7 @@ class Model:
 
 
 def start_model(code: Code, bits: int, tables: tuple[np.ndarray, ...]) -> Model:
-    weights = np.tile(np.array([0.1, 0.35, 0.4, 0.3, 0.0], np.float32), (GATES, 1))
+    weights = np.tile(np.array([0.2, 0.5, 0.4, 0.0], np.float32), (GATES, 1))
     return Model(code, bits, tables, weights, np.zeros(CELLS, np.float32))
 
 
@@ -220,8 +296,8 @@ def bounds(most: int) -> np.ndarray:
 def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
     """Negative natural log probability of each text.
 
-    A text's weights are the model's of the gate plus a change of its own, which like its map
-    of corrections moves after each block. after: gets what a fit needs, see adapt().
+    A text's weights are the model's of the gate plus a change of its own, which moves after
+    each block. after: gets what a fit needs, see adapt().
     """
     data, lengths = _bytes(texts)
     at = _symbols(data, lengths)
@@ -232,7 +308,7 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
     order = np.argsort(step, kind="stable")
     at, step = at[order], step[order]
     doc = np.repeat(np.arange(n, dtype=np.int32), lengths)[order]
-    which, entry = _expand(model.code, data[at - 1].astype(np.int32) * 256 + data[at])
+    which, entry = _expand(model.code, data, at)
     node, sign = model.code.node[entry], model.code.sign[entry]
     inputs = np.empty((INPUTS, len(which)), np.float32)
     inputs[0] = model.code.odds[entry]
@@ -251,7 +327,7 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
     owner, size = text[runs], np.diff(runs, append=len(which))
     cuts = np.searchsorted(block[runs], np.arange(int(step.max(initial=0)) + 2))
     own = np.zeros((INPUTS, n), np.float32)
-    cells = np.tile(model.cells, n)
+    turn = np.zeros((2, n), np.float32)  # each text's change of slope and offset after the map
     total = np.zeros(n)
     if after is not None:
         after |= {"grad": np.zeros((GATES, INPUTS)), "curve": np.zeros((GATES, INPUTS, INPUTS)), "push": np.zeros(CELLS), "spread": np.zeros(CELLS)}
@@ -264,8 +340,11 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
         for k in range(INPUTS):
             mixed += np.repeat(own[k, d], c) * x[k]
         np.clip(mixed, -11.9, 11.9, out=mixed)
-        cell = np.repeat(d * CELLS, c) + (mixed + 12.0).astype(np.int32)
-        e = np.exp(-s * (mixed + cells[cell]))
+        cell = (mixed + 12.0).astype(np.int8)
+        mixed += model.cells[cell]
+        mixed += mixed * np.repeat(turn[0, d], c)
+        mixed += np.repeat(turn[1, d], c)
+        e = np.exp(-s * mixed)
         total[d] += np.add.reduceat(np.log1p(e), first, dtype=np.float64)
         miss = e / (1 + e)  # the probability that the decision didn't get
         push, spread = miss * s, miss * (1 - miss)
@@ -276,13 +355,14 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
                 xm = x[:, m].astype(float)
                 after["grad"][v] += xm @ push[m]
                 after["curve"][v] += (xm * spread[m]) @ xm.T
-            after["push"] += np.bincount(cell % CELLS, push, CELLS)
-            after["spread"] += np.bincount(cell % CELLS, spread, CELLS)
-        # damped Newton steps on the text's weights and on its cells
+            after["push"] += np.bincount(cell, push, CELLS)
+            after["spread"] += np.bincount(cell, spread, CELLS)
+        # damped Newton steps on the text's weights, and on the slope and offset of what comes after
         heft = np.add.reduceat(spread, first) + 40.0
         for k in range(INPUTS):
             own[k, d] += RATE[k] * np.add.reduceat(push * x[k], first) / heft
-        cells += 0.5 * np.bincount(cell, push, n * CELLS).astype(np.float32) / (np.bincount(cell, spread, n * CELLS).astype(np.float32) + 12.0)
+        turn[0, d] += 0.05 * np.add.reduceat(push * mixed, first) / heft
+        turn[1, d] += 0.3 * np.add.reduceat(push, first) / heft
     return total
 
 
@@ -301,7 +381,7 @@ def adapt(model: Model, texts: list, rounds: int = 4) -> Model:
     return model
 
 
-def groups(texts: list, size: int = 1_000_000) -> Iterator[list[int]]:
+def groups(texts: list, size: int = SCORE_AT_ONCE) -> Iterator[list[int]]:
     """Indices of texts of like length, about size characters at once."""
     held, n = [], 0
     for i in sorted(range(len(texts)), key=lambda i: len(texts[i] or "")):
@@ -332,35 +412,84 @@ def _hash(word: bytes) -> int:
     return xxh64_intdigest(word) - 2**63
 
 
-def _token_counts(rows: DataFrame) -> DataFrame:
-    """(h, part, n): times that part's training texts hold a token; n = 0 where only its other texts do."""
+def _packed(seen: Counter, buckets: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, hashes and counts) of a counter; buckets are ranges of the hash, in order."""
+    h = np.array([END_KEY if w is None else _hash(w) for w in seen], np.int64)
+    n = np.fromiter(seen.values(), np.int64, len(seen))
+    order = np.argsort(h)
+    h, n = h[order], n[order]
+    cut = np.searchsorted(h, [int(k * 2**64 // buckets - 2**63) for k in range(buckets)]).tolist() + [len(h)]
+    for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
+        if z > a:
+            yield k, h[a:z].tobytes() + n[a:z].astype("<u4").tobytes()
+
+
+def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = [len(b) // 12 for b in blobs]
+    return np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(blobs, sizes, strict=True)]), np.concatenate([np.frombuffer(b, "<u4", n, 8 * n) for b, n in zip(blobs, sizes, strict=True)]).astype(np.int64)
+
+
+def _token_counts(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+    """(part, words), the counts over all training texts of the tokens that a part holds; and the pairs of bytes with their counts.
+
+    Tasks send sorted runs of (hash, times) of each part, cut by ranges of the hash; a range
+    is summed in one task, of a size that the number of parts keeps steady.
+    """
+    buckets = 2 * parts
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, Counter] = {}
+        pairs = np.zeros(65536, np.int64)
 
         def out() -> Iterator[pd.DataFrame]:
             for part, c in seen.items():
-                yield pd.DataFrame({"h": [END_KEY if w is None else _hash(w) for w in c], "part": part, "n": list(c.values())})
+                held = list(_packed(c, buckets))
+                yield pd.DataFrame({"bucket": [k for k, _ in held], "part": part, "words": [w for _, w in held]})
             seen.clear()
 
         for b in batches:
-            for part, text, train in zip(b["part"], b["text"], b["train"], strict=True):
+            train = b["train"].to_numpy(bool)
+            for part, text, learn in zip(b["part"], b["text"], train, strict=True):
                 c = seen.setdefault(part, Counter())
                 words = tokens(text)
-                if train:
+                if learn:
                     c.update(words)
                     c[None] += 1
                 else:
-                    c.update(dict.fromkeys(words, 0))
+                    for w in words:
+                        if w not in c:
+                            c[w] = 0
                     c[None] += 0
-                if len(c) > 600_000:
+                if len(c) > 400_000:
                     yield from out()
+            texts = b["text"][train].tolist()
+            for g in groups(texts, COUNT_AT_ONCE):
+                pairs += pair_counts([texts[i] for i in g])
         yield from out()
-
-    return rows.mapInPandas(count, "h long, part int, n long").groupBy("h", "part").agg(F.sum("n").alias("n"))
-
-
-def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, fold: int = 1, folds: int = 5) -> DataFrame:
+        yield pd.DataFrame({"bucket": [-1], "part": [-1], "words": [pairs.astype("<i8").tobytes()]})
+
+    sent = keep(rows.mapInPandas(count, "bucket int, part int, words binary"), "token_runs")
+
+    def combine(group: pd.DataFrame) -> pd.DataFrame:
+        h, n = _runs(group["words"].tolist())
+        part = np.repeat(group["part"].to_numpy(), [len(w) // 12 for w in group["words"]])
+        order = np.argsort(h, kind="stable")
+        h, n, part = h[order], n[order], part[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])
+        total = np.add.reduceat(n, np.flatnonzero(new))
+        c = total[np.cumsum(new) - 1]
+        out = [(-1, int(group["bucket"].iloc[0]), None, int(total.sum()), int((total > 0).sum()))]
+        for p in np.unique(part).tolist():
+            at = np.flatnonzero(part == p)
+            at = at[np.concatenate([[True], h[at][1:] != h[at][:-1]])]
+            out.append((p, int(group["bucket"].iloc[0]), h[at].tobytes() + np.minimum(c[at], 2**32 - 1).astype("<u4").tobytes(), None, None))
+        return pd.DataFrame(out, columns=["part", "bucket", "words", "n_all", "distinct"]).astype({"n_all": "Int64", "distinct": "Int64"})
+
+    known = sent.filter("bucket >= 0").groupBy("bucket").applyInPandas(combine, "part int, bucket int, words binary, n_all long, distinct long")
+    return keep(known, "token_counts"), sent.filter("bucket < 0").select("words")
+
+
+def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: int = 1500, fold: int = 1, folds: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
@@ -371,36 +500,38 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, fold: int = 1
     dev_below = int(1e6 * min(0.1, dev_rows / max(1, n_train)))  # about dev_rows texts, a tenth of few
 
     # the base's counts: summed over all parts, handed back to the parts that asked
-    per = keep(_token_counts(rows), "token_counts")
-    totals = per.groupBy("h").agg(F.sum("n").alias("c"))
-    n_all, distinct = totals.filter("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    known = per.select("part", "h", F.sum("n").over(Window.partitionBy("h")).alias("c"))
-
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("h")
-        return pd.DataFrame({"part": [g["part"].iloc[0]], "words": [g["h"].to_numpy(np.int64).tobytes() + g["c"].to_numpy(np.int64).tobytes()]})
-
-    known = known.groupBy("part").applyInPandas(pack, "part int, words binary")
+    parts = 1 + (rows.agg(F.max("part")).first()[0] or 0)
+    known, pair_rows = _token_counts(rows, parts)
+    n_all, distinct = known.filter("part < 0").agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     # the code, the tables and the start values
-    def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(65536, np.int64)
+    pairs = np.zeros(65536)
+    for r in pair_rows.toLocalIterator():  # one array of fixed size a task
+        pairs += np.frombuffer(r["words"], "<i8")
+    contexts_known = np.argsort(-pairs, kind="stable")[: min(code_rows, int((pairs > 0).sum()))]  # the pairs that come before something most often
+    row = np.zeros(65536, np.int32)
+    row[contexts_known] = np.arange(1, len(contexts_known) + 1)
+    sent_row = spark.sparkContext.broadcast(row)
+
+    def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(256 * (len(contexts_known) + 1), np.int64)
         for b in batches:
-            total += pair_counts(b["text"].tolist()) if len(b) else 0
-        at = np.flatnonzero(total)
-        yield pd.DataFrame({"pair": at, "n": total[at]})
-
-    found = train.select("text").mapInPandas(pairs, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 65536 rows
-    counts = np.zeros(65536)
-    counts[[r["pair"] for r in found]] = [r["n"] for r in found]
-    code = prefix_code(counts.reshape(256, 256))
+            texts = b["text"].tolist()
+            for g in groups(texts, COUNT_AT_ONCE):
+                total += triple_counts([texts[i] for i in g], sent_row.value)
+        yield pd.DataFrame({"n": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
+
+    counts = np.zeros(256 * (len(contexts_known) + 1))
+    for r in train.select("text").mapInPandas(triples, "n binary").toLocalIterator():  # one array of fixed size a task
+        counts += np.frombuffer(zlib.decompress(r["n"]), "<i8")
+    code = prefix_code(pairs.reshape(256, 256), contexts_known, counts.reshape(-1, 256)[1:])
     sent_code = spark.sparkContext.broadcast(code)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = None
         for b in batches:
             texts = b["text"].tolist()
-            for g in groups(texts, 4_000_000):
+            for g in groups(texts, COUNT_AT_ONCE):
                 seen = seen or Counts(sent_code.value, bits)
                 seen.add([texts[i] for i in g])
         if seen is not None:
@@ -433,11 +564,13 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, fold: int = 1
 
     # texts meet their part's words
     base = 0.5 * (distinct + 1) + n_all
+    none = float(np.log10(0.5 / base))  # of a token that no training text holds
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         values: dict = {}
         hashes = sums = None
+        held: list[bytes] = []
         for b in batches:
             out = []
             first = 0
@@ -446,14 +579,16 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, fold: int = 1
                 last = first + int(np.argmax(np.append(parts[first:] != parts[first], True)))
                 run = b.iloc[first:last]
                 first = last
-                words = run["words"].iloc[0]
-                if words is not None:
-                    both = np.frombuffer(words, np.int64).reshape(2, -1)
-                    hashes, sums, values = both[0], both[1], {}
-                    run = run.iloc[1:]
+                told = run["kind"].to_numpy() == 0
+                if told.any():  # the part's counts come first, by ranges of the hash
+                    held += run["words"][told].tolist()
+                    run = run[~told]
                     if not len(run):
                         continue
-                texts = run["text"].tolist()
+                if held:
+                    hashes, sums = _runs(held)
+                    values, held = {}, []
+                texts, ids, train = run["text"].tolist(), run["doc_id"].tolist(), run["train"].tolist()
                 loss = np.zeros(len(texts))
                 for g in groups(texts):
                     loss[g] = losses(sent.value, [texts[i] for i in g])
@@ -462,15 +597,15 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, fold: int = 1
                     new = list(set().union(*cut) - values.keys())
                     h = np.array([END_KEY if w is None else _hash(w) for w in new], np.int64)
                     c = sums[np.searchsorted(hashes, h)]
-                    values.update(zip(new, zip(np.log10((c + 0.5) / base).tolist(), (c > 0).tolist(), strict=True), strict=True))
+                    values.update(zip(new, np.log10((c + 0.5) / base).tolist(), strict=True))
                     for i, ws in enumerate(cut, at):
                         got = [values[w] for w in ws]
-                        out.append((run["doc_id"].iloc[i], not run["train"].iloc[i], len(ws), sum(k for _, k in got), n_all, sum(v for v, _ in got), -loss[i] / np.log(10), n := len((texts[i] or "").encode("utf-8", "replace")), loss[i] / np.log(2) / max(1, n)))
+                        n = len((texts[i] or "").encode("utf-8", "replace"))
+                        out.append((ids[i], not train[i], len(ws), len(ws) - got.count(none), n_all, sum(got), -loss[i] / np.log(10), n, loss[i] / np.log(2) / max(1, n)))
             d = pd.DataFrame(out, columns=names)
             yield d.assign(doc_id=d["doc_id"].astype("Int64"))
 
-    parts = 1 + (rows.agg(F.max("part")).first()[0] or 0)
-    none = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("train", "boolean"))]
-    both = known.select("part", F.lit(0).alias("kind"), "words", *none).unionByName(rows.select("part", F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("words"), "doc_id", "text", "train"))
-    met = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind")
+    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("train", "boolean"))]
+    both = known.filter("part >= 0").select("part", F.lit(0).alias("kind"), "bucket", "words", *empty).unionByName(rows.select("part", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("words"), "doc_id", "text", "train"))
+    met = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "bucket")
     return met.mapInPandas(each, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
