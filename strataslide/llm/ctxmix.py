@@ -44,7 +44,7 @@ INPUTS = CONTEXTS + 2  # with the code's own odds and a bias
 GATES, CELLS = 8, 24
 SCALE = 16.0  # of stored log-odds
 #: Characters worked on at once; what they unfold to stays in a core's cache.
-COUNT_AT_ONCE, SCORE_AT_ONCE = 100_000, 300_000
+COUNT_AT_ONCE, SCORE_AT_ONCE = 100_000, 80_000
 #: Step sizes of a text's own weights: an input of larger log-odds moves less.
 RATE = np.array([0.15, 0.1, 0.1, 0.5], np.float32)
 _M = np.uint32(0x9E3779B1)
@@ -56,7 +56,7 @@ class Code:
 
     row: by the two bytes before, 0 if they have no code of their own; first2, length2: by row
     and byte; escaped: whether the last byte's code follows; first1, length1: by byte pair;
-    node, sign, depth, odds: by decision.
+    decisions: node << 12 | (log-odds + 128) << 4 | depth << 1 | bit, of each decision.
     """
 
     row: np.ndarray
@@ -65,10 +65,7 @@ class Code:
     escaped: np.ndarray
     first1: np.ndarray
     length1: np.ndarray
-    node: np.ndarray
-    sign: np.ndarray
-    depth: np.ndarray
-    odds: np.ndarray
+    decisions: np.ndarray
 
 
 def _paths(weights: list[tuple[int, float]]) -> dict[int, list[tuple[int, int, float]]]:
@@ -121,9 +118,10 @@ def prefix_code(pairs: np.ndarray, contexts: np.ndarray, triples: np.ndarray) ->
         for s in seen.tolist():
             first2[r * 256 + s], length2[r * 256 + s] = put(paths[s], 256 + r, 0)
             escaped[r * 256 + s] = False
-    node, bit, depth, odds = zip(*flat, strict=True)
-    node = (np.array(node, np.uint32) + np.uint32(1)) * np.uint32(0x85EBCA6B)
-    return Code(row, first2, length2, escaped, first1, length1, node, np.array(bit, np.float32) * 2 - 1, np.array(depth, np.uint8), np.clip(np.round(np.array(odds) * SCALE), -127, 127).astype(np.int8))
+    node, bit, depth, odds = (np.array(x) for x in zip(*flat, strict=True))
+    odds = np.clip(np.round(odds * SCALE), -127, 127).astype(np.int64) + 128
+    decisions = (node << 12 | odds << 4 | depth << 1 | bit).astype(np.uint32)
+    return Code(row, first2, length2, escaped, first1, length1, decisions)
 
 
 def _bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -149,13 +147,12 @@ _LOW = np.array([(c | 32 if 65 <= c <= 90 else c) + 1 if _LETTER[c] else 0 for c
 
 def _contexts(data: np.ndarray) -> list[np.ndarray]:
     """Hash of each context before every byte, as uint32: the five bytes before, and the letters since the last other byte."""
-    d = data.astype(np.uint32)
-    n = len(d)
+    n = len(data)
     four = np.zeros(n, np.uint32)
-    for k in range(1, 5):
-        four[k:] |= d[: n - k] << np.uint32(8 * k - 8)
+    if n > 4:
+        four[4:] = np.ndarray((n - 4,), "<u4", np.ascontiguousarray(data), strides=(1,))
     five = four * _M
-    five[5:] ^= d[: n - 5] * np.uint32(0xC2B2AE35)
+    five[5:] ^= data[: n - 5] * np.uint32(0xC2B2AE35)
     power, inverse = _powers(n)
     sums = np.zeros(n + 1, np.uint32)
     np.cumsum(_LOW[data] * power, dtype=np.uint32, out=sums[1:])
@@ -164,7 +161,7 @@ def _contexts(data: np.ndarray) -> list[np.ndarray]:
     np.maximum.accumulate(start, out=start)
     word = (sums[:-1] - sums[start]) * inverse[start]
     word *= np.uint32(0xB5297A4D)
-    word += np.where(start == np.arange(n, dtype=np.int32), four & np.uint32(255), np.uint32(7))
+    word += np.where(start == np.arange(n, dtype=np.int32), four >> np.uint32(24), np.uint32(7))
     return [five, word]
 
 
@@ -181,20 +178,29 @@ def _pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return data[at - 2].astype(np.int32) * 256 + last, last * 256 + now, now
 
 
-def _expand(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The decisions of the symbols at `at`, in order: each one's symbol and the code's entry."""
+def _expand(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The decisions of the symbols at `at`, in order: each one's symbol and packed decision; and where each symbol's begin."""
     two, one, now = _pairs(data, at)
     key = code.row[two] * 256 + now
-    size = np.empty((len(at), 2), np.int32)
-    size[:, 0] = code.length2[key]
-    size[:, 1] = np.where(code.escaped[key], code.length1[one], 0)
-    first = np.stack([code.first2[key], code.first1[one]], axis=1).ravel()
-    size = size.ravel()
-    part = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    entry = (first - (np.cumsum(size, dtype=np.int32) - size))[part]
-    entry += np.arange(len(part), dtype=np.int32)
-    part >>= 1
-    return part, entry
+    own, first = code.length2[key], code.first2[key]
+    far = np.flatnonzero(code.escaped[key])  # after the escape the last byte's code follows
+    more = code.length1[one[far]]
+    size = own.copy()
+    size[far] += more
+    begin = np.cumsum(size, dtype=np.int64)
+    total = int(begin[-1]) if len(begin) else 0
+    begin -= size
+    which = np.repeat(np.arange(len(at)), size)
+    entry = (first - begin)[which]
+    entry += np.arange(total)
+    shift = np.repeat(code.first1[one[far]] - first[far] - own[far], more)
+    tail = np.repeat(begin[far] + own[far] - (np.cumsum(more) - more), more) + np.arange(len(shift))
+    entry[tail] += shift
+    return which, code.decisions[entry], begin
+
+
+def _nodes(decisions: np.ndarray) -> np.ndarray:
+    return ((decisions >> np.uint32(12)) + np.uint32(1)) * np.uint32(0x85EBCA6B)
 
 
 def _slots(context: np.ndarray, which: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
@@ -230,8 +236,8 @@ class Counts:
     def add(self, texts: list) -> None:
         data, lengths = _bytes(texts)
         at = _symbols(data, lengths)
-        which, entry = _expand(self.code, data, at)
-        node, bit = self.code.node[entry], self.code.sign[entry] > 0
+        which, decisions, _ = _expand(self.code, data, at)
+        node, bit = _nodes(decisions), decisions & np.uint32(1)
         for held, context in zip(self._slots, _contexts(data), strict=True):
             slot = _slots(context[at], which, node, self.bits)
             slot <<= np.uint32(1)
@@ -307,25 +313,31 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
     step = np.searchsorted(ends, place, side="right").astype(np.int16)
     order = np.argsort(step, kind="stable")
     at, step = at[order], step[order]
-    doc = np.repeat(np.arange(n, dtype=np.int32), lengths)[order]
-    which, entry = _expand(model.code, data, at)
-    node, sign = model.code.node[entry], model.code.sign[entry]
+    doc = np.repeat(np.arange(n), lengths)[order]
+    which, decisions, begin = _expand(model.code, data, at)
+    node = _nodes(decisions)
+    sign = (decisions & np.uint32(1)).astype(np.float32)
+    sign *= 2
+    sign -= 1
     inputs = np.empty((INPUTS, len(which)), np.float32)
-    inputs[0] = model.code.odds[entry]
+    inputs[0] = (decisions >> np.uint32(4)) & np.uint32(255)
+    inputs[0] -= 128
     for k, context in enumerate(_contexts(data)):
         inputs[1 + k] = model.tables[k][_slots(context[at], which, node, model.bits)]
     inputs[:-1] *= 1 / SCALE
     inputs[-1] = 0.3
-    gate = model.code.depth[entry] * np.uint8(2) + (inputs[CONTEXTS] != 0)
+    gate = (decisions & np.uint32(6)).astype(np.intp)
+    gate += inputs[CONTEXTS] != 0
     fixed = np.zeros(len(which), np.float32)
-    for w, x in zip(model.weights.T, inputs, strict=True):
-        fixed += w[gate] * x
-    # runs of one text within a block are contiguous
-    text = doc[which]
-    block = step[which]
-    runs = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (block[1:] != block[:-1])])) if len(which) else np.empty(0, np.int64)
-    owner, size = text[runs], np.diff(runs, append=len(which))
-    cuts = np.searchsorted(block[runs], np.arange(int(step.max(initial=0)) + 2))
+    for w, x in zip(model.weights.T.copy(), inputs, strict=True):
+        part = w[gate]
+        part *= x
+        fixed += part
+    # runs of one text within a block are contiguous, in symbols and so in decisions
+    heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])])) if len(at) else np.empty(0, np.int64)
+    runs, owner, block = begin[heads], doc[heads], step[heads]
+    size = np.diff(runs, append=len(which))
+    cuts = np.searchsorted(block, np.arange(int(step.max(initial=0)) + 2))
     own = np.zeros((INPUTS, n), np.float32)
     turn = np.zeros((2, n), np.float32)  # each text's change of slope and offset after the map
     total = np.zeros(n)
@@ -340,7 +352,7 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
         for k in range(INPUTS):
             mixed += np.repeat(own[k, d], c) * x[k]
         np.clip(mixed, -11.9, 11.9, out=mixed)
-        cell = (mixed + 12.0).astype(np.int8)
+        cell = (mixed + 12.0).astype(np.intp)
         mixed += model.cells[cell]
         mixed += mixed * np.repeat(turn[0, d], c)
         mixed += np.repeat(turn[1, d], c)
