@@ -1,8 +1,9 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its UTF-8 bytes and an end mark. Each byte is a few binary decisions, along a
-prefix code for what follows the two bytes before it (of the commonest pairs; else, and for
-bytes not seen there, for what follows the byte before). For every decision several predictors look
+prefix code for what follows the two bytes before it (of the pairs commonest in the texts
+that the tables leave out; else, and for bytes not seen there, for what follows the byte
+before). For every decision several predictors look
 up a hashed context (the bytes before, the word so far) in tables of counts that cover all
 training texts. Their log-odds are mixed by weights that a gate picks (depth of the decision,
 whether the word was seen before); a map from the mixed log-odds, and a slope and an offset
@@ -54,15 +55,13 @@ _M = np.uint32(0x9E3779B1)
 class Code:
     """Prefix codes, flat. Row of a pair of bytes before: a code of its own for what was seen there and an escape; then the last byte's code.
 
-    row: by the two bytes before, 0 if they have no code of their own; first2, length2: by row
-    and byte; escaped: whether the last byte's code follows; first1, length1: by byte pair;
-    decisions: node << 12 | (log-odds + 128) << 4 | depth << 1 | bit, of each decision.
+    row: by the two bytes before, 0 if they have no code of their own; own: first decision << 8 |
+    length << 1 | whether the last byte's code follows, by row and byte; first1, length1: by
+    byte pair; decisions: node << 12 | (log-odds + 128) << 4 | depth << 1 | bit, of each decision.
     """
 
     row: np.ndarray
-    first2: np.ndarray
-    length2: np.ndarray
-    escaped: np.ndarray
+    own: np.ndarray
     first1: np.ndarray
     length1: np.ndarray
     decisions: np.ndarray
@@ -91,8 +90,8 @@ def _paths(weights: list[tuple[int, float]]) -> dict[int, list[tuple[int, int, f
     return out
 
 
-def prefix_code(pairs: np.ndarray, contexts: np.ndarray, triples: np.ndarray) -> Code:
-    """pairs: 256 x 256 counts of a byte after a byte; triples: counts of a byte after each of contexts (two bytes: the last one low)."""
+def prefix_code(pairs: np.ndarray, row: np.ndarray, triples: np.ndarray) -> Code:
+    """pairs: 256 x 256 counts of a byte after a byte; triples: counts of a byte after each context of row (row 0 is none)."""
     shared = pairs.sum(axis=0) + 0.01
     shared = shared / shared.sum()
     flat: list[tuple[int, int, int, float]] = []  # node, bit, depth, odds
@@ -106,11 +105,9 @@ def prefix_code(pairs: np.ndarray, contexts: np.ndarray, triples: np.ndarray) ->
     for before in range(256):
         for s, path in _paths(list(enumerate((pairs[before] + shared).tolist()))).items():
             first1[before * 256 + s], length1[before * 256 + s] = put(path, before, 1)
-    n = len(contexts) + 1
-    row = np.zeros(65536, np.int32)
-    row[contexts] = np.arange(1, n)
+    n = len(triples)
     first2, length2, escaped = np.zeros(n * 256, np.int32), np.zeros(n * 256, np.int32), np.ones(n * 256, bool)
-    for r, counts in enumerate(triples, 1):
+    for r, counts in enumerate(triples[1:], 1):
         seen = np.flatnonzero(counts)
         paths = _paths([*((int(s), float(counts[s])) for s in seen), (256, 0.5 + 0.1 * len(seen))])
         at = put(paths[256], 256 + r, 0)
@@ -121,7 +118,10 @@ def prefix_code(pairs: np.ndarray, contexts: np.ndarray, triples: np.ndarray) ->
     node, bit, depth, odds = (np.array(x) for x in zip(*flat, strict=True))
     odds = np.clip(np.round(odds * SCALE), -127, 127).astype(np.int64) + 128
     decisions = (node << 12 | odds << 4 | depth << 1 | bit).astype(np.uint32)
-    return Code(row, first2, length2, escaped, first1, length1, decisions)
+    if len(flat) >= 1 << 24:
+        raise ValueError("too many contexts have a code of their own")
+    own = (first2.astype(np.int64) << 8 | length2 << 1 | escaped).astype(np.uint32)
+    return Code(row * 256, own, first1, length1, decisions)
 
 
 def _bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -172,18 +172,20 @@ def _symbols(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(n) + lead
 
 
-def _pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each symbol: (two bytes before, the last one low), (byte before, byte), byte."""
-    last, now = data[at - 1].astype(np.int32), data[at].astype(np.int32)
-    return data[at - 2].astype(np.int32) * 256 + last, last * 256 + now, now
+def _pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol: the two bytes before it, and the byte before with the symbol; the later byte is the low one."""
+    two = np.ndarray((len(data) - 1,), ">u2", np.ascontiguousarray(data), strides=(1,)).astype(np.int32) if len(data) > 1 else np.empty(0, np.int32)
+    return two[at - 2], two[at - 1]
 
 
 def _expand(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The decisions of the symbols at `at`, in order: each one's symbol and packed decision; and where each symbol's begin."""
-    two, one, now = _pairs(data, at)
-    key = code.row[two] * 256 + now
-    own, first = code.length2[key], code.first2[key]
-    far = np.flatnonzero(code.escaped[key])  # after the escape the last byte's code follows
+    two, one = _pairs(data, at)
+    key = code.row[two]
+    key += one & 255
+    packed = code.own[key]
+    own, first = (packed >> np.uint32(1) & np.uint32(127)).astype(np.int32), (packed >> np.uint32(8)).astype(np.int32)
+    far = np.flatnonzero(packed & np.uint32(1))  # after the escape the last byte's code follows
     more = code.length1[one[far]]
     size = own.copy()
     size[far] += more
@@ -211,17 +213,20 @@ def _slots(context: np.ndarray, which: np.ndarray, node: np.ndarray, bits: int)
     return h
 
 
-def pair_counts(texts: list) -> np.ndarray:
-    """65536 counts of a byte after a byte."""
+def byte_counts(texts: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """65536 counts of a byte after a byte; counts of a byte after each context of row (0: none), 256 a context."""
     data, lengths = _bytes(texts)
-    return np.bincount(_pairs(data, _symbols(data, lengths))[1], minlength=65536)
+    two, one = _pairs(data, _symbols(data, lengths))
+    return np.bincount(one, minlength=65536), np.bincount(row[two] * 256 + (one & 255), minlength=256 * (int(row.max(initial=0)) + 1))
 
 
-def triple_counts(texts: list, row: np.ndarray) -> np.ndarray:
-    """Counts of a byte after each context of row (0: none)."""
-    data, lengths = _bytes(texts)
-    two, _, now = _pairs(data, _symbols(data, lengths))
-    return np.bincount(row[two] * 256 + now, minlength=256 * (int(row.max()) + 1))
+def common_contexts(texts: list, most: int) -> np.ndarray:
+    """Row of each pair of bytes: 1, 2, … for the `most` commonest in texts, else 0."""
+    pairs = byte_counts(texts, np.zeros(65536, np.int32))[0]
+    top = np.argsort(-pairs, kind="stable")[: min(most, int((pairs > 0).sum()))]
+    row = np.zeros(65536, np.int32)
+    row[top] = np.arange(1, len(top) + 1)
+    return row
 
 
 class Counts:
@@ -441,17 +446,18 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(blobs, sizes, strict=True)]), np.concatenate([np.frombuffer(b, "<u4", n, 8 * n) for b, n in zip(blobs, sizes, strict=True)]).astype(np.int64)
 
 
-def _token_counts(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """(part, words), the counts over all training texts of the tokens that a part holds; and the pairs of bytes with their counts.
+def _token_counts(rows: DataFrame, parts: int, row: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """(part, words), the counts over all training texts of the tokens that a part holds; and the counts of bytes after bytes and after contexts.
 
     Tasks send sorted runs of (hash, times) of each part, cut by ranges of the hash; a range
     is summed in one task, of a size that the number of parts keeps steady.
     """
     buckets = 2 * parts
+    sent_row = rows.sparkSession.sparkContext.broadcast(row)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: dict[int, Counter] = {}
-        pairs = np.zeros(65536, np.int64)
+        pairs = triples = 0
 
         def out() -> Iterator[pd.DataFrame]:
             for part, c in seen.items():
@@ -476,9 +482,11 @@ def _token_counts(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
                     yield from out()
             texts = b["text"][train].tolist()
             for g in groups(texts, COUNT_AT_ONCE):
-                pairs += pair_counts([texts[i] for i in g])
+                one, two = byte_counts([texts[i] for i in g], sent_row.value)
+                pairs, triples = pairs + one, triples + two
         yield from out()
-        yield pd.DataFrame({"bucket": [-1], "part": [-1], "words": [pairs.astype("<i8").tobytes()]})
+        if not isinstance(pairs, int):
+            yield pd.DataFrame({"bucket": [-1], "part": [-1], "words": [zlib.compress(np.concatenate([pairs, triples]).astype("<i8").tobytes(), 1)]})
 
     sent = keep(rows.mapInPandas(count, "bucket int, part int, words binary"), "token_runs")
 
@@ -501,7 +509,7 @@ def _token_counts(rows: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     return keep(known, "token_counts"), sent.filter("bucket < 0").select("words")
 
 
-def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: int = 1500, fold: int = 1, folds: int = 5) -> DataFrame:
+def score(docs: DataFrame, *, bits: int = 21, dev_rows: int = 300, code_rows: int = 1500, fold: int = 1, folds: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
@@ -513,30 +521,16 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: in
 
     # the base's counts: summed over all parts, handed back to the parts that asked
     parts = 1 + (rows.agg(F.max("part")).first()[0] or 0)
-    known, pair_rows = _token_counts(rows, parts)
+    dev = [r["text"] for r in train.filter(F.col("mark") < dev_below).orderBy("mark", "doc_id").select("text").collect()]  # about dev_rows texts
+    row = common_contexts(dev, code_rows)
+    known, byte_rows = _token_counts(rows, parts, row)
     n_all, distinct = known.filter("part < 0").agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
     # the code, the tables and the start values
-    pairs = np.zeros(65536)
-    for r in pair_rows.toLocalIterator():  # one array of fixed size a task
-        pairs += np.frombuffer(r["words"], "<i8")
-    contexts_known = np.argsort(-pairs, kind="stable")[: min(code_rows, int((pairs > 0).sum()))]  # the pairs that come before something most often
-    row = np.zeros(65536, np.int32)
-    row[contexts_known] = np.arange(1, len(contexts_known) + 1)
-    sent_row = spark.sparkContext.broadcast(row)
-
-    def triples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(256 * (len(contexts_known) + 1), np.int64)
-        for b in batches:
-            texts = b["text"].tolist()
-            for g in groups(texts, COUNT_AT_ONCE):
-                total += triple_counts([texts[i] for i in g], sent_row.value)
-        yield pd.DataFrame({"n": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
-
-    counts = np.zeros(256 * (len(contexts_known) + 1))
-    for r in train.select("text").mapInPandas(triples, "n binary").toLocalIterator():  # one array of fixed size a task
-        counts += np.frombuffer(zlib.decompress(r["n"]), "<i8")
-    code = prefix_code(pairs.reshape(256, 256), contexts_known, counts.reshape(-1, 256)[1:])
+    counts = np.zeros(65536 + 256 * (int(row.max()) + 1))
+    for r in byte_rows.toLocalIterator():  # one array of fixed size a task
+        counts += np.frombuffer(zlib.decompress(r["words"]), "<i8")
+    code = prefix_code(counts[:65536].reshape(256, 256), row, counts[65536:].reshape(-1, 256))
     sent_code = spark.sparkContext.broadcast(code)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -571,7 +565,6 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: in
     for r in merged:
         flat[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["odds"], np.int8)
     model = start_model(code, bits, tuple(flat.reshape(CONTEXTS, -1)))
-    dev = [r["text"] for r in train.filter(F.col("mark") < dev_below).orderBy("mark", "doc_id").select("text").collect()]  # about dev_rows texts
     sent = spark.sparkContext.broadcast(adapt(model, dev))
 
     # texts meet their part's words
