@@ -429,16 +429,13 @@ def test_context_mixing_is_a_distribution():
     from strataslide.llm import ctxmix
 
     texts = ["the cat sat on the mat. " * k for k in (1, 3, 9, 40)] + ["", "Ünï"]
-    pairs = ctxmix.pair_counts(texts).astype(float)
-    contexts = np.flatnonzero(pairs)[:40]
-    row = np.zeros(65536, np.int32)
-    row[contexts] = np.arange(1, len(contexts) + 1)
-    triples = ctxmix.triple_counts(texts, row).reshape(-1, 256)[1:].astype(float)
-    code = ctxmix.prefix_code(pairs.reshape(256, 256), contexts, triples)
-    for two in [0, 32, 116, *contexts[:5].tolist()]:
+    row = ctxmix.common_contexts(texts, 40)
+    pairs, triples = ctxmix.byte_counts(texts, row)
+    code = ctxmix.prefix_code(pairs.reshape(256, 256).astype(float), row, triples.reshape(-1, 256).astype(float))
+    for two in [0, 32, 116, *np.flatnonzero(row)[:5].tolist()]:
         r, last = int(code.row[two]), two % 256
-        own, low = code.length2[r * 256 :][:256].astype(float), code.length1[last * 256 :][:256].astype(float)
-        lengths = own + np.where(code.escaped[r * 256 :][:256], low, 0)
+        own, low = (code.own[r : r + 256] >> 1 & 127).astype(float), code.length1[last * 256 :][:256].astype(float)
+        lengths = own + np.where(code.own[r : r + 256] & 1, low, 0)
         covered = (2.0**-lengths).sum()
         # all bytes have a code; what is missing to one is the escape to bytes that have a code of their own
         assert covered <= 1 + 1e-12 and (lengths > 0).all() and (r or abs(covered - 1) < 1e-12)
