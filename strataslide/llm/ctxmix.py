@@ -45,7 +45,7 @@ INPUTS = CONTEXTS + 2  # with the code's own odds and a bias
 GATES, CELLS = 8, 24
 SCALE = 16.0  # of stored log-odds
 #: Characters worked on at once; what they unfold to stays in a core's cache.
-COUNT_AT_ONCE, SCORE_AT_ONCE = 100_000, 80_000
+COUNT_AT_ONCE, SCORE_AT_ONCE = 100_000, 60_000
 #: Step sizes of a text's own weights: an input of larger log-odds moves less.
 RATE = np.array([0.15, 0.1, 0.1, 0.5], np.float32)
 _M = np.uint32(0x9E3779B1)
@@ -232,7 +232,7 @@ def common_contexts(texts: list, most: int) -> np.ndarray:
 class Counts:
     """What a task has seen of every slot: times 0 and times 1."""
 
-    def __init__(self, code: Code, bits: int, hold: int = 5_000_000):
+    def __init__(self, code: Code, bits: int, hold: int = 3_000_000):
         self.code, self.bits, self._hold = code, bits, hold
         self.seen = [np.zeros(2 << bits, np.uint32) for _ in range(CONTEXTS)]
         self._slots: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
@@ -270,13 +270,20 @@ class Counts:
                 part = both[shard * size : (shard + 1) * size]
                 at = np.flatnonzero(part.any(axis=1))
                 if len(at):
-                    raw = np.diff(at, prepend=0).astype("<u2").tobytes() + part[at].T.astype("<u4").tobytes()
-                    yield k * (len(both) // size) + shard, len(at).to_bytes(4, "little") + zlib.compress(raw, 1)
+                    part = part[at]
+                    far = np.flatnonzero((part > 254).any(axis=1))  # few counts need more than a byte
+                    head = np.array([len(at), len(far)], "<u4").tobytes()
+                    yield k * (len(both) // size) + shard, head + at.astype("<u2").tobytes() + np.minimum(part, 255).astype(np.uint8).tobytes() + far.astype("<u4").tobytes() + part[far].astype("<u4").tobytes()
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, raw = int.from_bytes(packed[:4], "little"), zlib.decompress(packed[4:])
-    return np.cumsum(np.frombuffer(raw, "<u2", n).astype(np.int64)), np.frombuffer(raw, "<u4", 2 * n, 2 * n).reshape(2, n)
+    """Slots of a shard and their 2 x n counts."""
+    n, m = np.frombuffer(packed, "<u4", 2).tolist()
+    at = np.frombuffer(packed, "<u2", n, 8).astype(np.int64)
+    counts = np.frombuffer(packed, np.uint8, 2 * n, 8 + 2 * n).reshape(n, 2).astype(np.int64)
+    far = np.frombuffer(packed, "<u4", m, 8 + 4 * n)
+    counts[far] = np.frombuffer(packed, "<u4", 2 * m, 8 + 4 * n + 4 * m).reshape(m, 2)
+    return at, counts.T
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -307,8 +314,8 @@ def bounds(most: int) -> np.ndarray:
 def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
     """Negative natural log probability of each text.
 
-    A text's weights are the model's of the gate plus a change of its own, which moves after
-    each block. after: gets what a fit needs, see adapt().
+    A text's weights of the contexts are the model's of the gate plus a change of its own, which
+    moves after each block; a slope and an offset of its own follow. after: gets what a fit needs, see adapt().
     """
     data, lengths = _bytes(texts)
     at = _symbols(data, lengths)
@@ -354,7 +361,7 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
         lo, hi, d, c = runs[a], runs[b - 1] + size[b - 1], owner[a:b], size[a:b]
         x, s, first = inputs[:, lo:hi], sign[lo:hi], runs[a:b] - lo
         mixed = fixed[lo:hi].copy()
-        for k in range(INPUTS):
+        for k in range(1, INPUTS - 1):
             mixed += np.repeat(own[k, d], c) * x[k]
         np.clip(mixed, -11.9, 11.9, out=mixed)
         cell = (mixed + 12.0).astype(np.intp)
@@ -376,7 +383,7 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
             after["spread"] += np.bincount(cell, spread, CELLS)
         # damped Newton steps on the text's weights, and on the slope and offset of what comes after
         heft = np.add.reduceat(spread, first) + 40.0
-        for k in range(INPUTS):
+        for k in range(1, INPUTS - 1):
             own[k, d] += RATE[k] * np.add.reduceat(push * x[k], first) / heft
         turn[0, d] += 0.05 * np.add.reduceat(push * mixed, first) / heft
         turn[1, d] += 0.3 * np.add.reduceat(push, first) / heft
@@ -478,7 +485,7 @@ def _token_counts(rows: DataFrame, parts: int, row: np.ndarray) -> tuple[DataFra
                         if w not in c:
                             c[w] = 0
                     c[None] += 0
-                if len(c) > 400_000:
+                if sum(map(len, seen.values())) > 200_000:
                     yield from out()
             texts = b["text"][train].tolist()
             for g in groups(texts, COUNT_AT_ONCE):
@@ -598,14 +605,15 @@ def score(docs: DataFrame, *, bits: int = 21, dev_rows: int = 300, code_rows: in
                 for g in groups(texts):
                     loss[g] = losses(sent.value, [texts[i] for i in g])
                 for at in range(0, len(texts), 200):
-                    cut = [[*tokens(t), None] for t in texts[at : at + 200]]
+                    raw = [(t or "").encode("utf-8", "replace") for t in texts[at : at + 200]]
+                    cut = [[*r.lower().split(), None] for r in raw]
                     new = list(set().union(*cut) - values.keys())
                     h = np.array([END_KEY if w is None else _hash(w) for w in new], np.int64)
                     c = sums[np.searchsorted(hashes, h)]
                     values.update(zip(new, np.log10((c + 0.5) / base).tolist(), strict=True))
                     for i, ws in enumerate(cut, at):
-                        got = [values[w] for w in ws]
-                        n = len((texts[i] or "").encode("utf-8", "replace"))
+                        got = list(map(values.__getitem__, ws))
+                        n = len(raw[i - at])
                         out.append((ids[i], not train[i], len(ws), len(ws) - got.count(none), n_all, sum(got), -loss[i] / np.log(10), n, loss[i] / np.log(2) / max(1, n)))
             d = pd.DataFrame(out, columns=names)
             yield d.assign(doc_id=d["doc_id"].astype("Int64"))
