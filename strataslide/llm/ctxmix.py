@@ -1,14 +1,13 @@
 """Language-model scores by online logistic context mixing.
 
 A text is its UTF-8 bytes and an end mark. Each byte is a few binary decisions, along a
-prefix code for what follows the two bytes before it (of the pairs commonest in the texts
-that the tables leave out; else, and for bytes not seen there, for what follows the byte
-before). For every decision several predictors look
+prefix code for what follows the two bytes before it (of the pairs commonest in all training
+texts; else, and for bytes not seen there, for what follows the byte before). For every decision several predictors look
 up a hashed context (the bytes before, the word so far) in tables of counts that cover all
 training texts. Their log-odds are mixed by weights that a gate picks (depth of the decision,
 whether the word was seen before); a map from the mixed log-odds, and a slope and an offset
 of each text's own, correct them. Weights and map start from values fitted on `dev_rows`
-training texts that the tables leave out. Weights, slope and offset adapt along each text:
+training texts while the tables leave these out; then their counts are added. Weights, slope and offset adapt along each text:
 after every block of bytes, so the probability of a block rests on what came before it only.
 Blocks grow with the distance from the start.
 
@@ -222,7 +221,11 @@ def byte_counts(texts: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def common_contexts(texts: list, most: int) -> np.ndarray:
     """Row of each pair of bytes: 1, 2, … for the `most` commonest in texts, else 0."""
-    pairs = byte_counts(texts, np.zeros(65536, np.int32))[0]
+    return common_rows(byte_counts(texts, np.zeros(65536, np.int32))[0], most)
+
+
+def common_rows(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Row of each pair of bytes: 1, 2, … for the `most` of the largest counts, else 0."""
     top = np.argsort(-pairs, kind="stable")[: min(most, int((pairs > 0).sum()))]
     row = np.zeros(65536, np.int32)
     row[top] = np.arange(1, len(top) + 1)
@@ -453,6 +456,24 @@ def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(blobs, sizes, strict=True)]), np.concatenate([np.frombuffer(b, "<u4", n, 8 * n) for b, n in zip(blobs, sizes, strict=True)]).astype(np.int64)
 
 
+def _pair_counts(train: DataFrame) -> np.ndarray:
+    """65536 counts of a byte after a byte over all training texts."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = np.zeros(65536, np.int64)
+        for b in batches:
+            texts = b["text"].tolist()
+            for g in groups(texts, COUNT_AT_ONCE):
+                data, lengths = _bytes([texts[i] for i in g])
+                pairs += np.bincount(_pairs(data, _symbols(data, lengths))[1], minlength=65536)
+        yield pd.DataFrame({"pairs": [zlib.compress(pairs.astype("<i8").tobytes(), 1)]})
+
+    total = np.zeros(65536, np.int64)
+    for r in train.select("text").mapInPandas(count, "pairs binary").toLocalIterator():  # one array of fixed size a task
+        total += np.frombuffer(zlib.decompress(r["pairs"]), "<i8")
+    return total
+
+
 def _token_counts(rows: DataFrame, parts: int, row: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """(part, words), the counts over all training texts of the tokens that a part holds; and the counts of bytes after bytes and after contexts.
 
@@ -529,7 +550,7 @@ def score(docs: DataFrame, *, bits: int = 21, dev_rows: int = 300, code_rows: in
     # the base's counts: summed over all parts, handed back to the parts that asked
     parts = 1 + (rows.agg(F.max("part")).first()[0] or 0)
     dev = [r["text"] for r in train.filter(F.col("mark") < dev_below).orderBy("mark", "doc_id").select("text").collect()]  # about dev_rows texts
-    row = common_contexts(dev, code_rows)
+    row = common_rows(_pair_counts(train), code_rows)
     known, byte_rows = _token_counts(rows, parts, row)
     n_all, distinct = known.filter("part < 0").agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
 
@@ -553,26 +574,44 @@ def score(docs: DataFrame, *, bits: int = 21, dev_rows: int = 300, code_rows: in
 
     size = min(1 << 16, 1 << bits)
 
+    # the texts that the start values are fitted on: their counts come on top of the others'
+    own = Counts(code, bits)
+    for g in groups(dev, COUNT_AT_ONCE):
+        own.add([dev[i] for i in g])
+    late = dict(own.rows())
+    sent_late = spark.sparkContext.broadcast(late)
+
+    def both_odds(shard: int, total: np.ndarray) -> pd.DataFrame:
+        fit = log_odds(total).tobytes()
+        if shard in sent_late.value:
+            at, n = _unpack(sent_late.value[shard])
+            total[:, at] += n
+        return pd.DataFrame({"shard": [shard], "fit": [fit], "odds": [log_odds(total).tobytes()]})
+
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, total = None, None
         for b in batches:
             for shard, packed in zip(b["shard"], b["packed"], strict=True):
                 if shard != now:
                     if now is not None:
-                        yield pd.DataFrame({"shard": [now], "odds": [log_odds(total).tobytes()]})
+                        yield both_odds(now, total)
                     now, total = shard, np.zeros((2, size), np.int64)
                 at, n = _unpack(packed)
                 total[:, at] += n
         if now is not None:
-            yield pd.DataFrame({"shard": [now], "odds": [log_odds(total).tobytes()]})
+            yield both_odds(now, total)
 
     sums = train.filter(F.col("mark") >= dev_below).select("text").mapInPandas(contexts, "shard int, packed binary")
-    merged = sums.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, odds binary").collect()  # 2**bits bytes a context
-    flat = np.zeros(CONTEXTS << bits, np.int8)
+    merged = sums.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, fit binary, odds binary").collect()  # 2 * 2**bits bytes a context
+    flat = np.zeros((2, CONTEXTS << bits), np.int8)
+    for shard in late.keys() - {r["shard"] for r in merged}:  # slots of these texts alone
+        at, n = _unpack(late[shard])
+        flat[1, shard * size + at] = log_odds(n)
     for r in merged:
-        flat[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["odds"], np.int8)
-    model = start_model(code, bits, tuple(flat.reshape(CONTEXTS, -1)))
-    sent = spark.sparkContext.broadcast(adapt(model, dev))
+        here = slice(r["shard"] * size, (r["shard"] + 1) * size)
+        flat[0, here], flat[1, here] = np.frombuffer(r["fit"], np.int8), np.frombuffer(r["odds"], np.int8)
+    fitted = adapt(start_model(code, bits, tuple(flat[0].reshape(CONTEXTS, -1))), dev)
+    sent = spark.sparkContext.broadcast(Model(code, bits, tuple(flat[1].reshape(CONTEXTS, -1)), fitted.weights, fitted.cells))
 
     # texts meet their part's words
     base = 0.5 * (distinct + 1) + n_all

@@ -448,3 +448,23 @@ def test_context_mixing_is_a_distribution():
     # the sum over all one-byte texts and ends of the next decision is one: P(a) over a after a prefix
     probs = [np.exp(-ctxmix.losses(model, [bytes([b]).decode("latin-1")])[0]) for b in range(128)]
     assert 0 < sum(probs) <= 1 + 1e-6
+
+
+def test_context_mixing_counts_every_training_text(spark, monkeypatch):
+    """Contexts with a code of their own come from all training texts, and the tables hold those that the start weights are fitted on."""
+    from strataslide.llm import ctxmix
+
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(30 + k % 9))) for k in range(40)] + [(100 + k, "ЖШ" * 60) for k in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or send(value))
+    ctxmix.score(df, bits=14, dev_rows=10)
+    model = next(v for v in sent if isinstance(v, ctxmix.Model))
+    assert (model.code.row == 256 * ctxmix.common_contexts(train, 1500)).all()
+    counts = ctxmix.Counts(model.code, 14)
+    counts.add(train)
+    counts.settle()
+    for table, seen in zip(model.tables, counts.seen, strict=True):
+        assert (table == ctxmix.log_odds(seen.reshape(-1, 2).T)).all()
