@@ -39,14 +39,14 @@ from .common import keep
 
 #: The end mark: a byte that UTF-8 never has.
 END = 255
-CONTEXTS = 2  # hashed: five bytes, and the word so far
+CONTEXTS = 3  # hashed: three and five bytes, and the word so far
 INPUTS = CONTEXTS + 2  # with the code's own odds and a bias
 GATES, CELLS = 8, 24
 SCALE = 16.0  # of stored log-odds
 #: Characters worked on at once; what they unfold to stays in a core's cache.
 COUNT_AT_ONCE, SCORE_AT_ONCE = 100_000, 60_000
 #: Step sizes of a text's own weights: an input of larger log-odds moves less.
-RATE = np.array([0.15, 0.1, 0.1, 0.5], np.float32)
+RATE = np.array([0.15, 0.1, 0.1, 0.1, 0.5], np.float32)
 _M = np.uint32(0x9E3779B1)
 
 
@@ -145,11 +145,13 @@ _LOW = np.array([(c | 32 if 65 <= c <= 90 else c) + 1 if _LETTER[c] else 0 for c
 
 
 def _contexts(data: np.ndarray) -> list[np.ndarray]:
-    """Hash of each context before every byte, as uint32: the five bytes before, and the letters since the last other byte."""
+    """Hash of each context before every byte, as uint32: the three and the five bytes before, and the letters since the last other byte."""
     n = len(data)
     four = np.zeros(n, np.uint32)
     if n > 4:
         four[4:] = np.ndarray((n - 4,), "<u4", np.ascontiguousarray(data), strides=(1,))
+    three = (four >> np.uint32(8)) * np.uint32(0x846CA68B)
+    three ^= np.uint32(0x5A5A5A5A)
     five = four * _M
     five[5:] ^= data[: n - 5] * np.uint32(0xC2B2AE35)
     power, inverse = _powers(n)
@@ -161,7 +163,7 @@ def _contexts(data: np.ndarray) -> list[np.ndarray]:
     word = (sums[:-1] - sums[start]) * inverse[start]
     word *= np.uint32(0xB5297A4D)
     word += np.where(start == np.arange(n, dtype=np.int32), four >> np.uint32(24), np.uint32(7))
-    return [five, word]
+    return [three, five, word]
 
 
 def _symbols(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -304,7 +306,7 @@ class Model:
 
 
 def start_model(code: Code, bits: int, tables: tuple[np.ndarray, ...]) -> Model:
-    weights = np.tile(np.array([0.2, 0.5, 0.4, 0.0], np.float32), (GATES, 1))
+    weights = np.tile(np.array([0.1, 0.35, 0.4, 0.3, 0.0], np.float32), (GATES, 1))
     return Model(code, bits, tables, weights, np.zeros(CELLS, np.float32))
 
 
@@ -317,7 +319,7 @@ def bounds(most: int) -> np.ndarray:
 def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
     """Negative natural log probability of each text.
 
-    A text's weights of the contexts are the model's of the gate plus a change of its own, which
+    A text's weights are the model's of the gate plus a change of its own, which
     moves after each block; a slope and an offset of its own follow. after: gets what a fit needs, see adapt().
     """
     data, lengths = _bytes(texts)
@@ -364,7 +366,7 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
         lo, hi, d, c = runs[a], runs[b - 1] + size[b - 1], owner[a:b], size[a:b]
         x, s, first = inputs[:, lo:hi], sign[lo:hi], runs[a:b] - lo
         mixed = fixed[lo:hi].copy()
-        for k in range(1, INPUTS - 1):
+        for k in range(INPUTS):
             mixed += np.repeat(own[k, d], c) * x[k]
         np.clip(mixed, -11.9, 11.9, out=mixed)
         cell = (mixed + 12.0).astype(np.intp)
@@ -386,7 +388,7 @@ def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
             after["spread"] += np.bincount(cell, spread, CELLS)
         # damped Newton steps on the text's weights, and on the slope and offset of what comes after
         heft = np.add.reduceat(spread, first) + 40.0
-        for k in range(1, INPUTS - 1):
+        for k in range(INPUTS):
             own[k, d] += RATE[k] * np.add.reduceat(push * x[k], first) / heft
         turn[0, d] += 0.05 * np.add.reduceat(push * mixed, first) / heft
         turn[1, d] += 0.3 * np.add.reduceat(push, first) / heft
@@ -537,7 +539,7 @@ def _token_counts(rows: DataFrame, parts: int, row: np.ndarray) -> tuple[DataFra
     return keep(known, "token_counts"), sent.filter("bucket < 0").select("words")
 
 
-def score(docs: DataFrame, *, bits: int = 21, dev_rows: int = 300, code_rows: int = 1500, fold: int = 1, folds: int = 5) -> DataFrame:
+def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: int = 1500, fold: int = 1, folds: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))

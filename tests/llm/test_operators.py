@@ -468,3 +468,26 @@ def test_context_mixing_counts_every_training_text(spark, monkeypatch):
     counts.settle()
     for table, seen in zip(model.tables, counts.seen, strict=True):
         assert (table == ctxmix.log_odds(seen.reshape(-1, 2).T)).all()
+
+
+def test_context_mixing_inputs():
+    """Three contexts are hashed, the three bytes before being one, and each input of a text's mixture has a weight that adapts."""
+    import inspect
+
+    from strataslide.llm import ctxmix
+
+    data = np.frombuffer(b"\0\0\0\0\0qabcx, zabcx; yabdx\xff", np.uint8)
+    at = [i + 3 for i in range(len(data)) if data[i : i + 2].tobytes() == b"ab"]
+    three = ctxmix._contexts(data)[0]
+    assert three[at[0]] == three[at[1]] != three[at[2]] and ctxmix.CONTEXTS == len(ctxmix._contexts(data)) == 3
+    assert inspect.signature(ctxmix.score).parameters["bits"].default >= 22
+    texts = ["the cat sat on the mat. " * 40]
+    row = ctxmix.common_contexts(texts, 40)
+    pairs, triples = ctxmix.byte_counts(texts, row)
+    code = ctxmix.prefix_code(pairs.reshape(256, 256).astype(float), row, triples.reshape(-1, 256).astype(float))
+    unseen = ctxmix.start_model(code, 12, (np.zeros(1 << 12, np.int8),) * 3)
+    moved, rate = ctxmix.losses(unseen, texts), ctxmix.RATE.copy()
+    for k in (0, ctxmix.INPUTS - 1):  # the code's own odds and the bias
+        ctxmix.RATE[k] = 0
+        assert abs(ctxmix.losses(unseen, texts) - moved).max() > 1e-3
+        ctxmix.RATE[:] = rate
