@@ -157,12 +157,26 @@ class _Side:
         return np.flatnonzero(np.unpackbits(hits.view(np.uint8), bitorder="little")[: self.n]).tolist()
 
 
-def forest(fps: np.ndarray, radius: int, split: int | None = None) -> list[tuple[int, int]]:
+def alike(one: np.ndarray, others: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Whether each of others has this Jaccard similarity or more to one; all are sorted distinct shingle hashes."""
+    sizes = np.array([len(o) for o in others], np.int64)
+    both = np.zeros(len(others), np.int64)
+    filled = np.flatnonzero(sizes)
+    if len(one) and len(filled):
+        every = np.concatenate(others)
+        hit = one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every
+        both[filled] = np.add.reduceat(hit, (np.cumsum(sizes) - sizes)[filled], dtype=np.int64)
+    union = sizes + len(one) - both
+    return both >= similarity * union - 1e-9
+
+
+def forest(fps: np.ndarray, radius: int, split: int | None = None, sets: list[np.ndarray] | None = None, similarity: float = 0.0) -> list[tuple[int, int]]:
     """Index pairs that span the components of the links among fps (n x words).
 
     A component grows from one member; each member is compared with those that no component
     holds yet, so a group of copies costs little more than its size. split: only links
-    between fps[:split] and fps[split:] count.
+    between fps[:split] and fps[split:] count. sets: each one's shingle hashes; then what lies
+    within the radius is a link only if the sets have this Jaccard similarity.
     """
     if split is None:
         sides, firsts = [_Side(fps)], [0]
@@ -178,18 +192,22 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None) -> list[tuple
             while queue:
                 at, x = queue.pop()
                 to = 0 if len(sides) == 1 else 1 - at
-                for j in sides[to].near(sides[at].fps[x], radius):
+                near = sides[to].near(sides[at].fps[x], radius)
+                if sets is not None and near:
+                    near = np.array(near)[alike(sets[firsts[at] + x], [sets[firsts[to] + j] for j in near], similarity)].tolist()
+                for j in near:
                     sides[to].take(j)
                     found.append((firsts[at] + x, firsts[to] + j))
                     queue.append((to, j))
     return found
 
 
-def compare_buckets(keyed: DataFrame, payload: DataFrame, radius: int, block: int) -> DataFrame:
+def compare_buckets(keyed: DataFrame, payload: DataFrame, radius: int, block: int, similarity: float | None = None) -> DataFrame:
     """Links (a, b) that span the components within each bucket.
 
     keyed: (name, slot, bits), a fingerprint's buckets; payload: (name, words), its words of
-    64 bits. A bucket of more than `block` is compared as pairs of blocks.
+    64 bits. A bucket of more than `block` is compared as pairs of blocks. similarity: payload
+    has `hashes` too, and links are confirmed by the exact Jaccard similarity of these.
     """
     sizes = keyed.groupBy("slot", "bits").agg(F.count("*").alias("n")).filter("n > 1").select("slot", "bits", F.ceil(F.col("n") / block).alias("blocks"))
     rows = keyed.join(sizes, ["slot", "bits"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")))
@@ -206,7 +224,8 @@ def compare_buckets(keyed: DataFrame, payload: DataFrame, radius: int, block: in
             split = int((group["own"] == i).sum())
         names = group["name"].to_numpy()
         fps = np.frombuffer(b"".join(group["words"].tolist()), "<u8").reshape(len(names), -1)
-        at = np.array(forest(fps, radius, split), np.int64).reshape(-1, 2)
+        sets = None if similarity is None else [np.frombuffer(h, "<u8") for h in group["hashes"]]
+        at = np.array(forest(fps, radius, split, sets, similarity or 0.0), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": names[at[:, 0]], "b": names[at[:, 1]]})
 
     return rows.groupBy("slot", "bits", "i", "j").applyInPandas(compare, "a long, b long").distinct()
@@ -262,6 +281,11 @@ def wide_radius(similarity: float, width: int = WIDTH) -> int:
     return round(64 * width * float(np.arccos(cosine)) / np.pi)
 
 
+#: Bits beyond the expected distance at which a pair is still looked at. Sketches of a few shingles
+#: have the largest mean, 192 bits for 4 of 5; the standard deviation is about 12.5.
+MARGIN = 7 * WIDTH
+
+
 def _bands(hashes: np.ndarray) -> list[int]:
     least = [int((hashes * m >> np.uint64(7)).min()) for m in _ODD[: BANDS * ROWS]] if len(hashes) else [0] * (BANDS * ROWS)
     out = []
@@ -273,13 +297,17 @@ def _bands(hashes: np.ndarray) -> list[int]:
     return out
 
 
-def _described(texts: list, shingle: int) -> tuple[list[int], list[bytes], list[list[int]]]:
+def _name(text: str | None) -> int:
     from xxhash import xxh64_intdigest
 
+    return xxh64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split()), 7) - 2**63
+
+
+def _described(texts: list, shingle: int) -> tuple[list[int], list[bytes], list[list[int]]]:
     names, held, bands = [], [], []
     for text in texts:
-        names.append(xxh64_intdigest(b" ".join((text or "").encode("utf-8", "replace").lower().split()), 7) - 2**63)
-        h = shingle_hashes(text, shingle)
+        names.append(_name(text))
+        h = np.unique(shingle_hashes(text, shingle))  # a repeated line counts once, as in the similarity
         held.append(sketch(h, WIDTH).astype("<u8").tobytes())
         bands.append(_bands(h))
     return names, held, bands
@@ -291,7 +319,9 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, b
     A 64-bit fingerprint can't tell a similarity of 0.8 from 0.6, so texts are compared by
     wide ones of 64 * WIDTH bits, within buckets of equal bands of least shingle hashes. Two
     texts of similarity s share a bucket with probability 1 - (1 - s**ROWS)**BANDS, 0.999 at
-    0.8, and are linked if their distance is at most that expected at `similarity`.
+    0.8. Those at most MARGIN bits beyond the distance expected at `similarity` are candidates;
+    the shingles of each component of candidates then meet once, and a pair is linked if the
+    Jaccard similarity of its shingle sets is `similarity` or more.
     """
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -303,7 +333,20 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, b
     marked = keep(known.mapInPandas(each, "k long, name long, words binary, bands array<long>").withColumnRenamed("k", id_col), "sketches")
     classes = keep(marked.groupBy("name").agg(F.first("words").alias("words"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("name", F.posexplode("bands").alias("slot", "bits"))
-    joined = components(compare_buckets(keyed, classes.select("name", "words"), wide_radius(similarity), block))
+    radius = wide_radius(similarity) + MARGIN
+    near = keep(components(compare_buckets(keyed, classes.select("name", "words"), radius, block)).withColumnRenamed("node", "name"), "candidates")
+
+    def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            texts = b["text"].tolist()
+            yield pd.DataFrame({"name": [_name(t) for t in texts], "hashes": [np.unique(shingle_hashes(t, shingle)).astype("<u8").tobytes() for t in texts]})
+
+    # one text of each candidate; rows that share its id fall out by name
+    firsts = marked.join(near, "name", "left_semi").groupBy("name").agg(F.min(id_col).alias("k")).select("k").distinct()
+    sets = known.join(firsts, "k", "left_semi").select("text").mapInPandas(shingles, "name long, hashes binary")
+    sets = sets.join(near.select("name"), "name", "left_semi").groupBy("name").agg(F.first("hashes").alias("hashes"))
+    payload = keep(classes.select("name", "words").join(sets, "name"), "shingles")
+    joined = components(compare_buckets(near.select("name", F.lit(0).alias("slot"), F.col("component").alias("bits")), payload, radius, block, similarity))
     labels = joined.withColumnRenamed("node", "name")
     return marked.select(id_col, "name").join(labels, "name", "left").select(id_col, "name", F.coalesce("component", "name").alias("component"))
 

@@ -491,3 +491,22 @@ def test_context_mixing_inputs():
         ctxmix.RATE[k] = 0
         assert abs(ctxmix.losses(unseen, texts) - moved).max() > 1e-3
         ctxmix.RATE[:] = rate
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_similar_texts_are_linked_by_exact_similarity(spark, block):
+    """Pairs just above and below 0.8 are told apart, and repeated lines don't part copies."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+    rows, want = [], []
+    for k in range(50):  # a text and its first words: m - 4 of n - 4 shingles
+        n, m = 204, 164 - k % 2
+        words = [word() for _ in range(n)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:m]))]
+        want.append((m - 4) / (n - 4) >= 0.8)
+    words = [word() for _ in range(204)]
+    rows += [(900, " ".join(words)), (901, " ".join(words[:100] + words[88:100] * 9 + words[100:]))]
+    name = {r["doc_id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    linked = [name[2 * k] == name[2 * k + 1] for k in range(len(want))]
+    assert sum(a and not b for a, b in zip(linked, want, strict=True)) == 0 and sum(b and not a for a, b in zip(linked, want, strict=True)) <= 1
+    assert name[900] == name[901]
