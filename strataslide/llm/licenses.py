@@ -6,7 +6,8 @@ bound; it is broadcast. A document's words are matched against the templates' vo
 first; only runs of at least `gram` known words can hold a gram, so other text costs one
 lookup a word. Grams found in the index pick (template, diagonal) candidates; near hits of one
 diagonal band are chained and the stretch is aligned with the template within the band
-(match +2, mismatch and gap -1, local). Matches report the template's coverage and the span.
+(match +2, mismatch and gap -1, local); what lies beside a match is aligned again, until no
+match is left, as copies of a short notice can share a band. Matches report the template's coverage and the span.
 
 A run of a template shorter than gram + window - 1 words may go unseen (the winnowing
 guarantee); templates shorter than that are indexed by all their grams.
@@ -135,9 +136,13 @@ class Scanner:
                     groups.append([d, d, p])
             for low, high, _ in groups:
                 a, z = max(0, low - self.band), min(len(ids), high + size + self.band)
-                n, s, e, _, _ = self._align(ids[a:z].tolist(), self.words[t], (low + high) // 2 - a)
-                if n >= self.coverage * size:
-                    out.append((n / size, -t, n, found[a + s].start(), found[a + e - 1].end()))
+                rest = [(a, z)]
+                while rest:  # what lies beside a match may hold further ones
+                    a, z = rest.pop()
+                    n, s, e, _, _ = self._align(ids[a:z].tolist(), self.words[t], (low + high) // 2 - a)
+                    if n >= self.coverage * size:
+                        out.append((n / size, -t, n, found[a + s].start(), found[a + e - 1].end()))
+                        rest += [(x, y) for x, y in ((a, a + s), (a + e, z)) if y - x >= self.coverage * size]
         picked: list[tuple] = []
         for m in sorted(out, key=lambda x: (-x[2], -x[0], -x[1], x[3])):
             if all(m[4] <= p[3] or m[3] >= p[4] for p in picked):

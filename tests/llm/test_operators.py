@@ -510,3 +510,12 @@ def test_similar_texts_are_linked_by_exact_similarity(spark, block):
     linked = [name[2 * k] == name[2 * k + 1] for k in range(len(want))]
     assert sum(a and not b for a, b in zip(linked, want, strict=True)) == 0 and sum(b and not a for a, b in zip(linked, want, strict=True)) <= 1
     assert name[900] == name[901]
+
+
+@pytest.mark.parametrize("name", ["MIT-line", "Apache-2.0-line", "CC-BY-4.0-line", "CC-BY-NC-4.0-line", "GPL-3.0-line"])
+@pytest.mark.parametrize("between", ["\n", " x\n", " x y z\n", " x y z x y z x y z\n"])
+def test_repeated_notices(name, between):
+    """Copies of a short notice that follow each other closely are all found, each with its own span."""
+    text = licenses.TEMPLATES[name].rstrip(".")
+    want = [(name, k * (len(text) + len(between)), k * (len(text) + len(between)) + len(text)) for k in range(10)]
+    assert [(f[0], f[3], f[4]) for f in licenses.Scanner(licenses.TEMPLATES).scan((text + between) * 10)] == want
