@@ -99,6 +99,36 @@ def test_deep_zoom_levels(spark):
         assert [got[k][i] for i in range(len(got[k]))] == dims[::-1]
 
 
+@pytest.mark.parametrize("joint", [False, True])
+def test_deep_zoom_tiles(spark, tmp_path, joint):
+    """Every address at tiles of 254 with an overlap of 1, against a plain loop over levels, columns and rows."""
+    spark.createDataFrame([(1, 1), (2, 2), (41, 3), (203, 4), (7, 10)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    want = set()
+    for key, size in [(1, 1), (2, 2), (41, 3), (203, 4), (7, 10)]:
+        w, h, downsamples = 1000 + 37 * key, 500 + 211 * size, [float((2 if size % 2 == 0 else 4) ** i) for i in range(1 + size % 5)]
+        dims = [(w, h)]
+        while dims[-1] != (1, 1):
+            dims.append(((dims[-1][0] + 1) // 2, (dims[-1][1] + 1) // 2))
+        for dz, z_dim in enumerate(dims[::-1]):
+            factor = 2 ** (len(dims) - 1 - dz)
+            level = max(i for i, ds in enumerate(downsamples) if i == 0 or ds <= factor)
+            ds = downsamples[level]
+            n = [-(-z // 254) for z in z_dim]
+            for t in ((c, r) for c in range(n[0]) for r in range(n[1])):
+                row = []
+                for x in (0, 1):
+                    before = any(t) if joint else t[x] > 0
+                    after = t[0] < n[0] - 1 or t[1] < n[1] - 1 if joint else t[x] < n[x] - 1
+                    z = min(254, z_dim[x] - 254 * t[x]) + before + after
+                    start = 254 * t[x] - before
+                    at = factor / ds * (max(0, start) if joint else start)
+                    limit = max(1, (w, h)[x] // int(ds))
+                    row.append((z, int(ds * at), int(min(math.ceil(factor / ds * z), limit - math.ceil(at)))))
+                want.add((key, dz, *t, level, *(v for pair in zip(*row, strict=True) for v in pair)))
+    got = QUERIES["dz_tile_info_joint" if joint else "dz_tile_info"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
 def test_rectangle_join(spark):
     rng = random.Random(3)
     rect = lambda: (rng.randint(-900, 900), rng.randint(-900, 900), rng.randint(0, 400), rng.randint(0, 700))
