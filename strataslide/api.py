@@ -2,9 +2,14 @@
 
     slides = SlideSet(spark, "/slides")
     slides.metadata, slides.levels(), slides.properties(), slides.associated_images()
-    slides.best_level(requests)            # path, target_downsample
-    slides.read_region(requests)           # request_id, path, x, y, level, w, h -> RGBA rasters
+    slides.best_level(requests)               # path, target_downsample
+    slides.read_region(requests)              # request_id, path, x, y, level, w, h -> RGBA rasters
+    slides.read_biomarker_region(requests)    # the same with biomarker
+    slides.thumbnails(512, 512), slides.label_images()
     slides.deepzoom(254, 1), slides.descriptors()
+    slides.deepzoom_tiles(addresses)          # request_id, path, dz_level, col, row_no -> rasters
+
+What can't be read is a row with its error (class, message), not the end of the job.
 """
 
 from __future__ import annotations
@@ -16,11 +21,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import catalog
-from .functions.raster import from_png, resize, rgba
+from . import errors as E
+from .catalog import catalog, default_biomarker_tokens, slide_family, supports_biomarkers
+from .functions.raster import find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
 from .operators import deepzoom, levels, region
 from .sources import register_sources
 
+RASTER = "height int, width int, n_channels int, mode string, data binary"
+# What a level out of range is, by format; others take it as an error.
+BLANK_LEVELS = ("bif", "tmap")
+# The colour under tiles, by the catalog's background.
+BACKGROUNDS = {"transparent": (255, 255, 255, 0), "white": (255, 255, 255, 255), "zeros": (0, 0, 0, 0), "black": (0, 0, 0, 255), "grey240": (240, 240, 240, 255), "grey": (240, 240, 240, 255)}
+
 
 def decode_png(data: bytes) -> np.ndarray | None:
     """RGBA of a PNG; null for anything else, so that such tiles are left out."""
@@ -30,19 +42,38 @@ def decode_png(data: bytes) -> np.ndarray | None:
         return None
 
 
+def _raster(image: np.ndarray) -> tuple:
+    return (*image.shape[:2], image.shape[2], "RGBA" if image.shape[2] == 4 else "RGB", np.ascontiguousarray(image).tobytes())
+
+
 class SlideSet:
     """The slides of a folder. decoder: bytes -> RGBA array or None; JPEG needs one that the cluster has."""
 
-    def __init__(self, spark: SparkSession, path: str, decoder: Callable[[bytes], np.ndarray | None] = decode_png):
+    def __init__(self, spark: SparkSession, path: str, decoder: Callable[[bytes], np.ndarray | None] = decode_png, acquisition_id: int | None = None):
         register_sources(spark)
-        self.spark, self.path, self._decoder = spark, path, decoder
+        self.spark, self.path, self._decoder, self._acquisition = spark, path, decoder, acquisition_id
+        self._metadata: DataFrame | None = None
+
+    def _load(self, source: str, **options: str) -> DataFrame:
+        reader = self.spark.read.format(source).options(**options)
+        if self._acquisition is not None:
+            reader = reader.option("acquisition_id", str(self._acquisition))
+        return reader.load(self.path)
 
     @property
     def metadata(self) -> DataFrame:
-        return self.spark.read.format("slide_metadata").load(self.path)
+        """A row a file; parsed once and kept, as most of what follows asks for it."""
+        if self._metadata is None:
+            self._metadata = self._load("slide_metadata").persist()
+        return self._metadata
+
+    def close(self) -> None:
+        if self._metadata is not None:
+            self._metadata.unpersist()
+            self._metadata = None
 
     def tiles(self, with_data: bool = False) -> DataFrame:
-        return self.spark.read.format("slide_tiles").option("data", str(with_data).lower()).load(self.path)
+        return self._load("slide_tiles", data=str(with_data).lower())
 
     def errors(self) -> DataFrame:
         return self.metadata.filter("error is not null").select("path", "error")
@@ -60,54 +91,292 @@ class SlideSet:
     def channels(self) -> DataFrame:
         return self.metadata.select("path", F.posexplode("channels").alias("channel_index", "name"))
 
-    def _ruled(self) -> DataFrame:
-        rules = catalog(self.spark).select("format_id", F.when(F.col("level_rule").isin("prev", "single"), F.col("level_rule")).otherwise("floor").alias("rule"))
-        return self.metadata.select("path", "format_id", F.col("levels.downsample").alias("downsamples")).join(F.broadcast(rules), "format_id")  # a row a format
+    def slides(self) -> DataFrame:
+        """path, format_id, slide_family, supports_biomarkers, level_count, downsamples and what the format lays down for reading."""
+        rules = catalog(self.spark).select("format_id", F.col("slide_family").alias("of_format"), F.col("supports_biomarkers").alias("capable"), "background", F.when(F.col("level_rule").isin("prev", "single"), F.col("level_rule")).otherwise("floor").alias("rule"))
+        m = self.metadata.filter("error is null").select("path", "format_id", "width", "height", "level_count", "levels", "channels", "properties")
+        stated = F.try_element_at("properties", F.lit("slide.family"))
+        family = F.coalesce(stated, slide_family(F.col("of_format"), F.col("channels")))
+        out = m.join(F.broadcast(rules), "format_id").withColumn("slide_family", family)  # a row a format
+        return out.withColumn("supports_biomarkers", supports_biomarkers(F.col("capable"), F.col("slide_family"))).withColumn("downsamples", F.col("levels.downsample")).drop("of_format", "capable")
 
     def best_level(self, requests: DataFrame) -> DataFrame:
         """requests (path, target_downsample, …) with best_level, by the rule of each slide's format."""
-        asked = requests.join(self._ruled(), "path")
+        asked = requests.join(self.slides().select("path", "downsamples", "rule"), "path")
         level = F.lit(0)
         for rule in ("floor", "prev"):
             level = F.when(F.col("rule") == rule, levels.best_level(F.col("downsamples"), F.col("target_downsample"), rule)).otherwise(level)
-        return asked.withColumn("best_level", level).drop("downsamples", "rule", "format_id")
+        return asked.withColumn("best_level", level).drop("downsamples", "rule")
+
+    # --- biomarkers ------------------------------------------------------------
+
+    def biomarkers(self) -> DataFrame:
+        """path, biomarkers, default_biomarker, error: names of multiplex slides; others have an error."""
+        s = self.slides().withColumn("error", self._family_error("multiplex"))
+        name = lambda fmt: F.coalesce(F.get(F.filter("channels", lambda c: F.upper(c).rlike("|".join(default_biomarker_tokens(fmt)))), F.lit(0)), F.get("channels", F.lit(0)))
+        default = F.get("channels", F.lit(0))
+        for fmt in ("hdf5", "ims", "ome_tiff", "mcd"):
+            default = F.when(F.col("format_id") == fmt, name(fmt)).otherwise(default)
+        default = F.when(F.col("format_id") == "qptiff", F.when(F.array_contains("channels", "DAPI"), "DAPI")).otherwise(default)
+        s = s.withColumn("default_biomarker", F.when(F.col("error").isNull(), default))
+        missing = F.col("error").isNull() & F.col("default_biomarker").isNull()
+        s = s.withColumn("error", F.when(missing, E.error(E.MISSING_DEFAULT, "No default display biomarker")).otherwise(F.col("error")))
+        return s.select("path", F.when(F.col("slide_family") == "multiplex", F.col("channels")).alias("biomarkers"), "default_biomarker", "error")
+
+    def has_biomarker(self, asked: DataFrame) -> DataFrame:
+        """asked (path, biomarker) with has_biomarker."""
+        return asked.join(self.slides().select("path", "channels"), "path", "left").withColumn("has_biomarker", F.coalesce(F.array_contains("channels", F.col("biomarker")), F.lit(False))).drop("channels")
+
+    def _family_error(self, wanted: str):
+        if wanted == "multiplex":
+            message = F.format_string("Biomarker operations are not supported for %s slides", F.col("slide_family"))
+        else:
+            message = F.lit("Multiplex slides require an explicit biomarker; use read_biomarker_region()")
+        return E.first((F.col("slide_family") != wanted, E.UNSUPPORTED_OPERATION, message))
+
+    def _checked(self, requests: DataFrame, wanted: str) -> DataFrame:
+        """requests beside what their slide lays down; `error` where one can't be read at all. requests has request_id, path, level."""
+        asked = requests.join(self.slides().select("path", "format_id", "slide_family", "level_count", "levels", "background", "channels", "properties"), "path", "left")
+        out_of_range = (F.col("level") < 0) | (F.col("level") >= F.col("level_count"))
+        checks = [
+            (F.col("format_id").isNull(), E.VALUE, "No such slide"),
+            (F.col("slide_family") != wanted, E.UNSUPPORTED_OPERATION, self._family_error(wanted)["message"]),
+            (out_of_range & ~F.col("format_id").isin(*BLANK_LEVELS), E.VALUE, F.format_string("Level %d not available (0-%d)", F.col("level"), F.col("level_count") - 1)),
+        ]
+        if wanted == "multiplex":
+            checks.append((~F.coalesce(F.array_contains("channels", F.col("biomarker")), F.lit(False)), E.UNKNOWN_BIOMARKER, F.format_string("Biomarker '%s' not found", F.col("biomarker"))))
+        return asked.withColumn("error", E.first(*checks)).withColumn("blank", F.coalesce(out_of_range, F.lit(False)))
+
+    # --- regions ----------------------------------------------------------------
 
     def read_region(self, requests: DataFrame, cell_size: int = 4096) -> DataFrame:
-        """request_id, height, width, n_channels, mode, data. x and y are level-0 pixels, w and h pixels of the level.
+        """request_id, height, width, n_channels, mode, data, error. x and y are level-0 pixels, w and h pixels of the level.
 
-        The index is joined first, by rectangles; tiles' bytes are read for what was met only.
+        The index is joined first, by rectangles. What was met then goes to tasks by file and
+        run of the file and is read by range, in file order. Tiles of one focus plane are
+        taken: requests' z, or that of the slide's most tiles. A level that has no tiles of its
+        own is shrunk from level 0. Colours under tiles are the format's.
         """
-        ds = self.levels().select("path", "level", "downsample")
-        asked = requests.join(ds, ["path", "level"]).withColumn("lw", F.col("w")).withColumn("lh", F.col("h"))
-        asked = asked.withColumn("w", F.ceil(F.col("lw") * F.col("downsample"))).withColumn("h", F.ceil(F.col("lh") * F.col("downsample")))
-        index = self.tiles().select("path", "level", "offset", "file_id", F.col("x0").alias("x2"), F.col("y0").alias("y2"), F.col("cov_w").cast("long").alias("w2"), F.col("cov_h").cast("long").alias("h2"), "row_no", "col")
-        met = region.rectangle_join(asked, index, ("path", "level"), cell_size)
-        data = self.tiles(True).select("path", "level", "offset", "file_id", "row_no", "col", "data")
-        met = met.join(data, ["path", "level", "offset", "file_id", "row_no", "col"])
+        asked = self._checked(requests, "brightfield")
+        grey = F.try_element_at("properties", F.lit("tmap.background")).try_cast("int")
+        color = F.coalesce(*[F.when(F.col("background") == k, F.array(*map(F.lit, v))) for k, v in BACKGROUNDS.items() if k != "grey"], F.when(grey.isNotNull(), F.array(grey, grey, grey, F.lit(255))), F.array(*map(F.lit, BACKGROUNDS["grey"])))
+        asked = asked.withColumn("color", color)
+        index = self.tiles()
+        depth = index.groupBy("path", "z").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("z", F.struct("n", -F.col("z"))).alias("main_z"))
+        stored = index.groupBy("path").agg(F.collect_set("level").alias("stored_levels"))  # a few numbers a slide
+        good = asked.filter("error is null and not blank").join(depth.join(stored, "path"), "path", "left")
+        own = F.coalesce(F.array_contains("stored_levels", F.col("level")), F.lit(False))
+        good = good.withColumn("source_level", F.when(own, F.col("level")).otherwise(0)).withColumn("downsample", F.get("levels.downsample", F.col("source_level")))
+        scale = F.get("levels.downsample", F.col("level")) / F.col("downsample")
+        good = good.withColumn("out_w", F.col("w")).withColumn("out_h", F.col("h")).withColumn("lw", F.ceil(F.col("w") * scale)).withColumn("lh", F.ceil(F.col("h") * scale))
+        z = F.coalesce(F.col("z"), F.col("main_z")) if "z" in requests.columns else F.col("main_z")
+        span = good.select("request_id", "path", F.col("source_level").alias("level"), z.alias("z"), "x", "y", "downsample", F.ceil(F.col("lw") * F.col("downsample")).alias("w"), F.ceil(F.col("lh") * F.col("downsample")).alias("h"))
+        index = index.select("path", "format_id", "level", F.col("z"), "offset", "length", "file_id", F.col("x0").alias("x2"), F.col("y0").alias("y2"), F.col("cov_w").cast("long").alias("w2"), F.col("cov_h").cast("long").alias("h2"), "row_no", "col")
+        flat = index.withColumn("z", F.when(F.col("z") >= 0, F.col("z")))  # what lies beside the focus planes belongs to all of them
+        met = region.rectangle_join(span.withColumnRenamed("z", "wanted_z"), flat, ("path", "level"), cell_size).filter("z is null or z = wanted_z")
+        canvases = good.select("request_id", F.col("lw").cast("int").alias("w"), F.col("lh").cast("int").alias("h"), "color")
+        empty = asked.filter("error is null and blank").select("request_id", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "color")
+        painted = region.compose(self._decoded(met), canvases.unionByName(empty), "color")
+        shrunk = good.filter("lw <> out_w or lh <> out_h").select("request_id", F.col("out_w").cast("int").alias("out_w"), F.col("out_h").cast("int").alias("out_h"))
+        painted = self._resized(painted.join(shrunk, "request_id", "left"))
+        return self._with_errors(painted, asked)
+
+    def _decoded(self, met: DataFrame, run: int = 64 << 20) -> DataFrame:
+        """Tiles that requests met, as pastes; each file's places are read in order, long files by several tasks."""
         decoder = self._decoder
 
         def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from .sources.tiles import TileReader
+
+            reader, last, image = TileReader(), None, None
             for b in batches:
                 out = []
                 for t in b.itertuples(index=False):
-                    image = decoder(t.data) if t.data is not None else None
+                    place = (t.path, t.file_id, t.offset, t.level, t.row_no, t.col)
+                    if place != last:  # a tile that several requests met is read once
+                        data = reader.read(t.path, t.format_id, t.level, t.row_no, t.col, t.file_id, t.offset, t.length)
+                        last, image = place, decoder(data) if data else None
                     if image is not None:
                         w, h = max(1, round(t.w2 / t.downsample)), max(1, round(t.h2 / t.downsample))
-                        image = image if image.shape[:2] == (h, w) or image.shape[0] <= h and image.shape[1] <= w else resize(image, w, h, "bilinear")
-                        out.append((t.request_id, int((t.x2 - t.x) / t.downsample), int((t.y2 - t.y) / t.downsample), t.row_no * (1 << 31) + t.col, *image.shape[:2], image.tobytes()))
+                        part = image if image.shape[:2] == (h, w) or image.shape[0] <= h and image.shape[1] <= w else resize(image, w, h, "bilinear")
+                        out.append((t.request_id, int((t.x2 - t.x) / t.downsample), int((t.y2 - t.y) / t.downsample), t.row_no * (1 << 31) + t.col, *part.shape[:2], part.tobytes()))
                 yield pd.DataFrame(out, columns=["request_id", "dst_x", "dst_y", "draw_seq", "height", "width", "data"])
+            reader.close()
 
-        pastes = met.mapInPandas(decoded, "request_id long, dst_x int, dst_y int, draw_seq long, height int, width int, data binary")
-        return region.compose(pastes, requests)
+        dealt = met.withColumn("run", F.floor(F.col("offset") / run)).repartition("path", "file_id", "run").sortWithinPartitions("path", "file_id", "offset", "level", "row_no", "col").drop("run", "z", "wanted_z")
+        return dealt.mapInPandas(decoded, "request_id long, dst_x int, dst_y int, draw_seq long, height int, width int, data binary")
 
-    def deepzoom(self, tile_size: int = 254, overlap: int = 1) -> DataFrame:
-        """Every Deep Zoom tile of every slide: its level, address and what to read for it."""
-        per = self.metadata.filter("error is null and width > 0 and height > 0").select("path", "width", "height", "levels")
+    @staticmethod
+    def _resized(painted: DataFrame) -> DataFrame:
+        """Rasters brought to (out_w, out_h) where these are given."""
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for t in b.itertuples(index=False):
+                    row = (t.request_id, t.height, t.width, t.n_channels, t.mode, t.data)
+                    if not pd.isna(t.out_w):
+                        row = (t.request_id, *_raster(resize(np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels), int(t.out_w), int(t.out_h), "lanczos")))
+                    out.append(row)
+                yield pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data"])
+
+        return painted.mapInPandas(each, f"request_id long, {RASTER}")
+
+    @staticmethod
+    def _with_errors(rasters: DataFrame, asked: DataFrame) -> DataFrame:
+        bad = asked.filter("error is not null").select("request_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RASTER.split(", ")], "error")
+        return rasters.select("request_id", *[c.split()[0] for c in RASTER.split(", ")], F.lit(None).cast(E.SCHEMA).alias("error")).unionByName(bad)
+
+    def read_fixed_region(self, requests: DataFrame) -> DataFrame:
+        """As read_region; of dyj slides only, other formats have no such read."""
+        known = requests.join(self.slides().select("path", "format_id"), "path", "left")
+        none = known.filter(~F.coalesce(F.col("format_id") == "dyj", F.lit(False))).withColumn("error", E.error(E.UNSUPPORTED_OPERATION, F.format_string("%s slides have no fixed regions", F.coalesce("format_id", F.lit("unknown")))))
+        return self._with_errors(self.read_region(known.filter("format_id = 'dyj'").drop("format_id")).drop("error"), none)
+
+    def read_biomarker_region(self, requests: DataFrame) -> DataFrame:
+        """As read_region for requests with a biomarker, of multiplex slides: the channel's rectangle, stretched to 8 bits, as RGBA.
+
+        The rectangle is cut at the level's sides, not filled up; one that lies outside is black
+        and of the whole size. Only the chunks, tiles or subblocks that hold it are read.
+        """
+        asked = self._checked(requests, "multiplex")
+        acquisition = self._acquisition
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from .sources.blob import Blob
+            from .sources.planes import open_planes
+
+            path, found, blob = None, None, None
+            for b in batches:
+                out = []
+                for t in b.itertuples(index=False):
+                    if t.path != path:
+                        if blob is not None:
+                            blob.close()
+                        path, blob = t.path, Blob(t.path)
+                        found = open_planes(blob, acquisition)
+                    w, h, factor = found.levels[t.level]
+                    x, y = (int(t.x / factor), int(t.y / factor)) if found.format_id == "qptiff" else (t.x, t.y)
+                    x0, x1, _ = slice(x, x + t.w).indices(w)
+                    y0, y1, _ = slice(y, y + t.h).indices(h)
+                    try:
+                        if x0 < x1 and y0 < y1:
+                            part = to_uint8(found.read(found.index(t.biomarker), t.level, x0, y0, x1 - x0, y1 - y0), wide=np.float64)
+                        else:
+                            part = np.zeros((t.h, t.w), np.uint8)
+                        out.append((t.request_id, *_raster(rgba(part)), None))
+                    except (ValueError, LookupError) as e:  # of this file; others go on
+                        out.append((t.request_id, None, None, None, None, None, {"class": type(e).__name__, "message": str(e)}))
+                yield pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data", "error"]).astype({c: "Int64" for c in ("height", "width", "n_channels")})
+            if blob is not None:
+                blob.close()
+
+        good = asked.filter("error is null").select("request_id", "path", F.col("level").cast("int").alias("level"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "biomarker")
+        dealt = good.repartition("path", "biomarker").sortWithinPartitions("path", "biomarker", "level", "y", "x")
+        read = dealt.mapInPandas(each, f"request_id long, {RASTER}, error {E.SCHEMA}")
+        bad = asked.filter("error is not null").select("request_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RASTER.split(", ")], "error")
+        return read.unionByName(bad)
+
+    # --- stored images ---------------------------------------------------------------
+
+    def stored_images(self, names: tuple[str, ...] | None = None) -> DataFrame:
+        """path, name and the raster of stored images that the decoder reads.
+
+        A picture of label and macro together is cut at a third of its width. A blob may have
+        other bytes before its JPEG.
+        """
+        decoder = self._decoder
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from .sources.blob import Blob
+
+            for b in batches:
+                out = []
+                for t in b.itertuples(index=False):
+                    blob = Blob(t.path)
+                    try:
+                        data = blob.read(int(t.offset), int(t.length))
+                    finally:
+                        blob.close()
+                    image = decoder(data)
+                    if image is None and find_jpeg(data) > 0:
+                        image = decoder(data[find_jpeg(data) :])
+                    if image is None:
+                        continue
+                    cut = image.shape[1] // 3
+                    parts = {"macro_label": image, "label": image[:, :cut], "macro": image[:, cut:]} if t.name == "macro_label" else {t.name: image}
+                    out += [(t.path, name, *_raster(part)) for name, part in parts.items() if part.size]
+                yield pd.DataFrame(out, columns=["path", "name", "height", "width", "n_channels", "mode", "data"])
+
+        wanted = self.associated_images()
+        if names is not None:
+            wanted = wanted.filter(F.col("name").isin(*names, *(("macro_label",) if {"label", "macro"} & set(names) else ())))
+        found = wanted.mapInPandas(each, f"path string, name string, {RASTER}")
+        return found.filter(F.col("name").isin(*names)) if names is not None else found
+
+    def label_images(self) -> DataFrame:
+        """path and the raster of each slide's label; null where it has none that can be read."""
+        return self.metadata.filter("error is null").select("path").join(self.stored_images(("label",)).drop("name"), "path", "left")
+
+    def thumbnails(self, w: int = 512, h: int = 512) -> DataFrame:
+        """path, raster, error: a stored thumbnail, else the last level, shrunk to fit w x h; multiplex slides have an error."""
+        s = self.slides()
+        held = self.stored_images(("thumbnail",)).drop("name")
+        rest = s.filter("slide_family = 'brightfield'").join(held.select("path"), "path", "left_anti")
+        last = F.col("level_count") - 1
+        rest = rest.withColumn("request_id", F.xxhash64("path"))
+        ask = rest.select("request_id", "path", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), last.alias("level"), F.get("levels.width", last).alias("w"), F.get("levels.height", last).alias("h"))
+        made = self.read_region(ask).filter("error is null").join(rest.select("request_id", "path"), "request_id").drop("request_id", "error")
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield pd.DataFrame([(t.path, *_raster(thumbnail(np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels), w, h))) for t in b.itertuples(index=False)], columns=["path", "height", "width", "n_channels", "mode", "data"])
+
+        fitted = held.unionByName(made.select(*held.columns)).mapInPandas(fit, f"path string, {RASTER}")
+        refused = s.filter("slide_family <> 'brightfield'").select("path", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RASTER.split(", ")], E.error(E.UNSUPPORTED_OPERATION, "Multiplex slides do not support generic thumbnails").alias("error"))
+        return fitted.withColumn("error", F.lit(None).cast(E.SCHEMA)).unionByName(refused)
+
+    # --- Deep Zoom ----------------------------------------------------------------------
+
+    def _pyramid(self, tile_size: int) -> DataFrame:
+        per = self.slides().filter("width > 0 and height > 0").select("path", "width", "height", "levels", "slide_family")
         dz = deepzoom.levels(per, tile_size)
         dz = dz.withColumn("level", levels.best_level(F.col("levels.downsample"), F.col("factor").cast("double")))
         at = F.get("levels", F.col("level"))
-        dz = dz.withColumn("downsample", at["downsample"]).withColumn("level_w", at["width"]).withColumn("level_h", at["height"]).drop("levels")
-        return deepzoom.tiles(dz, tile_size, overlap).select("path", "dz_level", "col", "row_no", "level", "l0_x", "l0_y", "l_w", "l_h", "z_w", "z_h")
+        return dz.withColumn("downsample", at["downsample"]).withColumn("level_w", at["width"]).withColumn("level_h", at["height"]).drop("levels")
+
+    def deepzoom(self, tile_size: int = 254, overlap: int = 1) -> DataFrame:
+        """Every Deep Zoom tile of every slide: its level, address and what to read for it."""
+        return deepzoom.tiles(self._pyramid(tile_size), tile_size, overlap).select("path", "dz_level", "col", "row_no", "level", "l0_x", "l0_y", "l_w", "l_h", "z_w", "z_h")
+
+    def deepzoom_tiles(self, addresses: DataFrame, tile_size: int = 254, overlap: int = 1, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+        """request_id, raster, error of addresses (request_id, path, dz_level, col, row_no; biomarker for multiplex slides).
+
+        The region is read, laid on the background and shrunk to the tile's size, never
+        enlarged. A level or address that isn't there is an error.
+        """
+        dz = self._pyramid(tile_size)
+        asked = addresses.join(dz, ["path", "dz_level"], "left")
+        wrong = deepzoom.address_error(F.col("dz_level"), F.coalesce("n_levels", F.lit(0)), F.col("col"), F.col("row_no"), F.col("cols"), F.col("rows"))
+        asked = asked.withColumn("wrong", wrong).withColumn("error", E.first((F.col("wrong").isNotNull(), E.VALUE, F.col("wrong"))))
+        places = deepzoom.tile_places(asked.filter("wrong is null"), tile_size, overlap)
+        read = places.select("request_id", "path", F.col("l0_x").alias("x"), F.col("l0_y").alias("y"), "level", F.col("l_w").cast("int").alias("w"), F.col("l_h").cast("int").alias("h"), *(["biomarker"] if "biomarker" in addresses.columns else []))
+        if "biomarker" in addresses.columns:
+            tiles = self.read_region(read.filter("biomarker is null").drop("biomarker")).unionByName(self.read_biomarker_region(read.filter("biomarker is not null")))
+        else:
+            tiles = self.read_region(read)
+
+        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for t in b.itertuples(index=False):
+                    image = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels)
+                    out.append((t.request_id, *_raster(thumbnail(on_background(image, background), int(t.z_w), int(t.z_h)))))
+                yield pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data"])
+
+        good = tiles.filter("error is null").drop("error").join(places.select("request_id", "z_w", "z_h"), "request_id").mapInPandas(fit, f"request_id long, {RASTER}")
+        bad = asked.select("request_id", "error").unionByName(tiles.select("request_id", "error"))
+        return self._with_errors(good, bad)
 
     def descriptors(self, tile_size: int = 254, overlap: int = 1) -> DataFrame:
         return self.metadata.filter("error is null").select("path", deepzoom.descriptor(F.col("width"), F.col("height"), tile_size, overlap).alias("dzi"))

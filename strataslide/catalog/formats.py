@@ -11,12 +11,12 @@ SCHEMA = "format_id string, extensions array<string>, priority int, slide_family
 # available without vendor libraries, label image, associated images, own Deep Zoom,
 # biomarkers, background, best-level rule, dimension rule.
 FORMATS = (
-    ("czi", (".czi",), "czi", False, False, False, False, False, False, "zeros", "single", "single"),
-    ("ome_tiff", (".tif", ".tiff"), "multiplex", True, False, False, False, True, True, "zeros", "single", "single"),
-    ("mcd", (".mcd",), "multiplex", False, False, False, False, False, True, "zeros", "single", "single"),
+    ("czi", (".czi",), "czi", False, True, False, False, False, False, "zeros", "single", "single"),
+    ("ome_tiff", (".tif", ".tiff"), "multiplex", True, True, False, False, True, True, "zeros", "single", "single"),
+    ("mcd", (".mcd",), "multiplex", False, True, False, False, False, True, "zeros", "single", "single"),
     ("hdf5", (".h5", ".hdf5", ".h5ad"), "multiplex", True, True, False, False, False, True, "zeros", "single", "single"),
     ("ims", (".ims",), "multiplex", True, True, False, True, True, True, "zeros", "floor", "stored"),
-    ("qptiff", (".qptiff",), "qptiff", False, False, False, True, True, True, "zeros", "floor", "stored"),
+    ("qptiff", (".qptiff",), "qptiff", False, True, False, True, True, True, "zeros", "floor", "stored"),
     ("kfb", (".kfb",), "brightfield", False, False, False, True, True, False, "white", "native", "stored"),
     ("tmap", (".tmap",), "brightfield", False, True, False, True, True, False, "grey", "prev", "ceil"),
     ("sdpc", (".sdpc", ".dyqx"), "brightfield", False, False, True, True, True, False, "white", "floor", "padded"),
@@ -56,21 +56,42 @@ def suffix(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def resolve(paths: DataFrame, formats: DataFrame, path_col: str = "path", probes: str | None = None) -> DataFrame:
     """paths with format_id, format_label (the format's first extension), slide_family and error.
 
     probes: a column of the ids of formats whose probe accepts the file; formats with a probe
     need it. The first format in order wins; one that is not available is an error then.
+    Every row stays, repeated ones too; columns of paths that are named as a result give way
+    to it. Extensions are a few, so theirs is the side that is broadcast, and no path moves.
     """
-    ext = F.explode("extensions").alias("ext")
-    known = F.broadcast(formats.select("format_id", "priority", "slide_family", "has_probe", "available", F.element_at("extensions", 1).alias("format_label"), ext))
-    accepted = F.array_contains(F.col(probes), F.col("format_id")) if probes else F.lit(False)
-    fits = (F.col("ext_") == F.col("ext")) & (~F.col("has_probe") | accepted)
-    best = F.min_by(F.struct("format_id", "format_label", "slide_family", "available"), "priority").alias("best")
-    keys = paths.columns
-    found = paths.withColumn("ext_", suffix(F.col(path_col))).join(known, fits, "left").groupBy(*keys).agg(best)
-    error = F.when(F.col("best.format_id").isNull(), "Unsupported file extension").when(~F.col("best.available"), "Backend not available")
-    return found.select(*keys, "best.format_id", "best.format_label", "best.slide_family", error.alias("error"))
+    ext, ranked = fresh(paths, "ext"), fresh(paths, "ranked")
+    entry = F.struct("priority", "format_id", F.element_at("extensions", 1).alias("format_label"), "slide_family", "has_probe", "available")
+    known = formats.select(F.explode("extensions").alias(ext), entry.alias("entry")).groupBy(ext).agg(F.array_sort(F.collect_list("entry")).alias(ranked))
+    accepted = lambda f: F.array_contains(F.col(probes), f["format_id"]) if probes else F.lit(False)
+    found = paths.withColumn(ext, suffix(F.col(path_col))).join(F.broadcast(known), ext, "left")
+    best = F.get(F.filter(F.coalesce(F.col(ranked), F.array()), lambda f: ~f["has_probe"] | F.coalesce(accepted(f), F.lit(False))), F.lit(0))
+    found = found.withColumn(ranked, best)
+    label = {c: F.col(ranked)[c].alias(c) for c in ("format_id", "format_label", "slide_family")}
+    error = F.when(F.col(ranked).isNull(), "Unsupported file extension").when(~F.col(ranked)["available"], "Backend not available").alias("error")
+    return found.select(*[c for c in paths.columns if c not in {*label, "error"}], *label.values(), error)
+
+
+def supports_biomarkers(capability: Column, family: Column) -> Column:
+    """By the format's own capability, or as the slide is a multiplex one."""
+    return F.coalesce(capability, F.lit(False)) | F.coalesce(family == "multiplex", F.lit(False))
+
+
+def qptiff_semantics(format_id: Column, family: Column) -> Column:
+    """A qptiff slide's family; null for any other format."""
+    return F.when(format_id == "qptiff", family)
 
 
 # The words that mark a default display biomarker, by reader.

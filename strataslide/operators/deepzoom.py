@@ -38,13 +38,23 @@ def levels(slides: DataFrame, tile_size: int = 254, variant: str = "halving") ->
     return out.withColumn("cols", _ceil_div(F.col("z_width"), ts)).withColumn("rows", _ceil_div(F.col("z_height"), ts))
 
 
+def addresses(dz: DataFrame) -> DataFrame:
+    """A row a tile of each level: col, row_no."""
+    return dz.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1))).withColumn("row_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+
+
 def tiles(dz: DataFrame, tile_size: int = 254, overlap: int = 1, joint: bool = False, offset: tuple[str, str] | None = None) -> DataFrame:
     """A row a tile address: col, row_no, z_w, z_h, l0_x, l0_y, l_w, l_h.
 
     dz is levels() with `level` (the slide level read) and `downsample`, `level_w`, `level_h`.
     joint: the overlap before a tile depends on both its indices at once.
     """
-    out = dz.withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1))).withColumn("row_no", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+    return tile_places(addresses(dz), tile_size, overlap, joint, offset)
+
+
+def tile_places(addressed: DataFrame, tile_size: int = 254, overlap: int = 1, joint: bool = False, offset: tuple[str, str] | None = None) -> DataFrame:
+    """What to read for the addresses (col, row_no) of levels, see tiles()."""
+    out = addressed
     l_z = F.col("factor") / F.col("downsample")
     first = (F.col("col") > 0) | (F.col("row_no") > 0)
     last = (F.col("col") < F.col("cols") - 1) | (F.col("row_no") < F.col("rows") - 1)
@@ -61,6 +71,34 @@ def tiles(dz: DataFrame, tile_size: int = 254, overlap: int = 1, joint: bool = F
     return out
 
 
+def floor_places(addressed: DataFrame, tile_size: int = 254, overlap: int = 1) -> DataFrame:
+    """As tile_places, of the floor pyramid: overlap before a tile only, cut at the level's far sides."""
+    out = addressed
+    for axis, at, lim, side in (("x", "col", "z_width", "w"), ("y", "row_no", "z_height", "h")):
+        before = F.when(F.col(at) > 0, overlap).otherwise(0)
+        start = tile_size * F.col(at) - before
+        out = out.withColumn(f"z_{side}", _long(F.least(tile_size + before, F.col(lim) - start))).withColumn(f"l0_{axis}", _long(start * F.col("factor")))
+        out = out.withColumn(f"l_{side}", _long(F.col(f"z_{side}") * F.col("factor") / F.col("downsample")))
+    return out
+
+
+def tiled_places(addressed: DataFrame, tile_size: int = 254, overlap: int = 1) -> DataFrame:
+    """As tile_places, of the pyramid that ends at one tile: overlap on both sides, cut at the level, sizes in level-0 pixels; pad_x and pad_y centre the tile on a whole one."""
+    out = addressed
+    for axis, at, n, lim, side in (("x", "col", "cols", "z_width", "w"), ("y", "row_no", "rows", "z_height", "h")):
+        start = F.greatest(tile_size * F.col(at) - F.when(F.col(at) > 0, overlap).otherwise(0), F.lit(0).cast("long"))
+        end = F.least(tile_size * (F.col(at) + 1) + F.when(F.col(at) < F.col(n) - 1, overlap).otherwise(0), F.col(lim))
+        out = out.withColumn(f"z_{side}", _long(end - start)).withColumn(f"l0_{axis}", _long(start * F.col("factor"))).withColumn(f"l_{side}", _long((end - start) * F.col("factor")))
+        out = out.withColumn(f"pad_{axis}", _long(F.floor((tile_size + 2 * overlap - F.col(f"z_{side}")) / 2)))
+    return out
+
+
+def address_error(dz_level: Column, n_levels: Column, col: Column, row: Column, cols: Column, rows: Column) -> Column:
+    """A strict address: what is wrong with it, else null. cols and rows are null for a level that isn't there."""
+    bad = (dz_level < 0) | (dz_level >= n_levels) | cols.isNull()
+    return F.when(bad, "Invalid level").when((col < 0) | (row < 0) | (col >= cols) | (row >= rows), "Invalid address")
+
+
 def descriptor(width: Column, height: Column, tile_size: int, overlap: int, image_format: str = "jpeg") -> Column:
     """The DZI document."""
     text = f'<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" Format="{image_format}" Overlap="{overlap}" TileSize="{tile_size}"><Size Height="%d" Width="%d" /></Image>'

@@ -84,21 +84,22 @@ def overlay(pastes: DataFrame, keys: tuple[str, ...], value: str, order: tuple[s
     return pastes.groupBy(*keys).agg(F.max_by(F.col(value), F.struct(*order)).alias(value))
 
 
-def compose(pastes: DataFrame, requests: DataFrame, background: tuple[int, ...] = (255, 255, 255, 0)) -> DataFrame:
+def compose(pastes: DataFrame, requests: DataFrame, background: tuple[int, ...] | str = (255, 255, 255, 0)) -> DataFrame:
     """Requests (request_id, w, h) as rasters: request_id, height, width, n_channels, mode, data.
 
     pastes: request_id, dst_x, dst_y, draw_seq and a tile raster (height, width, data of
     RGBA). A request's tiles are pasted in draw order, without blending, on the background
-    and cut to the canvas. A task holds one canvas; its size is the request's.
+    and cut to the canvas; background is a colour, or a column of requests with one each. A
+    task holds one canvas; its size is the request's.
     """
     import numpy as np
     import pandas as pd
 
     def paint(key: tuple, canvases: pd.DataFrame, tiles: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for w, h in zip(canvases["w"], canvases["h"], strict=True):
+        for w, h, color in zip(canvases["w"], canvases["h"], canvases["background"], strict=True):
             image = np.empty((h, w, 4), np.uint8)
-            image[:] = background
+            image[:] = color
             for t in tiles.sort_values("draw_seq", kind="stable").itertuples():
                 part = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 4)
                 x0, y0, x1, y1 = max(0, t.dst_x), max(0, t.dst_y), min(w, t.dst_x + t.width), min(h, t.dst_y + t.height)
@@ -108,5 +109,6 @@ def compose(pastes: DataFrame, requests: DataFrame, background: tuple[int, ...]
         return pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data"])
 
     held = pastes.select("request_id", "dst_x", "dst_y", "draw_seq", "height", "width", "data")
-    asked = requests.select("request_id", "w", "h")
+    color = F.col(background) if isinstance(background, str) else F.array(*map(F.lit, background))
+    asked = requests.select("request_id", "w", "h", color.alias("background"))
     return asked.groupBy("request_id").cogroup(held.groupBy("request_id")).applyInPandas(paint, "request_id long, height int, width int, n_channels int, mode string, data binary")

@@ -11,7 +11,6 @@ import io
 import re
 import sqlite3
 import struct
-import tempfile
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,6 +19,8 @@ import numpy as np
 
 from ..functions.raster import xml_properties
 from .blob import Blob
+from .planes import is_ome_candidate, open_planes
+from .tiff import text, tiff_pages
 
 TILE = np.dtype([("level", "i4"), ("z", "i4"), ("channel", "i4"), ("col", "i4"), ("row_no", "i4"), ("x0", "i8"), ("y0", "i8"), ("cov_w", "i4"), ("cov_h", "i4"), ("file_id", "i4"), ("offset", "i8"), ("length", "i8")])
 
@@ -138,23 +139,32 @@ def tmap07(blob: Blob) -> Parsed:
 _DYJ_RECORD = np.dtype([("layer", "u1"), ("x", "<u4"), ("y", "<u4"), ("z", "u1"), ("length", "<i4"), ("offset", "<i8")])
 
 
-def _dyj_valid(blob: Blob, r: np.ndarray) -> np.ndarray:
-    ok = (r["layer"] <= 2) & (r["z"] < 16) & (r["length"] > 0) & (r["length"] <= 500_000) & (r["offset"] > 0)
-    for k in np.flatnonzero(ok):
-        ok[k] = blob.read(int(r["offset"][k]), 2) == b"\xff\xd8"
-    return ok
+def _dyj_fields(r: np.ndarray) -> np.ndarray:
+    return (r["layer"] <= 2) & (r["z"] < 16) & (r["length"] > 0) & (r["length"] <= 500_000) & (r["offset"] > 0)
+
+
+def _dyj_jpeg(blob: Blob, r: np.ndarray) -> np.ndarray:
+    return np.array([blob.read(at, 2) == b"\xff\xd8" for at in r["offset"].tolist()], bool)
+
+
+def _dyj_starts(blob: Blob, at: int) -> bool:
+    """Records begin at `at`: five whole ones with valid fields, three of which at least point at a JPEG."""
+    r = blob.records(at, _DYJ_RECORD, 5)
+    return len(r) == 5 and bool(_dyj_fields(r).all()) and int(_dyj_jpeg(blob, r).sum()) >= 3
 
 
 def dyj(blob: Blob) -> Parsed:
     u = lambda at, n=4: int.from_bytes(blob.read(at, n), "little")
     stated, tile = u(0xB0), u(0x0E, 2)
     order = [stated, 0x150] if blob.read(0, 8) == b"DPTWSI\x01\x00" else [0x150, stated]
-    start = next((at for at in order if at > 0 and _dyj_valid(blob, blob.records(at, _DYJ_RECORD, 5)).sum() >= 3), order[0])
+    start = next((at for at in order if at > 0 and _dyj_starts(blob, at)), 0x150)
     parts, at = [], start
     while True:  # records count up to the first that is not valid
         r = blob.records(at, _DYJ_RECORD, 4096)
-        ok = _dyj_valid(blob, r)
+        ok = _dyj_fields(r)
         n = len(r) if ok.all() else int(np.argmin(ok))
+        ok = _dyj_jpeg(blob, r[:n])
+        n = n if ok.all() else int(np.argmin(ok))
         parts.append(r[:n])
         at += n * _DYJ_RECORD.itemsize
         if n < 4096:
@@ -231,8 +241,11 @@ def zyp(blob: Blob, window: int = 10 << 20) -> Parsed:
     n = max(int(at[:, 0].max()) + 1, int(meta["LevelCount"]) if meta.get("LevelCount", "").isdigit() else 0)
     out.levels = _halved(out.width, out.height, 2, n)
     wide = side * 2 ** at[:, 0]
-    off = base[:, 1:].min(axis=0) if len(base) else np.zeros(2, np.int64)
-    out.tiles = _tiles(len(at), level=at[:, 0], col=at[:, 1], row_no=at[:, 2], x0=at[:, 1] * wide - off[0] * side, y0=at[:, 2] * wide - off[1] * side, cov_w=wide, cov_h=wide, offset=place[:, 0], length=place[:, 1])
+    off = np.zeros((n, 2), np.int64)  # each level's own least tile is its origin
+    for level in np.unique(at[:, 0]).tolist():
+        off[level] = at[at[:, 0] == level, 1:].min(axis=0)
+    moved = at[:, 1:] - off[at[:, 0]]
+    out.tiles = _tiles(len(at), level=at[:, 0], col=at[:, 1], row_no=at[:, 2], x0=moved[:, 0] * wide, y0=moved[:, 1] * wide, cov_w=wide, cov_h=wide, offset=place[:, 0], length=place[:, 1])
     try:
         out.mpp = float(meta.get("MicrometersPerPixel", ""))
     except ValueError:
@@ -358,22 +371,20 @@ def mds(blob: Blob) -> Parsed:
 # --- ibl ----------------------------------------------------------------------
 
 
-def _local(blob: Blob) -> tuple[str, tempfile._TemporaryFileWrapper | None]:
-    """A place on this machine that sqlite can open."""
+def sqlite_of(blob: Blob) -> sqlite3.Connection:
+    """A file of a local path is opened as it lies; one of another file system is held in memory."""
     if blob.name and "://" not in blob.name and not blob.name.startswith("file:"):
-        return blob.name, None
-    held = tempfile.NamedTemporaryFile(suffix=".ibl")
-    for at in range(0, blob.size, 16 << 20):
-        held.write(blob.read(at, 16 << 20))
-    held.flush()
-    return held.name, held
+        con = sqlite3.connect(f"file:{blob.name}?mode=ro", uri=True)
+    else:
+        con = sqlite3.connect(":memory:")
+        con.deserialize(blob.read(0, blob.size))
+    con.row_factory = sqlite3.Row
+    return con
 
 
 def ibl(blob: Blob, with_data: bool = False) -> Parsed:
     """Tiles lie in SQLite rows: offset is the row's number; their bytes come along if asked for."""
-    path, held = _local(blob)
-    con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
-    con.row_factory = sqlite3.Row
+    con = sqlite_of(blob)
     try:
         tables = {r["name"] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
         base = con.execute("SELECT * FROM tbl_base_info LIMIT 1").fetchone()
@@ -407,8 +418,14 @@ def ibl(blob: Blob, with_data: bool = False) -> Parsed:
         return out.stated("ibl")
     finally:
         con.close()
-        if held is not None:
-            held.close()
+
+
+def ibl_data(con: sqlite3.Connection, level: int, place: int) -> bytes | None:
+    """One tile's bytes by its row, see ibl()."""
+    tables = {r["name"] for r in con.execute("SELECT name FROM sqlite_master WHERE type = 'table'")}
+    table = "tbl_tileex_info" if "tbl_tileex_info" in tables and "tbl_img_info" not in tables else "tbl_tile_info" if level == 0 else "tbl_shrink_info"
+    row = con.execute(f"SELECT data FROM {table} WHERE rowid = ?", (place,)).fetchone()
+    return None if row is None else row["data"]
 
 
 # --- tron ---------------------------------------------------------------------
@@ -464,38 +481,6 @@ def tron(blob: Blob) -> Parsed:
 
 # --- tiff -----------------------------------------------------------------------
 
-_TIFF_TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 7: ("s", 1), 8: ("h", 2), 9: ("i", 4), 10: ("ii", 8), 11: ("f", 4), 12: ("d", 8), 13: ("I", 4), 16: ("Q", 8), 17: ("q", 8), 18: ("Q", 8)}
-
-
-def tiff_pages(blob: Blob) -> list[dict[int, tuple | bytes]]:
-    """Tags of every page of a classic or big TIFF."""
-    head = blob.read(0, 16)
-    order = {b"II": "<", b"MM": ">"}[head[:2]]
-    big = struct.unpack(order + "H", head[2:4])[0] == 43
-    at = struct.unpack(order + ("Q" if big else "I"), head[8:16] if big else head[4:8])[0]
-    pages, seen = [], set()
-    while at and at not in seen:
-        seen.add(at)
-        n = struct.unpack(order + ("Q" if big else "H"), blob.read(at, 8 if big else 2))[0]
-        first, size, inline = at + (8 if big else 2), 20 if big else 12, 8 if big else 4
-        raw = blob.read(first, n * size)
-        page: dict[int, tuple | bytes] = {}
-        for k in range(n):
-            e = raw[k * size : (k + 1) * size]
-            tag, kind = struct.unpack(order + "HH", e[:4])
-            count = struct.unpack(order + ("Q" if big else "I"), e[4 : 12 if big else 8])[0]
-            if kind not in _TIFF_TYPES:
-                continue
-            code, width = _TIFF_TYPES[kind]
-            value = e[-inline:]
-            if count * width > inline:
-                value = blob.read(struct.unpack(order + ("Q" if big else "I"), value)[0], count * width)
-            value = value[: count * width]
-            page[tag] = value.rstrip(b"\0") if code == "s" else struct.unpack(order + code * count, value)
-        pages.append(page)
-        at = struct.unpack(order + ("Q" if big else "I"), blob.read(first + n * size, 8 if big else 4))[0]
-    return pages
-
 
 def _page_tiles(page: dict, level: int, factor: float) -> np.ndarray:
     w, h = page[256][0], page[257][0]
@@ -509,21 +494,14 @@ def _page_tiles(page: dict, level: int, factor: float) -> np.ndarray:
     return _tiles(len(offsets), level=level, col=place % cols, row_no=place // cols, x0=fx(place % cols * tw), y0=fx(place // cols * th), cov_w=int(tw * factor), cov_h=int(th * factor), offset=offsets, length=lengths)
 
 
-def _text(page: dict, tag: int) -> str:
-    """A tag of text, or of bytes that hold text."""
-    value = page.get(tag, b"")
-    if not isinstance(value, bytes):
-        value = bytes(value) if all(isinstance(v, int) and 0 <= v < 256 for v in value) else b""
-    return value.decode("utf-8", "ignore")
-
-
 def tiff(blob: Blob) -> Parsed:
     """Ventana pages by description, OME or page-named channels, else the first page."""
     pages = tiff_pages(blob)
     if not pages:
         raise ValueError("no pages")
-    described = [_text(p, 270) for p in pages]
+    described = [text(p, 270) for p in pages]
     levels = [k for k, d in enumerate(described) if re.search(r"level=\d+", d)]
+    levels_stated = bool(levels)
     out = Parsed("bif" if levels else "generic_tiff")
     if levels:
         levels.sort(key=lambda k: int(re.search(r"level=(\d+)", described[k])[1]))
@@ -541,18 +519,16 @@ def tiff(blob: Blob) -> Parsed:
         out.levels.append((w, h, w0 / w if w else 1.0))
         parts.append(_page_tiles(pages[k], n, w0 / w if w else 1.0))
     out.tiles = np.concatenate(parts)
-    xml = next((x for x in (_text(p, 700) for p in pages[:5]) if "iScan" in x), "")
+    xml = next((x for x in (text(p, 700) for p in pages[:5]) if "iScan" in x), "")
     scan = re.search(r"<iScan\b([^>]*)", xml)
     if scan:
         attributes = dict(re.findall(r'(\w+)="([^"]*)"', scan[1]))
         out.properties |= {f"ventana.{k}": v for k, v in attributes.items()}
         out.mpp = float(attributes["ScanRes"]) if re.fullmatch(r"[0-9.]+", attributes.get("ScanRes", "")) else None
-    names = re.findall(r'<(?:\w+:)?Channel\b[^>]*\bName="([^"]*)"', described[0])
-    named = [_text(p, 285) for p in pages]
-    if names:
-        out.format_id, out.channels = "ome_tiff", names
-    elif any(named) and "fluidigm mcd viewer" in _text(pages[0], 305).lower():
-        out.format_id, out.channels = "ome_tiff", [n for n in named if n]
+    if not levels_stated and (blob.name.lower().endswith(".qptiff") or "PerkinElmer-QPI" in described[0] or is_ome_candidate(pages)):
+        many = open_planes(blob)
+        out.format_id, out.channels, out.mpp, out.levels = many.format_id, many.names, many.mpp, many.levels
+        out.properties |= many.properties
     if out.mpp is None and 282 in pages[0]:
         num, den = pages[0][282][:2]
         unit = pages[0].get(296, (2,))[0]
@@ -561,86 +537,28 @@ def tiff(blob: Blob) -> Parsed:
     return out.stated(out.format_id)
 
 
-def tiff_page_pixels(blob: Blob, page: dict) -> np.ndarray:
-    """A page of 8-bit samples, uncompressed or deflated, as height x width x channels."""
-    import zlib
-
-    w, h, c = page[256][0], page[257][0], page.get(277, (1,))[0]
-    packing = page.get(259, (1,))[0]
-    if page.get(258, (8,))[0] != 8 or packing not in (1, 8, 32946):
-        raise ValueError("this kind of TIFF is not read")
-    tiles = _page_tiles(page, 0, 1.0)
-    out = np.zeros((h, w, c), np.uint8)
-    for t in tiles:
-        raw = blob.read(int(t["offset"]), int(t["length"]))
-        raw = zlib.decompress(raw) if packing != 1 else raw
-        x, y = int(t["x0"]), int(t["y0"])
-        tw, th = int(t["cov_w"]), int(t["cov_h"]) if 324 in page else min(int(t["cov_h"]), h - y)
-        part = np.frombuffer(raw, np.uint8, tw * th * c).reshape(th, tw, c)
-        if page.get(317, (1,))[0] == 2:
-            part = np.cumsum(part, axis=1, dtype=np.uint8)
-        out[y : y + th, x : x + tw] = part[: h - y, : w - x]
-    return out
+# --- hdf5, ims, czi, mcd ---------------------------------------------------------------------
+
+
+def multiplex(blob: Blob, acquisition_id: int | None = None) -> Parsed:
+    """Planes of channels; there are no tiles, see the source slide_planes."""
+    found = open_planes(blob, acquisition_id)
+    out = Parsed(found.format_id, *found.levels[0][:2], levels=found.levels, mpp=found.mpp, channels=found.names, properties=dict(found.properties))
+    out.properties["slide.family"] = found.family
+    return out.stated(found.format_id)
+
+
+MAGIC = ((b"TMAP06", tmap06), (b"TMAP07", tmap07), (b"DPTWSI", dyj), (b"BKIO", mdsx), (b"\xd0\xcf\x11\xe0", mds), (b"SQLite format 3\0", ibl), (b"PK\x03\x04", tron), (b"II*\0", tiff), (b"MM\0*", tiff), (b"II+\0", tiff), (b"MM\0+", tiff), (b"\x89HDF\r\n\x1a\n", multiplex), (b"ZISRAWFILE", multiplex))
 
 
-# --- hdf5, ims ---------------------------------------------------------------------
-
-
-def hdf5(blob: Blob) -> Parsed:
-    """Multiplex planes; there are no tiles, see the source slide_planes."""
-    from .hdf5 import File, ims_names, levels_of_ims, multiplex_dataset
-
-    nodes = list(File(blob).walk())
-    levels = levels_of_ims(nodes)
-    if levels and 0 in levels:
-        out = Parsed("ims", channels=ims_names(nodes, sorted(levels[0])))
-        for channels in levels.values():
-            sizes = {n.shape[-2:] for n in channels.values()}
-            if len(sizes) > 1:
-                raise ValueError("a level's channels differ in size")
-            h, w = sizes.pop()
-            first = out.levels[0] if out.levels else (w, h)
-            out.levels.append((w, h, max(first[0] / w, first[1] / h)))
-        out.width, out.height = out.levels[0][:2]
-        return out.stated("ims")
-    found = multiplex_dataset(nodes)
-    if found is None:
-        raise ValueError("no multiplex dataset")
-    node, names = found
-    out = Parsed("hdf5", node.shape[2], node.shape[1], [(node.shape[2], node.shape[1], 1.0)], channels=names)
-    out.properties["hdf5.dataset"] = node.path
-    return out.stated("hdf5")
-
-
-def planes(blob: Blob) -> Iterator[tuple[int, str, int, np.ndarray]]:
-    """(channel, name, level, plane) of an HDF5 or IMS file, one plane at a time."""
-    from .hdf5 import File, ims_names, levels_of_ims, multiplex_dataset
-
-    file = File(blob)
-    nodes = list(file.walk())
-    levels = levels_of_ims(nodes)
-    if levels and 0 in levels:
-        names = ims_names(nodes, sorted(levels[0]))
-        for level, channels in levels.items():
-            for (c, node), name in zip(sorted(channels.items()), names, strict=False):
-                yield c, name, level, file.plane(node, 0 if len(node.shape) == 3 else None)
-        return
-    found = multiplex_dataset(nodes)
-    if found is None:
-        raise ValueError("no multiplex dataset")
-    for c, name in enumerate(found[1]):
-        yield c, name, 0, file.plane(found[0], c)
-
-
-MAGIC = ((b"TMAP06", tmap06), (b"TMAP07", tmap07), (b"DPTWSI", dyj), (b"BKIO", mdsx), (b"\xd0\xcf\x11\xe0", mds), (b"SQLite format 3\0", ibl), (b"PK\x03\x04", tron), (b"II*\0", tiff), (b"MM\0*", tiff), (b"II+\0", tiff), (b"MM\0+", tiff), (b"\x89HDF\r\n\x1a\n", hdf5))
-
-
-def parse(blob: Blob, with_data: bool = False) -> Parsed:
-    """By the file's first bytes; ZYP has none and is told by its name."""
+def parse(blob: Blob, with_data: bool = False, acquisition_id: int | None = None) -> Parsed:
+    """By the file's first bytes; ZYP and MCD have none and are told by their names."""
     head = blob.read(0, 16)
     for magic, reader in MAGIC:
         if head.startswith(magic):
             return reader(blob, with_data) if reader is ibl else reader(blob)
     if blob.name.lower().endswith(".zyp"):
         return zyp(blob)
+    if blob.name.lower().endswith(".mcd"):
+        return multiplex(blob, acquisition_id)
     raise ValueError("unknown container")

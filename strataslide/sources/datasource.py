@@ -14,7 +14,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .blob import Blob, listed
-from .containers import parse, planes
+from .containers import parse
+from .planes import planes
 
 TILES = "path string, format_id string, level int, z int, channel int, col int, row_no int, x0 long, y0 long, cov_w int, cov_h int, file_id int, offset long, length long, data binary"
 PLANES = "path string, channel_index int, name string, level int, height int, width int, dtype string, data binary"
@@ -26,10 +27,20 @@ class _File(InputPartition):
     path: str
 
 
+def side_file(path: str, number: int) -> Blob | None:
+    """<name>.DT<n> beside a file; None where it is missing, so its tiles have no bytes."""
+    try:
+        return Blob(f"{path.rpartition('.')[0]}.DT{number}")
+    except OSError:
+        return None
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self._path = options.get("path") or ""
         self._with_data = str(options.get("data", "false")).lower() == "true"
+        acquisition = options.get("acquisition_id")  # of MCD files; other options are not looked at
+        self._acquisition = int(acquisition) if acquisition else None
 
     def partitions(self) -> list[_File]:
         return [_File(p) for p in listed(self._path)]
@@ -48,11 +59,11 @@ class _TilesReader(_Reader):
                         data = found.data[k]
                     else:  # tiles of side files lie in <name>.DT<n>
                         if t[9] not in aside:
-                            aside[t[9]] = Blob(f"{partition.path.rpartition('.')[0]}.DT{t[9]}")
-                        data = aside[t[9]].read(t[10], t[11])
+                            aside[t[9]] = side_file(partition.path, t[9])
+                        data = aside[t[9]].read(t[10], t[11]) if aside[t[9]] is not None else None
                 yield (partition.path, found.format_id, *t, data)
-        except ValueError:
-            return  # slide_metadata tells what is wrong with the file
+        except Exception:  # slide_metadata tells what is wrong with the file
+            return
         finally:
             blob.close()
 
@@ -62,7 +73,7 @@ class _MetadataReader(_Reader):
         try:
             blob = Blob(partition.path)
             try:
-                p = parse(blob)
+                p = parse(blob, acquisition_id=self._acquisition)
             finally:
                 blob.close()
             yield (partition.path, p.format_id, p.width, p.height, len(p.levels), [(int(w), int(h), float(d)) for w, h, d in p.levels], p.mpp, p.channels, p.properties, {k: (int(a), int(n)) for k, (a, n) in p.stored.items()}, None)
@@ -74,9 +85,9 @@ class _PlanesReader(_Reader):
     def read(self, partition: _File) -> Iterator[tuple]:
         blob = Blob(partition.path)
         try:
-            for channel, name, level, plane in planes(blob):
+            for channel, name, level, plane in planes(blob, self._acquisition):
                 yield (partition.path, channel, name, level, *plane.shape, plane.dtype.str, plane.tobytes())
-        except ValueError:
+        except Exception:  # as above
             return
         finally:
             blob.close()

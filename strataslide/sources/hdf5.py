@@ -231,17 +231,22 @@ class File:
 
     def plane(self, node: Node, index: int | None) -> np.ndarray:
         """A 2-D dataset, or one channel of a 3-D one; only the chunks that hold it are read."""
+        return self.region(node, index, 0, 0, node.shape[-1], node.shape[-2])
+
+    def region(self, node: Node, index: int | None, x: int, y: int, w: int, h: int) -> np.ndarray:
+        """The same for a rectangle that lies within the plane."""
         shape = node.shape
-        first = 0 if index is None else index
-        box = [(0, n) for n in shape] if index is None else [(first, first + 1), *((0, n) for n in shape[1:])]
-        size = int(np.prod([b - a for a, b in box]))
+        box = [(y, y + h), (x, x + w)] if index is None else [(index, index + 1), (y, y + h), (x, x + w)]
         out = np.zeros([b - a for a, b in box], node.dtype)
         kind = node.layout[0] if node.layout else "unread"
         if kind in ("whole", "compact"):
-            skip = first * int(np.prod(shape[1:])) * node.dtype.itemsize if index is not None else 0
-            raw = node.layout[1][skip:] if kind == "compact" else self._b.read(node.layout[1] + skip, size * node.dtype.itemsize) if node.layout[1] != _NONE else b""
-            if len(raw) >= size * node.dtype.itemsize:
-                out = np.frombuffer(raw, node.dtype, size).reshape(out.shape)
+            # whole rows from the first to the last of the rectangle lie in one run
+            wide = node.dtype.itemsize
+            skip = ((0 if index is None else index * shape[-2]) + y) * shape[-1] * wide
+            size = h * shape[-1] * wide
+            raw = node.layout[1][skip : skip + size] if kind == "compact" else self._b.read(node.layout[1] + skip, size) if node.layout[1] != _NONE else b""
+            if len(raw) == size and size:
+                out = np.frombuffer(raw, node.dtype).reshape(h, shape[-1])[:, x : x + w].reshape(out.shape)
         elif kind == "chunks":
             chunk = node.layout[2]
             for at, place, n in self._chunks(node.layout[1], len(shape)):

@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from strataslide import catalog as catalog_module
 from strataslide import sinks, streaming
 from strataslide.catalog import catalog, resolve
 from strataslide.functions import raster
@@ -230,3 +231,47 @@ def test_streams_equal_the_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("counts").agg(F.sum("n")).first()[0] == 40
+
+
+def test_resolve_keeps_rows_and_bears_clashing_columns(spark):
+    """Repeated paths stay, null ones are unsupported, and columns named as the catalog's do no harm."""
+    rows = [("/a.svs", 1, "x", True), ("/a.svs", 1, "x", True), ("/b.h5", 2, "y", False), ("/c.tif", 3, "z", None), (None, 4, None, None), ("/d.xyz", 5, "w", True), ("/.hidden", 6, "", True)]
+    paths = spark.createDataFrame(rows, "path string, priority int, ext string, available boolean")
+    got = resolve(paths.withColumn("probes", F.array(F.lit("hdf5"))), catalog(spark), probes="probes")
+    want = {1: ("openslide", "Backend not available"), 2: ("hdf5", None), 3: ("generic_tiff", None), **{k: (None, "Unsupported file extension") for k in (4, 5, 6)}}
+    assert {r["priority"]: (r["format_id"], r["error"]) for r in got.collect()} == want
+    assert got.count() == len(rows) and got.columns == ["path", "priority", "ext", "available", "probes", "format_id", "format_label", "slide_family", "error"]
+    again = resolve(got, catalog(spark))
+    assert again.columns == got.columns and again.count() == len(rows)
+    assert "Exchange hashpartitioning(path" not in resolve(paths, catalog(spark))._jdf.queryExecution().toString()
+
+
+def test_biomarker_capability(spark):
+    rows = spark.createDataFrame([("qptiff", True, "brightfield"), ("czi", False, "multiplex"), ("svs", False, "brightfield"), ("x", None, None)], "f string, c boolean, family string")
+    got = rows.select("f", catalog_module.supports_biomarkers(F.col("c"), F.col("family")).alias("b"), catalog_module.qptiff_semantics(F.col("f"), F.col("family")).alias("q")).collect()
+    assert {r["f"]: (r["b"], r["q"]) for r in got} == {"qptiff": (True, "brightfield"), "czi": (True, None), "svs": (False, None), "x": (False, None)}
+
+
+@pytest.mark.parametrize("variant", ["floor", "tiled"])
+def test_deep_zoom_variants(spark, variant):
+    """Tiles of the floor and the tiled pyramid against plain loops."""
+    w, h, size, lap = 700, 333, 100, 2
+    dz = deepzoom.levels(spark.createDataFrame([(1, w, h)], "slide_id long, width long, height long"), size, variant).withColumn("downsample", F.lit(1.0))
+    places = (deepzoom.floor_places if variant == "floor" else deepzoom.tiled_places)(deepzoom.addresses(dz), size, lap)
+    n = math.ceil(math.log2(w)) + 1 if variant == "floor" else math.ceil(math.log2(w / size)) + 1
+    want = set()
+    for level in range(n):
+        f = 2 ** (n - 1 - level)
+        lw, lh = (max(1, w // f), max(1, h // f)) if variant == "floor" else (math.ceil(w / f), math.ceil(h / f))
+        for c in range(math.ceil(lw / size)):
+            for r in range(math.ceil(lh / size)):
+                if variant == "floor":
+                    x, y = c * size - (lap if c else 0), r * size - (lap if r else 0)
+                    tw, th = min(size + (lap if c else 0), lw - x), min(size + (lap if r else 0), lh - y)
+                    want.add((level, c, r, x * f, y * f, tw, th, tw * f, th * f))
+                else:
+                    x, y = max(0, c * size - (lap if c else 0)), max(0, r * size - (lap if r else 0))
+                    x1, y1 = min(lw, (c + 1) * size + (lap if c < math.ceil(lw / size) - 1 else 0)), min(lh, (r + 1) * size + (lap if r < math.ceil(lh / size) - 1 else 0))
+                    want.add((level, c, r, x * f, y * f, x1 - x, y1 - y, (x1 - x) * f, (y1 - y) * f))
+    got = {(r["dz_level"], r["col"], r["row_no"], r["l0_x"], r["l0_y"], r["z_w"], r["z_h"], r["l_w"], r["l_h"]) for r in places.collect()}
+    assert got == want

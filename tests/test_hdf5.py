@@ -8,7 +8,7 @@ import pytest
 
 from strataslide.sources import hdf5, register_sources
 from strataslide.sources.blob import Blob
-from strataslide.sources.containers import hdf5 as parse_hdf5
+from strataslide.sources.containers import multiplex as parse_hdf5
 
 NONE = 2**64 - 1
 

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from strataslide.sources import containers as C
+from strataslide.sources import tiff as T
 from strataslide.sources import register_sources
 from strataslide.sources.blob import Blob
 
@@ -183,4 +184,43 @@ def test_tiles(spark, folder):
 def test_tiff_pixels(packing):
     data, pixels = make_tiff(packing=packing)
     blob = Blob(data)
-    assert (C.tiff_page_pixels(blob, C.tiff_pages(blob)[0]) == pixels).all()
+    assert (T.tiff_page_pixels(blob, T.tiff_pages(blob)[0]) == pixels).all()
+
+
+def test_dyj_start_needs_five_valid_records(tmp_path):
+    """A place with three good records and a bad one among the first five is no start."""
+    data = bytearray(make_dyj())
+    for k, layer in enumerate((0, 0, 9, 0, 0, 0)):  # at the fixed place: the third record is not valid
+        struct.pack_into("<BIIBiq", data, 0x150 + 22 * k, layer, 1280 * k, 0, 8, len(JPEG), 1500)
+    data[:8] = b"DPTWSI\x02\x00"  # the fixed place is tried first
+    assert len(C.dyj(Blob(bytes(data))).tiles) == 4
+    data[6] = 1
+    struct.pack_into("<I", data, 0xB0, 0x700)  # nothing there, nor at the fixed place, which then holds
+    assert len(C.dyj(Blob(bytes(data))).tiles) == 2
+
+
+def test_zyp_levels_have_their_own_origin():
+    seg = lambda s: b"\xff\xfe\xff" + bytes([len(s)]) + s.encode("utf-16le")
+    words = []
+    for level, x, y in ((0, 5, 7), (0, 6, 7), (1, 3, 4), (1, 4, 4)):
+        words += [f"0,{level},{x},{y}", "StartPosition", "10", "DataLength", "4"]
+    t = C.zyp(Blob(b"".join(map(seg, words)))).tiles
+    assert [(int(r["level"]), int(r["x0"]), int(r["y0"])) for r in t] == [(0, 0, 0), (0, 256, 0), (1, 0, 0), (1, 512, 0)]
+
+
+def test_missing_side_file_and_broken_files(spark, tmp_path):
+    """Tiles of a side file that is missing have no bytes; a broken file ends nothing."""
+    data = bytearray(make_tmap06())
+    at = data.index(struct.pack("<BBxx4Bhhii", 0, 0, 0, 0, 0, 0, 0, 0, 64, 32))
+    data[at] = 2
+    (tmp_path / "a.tmap").write_bytes(bytes(data))
+    (tmp_path / "b.tmap").write_bytes(make_tmap06())
+    (tmp_path / "bad.ibl").write_bytes(b"SQLite format 3\0" + b"rubbish" * 40)
+    (tmp_path / "bad.tron").write_bytes(b"PK\x03\x04" + b"rubbish" * 40)
+    (tmp_path / "bad.h5").write_bytes(b"\x89HDF\r\n\x1a\n" + b"\xff" * 90)
+    register_sources(spark)
+    rows = spark.read.format("slide_tiles").option("data", "true").load(str(tmp_path)).collect()
+    by = {n: [r["data"] for r in rows if r["path"].endswith(n)] for n in ("a.tmap", "b.tmap")}
+    assert len(by["a.tmap"]) == 4 and by["a.tmap"].count(None) == 3 and None not in by["b.tmap"]
+    errors = spark.read.format("slide_metadata").load(str(tmp_path)).filter("error is not null").count()
+    assert errors == 3 and spark.read.format("slide_planes").load(str(tmp_path)).count() == 0
