@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as the contracts of the operators define it.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,15 +19,15 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir.
 
-    Only where the session has none (tests on one machine) a temporary one is made.
+    Where it is unset, a temporary folder if all runs in the driver's process, else an error.
     """
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        known = spark.sparkContext.getCheckpointDir()
-        if known is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="strataslide-"))
-            known = spark.sparkContext.getCheckpointDir()
-        at = known
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="strataslide-"))
+        at = context.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -51,10 +54,33 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(kept: DataFrame) -> None:
+    """Remove what keep() wrote, once nothing reads it any more; a failed removal waits for the process's end."""
+    for file in kept.inputFiles()[:1]:
+        _drop(kept.sparkSession, file.rpartition("/")[0])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def map_rows(df: DataFrame, each: Callable, schema: str, ids: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """mapInPandas where `ids`, longs in df or in the schema, travel as text: pandas rounds a column of longs that holds nulls."""
+    sent = df.withColumns({c: F.col(c).cast("long").cast("string") for c in ids if c in df.columns})
+    out = T.StructType.fromDDL(schema)
+    told = T.StructType([T.StructField(f.name, T.StringType()) if f.name in ids else f for f in out])
+    found = sent.mapInPandas(each, told)
+    return found.select(*[F.col(f.name).cast("long").alias(f.name) if f.name in ids else f.name for f in out])
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores after it until no column of df is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_count(text) -> F.Column:
     """Number of words in a text column; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 SEEDS, LEVELS = 24, 3
 _ODD = (np.random.default_rng(23).integers(0, 2**63, SEEDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _FIRST = -(2**63)
@@ -173,7 +175,7 @@ def fingerprints(docs: DataFrame, lex: np.ndarray) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fingerprint": [make.fingerprint(t or "") for t in b["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(each, "doc_id long, fingerprint string")
+    return map_rows(docs.select("doc_id", "text"), each, "doc_id long, fingerprint string")
 
 
 def edit(text: str, after: str) -> str:

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 # Public license notices, as text.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -160,4 +162,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, **options) ->
             found = [s.scan(t or "") for t in b["text"]]
             yield pd.DataFrame({"doc_id": b["doc_id"], "n_licenses": [len(f) for f in found], "licenses": [[{"template": n, "coverage": c, "words": w, "start": a, "end": z} for n, c, w, a, z in f] for f in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(each, "doc_id long, n_licenses int, licenses array<struct<template: string, coverage: double, words: int, start: int, end: int>>")
+    return map_rows(docs.select("doc_id", "text"), each, "doc_id long, n_licenses int, licenses array<struct<template: string, coverage: double, words: int, start: int, end: int>>")

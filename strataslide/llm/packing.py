@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import keep, map_rows
 from .tokens import chunk_tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -89,10 +89,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
-            yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, _PIECES + ", ids binary" * with_ids)
+    return map_rows(docs.select("doc_id", "text"), cut, _PIECES + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, rows_per_bucket: int = 50_000) -> DataFrame:

@@ -28,6 +28,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import map_rows
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -406,7 +409,8 @@ def find(docs: DataFrame, tagger: Tagger, keep_cols: tuple[str, ...] = ("doc_id"
 
     kept = docs.select(*keep_cols, F.col("text").alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text_")
-    return kept.mapInPandas(each, f"{schema}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long, found array<struct<kind: string, start: int, end: int>>")
+    longs = tuple(f.name for f in kept.schema if isinstance(f.dataType, T.LongType))
+    return map_rows(kept, each, f"{schema}, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_added long, found array<struct<kind: string, start: int, end: int>>", longs)
 
 
 def mask(docs: DataFrame, tagger: Tagger) -> DataFrame:
