@@ -19,7 +19,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read, write
 
-    return read(write(table(spark, sf_dir, "pages"))).drop("url")
+    pages = table(spark, sf_dir, "pages")
+    return read(write(pages), pages).drop("url")
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

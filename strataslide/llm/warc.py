@@ -5,12 +5,15 @@ where every record lies. Captures are sorted by reversed-host URL key (then id)
 files; an index file is a run of compressed blocks of `block_lines` captures, followed by its
 sparse directory: each block's first key and place. A search picks the index file by its
 first key (one short row a file), binary-searches that file's directory, reads the one block
-by range, binary-searches it, and reads the record by range.
+by range, binary-searches it, and reads the record by range. Reading all pages back goes the
+same way: every (key, id) asked for is searched, and the records found are read by range.
 
 Every attempt of a task writes under a name of its own, so a repeated task never meets a
 half-written file; rows point only at files of attempts that ended well.
 
-Defined results: null html is an empty payload, a null url has the empty key; the record of
+Payloads are equal if their SHA-1, a second digest and their length are. Defined results: null
+html is an empty payload, a null url has the empty key, a url that can't be parsed its own
+text, stripped and in lower case, as key; other columns are not read; the record of
 the smallest page_id among equal payloads of at least `min_revisit` bytes is the response and
 the others are revisits of it (equal rows with that id are responses all); page_id null
 sorts last; an empty table gives empty archives and frames.
@@ -34,17 +37,22 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep, scratch
+from .common import keep, map_rows, scratch
 
 _CAPTURE = "url_key string, page_id long, file string, offset long, length long"
+_IDS = ("page_id", "first_id", "refers_to")
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def url_key(url: str | None) -> str:
     """com,example,www)/path?query: the host reversed, without scheme, port 80 or 443 and fragment, lower case."""
-    parts = urlsplit((url or "").strip())
+    url = (url or "").strip()
+    try:
+        parts = urlsplit(url)
+    except ValueError:  # brackets that hold no address, characters that change under normalisation
+        return url.lower()
     if not parts.netloc:
-        return (url or "").strip().lower()
+        return url.lower()
     host, _, port = parts.netloc.rpartition("@")[2].lower().partition(":")
     at = ",".join(reversed(host.split("."))) + (f":{port}" if port not in ("", "80", "443") else "")
     return f"{at}){parts.path.lower() or '/'}" + (f"?{parts.query.lower()}" if parts.query else "")
@@ -94,6 +102,25 @@ class Archive:
     captures: DataFrame
     files: DataFrame
 
+    def firsts(self) -> list[tuple[tuple, str]]:
+        """First (key, id) and name of each index file, sorted: one short row a partition of the index."""
+        return sorted(((r["first_key"], *_last_if_null(r["first_id"])), r["file"]) for r in self.files.collect())
+
+
+def _last_if_null(i: int | None) -> tuple[bool, int]:
+    """An id as it sorts: null ones last."""
+    return (True, 0) if i is None else (False, int(i))
+
+
+def _whole(i: str | None) -> int | None:
+    return None if i is None else int(i)
+
+
+def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
+    """Rows as a frame in which ids are text, see map_rows()."""
+    at = [k for k, n in enumerate(names) if n in _IDS]
+    return pd.DataFrame([tuple(v if k not in at or v is None else str(v) for k, v in enumerate(r)) for r in rows], columns=names, dtype=object)
+
 
 def _open(root: str) -> tuple[fs.FileSystem, str]:
     where, path = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
@@ -104,9 +131,11 @@ def write(pages: DataFrame, root: str | None = None, *, min_revisit: int = 0, bl
     """Write pages (page_id, url, html) as WARC archives with their index."""
     spark = pages.sparkSession
     root = root or scratch(spark, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    first = rows.select("sha1", "page_id").groupBy("sha1").agg(F.min("page_id").alias("first_id"))
-    marked = rows.join(first.hint("shuffle_hash"), "sha1")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    same = {"sha1": F.sha1(F.col("html").cast("binary")), "second": F.xxhash64("html"), "size": F.octet_length("html")}
+    rows = rows.withColumns(same)
+    first = rows.groupBy(*same).agg(F.min("page_id").alias("first_id"))
+    marked = rows.join(first.hint("shuffle_hash"), list(same))  # a payload that many pages share is split by the adaptive skew join
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, top = _open(root)
@@ -115,8 +144,7 @@ def write(pages: DataFrame, root: str | None = None, *, min_revisit: int = 0, bl
             rows = []
             for page_id, url, html, first_id in zip(b["page_id"], b["url"], b["html"], b["first_id"], strict=True):
                 payload = html.encode("utf-8", "replace")
-                page_id = None if pd.isna(page_id) else int(page_id)
-                first_id = None if pd.isna(first_id) else int(first_id)
+                page_id, first_id = _whole(page_id), _whole(first_id)
                 again = page_id != first_id and len(payload) >= min_revisit
                 raw = gzip.compress(record(page_id, url, payload, "revisit" if again else "response", first_id if again else None, digest(payload)), level, mtime=0)
                 if out is None:
@@ -125,12 +153,11 @@ def write(pages: DataFrame, root: str | None = None, *, min_revisit: int = 0, bl
                 out.write(raw)
                 rows.append((url_key(url), page_id, name, at, len(raw)))
                 at += len(raw)
-            d = pd.DataFrame(rows, columns=["url_key", "page_id", "file", "offset", "length"])
-            yield d.assign(page_id=d["page_id"].astype("Int64"))
+            yield _frame(rows, ["url_key", "page_id", "file", "offset", "length"])
         if out is not None:
             out.close()
 
-    captures = keep(marked.select("page_id", "url", "html", "first_id").mapInPandas(store, _CAPTURE), "captures")
+    captures = keep(map_rows(marked.select("page_id", "url", "html", "first_id"), store, _CAPTURE, _IDS), "captures")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, top = _open(root)
@@ -143,13 +170,13 @@ def write(pages: DataFrame, root: str | None = None, *, min_revisit: int = 0, bl
                 out = where.open_output_stream(f"{top}/{name}", compression=None)
             raw = zlib.compress("\n".join(json.dumps(x, ensure_ascii=False) for x in held).encode("utf-8", "replace"), 6)
             out.write(raw)
-            blocks.append((held[0][0], at, len(raw)))
+            blocks.append((held[0][0], held[0][1], at, len(raw)))
             at += len(raw)
             held.clear()
 
         for b in batches:
             for row in zip(*(b[c].tolist() for c in ("url_key", "page_id", "file", "offset", "length")), strict=True):
-                held.append([row[0], None if pd.isna(row[1]) else int(row[1]), *row[2:]])
+                held.append([row[0], _whole(row[1]), *row[2:]])
                 if len(held) == block_lines:
                     flush()
         if held:
@@ -158,10 +185,10 @@ def write(pages: DataFrame, root: str | None = None, *, min_revisit: int = 0, bl
             raw = zlib.compress(json.dumps(blocks, ensure_ascii=False).encode("utf-8", "replace"))
             out.write(raw + len(raw).to_bytes(8, "little"))
             out.close()
-            yield pd.DataFrame({"file": [name], "first_key": [blocks[0][0]], "blocks": [len(blocks)]})
+            yield _frame([(name, *blocks[0][:2], len(blocks))], ["file", "first_key", "first_id", "blocks"])
 
-    sorted_captures = captures.repartitionByRange("url_key", "page_id").sortWithinPartitions("url_key", F.col("page_id").asc_nulls_last())
-    files = keep(sorted_captures.mapInPandas(index, "file string, first_key string, blocks int"), "index")
+    sorted_captures = captures.repartitionByRange(F.col("url_key"), F.col("page_id").asc_nulls_last()).sortWithinPartitions("url_key", F.col("page_id").asc_nulls_last())
+    files = keep(map_rows(sorted_captures, index, "file string, first_key string, first_id long, blocks int", _IDS), "index")
     return Archive(spark, root, captures, files)
 
 
@@ -172,27 +199,30 @@ class Directory:
         self._file = where.open_input_file(path)
         size = self._file.size()
         n = int.from_bytes(self._read(size - 8, 8), "little")
-        self.blocks = [tuple(x) for x in json.loads(zlib.decompress(self._read(size - 8 - n, n)))]
+        self.blocks = [((key, *_last_if_null(i)), at, n) for key, i, at, n in json.loads(zlib.decompress(self._read(size - 8 - n, n)))]
         self._firsts = [b[0] for b in self.blocks]
+        self._kept: tuple[int, list] = (-1, [])
 
     def _read(self, at: int, n: int) -> bytes:
         self._file.seek(at)
         return self._file.read(n)
 
     def block(self, k: int) -> list[list]:
-        _, at, n = self.blocks[k]
-        return [json.loads(line) for line in zlib.decompress(self._read(at, n)).decode().split("\n")]
-
-    def find(self, key: str) -> list[list]:
-        """All captures of a key in this file."""
-        k = max(0, bisect.bisect_left(self._firsts, key) - 1)
+        """The captures of a block; the last one read is kept."""
+        if self._kept[0] != k:
+            _, at, n = self.blocks[k]
+            self._kept = (k, [json.loads(line) for line in zlib.decompress(self._read(at, n)).decode().split("\n")])
+        return self._kept[1]
+
+    def find(self, key: str, page_id: tuple[bool, int] | None = None) -> list[list]:
+        """All captures of a key in this file, or of a key and an id: the directory and each block are searched by halving."""
+        low, high = ((key, *page_id),) * 2 if page_id else ((key, False, -(2**63)), (key, True, 0))
+        k = max(0, bisect.bisect_left(self._firsts, low) - 1)
         found = []
-        while k < len(self.blocks) and self._firsts[k] <= key:
+        while k < len(self.blocks) and self._firsts[k] <= high:
             lines = self.block(k)
-            at = bisect.bisect_left(lines, key, key=lambda x: x[0])
-            while at < len(lines) and lines[at][0] == key:
-                found.append(lines[at])
-                at += 1
+            place = lambda x: (x[0], *_last_if_null(x[1]))
+            found += lines[bisect.bisect_left(lines, low, key=place) : bisect.bisect_right(lines, high, key=place)]
             k += 1
         return found
 
@@ -200,24 +230,48 @@ class Directory:
         self._file.close()
 
 
-def read(archive: Archive, with_payload: bool = False) -> DataFrame:
-    """Every record, read back by way of the index: blocks give the places, each archive is read in file order."""
-    root = archive.root
+def read(archive: Archive, pages: DataFrame | None = None, with_payload: bool = False, run_bytes: int = 16 << 20) -> DataFrame:
+    """The records of pages (page_id, url), of all that were captured by default.
+
+    Every key and id is looked up in the index: the file by the files' first keys, the block by
+    the file's directory, the capture within the block. Archives are then read in runs of about
+    `run_bytes`, each by range and in file order.
+    """
+    root, spark = archive.root, archive.spark
+    firsts = archive.firsts()
+    heads = [f[0] for f in firsts]
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys = b["url_key"] if "url_key" in b else [url_key(u) for u in b["url"]]
+            at = [max(0, bisect.bisect_right(heads, (k, *_last_if_null(i))) - 1) for k, i in zip(keys, b["page_id"], strict=True)]
+            yield pd.DataFrame({"at": at, "key": keys, "page_id": b["page_id"]})
+
+    asked = archive.captures.select("url_key", "page_id") if pages is None else pages.select("url", F.col("page_id").cast("long").alias("page_id"))
+    asked = map_rows(asked, assign, "at int, key string, page_id long", _IDS).dropDuplicates()  # a repeated row is found as often as it was captured
+    asked = asked.repartition("at").sortWithinPartitions("at", "key", F.col("page_id").asc_nulls_last())
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, top = _open(root)
+        now, directory = None, None
         for b in batches:
-            for name in b["file"]:
-                d = Directory(where, f"{top}/{name}")
-                for k in range(len(d.blocks)):
-                    rows = d.block(k)
-                    yield pd.DataFrame({"warc": [r[2] for r in rows], "offset": [r[3] for r in rows], "length": [r[4] for r in rows]})
-                d.close()
-
-    listed = archive.files.select("file").repartition("file").mapInPandas(places, "warc string, offset long, length long")
-    # runs of a file go to tasks of their own, so one large archive is not one task
-    run = F.floor(F.col("offset") / (16 << 20))
-    ordered = listed.repartition("warc", run).sortWithinPartitions("warc", "offset")
+            rows = []
+            for at, key, page_id in zip(b["at"], b["key"], b["page_id"], strict=True):
+                if at != now and firsts:
+                    if directory is not None:
+                        directory.close()
+                    now, directory = at, Directory(where, f"{top}/{firsts[at][1]}")
+                if directory is not None:
+                    rows += [r[2:] for r in directory.find(key, _last_if_null(page_id))]
+            yield pd.DataFrame(rows, columns=["warc", "offset", "length"])
+        if directory is not None:
+            directory.close()
+
+    # runs of a file go to tasks of their own, so one large archive is not one task; few bytes tell much to read, so tasks are counted here
+    size = archive.captures.agg(F.sum("length")).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // run_bytes))
+    found = map_rows(asked, places, "warc string, offset long, length long", _IDS)
+    ordered = found.repartition(int(tasks), "warc", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("warc", "offset")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, top = _open(root)
@@ -232,14 +286,13 @@ def read(archive: Archive, with_payload: bool = False) -> DataFrame:
                 file.seek(at)
                 row = parse(gzip.decompress(file.read(n)))
                 rows.append(row if with_payload else row[:-1])
-            d = pd.DataFrame(rows, columns=names)
-            yield d.assign(page_id=d["page_id"].astype("Int64"), refers_to=d["refers_to"].astype("Int64"))
+            yield _frame(rows, names)
         if file is not None:
             file.close()
 
     schema = _RECORD if with_payload else _RECORD.rpartition(",")[0]
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    return ordered.mapInPandas(load, schema)
+    return map_rows(ordered, load, schema, _IDS)
 
 
 def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
@@ -248,8 +301,7 @@ def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
     Index files are as many as the index had partitions; their first keys are broadcast. A
     key goes to the one file that may hold it first, and on to later files that begin with it.
     """
-    root = archive.root
-    firsts = sorted((r["first_key"], r["file"]) for r in archive.files.select("first_key", "file").collect())  # one row an index file
+    root, firsts = archive.root, archive.firsts()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         where, top = _open(root)
@@ -258,8 +310,8 @@ def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
             rows = []
             for url in b["url"]:
                 key = url_key(url)
-                k = max(0, bisect.bisect_left(firsts, (key, "")) - 1)
-                while k < len(firsts) and firsts[k][0] <= key:
+                k = max(0, bisect.bisect_left(firsts, ((key, False, -(2**63)), "")) - 1)
+                while k < len(firsts) and firsts[k][0] <= (key, True, 0):
                     name = firsts[k][1]
                     if name not in cached:
                         cached[name] = Directory(where, f"{top}/{name}")
@@ -268,9 +320,8 @@ def lookup(archive: Archive, urls: DataFrame) -> DataFrame:
                             f.seek(at)
                             rows.append((url, *parse(gzip.decompress(f.read(n)))))
                     k += 1
-            d = pd.DataFrame(rows, columns=["asked", *(c.strip().split(" ")[0] for c in _RECORD.split(","))])
-            yield d.assign(page_id=d["page_id"].astype("Int64"), refers_to=d["refers_to"].astype("Int64"))
+            yield _frame(rows, ["asked", *(c.strip().split(" ")[0] for c in _RECORD.split(","))])
         for d in cached.values():
             d.close()
 
-    return urls.select("url").mapInPandas(search, f"asked string, {_RECORD}")
+    return map_rows(urls.select("url"), search, f"asked string, {_RECORD}", _IDS)
