@@ -24,14 +24,18 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import drop, keep, map_rows
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (7, 6, 5, 4)
@@ -60,27 +64,29 @@ def segments(at: list[int], scores: list[float], gap: float) -> list[tuple[int,
     """All maximal scoring segments (first token, last token, score), in order.
 
     at and scores are the tokens of positive score; every token between two of them costs gap.
-    Linear: candidates lie on a stack, and one that is extended swallows those on top of it.
+    Linear: candidates lie on a stack, each with a link to the nearest one below that starts
+    lower. The sums never fall along the links, so a search follows them instead of the whole
+    stack, and a candidate that is extended swallows those on top of it.
     """
-    stack: list[list] = []  # [first, last, sum before, sum with]
-    total, last = 0.0, None
+    stack: list[tuple] = []  # (first, last, sum before, sum with, link)
+    total, end = 0.0, None
     for i, s in zip(at, scores, strict=True):
-        if last is not None:
-            total -= gap * (i - last - 1)
-        last = i
-        new = [i, i, total, total + s]
+        if end is not None:
+            total -= gap * (i - end - 1)
+        end = i
+        first, low, high, j = i, total, total + s, len(stack) - 1
         total += s
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or stack[j][3] >= new[3]:
+            while j >= 0 and stack[j][2] >= low:
+                j = stack[j][4]
+            if j < 0 or stack[j][3] >= high:
                 # candidates that start no lower than this one can't grow any more, but stay segments
-                stack.append(new)
+                stack.append((first, i, low, high, j))
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
+            first, _, low, _, link = stack[j]
             del stack[j:]
-    return [(a, b, after - before) for a, b, before, after in stack]
+            j = link
+    return [(a, b, after - before) for a, b, before, after, _ in stack]
 
 
 class Scorer:
@@ -128,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_000, z_min
     n = marked.count()
     if n > max_fit_rows:
         marked = marked.filter(F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < int(1e6 * max_fit_rows / n))
-    rows = docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "toxic")  # about max_fit_rows pairs of numbers
+    rows = keep(docs.select("doc_id", "text").join(F.broadcast(marked), "doc_id").select("text", "toxic"), "labelled")  # about max_fit_rows pairs of numbers are broadcast
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, list[int]] = {}
@@ -152,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_000, z_min
         both = F.col("clean") + F.col("toxic")
         a1, a0 = F.col("toxic") + prior * both, F.col("clean") + prior * both
         all1, all0 = n1 + prior * (n0 + n1), n0 + prior * (n0 + n1)
-        odds = F.log(a1 / (all1 - a1)) - F.log(a0 / (all0 - a0))
+        # a key that every row holds has nothing beside it: half a row at least
+        odds = F.log(a1 / F.greatest(all1 - a1, F.lit(0.5))) - F.log(a0 / F.greatest(all0 - a0, F.lit(0.5)))
         scored = per.filter("key <> '' and toxic > 0").select("key", odds.alias("odds"), (odds / F.sqrt(1 / a1 + 1 / a0)).alias("z"))
         lexicon = {r["key"]: r["odds"] for r in scored.filter((F.col("z") >= z_min) & (F.col("odds") >= 1.0)).collect()}  # bounded by the rows fitted
     per.unpersist()
@@ -160,17 +167,29 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_000, z_min
     if not lexicon:
         return model
 
-    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer = Scorer(model)
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Clean rows: how often each score occurs; under no score their tokens, under minus one their segments."""
+        scorer, seen = Scorer(model), Counter()
         for b in batches:
-            out = []
-            for text in b["text"]:
+            for text in b.loc[b["toxic"] <= 0, "text"]:
                 ws = words(text)
                 at, scores = scorer.hits(ws)
-                out.append((len(ws), at, scores))
-            yield pd.DataFrame(out, columns=["n", "at", "scores"]).assign(toxic=b["toxic"].to_numpy() > 0)
+                seen.update(scores)
+                seen[0.0] += len(ws)
+                seen[-1.0] += len(segments(at, scores, gap))
+        yield pd.DataFrame({"score": list(seen), "n": list(seen.values())}, columns=["score", "n"])
+
+    totals = rows.mapInPandas(measure, "score double, n long").groupBy("score").agg(F.sum("n").alias("n")).collect()  # a row a distinct score of the lexicon
+    model = _tail(model, {r["score"]: r["n"] for r in totals})
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(model)
+        for b in batches:
+            found = [scorer.features(scorer.passages(words(t))) for t in b["text"]]
+            yield pd.DataFrame(found, columns=["best", "every"]).assign(toxic=b["toxic"].to_numpy() > 0)
 
-    seen = rows.mapInPandas(tokens, "n long, at array<int>, scores array<double>, toxic boolean").collect()  # at most about max_fit_rows rows of hits
+    seen = rows.mapInPandas(features, "best double, every double, toxic boolean").orderBy("best", "every", "toxic").collect()  # about max_fit_rows rows of two numbers
+    drop(rows)
     return _calibrate(model, seen)
 
 
@@ -178,24 +197,23 @@ def _counts(sums: dict[str, list[int]]) -> pd.DataFrame:
     return pd.DataFrame([(k, *v) for k, v in sums.items()], columns=["key", "clean", "toxic"])
 
 
-def _calibrate(model: Model, seen: list) -> Model:
-    clean = [r for r in seen if not r["toxic"]]
-    n = sum(r["n"] for r in clean) + 1.0
-    found = np.concatenate([np.array([s for r in clean for s in r["scores"]]), list(model.lexicon.values())[:1]])
-    shares = np.full(len(found), 1 / n)
+def _tail(model: Model, seen: dict[float, int]) -> Model:
+    """lambda and K of the extreme-value law from what clean rows hold, see fit()."""
+    n = seen.get(0.0, 0) + 1.0
+    found = np.array([*sorted(s for s in seen if s > 0), min(model.lexicon.values())])
+    shares = np.array([*(seen[s] for s in sorted(seen) if s > 0), 1.0]) / n
     rest = 1 - shares.sum()
     low, high = 1e-6, 50.0
     for _ in range(200):
         mid = (low + high) / 2
         above = (shares * np.exp(np.minimum(mid * found, 700))).sum() + rest * math.exp(-mid * model.gap) > 1
         low, high = (low, mid) if above else (mid, high)
-    decay = low
-    runs = [s for r in clean for _, _, s in segments(r["at"], r["scores"], model.gap)]
-    floor = min(model.lexicon.values())
-    scale = (len(runs) + 0.5) / n * math.exp(decay * floor)
-    model = Model(model.lexicon, model.gap, decay, scale, model.weights)
-    scorer = Scorer(model)
-    x = np.array([(1.0, *scorer.features([(a, b, s, scale * r["n"] * math.exp(-decay * s)) for a, b, s in segments(r["at"], r["scores"], model.gap)])) for r in seen])
+    scale = (seen.get(-1.0, 0) + 0.5) / n * math.exp(low * min(model.lexicon.values()))
+    return replace(model, decay=low, scale=scale)
+
+
+def _calibrate(model: Model, seen: list) -> Model:
+    x = np.array([(1.0, r["best"], r["every"]) for r in seen]).reshape(-1, 3)
     y = np.array([float(r["toxic"]) for r in seen])
     w = np.zeros(3)
     for _ in range(50):  # ridge-penalised logistic regression by Newton's method
@@ -206,7 +224,7 @@ def _calibrate(model: Model, seen: list) -> Model:
         w = w + step
         if np.abs(step).max() < 1e-9:
             break
-    return Model(model.lexicon, model.gap, decay, scale, tuple(float(v) for v in w))
+    return replace(model, weights=tuple(float(v) for v in w))
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
@@ -239,4 +257,5 @@ def score(docs: DataFrame, model: Model, keep_cols: tuple[str, ...] = ("doc_id",
 
     kept = docs.select(*keep_cols, F.col("text").alias("text_"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "text_")
-    return kept.mapInPandas(each, schema + ", score double, predicted int, passages array<struct<start: int, end: int, score: double, e_value: double>>")
+    longs = tuple(f.name for f in kept.schema if isinstance(f.dataType, T.LongType))
+    return map_rows(kept, each, schema + ", score double, predicted int, passages array<struct<start: int, end: int, score: double, e_value: double>>", longs)
