@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", "component", F.least("component", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("component").alias("further"))
         moved = keep(step.join(jump, "next", "left").select("node", F.col("component").alias("was"), F.least("next", F.coalesce("further", "next")).alias("component")), "labels")
+        drop(labels)
         labels = moved.select("node", "component")
         if moved.filter("component <> was").isEmpty():
+            drop(both)
             return labels

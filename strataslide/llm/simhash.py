@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep
+from .common import fresh, keep, map_rows
 from .components import components
 
 
@@ -76,9 +76,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", shingle: int = 3) -> D
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b["text"]], np.uint64)
-            yield pd.DataFrame({"k": b["k"].astype("Int64"), "fp": fp.view(np.int64)})
+            yield pd.DataFrame({"k": b["k"], "fp": fp.view(np.int64)})
 
-    return docs.select(F.col(id_col).cast("long").alias("k"), "text").mapInPandas(each, "k long, fp long").withColumnRenamed("k", id_col)
+    return map_rows(docs.select(F.col(id_col).alias("k"), "text"), each, "k long, fp long", ("k",)).withColumnRenamed("k", id_col)
 
 
 def runs(radius: int) -> list[tuple[int, int]]:
@@ -202,12 +202,13 @@ def forest(fps: np.ndarray, radius: int, split: int | None = None, sets: list[np
     return found
 
 
-def compare_buckets(keyed: DataFrame, payload: DataFrame, radius: int, block: int, similarity: float | None = None) -> DataFrame:
+def compare_buckets(keyed: DataFrame, payload: DataFrame, radius: int, block: int, tasks: int, similarity: float | None = None) -> DataFrame:
     """Links (a, b) that span the components within each bucket.
 
     keyed: (name, slot, bits), a fingerprint's buckets; payload: (name, words), its words of
-    64 bits. A bucket of more than `block` is compared as pairs of blocks. similarity: payload
-    has `hashes` too, and links are confirmed by the exact Jaccard similarity of these.
+    64 bits. A bucket of more than `block` is compared as pairs of blocks. Buckets are dealt out
+    to `tasks` tasks, as their few bytes say little of the work. similarity: payload has `hashes`
+    too, and links are confirmed by the exact Jaccard similarity of these.
     """
     sizes = keyed.groupBy("slot", "bits").agg(F.count("*").alias("n")).filter("n > 1").select("slot", "bits", F.ceil(F.col("n") / block).alias("blocks"))
     rows = keyed.join(sizes, ["slot", "bits"]).withColumn("own", F.pmod(F.xxhash64("name"), F.col("blocks")))
@@ -228,7 +229,12 @@ def compare_buckets(keyed: DataFrame, payload: DataFrame, radius: int, block: in
         at = np.array(forest(fps, radius, split, sets, similarity or 0.0), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": names[at[:, 0]], "b": names[at[:, 1]]})
 
-    return rows.groupBy("slot", "bits", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return rows.repartition(tasks, "slot", "bits", "i", "j").groupBy("slot", "bits", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+
+
+def _tasks(classes: DataFrame, slots: int, at_once: int = 50_000) -> int:
+    """How many tasks compare classes that each lie in `slots` buckets."""
+    return max(4 * classes.sparkSession.sparkContext.defaultParallelism, -(-slots * classes.count() // at_once))
 
 
 def _words_of(fp: F.Column) -> F.Column:
@@ -250,23 +256,17 @@ def links(classes: DataFrame, radius: int = 3, block: int = 4096) -> DataFrame:
 
     slots = [F.struct(F.lit(k).alias("slot"), key(p).alias("bits")) for k, p in enumerate(combinations(range(len(cut)), 2))]
     keyed = classes.select(F.col("fp").alias("name"), F.explode(F.array(*slots)).alias("at")).select("name", "at.slot", "at.bits")
-    return compare_buckets(keyed, classes.select(F.col("fp").alias("name"), _words_of(F.col("fp")).alias("words")), radius, block)
-
-
-#: Stands for a null id, which sorts last.
-NO_ID = 2**63 - 1
+    return compare_buckets(keyed, classes.select(F.col("fp").alias("name"), _words_of(F.col("fp")).alias("words")), radius, block, _tasks(classes, len(slots)))
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, shingle: int = 3, block: int = 4096, id_col: str = "doc_id") -> DataFrame:
-    """Per row: id_col, fp, component_id (the smallest id reachable over links, itself included)."""
-    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias(id_col), "text")
-    marked = keep(fingerprints(known, id_col, shingle), "fingerprints")
+    """Per row: id_col, fp, component_id (the smallest id reachable over links, itself included; null ids are no smallest ones)."""
+    marked = keep(fingerprints(docs, id_col, shingle), "fingerprints")
     classes = keep(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "classes")
     joined = components(links(classes, radius, block))
     whole = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = whole.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = marked.join(whole.join(least, "component").select("fp", "component_id"), "fp")
-    return found.select(F.nullif(id_col, F.lit(NO_ID)).alias(id_col), "fp", F.nullif("component_id", F.lit(NO_ID)).alias("component_id"))
+    return marked.join(whole.join(least, "component").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
 
 # --- texts that are similar, not only almost equal -----------------------------
@@ -329,12 +329,12 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, b
             names, held, bands = _described(b["text"].tolist(), shingle)
             yield pd.DataFrame({"k": b["k"], "name": names, "words": held, "bands": bands})
 
-    known = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), "text")
-    marked = keep(known.mapInPandas(each, "k long, name long, words binary, bands array<long>").withColumnRenamed("k", id_col), "sketches")
+    known = docs.select(F.col(id_col).cast("long").alias("k"), "text")
+    marked = keep(map_rows(known, each, "k long, name long, words binary, bands array<long>", ("k",)).withColumnRenamed("k", id_col), "sketches")
     classes = keep(marked.groupBy("name").agg(F.first("words").alias("words"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("name", F.posexplode("bands").alias("slot", "bits"))
     radius = wide_radius(similarity) + MARGIN
-    near = keep(components(compare_buckets(keyed, classes.select("name", "words"), radius, block)).withColumnRenamed("node", "name"), "candidates")
+    near = keep(components(compare_buckets(keyed, classes.select("name", "words"), radius, block, _tasks(classes, BANDS))).withColumnRenamed("node", "name"), "candidates")
 
     def shingles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -343,10 +343,10 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, b
 
     # one text of each candidate; rows that share its id fall out by name
     firsts = marked.join(near, "name", "left_semi").groupBy("name").agg(F.min(id_col).alias("k")).select("k").distinct()
-    sets = known.join(firsts, "k", "left_semi").select("text").mapInPandas(shingles, "name long, hashes binary")
+    sets = known.join(firsts.withColumnRenamed("k", "k_"), F.col("k").eqNullSafe(F.col("k_")), "left_semi").select("text").mapInPandas(shingles, "name long, hashes binary")
     sets = sets.join(near.select("name"), "name", "left_semi").groupBy("name").agg(F.first("hashes").alias("hashes"))
     payload = keep(classes.select("name", "words").join(sets, "name"), "shingles")
-    joined = components(compare_buckets(near.select("name", F.lit(0).alias("slot"), F.col("component").alias("bits")), payload, radius, block, similarity))
+    joined = components(compare_buckets(near.select("name", F.lit(0).alias("slot"), F.col("component").alias("bits")), payload, radius, block, _tasks(near, 1), similarity))
     labels = joined.withColumnRenamed("node", "name")
     return marked.select(id_col, "name").join(labels, "name", "left").select(id_col, "name", F.coalesce("component", "name").alias("component"))
 
@@ -358,21 +358,23 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, blo
     the words tell which is meant, and of equal ones any one stays.
     """
     found = keep(similar_groups(docs, similarity, shingle, block, id_col), "groups")
-    stay = found.groupBy("component").agg(F.min(F.struct(id_col, "name")).alias("first")).select(F.col(f"first.{id_col}").alias("own_id"), F.col("first.name").alias("own_name"))
-    rows = found.groupBy(F.col(id_col).alias("own_id")).agg(F.count("*").alias("rows"))
-    stay = keep(stay.join(rows, "own_id"), "stay")
-    own = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    lone = docs.join(stay.filter("rows = 1").select("own_id"), own == F.col("own_id"), "left_semi")
+    own_id, own_name, name = (fresh(docs, n) for n in ("own_id", "own_name", "name"))
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "name"))
+    stay = found.groupBy("component").agg(first.alias("first")).select(F.col("first.id").alias(own_id), F.col("first.name").alias(own_name))
+    rows = found.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("rows"))
+    stay = keep(stay.join(rows, F.col(own_id).eqNullSafe(F.col("id"))).select(own_id, own_name, "rows"), "stay")
+    own = F.col(id_col).cast("long")
+    lone = docs.join(stay.filter("rows = 1").select(own_id), own.eqNullSafe(F.col(own_id)), "left_semi")
     shared = stay.filter("rows > 1")
     if shared.isEmpty():
         return lone
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = _described(b.column(b.schema.get_field_index("text")).to_pylist(), shingle)[0]
-            yield b.append_column("own_name_", pa.array(names, pa.int64()))
+            names = [_name(t) for t in b.column(b.schema.get_field_index("text")).to_pylist()]
+            yield b.append_column(name, pa.array(names, pa.int64()))
 
-    again = docs.join(shared.select("own_id").distinct(), own == F.col("own_id"), "left_semi")
-    again = again.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField("own_name_", T.LongType())]))
-    again = again.join(shared, (own == F.col("own_id")) & (F.col("own_name_") == F.col("own_name")), "left_semi").dropDuplicates([id_col, "own_name_"])
-    return lone.unionByName(again.drop("own_name_"))
+    again = docs.join(shared.select(own_id).distinct(), own.eqNullSafe(F.col(own_id)), "left_semi")
+    again = again.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    again = again.join(shared.select(own_id, own_name), own.eqNullSafe(F.col(own_id)) & (F.col(name) == F.col(own_name)), "left_semi").dropDuplicates([id_col, name])
+    return lone.unionByName(again.drop(name))
