@@ -24,12 +24,10 @@ from pyspark.sql import functions as F
 from . import errors as E
 from .catalog import catalog, default_biomarker_tokens, slide_family, supports_biomarkers
 from .functions.raster import find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
-from .operators import deepzoom, levels, region
+from .operators import deepzoom, gates, levels, region
 from .sources import register_sources
 
 RASTER = "height int, width int, n_channels int, mode string, data binary"
-# What a level out of range is, by format; others take it as an error.
-BLANK_LEVELS = ("bif", "tmap")
 # The colour under tiles, by the catalog's background.
 BACKGROUNDS = {"transparent": (255, 255, 255, 0), "white": (255, 255, 255, 255), "zeros": (0, 0, 0, 0), "black": (0, 0, 0, 255), "grey240": (240, 240, 240, 255), "grey": (240, 240, 240, 255)}
 
@@ -112,7 +110,7 @@ class SlideSet:
 
     def biomarkers(self) -> DataFrame:
         """path, biomarkers, default_biomarker, error: names of multiplex slides; others have an error."""
-        s = self.slides().withColumn("error", self._family_error("multiplex"))
+        s = self.slides().withColumn("error", gates.family_error(F.col("slide_family"), "multiplex"))
         name = lambda fmt: F.coalesce(F.get(F.filter("channels", lambda c: F.upper(c).rlike("|".join(default_biomarker_tokens(fmt)))), F.lit(0)), F.get("channels", F.lit(0)))
         default = F.get("channels", F.lit(0))
         for fmt in ("hdf5", "ims", "ome_tiff", "mcd"):
@@ -127,25 +125,14 @@ class SlideSet:
         """asked (path, biomarker) with has_biomarker."""
         return asked.join(self.slides().select("path", "channels"), "path", "left").withColumn("has_biomarker", F.coalesce(F.array_contains("channels", F.col("biomarker")), F.lit(False))).drop("channels")
 
-    def _family_error(self, wanted: str):
-        if wanted == "multiplex":
-            message = F.format_string("Biomarker operations are not supported for %s slides", F.col("slide_family"))
-        else:
-            message = F.lit("Multiplex slides require an explicit biomarker; use read_biomarker_region()")
-        return E.first((F.col("slide_family") != wanted, E.UNSUPPORTED_OPERATION, message))
-
     def _checked(self, requests: DataFrame, wanted: str) -> DataFrame:
         """requests beside what their slide lays down; `error` where one can't be read at all. requests has request_id, path, level."""
         asked = requests.join(self.slides().select("path", "format_id", "slide_family", "level_count", "levels", "background", "channels", "properties"), "path", "left")
-        out_of_range = (F.col("level") < 0) | (F.col("level") >= F.col("level_count"))
-        checks = [
-            (F.col("format_id").isNull(), E.VALUE, "No such slide"),
-            (F.col("slide_family") != wanted, E.UNSUPPORTED_OPERATION, self._family_error(wanted)["message"]),
-            (out_of_range & ~F.col("format_id").isin(*BLANK_LEVELS), E.VALUE, F.format_string("Level %d not available (0-%d)", F.col("level"), F.col("level_count") - 1)),
-        ]
+        missing = F.when(F.col("format_id").isNull(), E.error(E.VALUE, "No such slide"))
+        checks = [missing, gates.family_error(F.col("slide_family"), wanted), gates.level_error(F.col("level"), F.col("level_count"), F.col("format_id"))]
         if wanted == "multiplex":
-            checks.append((~F.coalesce(F.array_contains("channels", F.col("biomarker")), F.lit(False)), E.UNKNOWN_BIOMARKER, F.format_string("Biomarker '%s' not found", F.col("biomarker"))))
-        return asked.withColumn("error", E.first(*checks)).withColumn("blank", F.coalesce(out_of_range, F.lit(False)))
+            checks.append(gates.biomarker_error(F.col("biomarker"), F.col("channels")))
+        return asked.withColumn("error", F.coalesce(*checks)).withColumn("blank", F.coalesce(gates.out_of_range(F.col("level"), F.col("level_count")), F.lit(False)))
 
     # --- regions ----------------------------------------------------------------
 

@@ -126,3 +126,8 @@ def color_hex(prop: Column) -> Column:
 
 def rgb_text(r: Column, g: Column, b: Column) -> Column:
     return F.format_string("rgb(%d,%d,%d)", r, g, b)
+
+
+def ome_channel_names(xml: Column) -> Column:
+    """Names of the channels of an OME document's pixels, whatever its namespace."""
+    return F.xpath(xml, F.lit("//*[local-name()='Pixels']/*[local-name()='Channel']/@Name"))

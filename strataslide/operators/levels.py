@@ -109,3 +109,9 @@ def thumbnail_level(widths: Column, heights: Column, tw: Column, th: Column) ->
     """The first level at most twice the thumbnail on both sides, else 0."""
     fits = F.filter(F.sequence(F.lit(0), F.size(widths) - 1), lambda i: (F.get(widths, i) <= 2 * tw) & (F.get(heights, i) <= 2 * th))
     return F.coalesce(F.array_min(fits), F.lit(0)).cast("int")
+
+
+def prefix_level(downsamples: Column, most: Column) -> Column:
+    """The last level before the first whose downsample exceeds most, at least 0."""
+    hits = F.filter(F.sequence(F.lit(0), F.size(downsamples) - 1), lambda i: F.get(downsamples, i) > most)
+    return F.greatest(F.lit(0), F.coalesce(F.array_min(hits), F.size(downsamples)) - 1).cast("int")

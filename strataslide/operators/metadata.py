@@ -47,6 +47,26 @@ def level_count(max_level: Column, stated: Column) -> Column:
     return F.greatest(max_level + 1, F.coalesce(stated, F.lit(0)))
 
 
+def last_level(levels: DataFrame, key: str, value: str) -> DataFrame:
+    """The value of each key's last level, and the level."""
+    return levels.groupBy(key).agg(F.max_by(value, "level").alias(value), F.max("level").alias("level"))
+
+
+def first_match(rows: DataFrame, key: str, wanted: Column, order: str, value: str) -> DataFrame:
+    """Per key the value of the first row that is wanted; null where none is."""
+    return rows.groupBy(key).agg(F.min_by(F.when(wanted, F.col(value)), F.when(wanted, F.col(order))).alias(value))
+
+
+def first_stated(*sources: Column) -> Column:
+    """A field of the first source that states it."""
+    return F.coalesce(*sources)
+
+
+def present(offset: Column, length: Column) -> Column:
+    """A tile that is stored."""
+    return (offset > 0) & (length > 0)
+
+
 def inconsistent_levels(rows: DataFrame) -> DataFrame:
     """Levels whose channels have more than one size."""
     return rows.groupBy("slide_id", "level").agg(F.count_distinct(F.struct("width", "height")).alias("sizes")).filter("sizes > 1")

@@ -40,6 +40,11 @@ def default_biomarker(channels: DataFrame, tokens: tuple[str, ...]) -> DataFrame
     return channels.groupBy("slide_id").agg(F.min_by("name", F.struct(other, "channel_index")).alias("default_biomarker"))
 
 
+def exact_default(channels: DataFrame, name: str) -> DataFrame:
+    """The name if the slide has it, else null, which is an error."""
+    return channels.groupBy("slide_id").agg(F.max(F.when(F.col("name") == name, name)).alias("default_biomarker"))
+
+
 def channel_lookup(channels: DataFrame) -> DataFrame:
     """name -> index; of doubled names the last index holds."""
     return channels.groupBy("slide_id", "name").agg(F.max("channel_index").alias("channel_index"))
@@ -64,18 +69,30 @@ def suffixed_labels(channels: DataFrame) -> DataFrame:
     return channels.withColumn("label", F.when(n > 1, F.concat("name", F.lit(" ("), n.cast("string"), F.lit(")"))).otherwise(F.col("name")))
 
 
-def distinct_labels(rows: DataFrame) -> list[str]:
-    """Labels made distinct in order, stepping over marks that names already have (for one slide's channels)."""
-    names = [r["name"] for r in rows.orderBy("channel_index").select("name").collect()]
-    taken, out = set(names), []
-    seen: set[str] = set()
-    for name in names:
-        label, k = name, 2
-        while label in seen or (label != name and label in taken):
-            label, k = f"{name} ({k})", k + 1
-        seen.add(label)
-        out.append(label)
-    return out
+def distinct_labels(channels: DataFrame) -> DataFrame:
+    """label: names made distinct in order of channel_index, per slide, stepping over marks that names already have.
+
+    Only names that occur twice, and those of their slides, are looked at one by one: a group
+    is a slide's channels. The others are their own labels.
+    """
+    import pandas as pd
+
+    def each(slide: pd.DataFrame) -> pd.DataFrame:
+        slide = slide.sort_values("channel_index", kind="stable")
+        names = slide["name"].tolist()
+        taken, seen, out = set(names), set(), []
+        for name in names:
+            label, k = name, 2
+            while label in seen or (label != name and label in taken):
+                label, k = f"{name} ({k})", k + 1
+            seen.add(label)
+            out.append(label)
+        return slide.assign(label=out)
+
+    rows = channels.select("slide_id", "channel_index", "name")
+    doubled = rows.groupBy("slide_id", "name").agg(F.count("*").alias("n")).filter("n > 1").select("slide_id").distinct()
+    named = rows.join(doubled, "slide_id", "left_semi").groupBy("slide_id").applyInPandas(each, f"slide_id {rows.schema['slide_id'].dataType.simpleString()}, channel_index {rows.schema['channel_index'].dataType.simpleString()}, name string, label string")
+    return named.unionByName(rows.join(doubled, "slide_id", "left_anti").withColumn("label", F.col("name")))
 
 
 def sibling_channels(files: DataFrame) -> DataFrame:

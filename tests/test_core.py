@@ -190,7 +190,8 @@ def test_resolve_without_probe_falls_through(spark):
 
 def test_ordered_rules(spark):
     names = spark.createDataFrame([(0, "a"), (1, "a"), (2, "a (2)"), (3, "b"), (4, "a")], "channel_index long, name string")
-    assert multiplex.distinct_labels(names) == ["a", "a (3)", "a (2)", "b", "a (4)"]
+    labels = multiplex.distinct_labels(names.withColumn("slide_id", F.lit(1).cast("long"))).orderBy("channel_index").collect()
+    assert [r["label"] for r in labels] == ["a", "a (3)", "a (2)", "b", "a (4)"]
     tokens = ["x", "0,0,0,1", "StartPosition", "5", "DataLength", "7", "StartPosition", "StartPosition", "8", "DataLength", "9", "z"]
     got = metadata.greedy_entries(spark.createDataFrame([(1, k, t) for k, t in enumerate(tokens)], "f long, k int, t string"), "f", "k", "t").collect()
     assert [tuple(r)[1:] for r in got] == [("0,0,0,1", 5, 7), ("StartPosition", 8, 9)]
