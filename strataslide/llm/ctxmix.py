@@ -2,67 +2,72 @@
 
 A text is its UTF-8 bytes and an end mark. Each byte is a few binary decisions, along a
 prefix code for what follows the two bytes before it (of the pairs commonest in all training
-texts; else, and for bytes not seen there, for what follows the byte before). For every decision several predictors look
-up a hashed context (the bytes before, the word so far) in tables of counts that cover all
-training texts. Their log-odds are mixed by weights that a gate picks (depth of the decision,
-whether the word was seen before); a map from the mixed log-odds, and a slope and an offset
-of each text's own, correct them. Weights and map start from values fitted on `dev_rows`
-training texts while the tables leave these out; then their counts are added. Weights, slope and offset adapt along each text:
-after every block of bytes, so the probability of a block rests on what came before it only.
-Blocks grow with the distance from the start.
-
-Beside it a unigram base: token counts over all training texts. Counts are summed per input
-part and joined part-wise: a part's texts need the counts of that part's words only, so no
-table of all words is ever in one place. Words are told apart by 64-bit hashes.
-
-Tables have 2**bits slots whatever the corpus; what tasks send grows with their input.
+texts; else, and for bytes not seen there, for what follows the byte before). For every
+decision several predictors look up a hashed context (the three and the five bytes before, the
+word so far) in tables of counts of all training texts. Their log-odds are mixed by weights
+that a gate picks (depth of the decision, whether the word was seen before); a map from the
+mixed log-odds, and a slope and an offset of each text's own, correct them. Weights and map
+start from values fitted on about `dev_rows` training texts while the tables leave these out;
+then their counts are added. Weights, slope and offset adapt along each text: after every
+block of bytes, so the probability of a block rests on what came before it only. Blocks grow
+with the distance from the start.
+
+Beside it a unigram base: counts of words over all training texts. They are summed by ranges
+of the words' 64-bit hashes and handed back to the parts of the input that hold the word, so
+no table of all words is ever in one place. The hashed contexts have 2**bits slots each, and
+bits follows the size of the training texts between `least_bits` and `most_bits`.
+
+Texts are packed once into compressed blobs of about `blob` bytes, which the passes read.
 
 Defined results: null or empty text is the end mark alone; equal rows get equal scores; a null
 doc_id counts as training; without training rows contexts are unknown and every byte costs
-eight bits or so; an empty table gives an empty frame.
+eight bits or so; an empty table gives an empty frame. The start values are fitted on texts
+of at most `dev_chars` characters; all else rests on all training texts, whole.
 """
 
 from __future__ import annotations
 
 import heapq
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep
+from .common import drop, keep, map_rows
 
 #: The end mark: a byte that UTF-8 never has.
 END = 255
+LEAD = 5  # zeros before each text
 CONTEXTS = 3  # hashed: three and five bytes, and the word so far
 INPUTS = CONTEXTS + 2  # with the code's own odds and a bias
 GATES, CELLS = 8, 24
 SCALE = 16.0  # of stored log-odds
-#: Characters worked on at once; what they unfold to stays in a core's cache.
-COUNT_AT_ONCE, SCORE_AT_ONCE = 100_000, 60_000
+NEAR = 6  # bits of a slot that tell the decisions of one context apart
+#: Bytes worked on at once, and decisions unfolded at once, which stay in a core's cache.
+AT_ONCE, UNFOLD = 200_000, 24_000
 #: Step sizes of a text's own weights: an input of larger log-odds moves less.
 RATE = np.array([0.15, 0.1, 0.1, 0.1, 0.5], np.float32)
+BIAS = 0.3
 _M = np.uint32(0x9E3779B1)
 
 
 @dataclass(frozen=True)
 class Code:
-    """Prefix codes, flat. Row of a pair of bytes before: a code of its own for what was seen there and an escape; then the last byte's code.
+    """Prefix codes, flat. A context is a pair of bytes with a code of its own, or else the last byte.
 
-    row: by the two bytes before, 0 if they have no code of their own; own: first decision << 8 |
-    length << 1 | whether the last byte's code follows, by row and byte; first1, length1: by
-    byte pair; decisions: node << 12 | (log-odds + 128) << 4 | depth << 1 | bit, of each decision.
+    base: by the two bytes before, where its context's 256 bytes begin; own: first decision << 8 |
+    length << 1 | whether the last byte's path follows, of a context's byte; last: where the 256
+    bytes of each last byte begin; decisions: near bits << 11 | (log-odds + 128) << 3 | depth << 1 | bit.
     """
 
-    row: np.ndarray
+    base: np.ndarray
     own: np.ndarray
-    first1: np.ndarray
-    length1: np.ndarray
+    last: np.ndarray
     decisions: np.ndarray
 
 
@@ -89,59 +94,77 @@ def _paths(weights: list[tuple[int, float]]) -> dict[int, list[tuple[int, int, f
     return out
 
 
+def _near(node: int) -> int:
+    """The bits of a slot that a decision's node takes."""
+    return ((node + 1) * 0x9E3779B1 & 0xFFFFFFFF) >> 32 - NEAR
+
+
 def prefix_code(pairs: np.ndarray, row: np.ndarray, triples: np.ndarray) -> Code:
-    """pairs: 256 x 256 counts of a byte after a byte; triples: counts of a byte after each context of row (row 0 is none)."""
+    """pairs: 256 x 256 counts of a byte after a byte; triples: counts of a byte after each context of row (row 0 is none).
+
+    A byte not seen after a pair is the pair's escape and then the last byte's path.
+    """
     shared = pairs.sum(axis=0) + 0.01
     shared = shared / shared.sum()
-    flat: list[tuple[int, int, int, float]] = []  # node, bit, depth, odds
+    flat: list[int] = []
 
-    def put(path: list, of: int, deeper: int) -> tuple[int, int]:
-        first = len(flat)
-        flat.extend((of * 512 + x, bit, min(deeper + d, GATES // 2 - 1), o) for d, (x, bit, o) in enumerate(path))
-        return first, len(path)
+    def put(path: list, of: int, deeper: int) -> list[int]:
+        return [_near(of * 512 + x) << 11 | min(255, max(1, round(o * SCALE) + 128)) << 3 | min(deeper + d, GATES // 2 - 1) << 1 | bit for d, (x, bit, o) in enumerate(path)]
+
+    own, base, last = [], np.zeros(65536, np.int32), np.arange(256, dtype=np.int32) * 256
+
+    def add(path: list[int]) -> int:
+        flat.extend(path)
+        return len(flat) - len(path) << 8 | len(path) << 1
 
-    first1, length1 = np.zeros(65536, np.int32), np.zeros(65536, np.int32)
     for before in range(256):
-        for s, path in _paths(list(enumerate((pairs[before] + shared).tolist()))).items():
-            first1[before * 256 + s], length1[before * 256 + s] = put(path, before, 1)
-    n = len(triples)
-    first2, length2, escaped = np.zeros(n * 256, np.int32), np.zeros(n * 256, np.int32), np.ones(n * 256, bool)
-    for r, counts in enumerate(triples[1:], 1):
-        seen = np.flatnonzero(counts)
-        paths = _paths([*((int(s), float(counts[s])) for s in seen), (256, 0.5 + 0.1 * len(seen))])
-        at = put(paths[256], 256 + r, 0)
-        first2[r * 256 : r * 256 + 256], length2[r * 256 : r * 256 + 256] = at
-        for s in seen.tolist():
-            first2[r * 256 + s], length2[r * 256 + s] = put(paths[s], 256 + r, 0)
-            escaped[r * 256 + s] = False
-    node, bit, depth, odds = (np.array(x) for x in zip(*flat, strict=True))
-    odds = np.clip(np.round(odds * SCALE), -127, 127).astype(np.int64) + 128
-    decisions = (node << 12 | odds << 4 | depth << 1 | bit).astype(np.uint32)
+        paths = _paths(list(enumerate((pairs[before] + shared).tolist())))
+        own += [add(put(paths[s], before, 1)) for s in range(256)]
+        base[before::256] = last[before]
+    for r, pair in enumerate(np.argsort(row, kind="stable")[65536 - int((row > 0).sum()) :].tolist(), 1):
+        counts = triples[r]
+        seen = np.flatnonzero(counts).tolist()
+        paths = _paths([*((s, float(counts[s])) for s in seen), (256, 0.5 + 0.1 * len(seen))])
+        base[pair] = len(own)
+        escape = add(put(paths.pop(256), 256 + r, 0)) | 1
+        here = {s: add(put(path, 256 + r, 0)) for s, path in paths.items()}
+        own += [here.get(s, escape) for s in range(256)]
     if len(flat) >= 1 << 24:
         raise ValueError("too many contexts have a code of their own")
-    own = (first2.astype(np.int64) << 8 | length2 << 1 | escaped).astype(np.uint32)
-    return Code(row * 256, own, first1, length1, decisions)
+    return Code(base, np.array(own, np.uint32), last, np.array(flat, np.uint32))
+
+
+def _join(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All texts in one array, each led by zeros and ended by END; the lengths with the end."""
+    lead = b"\0" * LEAD
+    return np.frombuffer(b"".join([x for r in raw for x in (lead, r, b"\xff")]), np.uint8), np.array([len(r) + 1 for r in raw], np.int64)
+
 
+def utf8(texts: list) -> list[bytes]:
+    return [(t or "").encode("utf-8", "replace") for t in texts]
 
-def _bytes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in one array, each led by five zeros and ended by END; the lengths with the end."""
-    raw = [(t or "").encode("utf-8", "replace") for t in texts]
-    return np.frombuffer(b"".join([b"\0\0\0\0\0" + r + b"\xff" for r in raw]), np.uint8), np.array([len(r) + 1 for r in raw], np.int64)
 
+def _places(lengths: np.ndarray) -> np.ndarray:
+    """Places in the joined array that are symbols, text after text."""
+    return np.arange(int(lengths.sum())) + np.repeat(LEAD * (np.arange(len(lengths)) + 1), lengths)
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint32), np.ones(1, np.uint32)]
 
+_POWERS: dict = {}
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd number modulo 2**32, and of its inverse; kept."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((0x01000193, pow(0x01000193, -1, 2**32))):
-            _POWERS[k] = np.cumprod(np.full(n + n // 4, base, np.uint32), dtype=np.uint32)
-    return _POWERS[0][:n], _POWERS[1][:n]
+
+def _powers(n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number modulo 2**32 or 2**64, and of its inverse; kept."""
+    if len(_POWERS.get(kind, ((),))[0]) < n:
+        odd, size = 0x01000193 if kind is np.uint32 else 0xD1342543DE82EF95, 1 << 8 * np.dtype(kind).itemsize
+        _POWERS[kind] = tuple(np.cumprod(np.full(n + n // 4, base, kind), dtype=kind) for base in (odd, pow(odd, -1, size)))
+    return _POWERS[kind][0][:n], _POWERS[kind][1][:n]
 
 
 _LETTER = np.array([65 <= (c & ~32) <= 90 or 128 <= c < 255 for c in range(256)])
 _LOW = np.array([(c | 32 if 65 <= c <= 90 else c) + 1 if _LETTER[c] else 0 for c in range(256)], np.uint32)
+_WORD = np.array([c != 32 and not 9 <= c <= 13 and c != END for c in range(256)])
+#: 64 bits for each byte in lower case.
+_SPREAD = np.random.default_rng(64).integers(0, 2**64, 256, dtype=np.uint64)[[c | 32 if 65 <= c <= 90 else c for c in range(256)]]
 
 
 def _contexts(data: np.ndarray) -> list[np.ndarray]:
@@ -150,135 +173,175 @@ def _contexts(data: np.ndarray) -> list[np.ndarray]:
     four = np.zeros(n, np.uint32)
     if n > 4:
         four[4:] = np.ndarray((n - 4,), "<u4", np.ascontiguousarray(data), strides=(1,))
-    three = (four >> np.uint32(8)) * np.uint32(0x846CA68B)
+    three = four >> np.uint32(8)
+    three *= np.uint32(0x846CA68B)
     three ^= np.uint32(0x5A5A5A5A)
     five = four * _M
     five[5:] ^= data[: n - 5] * np.uint32(0xC2B2AE35)
-    power, inverse = _powers(n)
+    power, inverse = _powers(n, np.uint32)
+    low = _LOW[data]
+    place = np.arange(1, n + 1)
+    place[low > 0] = 0
+    start = np.zeros(n, np.int64)  # just after the last other byte before each place
+    np.maximum.accumulate(place[:-1], out=start[1:])
     sums = np.zeros(n + 1, np.uint32)
-    np.cumsum(_LOW[data] * power, dtype=np.uint32, out=sums[1:])
-    start = np.zeros(n, np.int32)  # just after the last other byte before each place
-    start[1:] = np.where(_LETTER[data[:-1]], 0, np.arange(1, n, dtype=np.int32))
-    np.maximum.accumulate(start, out=start)
-    word = (sums[:-1] - sums[start]) * inverse[start]
+    low *= power
+    np.cumsum(low, dtype=np.uint32, out=sums[1:])
+    word = sums[:-1] - sums[start]
+    word *= inverse[start]
     word *= np.uint32(0xB5297A4D)
-    word += np.where(start == np.arange(n, dtype=np.int32), four >> np.uint32(24), np.uint32(7))
+    four >>= np.uint32(24)
+    four[1:][_LETTER[data[:-1]]] = 7  # a word's first letter knows the byte before
+    word += four
     return [three, five, word]
 
 
-def _symbols(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Places in data that are symbols, text after text."""
-    n = int(lengths.sum())
-    lead = np.repeat(5 * (np.arange(len(lengths)) + 1), lengths)
-    return np.arange(n) + lead
-
-
-def _pairs(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each symbol: the two bytes before it, and the byte before with the symbol; the later byte is the low one."""
-    two = np.ndarray((len(data) - 1,), ">u2", np.ascontiguousarray(data), strides=(1,)).astype(np.int32) if len(data) > 1 else np.empty(0, np.int32)
-    return two[at - 2], two[at - 1]
-
-
-def _expand(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The decisions of the symbols at `at`, in order: each one's symbol and packed decision; and where each symbol's begin."""
-    two, one = _pairs(data, at)
-    key = code.row[two]
-    key += one & 255
-    packed = code.own[key]
-    own, first = (packed >> np.uint32(1) & np.uint32(127)).astype(np.int32), (packed >> np.uint32(8)).astype(np.int32)
-    far = np.flatnonzero(packed & np.uint32(1))  # after the escape the last byte's code follows
-    more = code.length1[one[far]]
-    size = own.copy()
-    size[far] += more
-    begin = np.cumsum(size, dtype=np.int64)
-    total = int(begin[-1]) if len(begin) else 0
-    begin -= size
-    which = np.repeat(np.arange(len(at)), size)
-    entry = (first - begin)[which]
-    entry += np.arange(total)
-    shift = np.repeat(code.first1[one[far]] - first[far] - own[far], more)
-    tail = np.repeat(begin[far] + own[far] - (np.cumsum(more) - more), more) + np.arange(len(shift))
-    entry[tail] += shift
-    return which, code.decisions[entry], begin
-
-
-def _nodes(decisions: np.ndarray) -> np.ndarray:
-    return ((decisions >> np.uint32(12)) + np.uint32(1)) * np.uint32(0x85EBCA6B)
-
-
-def _slots(context: np.ndarray, which: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = context[which]
-    h ^= node
+def _slots(context: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of each context, whose last NEAR bits its decisions change."""
+    h = context ^ context >> np.uint32(15)
     h *= _M
     h >>= np.uint32(32 - bits)
-    return h
-
+    return h.astype(np.int64)
 
-def byte_counts(texts: list, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """65536 counts of a byte after a byte; counts of a byte after each context of row (0: none), 256 a context."""
-    data, lengths = _bytes(texts)
-    two, one = _pairs(data, _symbols(data, lengths))
-    return np.bincount(one, minlength=65536), np.bincount(row[two] * 256 + (one & 255), minlength=256 * (int(row.max(initial=0)) + 1))
 
+def _before(data: np.ndarray) -> np.ndarray:
+    """The two bytes before each place, the later one low; 0 before the first."""
+    two = np.zeros(len(data), np.int64)
+    if len(data) > 2:
+        two[2:] = np.ndarray((len(data) - 2,), ">u2", np.ascontiguousarray(data), strides=(1,))
+    return two
 
-def common_contexts(texts: list, most: int) -> np.ndarray:
-    """Row of each pair of bytes: 1, 2, … for the `most` commonest in texts, else 0."""
-    return common_rows(byte_counts(texts, np.zeros(65536, np.int32))[0], most)
 
+def _expand(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of decisions of the symbols at `at`: each one's place in data, where it lies in the code and its length; and each symbol's first run.
 
-def common_rows(pairs: np.ndarray, most: int) -> np.ndarray:
-    """Row of each pair of bytes: 1, 2, … for the `most` of the largest counts, else 0."""
+    A symbol is one run, or two where it is not in the code of its own context.
+    """
+    two = _before(data)
+    key = code.base[two]
+    key += data
+    packed = code.own[key][at]
+    far = np.flatnonzero(packed & np.uint32(1))
+    head = None
+    if len(far):
+        rest = code.own[code.last[two[at[far]] & 255] + data[at[far]]]
+        head = np.ones(len(at), np.int64)
+        head[far] = 2
+        ends = np.cumsum(head)
+        second = ends[far] - 1
+        head = ends - head
+        more, places = np.empty(len(at) + len(far), np.uint32), np.empty(len(at) + len(far), np.int64)
+        more[head], places[head] = packed, at
+        more[second], places[second] = rest, at[far]
+        packed, at = more, places
+    else:
+        head = np.arange(len(at))
+    first = (packed >> np.uint32(8)).astype(np.int64)
+    packed >>= np.uint32(1)
+    packed &= np.uint32(127)
+    return at, first, packed.astype(np.int64), head
+
+
+def _unfold(code: Code, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The run and the packed form of each decision; no run is empty."""
+    begin = np.cumsum(size)
+    total = int(begin[-1])
+    begin = begin[:-1]
+    which, entry = np.zeros(total, np.int64), np.ones(total, np.int64)
+    which[begin] = 1
+    entry[0] = first[0]
+    entry[begin] = first[1:] - first[:-1] - size[:-1] + 1
+    return np.cumsum(which, out=which), code.decisions[np.cumsum(entry, out=entry)]
+
+
+def triple_counts(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(two bytes before << 8 | byte, times), sorted, of all symbols."""
+    data, lengths = _join(raw)
+    triple = _before(data)
+    triple <<= 8
+    triple |= data
+    key, n = np.unique(triple[_places(lengths)].astype(np.int32), return_counts=True)
+    return key.astype(np.int64), n.astype(np.int64)
+
+
+def common_rows(triples: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What prefix_code() takes: pairs; row of each pair of bytes, 1, 2, … for the `most` commonest, else 0; and the triples of these."""
+    pairs = np.bincount(triples & 0xFFFF, counts, 65536)
     top = np.argsort(-pairs, kind="stable")[: min(most, int((pairs > 0).sum()))]
     row = np.zeros(65536, np.int32)
     row[top] = np.arange(1, len(top) + 1)
-    return row
+    after = np.bincount(row[triples >> 8].astype(np.int64) * 256 + (triples & 255), counts, 256 * (len(top) + 1))
+    return pairs.reshape(256, 256), row, after.reshape(-1, 256)
 
 
 class Counts:
-    """What a task has seen of every slot: times 0 and times 1."""
+    """What a task has seen of every slot: times 0 and times 1, interleaved; what a byte can't hold lies beside."""
 
-    def __init__(self, code: Code, bits: int, hold: int = 3_000_000):
+    def __init__(self, code: Code, bits: int, hold: int = 4_000_000):
         self.code, self.bits, self._hold = code, bits, hold
-        self.seen = [np.zeros(2 << bits, np.uint32) for _ in range(CONTEXTS)]
+        self._seen = [np.zeros(2 << bits, np.uint8) for _ in range(CONTEXTS)]
+        self._over: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
         self._slots: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
         self._held = 0
 
-    def add(self, texts: list) -> None:
-        data, lengths = _bytes(texts)
-        at = _symbols(data, lengths)
-        which, decisions, _ = _expand(self.code, data, at)
-        node, bit = _nodes(decisions), decisions & np.uint32(1)
-        for held, context in zip(self._slots, _contexts(data), strict=True):
-            slot = _slots(context[at], which, node, self.bits)
-            slot <<= np.uint32(1)
-            slot += bit
-            held.append(slot)
-        self._held += len(which)
+    def add(self, raw: list[bytes]) -> None:
+        data, lengths = _join(raw)
+        at, first, size, _ = _expand(self.code, data, _places(lengths))
+        slots = [_slots(c, self.bits)[at] << 1 for c in _contexts(data)]
+        begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        for a, b in _cuts(begin, UNFOLD):
+            which, decisions = _unfold(self.code, first[a:b], size[a:b])
+            change = (decisions >> np.uint32(10) & np.uint32((2 << NEAR) - 2) | decisions & np.uint32(1)).astype(np.int64)
+            for held, slot in zip(self._slots, slots, strict=True):
+                here = slot[a:b][which]
+                here ^= change
+                held.append(here.astype(np.int32))
+            self._held += len(which)
         if self._held >= self._hold:
             self.settle()
 
     def settle(self) -> None:
-        """Add up the slots that are held."""
-        for seen, held in zip(self.seen, self._slots, strict=True):
+        """Add up the slots that are held: sorted first, as a large table is slow to meet at random."""
+        for seen, over, held in zip(self._seen, self._over, self._slots, strict=True):
             if held:
-                np.add(seen, np.bincount(np.concatenate(held), minlength=len(seen)), out=seen, casting="unsafe")
+                slot = np.concatenate(held)
+                slot.sort()
                 held.clear()
+                head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+                n = np.diff(head, append=len(slot))
+                slot = slot[head].astype(np.int64)
+                n += seen[slot]
+                far = n > 255
+                if far.any():
+                    over.append((slot[far], n[far] - 255))
+                    n[far] = 255
+                seen[slot] = n
+            if len(over) > 20:
+                over[:] = [summed(*map(np.concatenate, zip(*over, strict=True)))]
         self._held = 0
 
+    def counts(self, k: int, first: int = 0, last: int | None = None) -> np.ndarray:
+        """2 x n counts of context k's slots from first to last."""
+        self.settle()
+        out = self._seen[k][2 * first : None if last is None else 2 * last].astype(np.int64)
+        for slot, n in self._over[k]:
+            a, z = np.searchsorted(slot, [2 * first, 2 * first + len(out)])
+            out[slot[a:z] - 2 * first] += n[a:z]
+        return out.reshape(-1, 2).T
+
     def rows(self, shard_bits: int = 16) -> Iterator[tuple[int, bytes]]:
         """(shard, packed): the slots that were seen, with their two counts."""
-        self.settle()
         size = min(1 << shard_bits, 1 << self.bits)
-        for k, seen in enumerate(self.seen):
-            both = seen.reshape(-1, 2)
-            for shard in range(len(both) // size):
-                part = both[shard * size : (shard + 1) * size]
-                at = np.flatnonzero(part.any(axis=1))
+        shards = (1 << self.bits) // size
+        for k in range(CONTEXTS):
+            for shard in range(shards):
+                part = self.counts(k, shard * size, (shard + 1) * size)
+                at = np.flatnonzero(part.any(axis=0))
                 if len(at):
-                    part = part[at]
+                    part = part[:, at].T
                     far = np.flatnonzero((part > 254).any(axis=1))  # few counts need more than a byte
                     head = np.array([len(at), len(far)], "<u4").tobytes()
-                    yield k * (len(both) // size) + shard, head + at.astype("<u2").tobytes() + np.minimum(part, 255).astype(np.uint8).tobytes() + far.astype("<u4").tobytes() + part[far].astype("<u4").tobytes()
+                    yield k * shards + shard, head + at.astype("<u2").tobytes() + np.minimum(part, 255).astype(np.uint8).tobytes() + far.astype("<u4").tobytes() + part[far].astype("<u8").tobytes()
 
 
 def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +350,7 @@ def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(packed, "<u2", n, 8).astype(np.int64)
     counts = np.frombuffer(packed, np.uint8, 2 * n, 8 + 2 * n).reshape(n, 2).astype(np.int64)
     far = np.frombuffer(packed, "<u4", m, 8 + 4 * n)
-    counts[far] = np.frombuffer(packed, "<u4", 2 * m, 8 + 4 * n + 4 * m).reshape(m, 2)
+    counts[far] = np.frombuffer(packed, "<u8", 2 * m, 8 + 4 * n + 4 * m).reshape(m, 2)
     return at, counts.T
 
 
@@ -309,113 +372,168 @@ def start_model(code: Code, bits: int, tables: tuple[np.ndarray, ...]) -> Model:
     weights = np.tile(np.array([0.1, 0.35, 0.4, 0.3, 0.0], np.float32), (GATES, 1))
     return Model(code, bits, tables, weights, np.zeros(CELLS, np.float32))
 
+def _cuts(begin: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Ranges of runs of about `size` decisions; begin has each run's first decision, and the end."""
+    at = np.unique(np.append(np.searchsorted(begin, np.arange(0, int(begin[-1]), size)), len(begin) - 1))
+    return list(zip(at.tolist(), at[1:].tolist(), strict=False))
+
 
-def bounds(most: int) -> np.ndarray:
-    """Where blocks end: each is 64 bytes longer than the one before."""
-    k = np.arange(1, 3 + int((most / 32) ** 0.5))
-    return 32 * k * (k + 1)
+#: A text's weights move after blocks of this many decisions, twice as many, and so on.
+BLOCK = 192
 
 
-def losses(model: Model, texts: list, after: dict | None = None) -> np.ndarray:
+def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndarray:
     """Negative natural log probability of each text.
 
-    A text's weights are the model's of the gate plus a change of its own, which
-    moves after each block; a slope and an offset of its own follow. after: gets what a fit needs, see adapt().
+    A text's weights are the model's of the gate plus a change of its own, which moves after
+    each block of decisions; a slope and an offset of its own follow. Log-odds are SCALE times
+    as large as they are, and weights as much smaller. after: gets what a fit needs, see adapt().
     """
-    data, lengths = _bytes(texts)
-    at = _symbols(data, lengths)
-    n = len(lengths)
-    ends = bounds(int(lengths.max(initial=1)))
-    place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    step = np.searchsorted(ends, place, side="right").astype(np.int16)
-    order = np.argsort(step, kind="stable")
-    at, step = at[order], step[order]
-    doc = np.repeat(np.arange(n), lengths)[order]
-    which, decisions, begin = _expand(model.code, data, at)
-    node = _nodes(decisions)
-    sign = (decisions & np.uint32(1)).astype(np.float32)
-    sign *= 2
-    sign -= 1
-    inputs = np.empty((INPUTS, len(which)), np.float32)
-    inputs[0] = (decisions >> np.uint32(4)) & np.uint32(255)
-    inputs[0] -= 128
-    for k, context in enumerate(_contexts(data)):
-        inputs[1 + k] = model.tables[k][_slots(context[at], which, node, model.bits)]
-    inputs[:-1] *= 1 / SCALE
-    inputs[-1] = 0.3
-    gate = (decisions & np.uint32(6)).astype(np.intp)
-    gate += inputs[CONTEXTS] != 0
-    fixed = np.zeros(len(which), np.float32)
-    for w, x in zip(model.weights.T.copy(), inputs, strict=True):
-        part = w[gate]
-        part *= x
-        fixed += part
-    # runs of one text within a block are contiguous, in symbols and so in decisions
-    heads = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (step[1:] != step[:-1])])) if len(at) else np.empty(0, np.int64)
-    runs, owner, block = begin[heads], doc[heads], step[heads]
-    size = np.diff(runs, append=len(which))
-    cuts = np.searchsorted(block, np.arange(int(step.max(initial=0)) + 2))
-    own = np.zeros((INPUTS, n), np.float32)
-    turn = np.zeros((2, n), np.float32)  # each text's change of slope and offset after the map
-    total = np.zeros(n)
+    data, lengths = _join(raw)
+    at, first, size, head = _expand(model.code, data, _places(lengths))
+    begin = np.concatenate([[0], np.cumsum(size)])
+    slots = [_slots(c, model.bits)[at] for c in _contexts(data)]
+    many = int(begin[-1])
+    inputs = np.empty((INPUTS - 1, many), np.float32)
+    fixed, flip = np.empty(many, np.float32), np.empty(many, np.uint32)  # the sign bit of a 1
+    gate = np.empty(many, np.int8)
+    weights = np.ascontiguousarray(model.weights.T)
+    weights[:-1] /= SCALE
+    weights[-1] *= BIAS
+    for a, b in _cuts(begin, UNFOLD):
+        which, decisions = _unfold(model.code, first[a:b], size[a:b])
+        here = slice(int(begin[a]), int(begin[b]))
+        np.left_shift(decisions, np.uint32(31), out=flip[here])
+        x = inputs[:, here]
+        g = (decisions & np.uint32(6)).astype(np.int64)
+        near = (decisions >> np.uint32(11)).astype(np.int64)
+        decisions >>= np.uint32(3)
+        decisions &= np.uint32(255)
+        np.subtract(decisions, np.float32(128), out=x[0], dtype=np.float32, casting="unsafe")
+        for k, slot in enumerate(slots):
+            place = slot[a:b][which]
+            place ^= near
+            x[1 + k] = model.tables[k][place]
+        g += x[CONTEXTS] != 0
+        gate[here] = g
+        mixed = fixed[here]
+        np.take(weights[-1], g, out=mixed, mode="clip")
+        for k in range(INPUTS - 1):
+            part = weights[k][g]
+            part *= x[k]
+            mixed += part
+    starts = begin[head[np.cumsum(lengths) - lengths]].tolist() if len(lengths) else []
+    counts = np.diff(np.append(starts, many).astype(np.int64))
+    total = np.zeros(len(lengths))
+    own = np.zeros((INPUTS, len(lengths)), np.float32)
+    turn = np.zeros((2, len(lengths)), np.float32)  # each text's change of slope and offset after the map
+    rate = RATE[:, None].copy()
+    rate[:-1] /= SCALE * SCALE
     if after is not None:
         after |= {"grad": np.zeros((GATES, INPUTS)), "curve": np.zeros((GATES, INPUTS, INPUTS)), "push": np.zeros(CELLS), "spread": np.zeros(CELLS)}
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if a == b:
-            continue
-        lo, hi, d, c = runs[a], runs[b - 1] + size[b - 1], owner[a:b], size[a:b]
-        x, s, first = inputs[:, lo:hi], sign[lo:hi], runs[a:b] - lo
-        mixed = fixed[lo:hi].copy()
-        for k in range(INPUTS):
-            mixed += np.repeat(own[k, d], c) * x[k]
+    docs, done, block = np.arange(len(lengths)), 0, 0
+    while len(docs):
+        block += BLOCK
+        left = counts[docs] - done
+        wide = min(block, int(left.max()))
+        # each text's decisions of the block in a row; what is missing at a text's end is 0 and not counted
+        x, mixed, sign = np.zeros((INPUTS - 1, len(docs), wide), np.float32), np.zeros((len(docs), wide), np.float32), np.zeros((len(docs), wide), np.uint32)
+        for k, (d, n) in enumerate(zip(docs.tolist(), np.minimum(left, wide).tolist(), strict=True)):
+            here = slice(starts[d] + done, starts[d] + done + n)
+            x[:, k, :n], mixed[k, :n], sign[k, :n] = inputs[:, here], fixed[here], flip[here]
+        if done:
+            mixed += np.einsum("kd,kdl->dl", own[:-1, docs], x)
+            mixed += (own[-1, docs] * np.float32(BIAS))[:, None]
         np.clip(mixed, -11.9, 11.9, out=mixed)
-        cell = (mixed + 12.0).astype(np.intp)
+        cell = mixed + np.float32(12)
+        cell = cell.astype(np.int64)
         mixed += model.cells[cell]
-        mixed += mixed * np.repeat(turn[0, d], c)
-        mixed += np.repeat(turn[1, d], c)
-        e = np.exp(-s * mixed)
-        total[d] += np.add.reduceat(np.log1p(e), first, dtype=np.float64)
-        miss = e / (1 + e)  # the probability that the decision didn't get
-        push, spread = miss * s, miss * (1 - miss)
+        if done:
+            mixed *= 1 + turn[0, docs][:, None]
+            mixed += turn[1, docs][:, None]
+        e = (mixed.view(np.uint32) ^ sign).view(np.float32)
+        np.exp(e, out=e)
+        one = e + np.float32(1)
+        miss = np.divide(e, one, out=e)  # the probability that the decision didn't get
+        np.log(one, out=one)
+        for k in np.flatnonzero(left < wide).tolist():
+            one[k, left[k] :] = 0
+            miss[k, left[k] :] = 0
+        total[docs] += one.sum(axis=1, dtype=np.float64)
+        spread = np.multiply(miss, miss, out=one)
+        np.subtract(miss, spread, out=spread)
+        push = miss
+        push.view(np.uint32)[:] ^= sign
+        push *= -1
         if after is not None:
-            g = gate[lo:hi]
-            for v in range(GATES):
-                m = g == v
-                xm = x[:, m].astype(float)
-                after["grad"][v] += xm @ push[m]
-                after["curve"][v] += (xm * spread[m]) @ xm.T
-            after["push"] += np.bincount(cell, push, CELLS)
-            after["spread"] += np.bincount(cell, spread, CELLS)
-        # damped Newton steps on the text's weights, and on the slope and offset of what comes after
-        heft = np.add.reduceat(spread, first) + 40.0
-        for k in range(INPUTS):
-            own[k, d] += RATE[k] * np.add.reduceat(push * x[k], first) / heft
-        turn[0, d] += 0.05 * np.add.reduceat(push * mixed, first) / heft
-        turn[1, d] += 0.3 * np.add.reduceat(push, first) / heft
+            for k, d in enumerate(docs.tolist()):
+                n = min(wide, int(left[k]))
+                g = gate[starts[d] + done : starts[d] + done + n]
+                every = np.concatenate([x[:, k, :n] / SCALE, np.full((1, n), BIAS)]).astype(float)
+                for v in np.unique(g).tolist():
+                    m = g == v
+                    after["grad"][v] += every[:, m] @ push[k, :n][m]
+                    after["curve"][v] += (every[:, m] * spread[k, :n][m]) @ every[:, m].T
+                after["push"] += np.bincount(cell[k, :n], push[k, :n], CELLS)
+                after["spread"] += np.bincount(cell[k, :n], spread[k, :n], CELLS)
+        more = left > wide
+        if more.any():
+            # damped Newton steps on the text's weights, and on the slope and offset of what comes after
+            heft = spread.sum(axis=1) + np.float32(40)
+            grad = np.empty((INPUTS, len(docs)), np.float32)
+            np.einsum("dl,kdl->kd", push, x, out=grad[:-1])
+            pushed = push.sum(axis=1)
+            grad[-1] = pushed * np.float32(BIAS)
+            own[:, docs] += rate * (grad / heft)
+            turn[1, docs] += np.float32(0.3) * pushed / heft
+            turn[0, docs] += np.float32(0.05) * np.einsum("dl,dl->d", push, mixed) / heft
+        docs, done = docs[more], done + wide
     return total
 
 
-def adapt(model: Model, texts: list, rounds: int = 4) -> Model:
+def words_of(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and 64-bit hash of each word in lower case (A-Z), without the ends, of joined texts."""
+    inside = _WORD[data]
+    head = np.cumsum(lengths + LEAD) - (lengths + LEAD)
+    for k in range(LEAD):
+        inside[head + k] = False
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1  # a text begins and ends with what is no word
+    start, end = edge[::2], edge[1::2]
+    power, inverse = _powers(len(data), np.uint64)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    spread = _SPREAD[data]
+    spread *= power
+    np.cumsum(spread, out=sums[1:])
+    key = sums[end] - sums[start]
+    key *= inverse[start]
+    key ^= key >> np.uint64(32)
+    key *= np.uint64(0x9E3779B97F4A7C15)
+    key ^= (end - start).astype(np.uint64)
+    per = np.diff(np.searchsorted(start, np.append(head, len(data))))
+    return np.repeat(np.arange(len(lengths)), per), key.view(np.int64)
+
+
+def adapt(model: Model, raw: list[bytes], rounds: int = 4) -> Model:
     """Start weights and map from texts that the tables don't know: Newton's method on the gates' weights, then on the map."""
-    for _ in range(rounds if texts else 0):
+    for _ in range(rounds if raw else 0):
         sums: dict = {}
-        for g in groups(texts):
+        for g in groups([len(r) for r in raw]):
             part: dict = {}
-            losses(model, [texts[i] for i in g], part)
+            losses(model, [raw[i] for i in g], part)
             sums = {k: v + sums.get(k, 0) for k, v in part.items()}
         weights = np.array([w + np.linalg.solve(h + 5 * np.eye(INPUTS), g) for w, g, h in zip(model.weights, sums["grad"], sums["curve"], strict=True)])
-        model = Model(model.code, model.bits, model.tables, weights.astype(np.float32), model.cells)
-    if texts:
-        model = Model(model.code, model.bits, model.tables, model.weights, (model.cells + 0.5 * sums["push"] / (sums["spread"] + 20)).astype(np.float32))
+        model = replace(model, weights=weights.astype(np.float32))
+    if raw:
+        model = replace(model, cells=(model.cells + 0.5 * sums["push"] / (sums["spread"] + 20)).astype(np.float32))
     return model
 
 
-def groups(texts: list, size: int = SCORE_AT_ONCE) -> Iterator[list[int]]:
-    """Indices of texts of like length, about size characters at once."""
+def groups(sizes: list[int], size: int = AT_ONCE) -> Iterator[list[int]]:
+    """Indices of texts of like length, about size bytes at once."""
     held, n = [], 0
-    for i in sorted(range(len(texts)), key=lambda i: len(texts[i] or "")):
+    for i in sorted(range(len(sizes)), key=sizes.__getitem__):
         held.append(i)
-        n += len(texts[i] or "") + 40
+        n += sizes[i] + 40
         if n >= size:
             yield held
             held, n = [], 0
@@ -425,151 +543,187 @@ def groups(texts: list, size: int = SCORE_AT_ONCE) -> Iterator[list[int]]:
 
 # --- the corpus ----------------------------------------------------------------
 
+_BLOB = "part int, seq int, ids binary, train binary, marks binary, sizes binary, raw binary, n_train long, n_bytes long"
+
+
+def _pack(batches: Iterator[pd.DataFrame], blob: int) -> Iterator[pd.DataFrame]:
+    """Texts of a part in compressed blobs, with a null flag and an id, the training flag and the mark of each."""
+    part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
+    press = zstandard.ZstdCompressor(1)
+
+    def out() -> pd.DataFrame:
+        nonlocal seq, held, size
+        ids, train, marks, raw = zip(*held, strict=True)
+        row = (
+            part, seq, np.array([[i is None, i or 0] for i in ids], "<i8").tobytes(), np.array(train, np.uint8).tobytes(), np.array(marks, "<i4").tobytes(),
+            np.array([len(r) for r in raw], "<i8").tobytes(), press.compress(b"".join(raw)), int(sum(train)), size,
+        )
+        seq, held, size = seq + 1, [], 0
+        return pd.DataFrame([row], columns=[c.strip().split(" ")[0] for c in _BLOB.split(",")])
+
+    for b in batches:
+        for i, text, train, mark in zip(b["doc_id"], b["text"], b["train"], b["mark"], strict=True):
+            raw = (text or "").encode("utf-8", "replace")
+            held.append((None if i is None else int(i), bool(train), int(mark), raw))
+            size += len(raw)
+            if size >= blob:
+                yield out()
+    if held:
+        yield out()
 
-def tokens(text: str | None) -> list[bytes]:
-    """The words in lower case (A-Z), without the end."""
-    return (text or "").encode("utf-8", "replace").lower().split()
-
-
-#: The end's key; no word's hash is looked up under it but by a chance of 2**-64.
-END_KEY = -(2**63)
-
-
-def _hash(word: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(word) - 2**63
-
-
-def _packed(seen: Counter, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """(bucket, hashes and counts) of a counter; buckets are ranges of the hash, in order."""
-    h = np.array([END_KEY if w is None else _hash(w) for w in seen], np.int64)
-    n = np.fromiter(seen.values(), np.int64, len(seen))
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    cut = np.searchsorted(h, [int(k * 2**64 // buckets - 2**63) for k in range(buckets)]).tolist() + [len(h)]
-    for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
-        if z > a:
-            yield k, h[a:z].tobytes() + n[a:z].astype("<u4").tobytes()
-
-
-def _runs(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = [len(b) // 12 for b in blobs]
-    return np.concatenate([np.frombuffer(b, np.int64, n) for b, n in zip(blobs, sizes, strict=True)]), np.concatenate([np.frombuffer(b, "<u4", n, 8 * n) for b, n in zip(blobs, sizes, strict=True)]).astype(np.int64)
 
+def _raw(packed: bytes, sizes: bytes) -> list[bytes]:
+    ends = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
+    whole = zstandard.ZstdDecompressor().decompress(packed, max_output_size=ends[-1] + 1) if ends[-1] else b""
+    return [whole[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
-def _pair_counts(train: DataFrame) -> np.ndarray:
-    """65536 counts of a byte after a byte over all training texts."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pairs = np.zeros(65536, np.int64)
-        for b in batches:
-            texts = b["text"].tolist()
-            for g in groups(texts, COUNT_AT_ONCE):
-                data, lengths = _bytes([texts[i] for i in g])
-                pairs += np.bincount(_pairs(data, _symbols(data, lengths))[1], minlength=65536)
-        yield pd.DataFrame({"pairs": [zlib.compress(pairs.astype("<i8").tobytes(), 1)]})
-
-    total = np.zeros(65536, np.int64)
-    for r in train.select("text").mapInPandas(count, "pairs binary").toLocalIterator():  # one array of fixed size a task
-        total += np.frombuffer(zlib.decompress(r["pairs"]), "<i8")
-    return total
+class WordCounts:
+    """(key, times in training texts) of a part's words, sorted; 0 for words of other texts alone."""
 
+    def __init__(self, hold: int = 4_000_000):
+        self._train: list[np.ndarray] = []
+        self._other: list[np.ndarray] = []
+        self._runs: list[tuple[np.ndarray, np.ndarray]] = []
+        self._held, self._hold = 0, hold
 
-def _token_counts(rows: DataFrame, parts: int, row: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """(part, words), the counts over all training texts of the tokens that a part holds; and the counts of bytes after bytes and after contexts.
-
-    Tasks send sorted runs of (hash, times) of each part, cut by ranges of the hash; a range
-    is summed in one task, of a size that the number of parts keeps steady.
-    """
-    buckets = 2 * parts
-    sent_row = rows.sparkSession.sparkContext.broadcast(row)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[int, Counter] = {}
-        pairs = triples = 0
-
-        def out() -> Iterator[pd.DataFrame]:
-            for part, c in seen.items():
-                held = list(_packed(c, buckets))
-                yield pd.DataFrame({"bucket": [k for k, _ in held], "part": part, "words": [w for _, w in held]})
-            seen.clear()
+    def add(self, doc: np.ndarray, key: np.ndarray, train: np.ndarray) -> None:
+        learn = train[doc]
+        self._train.append(key[learn])
+        self._other.append(key[~learn])
+        self._held += len(learn)
+        if self._held >= self._hold:
+            self.settle()
 
-        for b in batches:
-            train = b["train"].to_numpy(bool)
-            for part, text, learn in zip(b["part"], b["text"], train, strict=True):
-                c = seen.setdefault(part, Counter())
-                words = tokens(text)
+    def settle(self) -> None:
+        if self._held:
+            key, n = np.unique(np.concatenate(self._train), return_counts=True)
+            self._runs.append((key, n.astype(np.int64)))
+            other = np.unique(np.concatenate(self._other))
+            self._runs.append((other, np.zeros(len(other), np.int64)))
+            self._train, self._other, self._held = [], [], 0
+            if len(self._runs) > 2:
+                self._runs = [summed(*map(np.concatenate, zip(*self._runs, strict=True)))]
+
+    def rows(self, buckets: int) -> Iterator[tuple[int, bytes]]:
+        """(bucket, keys and counts); buckets are ranges of the key, in order."""
+        self.settle()
+        if self._runs:
+            key, n = summed(*map(np.concatenate, zip(*self._runs, strict=True)))
+            cut = np.searchsorted(key, np.array([k * 2**64 // buckets - 2**63 for k in range(buckets)], np.int64)).tolist() + [len(key)]
+            for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)):
+                if z > a:
+                    yield k, key[a:z].tobytes() + n[a:z].tobytes()
+
+
+def summed(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their numbers."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+    return key[head], np.add.reduceat(n, head) if len(head) else n
+
+
+def _pairs_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The two arrays of packed runs, each joined."""
+    both = [np.frombuffer(b, "<i8").reshape(2, -1) for b in blobs]
+    return np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+
+
+_WORDS, _TRIPLES, _DEV = range(3)
+
+
+def _gather(batches: Iterator[pd.DataFrame], buckets: int, dev_below: int, dev_bytes: int) -> Iterator[pd.DataFrame]:
+    """(kind, bucket, part, packed): word counts of each part by bucket; of the task: byte triples by first byte, texts to fit on."""
+    words: dict[int, WordCounts] = {}
+    triples, held, n_held = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
+
+    def fold(now: tuple, held: list) -> tuple:
+        return summed(np.concatenate([now[0], *(t for t, _ in held)]), np.concatenate([now[1], *(n for _, n in held)]))
+
+    for b in batches:
+        rows = []
+        for part, raw, sizes, train, marks in zip(b["part"], b["raw"], b["sizes"], b["train"], b["marks"], strict=True):
+            if part not in words:  # parts come one after another
+                for p, w in words.items():
+                    rows += [(_WORDS, k, p, packed) for k, packed in w.rows(buckets)]
+                words = {part: WordCounts()}
+            raw, train = _raw(raw, sizes), np.frombuffer(train, np.uint8) > 0
+            for i in np.flatnonzero(train & (np.frombuffer(marks, "<i4") < dev_below)).tolist():
+                if len(raw[i]) <= dev_bytes:
+                    rows.append((_DEV, int(np.frombuffer(marks, "<i4")[i]), part, raw[i]))
+            for g in groups([len(r) for r in raw]):
+                data, lengths = _join([raw[i] for i in g])
+                words[part].add(*words_of(data, lengths), train[g])
+                learn = [raw[i] for i in g if train[i]]
                 if learn:
-                    c.update(words)
-                    c[None] += 1
-                else:
-                    for w in words:
-                        if w not in c:
-                            c[w] = 0
-                    c[None] += 0
-                if sum(map(len, seen.values())) > 200_000:
-                    yield from out()
-            texts = b["text"][train].tolist()
-            for g in groups(texts, COUNT_AT_ONCE):
-                one, two = byte_counts([texts[i] for i in g], sent_row.value)
-                pairs, triples = pairs + one, triples + two
-        yield from out()
-        if not isinstance(pairs, int):
-            yield pd.DataFrame({"bucket": [-1], "part": [-1], "words": [zlib.compress(np.concatenate([pairs, triples]).astype("<i8").tobytes(), 1)]})
-
-    sent = keep(rows.mapInPandas(count, "bucket int, part int, words binary"), "token_runs")
-
-    def combine(group: pd.DataFrame) -> pd.DataFrame:
-        h, n = _runs(group["words"].tolist())
-        part = np.repeat(group["part"].to_numpy(), [len(w) // 12 for w in group["words"]])
-        order = np.argsort(h, kind="stable")
-        h, n, part = h[order], n[order], part[order]
-        new = np.concatenate([[True], h[1:] != h[:-1]])
-        total = np.add.reduceat(n, np.flatnonzero(new))
-        c = total[np.cumsum(new) - 1]
-        out = [(-1, int(group["bucket"].iloc[0]), None, int(total.sum()), int((total > 0).sum()))]
-        for p in np.unique(part).tolist():
-            at = np.flatnonzero(part == p)
-            at = at[np.concatenate([[True], h[at][1:] != h[at][:-1]])]
-            out.append((p, int(group["bucket"].iloc[0]), h[at].tobytes() + np.minimum(c[at], 2**32 - 1).astype("<u4").tobytes(), None, None))
-        return pd.DataFrame(out, columns=["part", "bucket", "words", "n_all", "distinct"]).astype({"n_all": "Int64", "distinct": "Int64"})
-
-    known = sent.filter("bucket >= 0").groupBy("bucket").applyInPandas(combine, "part int, bucket int, words binary, n_all long, distinct long")
-    return keep(known, "token_counts"), sent.filter("bucket < 0").select("words")
-
-
-def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: int = 1500, fold: int = 1, folds: int = 5) -> DataFrame:
+                    held.append(triple_counts(learn))
+                    n_held += len(held[-1][0])
+                if n_held > 2_000_000:
+                    triples, held, n_held = fold(triples, held), [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["kind", "bucket", "part", "packed"])
+    rows = []
+    for p, w in words.items():
+        rows += [(_WORDS, k, p, packed) for k, packed in w.rows(buckets)]
+    if words:
+        key, n = fold(triples, held)
+        cut = np.searchsorted(key, np.arange(257) << 16).tolist()
+        rows += [(_TRIPLES, k, -1, key[a:z].tobytes() + n[a:z].tobytes()) for k, (a, z) in enumerate(zip(cut, cut[1:], strict=False)) if z > a]
+        yield pd.DataFrame(rows, columns=["kind", "bucket", "part", "packed"])
+
+
+def _sum_words(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's counts over all parts, handed back to each part; part -1: the bucket's words and distinct words of training texts."""
+    h, n = _pairs_of(group["packed"].tolist())
+    part = np.repeat(group["part"].to_numpy(), [len(p) // 16 for p in group["packed"]])
+    every, total = summed(h, n)
+    rows = [(-1, key[0], None, int(total.sum()), int((total > 0).sum()))]
+    asked = np.argsort(part, kind="stable")  # a part's keys may come in several runs
+    ends = np.flatnonzero(np.append(part[asked][1:] != part[asked][:-1], True)) + 1
+    for a, z in zip([0, *ends.tolist()], ends.tolist(), strict=False):
+        mine = np.unique(h[asked[a:z]])
+        rows.append((int(part[asked[a]]), key[0], mine.tobytes() + total[np.searchsorted(every, mine)].tobytes(), None, None))
+    return pd.DataFrame(rows, columns=["part", "bucket", "words", "n_all", "distinct"]).astype({"n_all": "Int64", "distinct": "Int64"})
+
+
+def _sum_triples(group: pd.DataFrame) -> pd.DataFrame:
+    """Counts of byte triples of all tasks with one first byte."""
+    return pd.DataFrame({"packed": [b"".join(x.tobytes() for x in summed(*_pairs_of(group["packed"].tolist())))]})
+
+
+def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_rows: int = 300, dev_chars: int = 50_000, code_rows: int = 1500, blob: int = 2_000_000, bucket_bytes: int = 16_000_000, fold: int = 1, folds: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out).alias("train"), F.spark_partition_id().alias("part"), F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1_000_000)).alias("mark"))
-    rows = keep(rows, "texts")
-    train = rows.filter("train")
-    n_train = train.count()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (~held_out).alias("train"), F.pmod(F.xxhash64(F.lit(3), "doc_id", "text"), F.lit(1_000_000)).alias("mark"))
+    texts = keep(map_rows(rows, lambda b: _pack(b, blob), _BLOB), "texts")
+    n_train, n_bytes, parts = (x or 0 for x in texts.agg(F.sum("n_train"), F.sum("n_bytes"), F.max("part") + 1).first())
+    bits = min(most_bits, max(least_bits, int(n_bytes).bit_length() - 6))  # 3 * 2**most_bits bytes are broadcast at most
     dev_below = int(1e6 * min(0.1, dev_rows / max(1, n_train)))  # about dev_rows texts, a tenth of few
-
-    # the base's counts: summed over all parts, handed back to the parts that asked
-    parts = 1 + (rows.agg(F.max("part")).first()[0] or 0)
-    dev = [r["text"] for r in train.filter(F.col("mark") < dev_below).orderBy("mark", "doc_id").select("text").collect()]  # about dev_rows texts
-    row = common_rows(_pair_counts(train), code_rows)
-    known, byte_rows = _token_counts(rows, parts, row)
-    n_all, distinct = known.filter("part < 0").agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-
-    # the code, the tables and the start values
-    counts = np.zeros(65536 + 256 * (int(row.max()) + 1))
-    for r in byte_rows.toLocalIterator():  # one array of fixed size a task
-        counts += np.frombuffer(zlib.decompress(r["words"]), "<i8")
-    code = prefix_code(counts[:65536].reshape(256, 256), row, counts[65536:].reshape(-1, 256))
+    buckets = 1 + int(n_bytes // (4 * bucket_bytes))  # words' keys and counts take a quarter of their texts, or less
+
+    # counts of words, summed over all parts, handed back to the parts that asked; and what the code needs
+    gathered = keep(texts.select("part", "raw", "sizes", "train", "marks").mapInPandas(lambda b: _gather(b, buckets, dev_below, dev_chars), "kind int, bucket int, part int, packed binary"), "gathered")
+    known = keep(gathered.filter(F.col("kind") == _WORDS).groupBy("bucket").applyInPandas(_sum_words, "part int, bucket int, words binary, n_all long, distinct long"), "word_counts")
+    n_words, distinct = known.filter("part < 0").agg(F.coalesce(F.sum("n_all"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    n_all, distinct = n_words + n_train, distinct + (n_train > 0)  # with the ends
+    few = gathered.filter(F.col("kind") == _TRIPLES).groupBy("bucket").applyInPandas(_sum_triples, "packed binary").collect()  # 256 rows: byte triples that occur
+    dev = [bytes(r["packed"]) for r in gathered.filter(F.col("kind") == _DEV).orderBy("bucket", "packed").select("packed").collect()]  # about dev_rows texts of at most dev_chars characters
+    drop(gathered)
+    code = prefix_code(*common_rows(*(_pairs_of([r["packed"] for r in few]) if few else (np.empty(0, np.int64),) * 2), code_rows))
     sent_code = spark.sparkContext.broadcast(code)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = None
         for b in batches:
-            texts = b["text"].tolist()
-            for g in groups(texts, COUNT_AT_ONCE):
-                seen = seen or Counts(sent_code.value, bits)
-                seen.add([texts[i] for i in g])
+            for raw, sizes, train, marks in zip(b["raw"], b["sizes"], b["train"], b["marks"], strict=True):
+                raw, size = _raw(raw, sizes), np.frombuffer(sizes, "<i8")
+                fitted = (np.frombuffer(marks, "<i4") < dev_below) & (size <= dev_chars)
+                learn = [raw[i] for i in np.flatnonzero((np.frombuffer(train, np.uint8) > 0) & ~fitted)]
+                for g in groups([len(r) for r in learn]):
+                    seen = seen or Counts(sent_code.value, bits)
+                    seen.add([learn[i] for i in g])
         if seen is not None:
             for shard, packed in seen.rows():
                 yield pd.DataFrame({"shard": [shard], "packed": [packed]})
@@ -578,15 +732,17 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: in
 
     # the texts that the start values are fitted on: their counts come on top of the others'
     own = Counts(code, bits)
-    for g in groups(dev, COUNT_AT_ONCE):
+    for g in groups([len(r) for r in dev]):
         own.add([dev[i] for i in g])
     late = dict(own.rows())
+    del own
     sent_late = spark.sparkContext.broadcast(late)
 
     def both_odds(shard: int, total: np.ndarray) -> pd.DataFrame:
-        fit = log_odds(total).tobytes()
+        fit = b""
         if shard in sent_late.value:
             at, n = _unpack(sent_late.value[shard])
+            fit = log_odds(total[:, at]).tobytes()
             total[:, at] += n
         return pd.DataFrame({"shard": [shard], "fit": [fit], "odds": [log_odds(total).tobytes()]})
 
@@ -603,63 +759,60 @@ def score(docs: DataFrame, *, bits: int = 22, dev_rows: int = 300, code_rows: in
         if now is not None:
             yield both_odds(now, total)
 
-    sums = train.filter(F.col("mark") >= dev_below).select("text").mapInPandas(contexts, "shard int, packed binary")
-    merged = sums.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, fit binary, odds binary").collect()  # 2 * 2**bits bytes a context
-    flat = np.zeros((2, CONTEXTS << bits), np.int8)
-    for shard in late.keys() - {r["shard"] for r in merged}:  # slots of these texts alone
-        at, n = _unpack(late[shard])
-        flat[1, shard * size + at] = log_odds(n)
-    for r in merged:
-        here = slice(r["shard"] * size, (r["shard"] + 1) * size)
-        flat[0, here], flat[1, here] = np.frombuffer(r["fit"], np.int8), np.frombuffer(r["odds"], np.int8)
-    fitted = adapt(start_model(code, bits, tuple(flat[0].reshape(CONTEXTS, -1))), dev)
-    sent = spark.sparkContext.broadcast(Model(code, bits, tuple(flat[1].reshape(CONTEXTS, -1)), fitted.weights, fitted.cells))
+    sums = texts.filter("n_train > 0").select("raw", "sizes", "train", "marks").mapInPandas(contexts, "shard int, packed binary")
+    merged = sums.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, fit binary, odds binary")
+    flat, old = np.zeros(CONTEXTS << bits, np.int8), {}
+    for r in merged.collect():  # 2**bits bytes a context
+        flat[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["odds"], np.int8)
+        old[r["shard"]] = np.frombuffer(r["fit"], np.int8)
+    known_not = flat.copy()  # without the texts to fit on
+    for shard, packed in late.items():
+        at, n = _unpack(packed)
+        known_not[shard * size + at] = old.get(shard, 0)
+        if shard not in old:  # slots of these texts alone
+            flat[shard * size + at] = log_odds(n)
+    fitted = adapt(start_model(code, bits, tuple(known_not.reshape(CONTEXTS, -1))), dev)
+    del known_not
+    sent = spark.sparkContext.broadcast(replace(fitted, tables=tuple(flat.reshape(CONTEXTS, -1))))
 
     # texts meet their part's words
     base = 0.5 * (distinct + 1) + n_all
-    none = float(np.log10(0.5 / base))  # of a token that no training text holds
+    end = float(np.log10((n_train + 0.5) / base))
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        values: dict = {}
-        hashes = sums = None
-        held: list[bytes] = []
+        now, held, table = None, [], None
+
+        def counts(key: np.ndarray) -> np.ndarray:
+            order = np.argsort(key)
+            out = np.empty(len(key), np.int64)
+            out[order] = table[1][np.searchsorted(table[0], key[order])]
+            return out
+
         for b in batches:
-            out = []
-            first = 0
-            parts = b["part"].to_numpy()
-            while first < len(b):  # one part at a time
-                last = first + int(np.argmax(np.append(parts[first:] != parts[first], True)))
-                run = b.iloc[first:last]
-                first = last
-                told = run["kind"].to_numpy() == 0
-                if told.any():  # the part's counts come first, by ranges of the hash
-                    held += run["words"][told].tolist()
-                    run = run[~told]
-                    if not len(run):
-                        continue
-                if held:
-                    hashes, sums = _runs(held)
-                    values, held = {}, []
-                texts, ids, train = run["text"].tolist(), run["doc_id"].tolist(), run["train"].tolist()
-                loss = np.zeros(len(texts))
-                for g in groups(texts):
-                    loss[g] = losses(sent.value, [texts[i] for i in g])
-                for at in range(0, len(texts), 200):
-                    raw = [(t or "").encode("utf-8", "replace") for t in texts[at : at + 200]]
-                    cut = [[*r.lower().split(), None] for r in raw]
-                    new = list(set().union(*cut) - values.keys())
-                    h = np.array([END_KEY if w is None else _hash(w) for w in new], np.int64)
-                    c = sums[np.searchsorted(hashes, h)]
-                    values.update(zip(new, np.log10((c + 0.5) / base).tolist(), strict=True))
-                    for i, ws in enumerate(cut, at):
-                        got = list(map(values.__getitem__, ws))
-                        n = len(raw[i - at])
-                        out.append((ids[i], not train[i], len(ws), len(ws) - got.count(none), n_all, sum(got), -loss[i] / np.log(10), n, loss[i] / np.log(2) / max(1, n)))
-            d = pd.DataFrame(out, columns=names)
-            yield d.assign(doc_id=d["doc_id"].astype("Int64"))
-
-    empty = [F.lit(None).cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("train", "boolean"))]
-    both = known.filter("part >= 0").select("part", F.lit(0).alias("kind"), "bucket", "words", *empty).unionByName(rows.select("part", F.lit(1).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("words"), "doc_id", "text", "train"))
-    met = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "kind", "bucket")
+            for part, words, ids, train, sizes, raw in zip(b["part"], b["words"], b["ids"], b["train"], b["sizes"], b["raw"], strict=True):
+                if part != now:
+                    now, held, table = part, [], None
+                if words is not None:  # the part's counts come first, by ranges of the key
+                    held.append(words)
+                    continue
+                if table is None:
+                    table, held = _pairs_of(held) if held else (np.empty(0, np.int64),) * 2, []
+                raw, n = _raw(raw, sizes), np.frombuffer(sizes, "<i8")
+                out = np.zeros((4, len(raw)))
+                for g in groups(n.tolist()):
+                    some = [raw[i] for i in g]
+                    doc, key = words_of(*_join(some))
+                    seen = counts(key)
+                    tokens, hits, score10 = (np.bincount(doc, w, len(g)) for w in (None, seen > 0, np.log10((seen + 0.5) / base)))
+                    out[:, g] = tokens + 1, hits + (n_train > 0), score10 + end, losses(sent.value, some)
+                ids = np.frombuffer(ids, "<i8").reshape(-1, 2)
+                d = pd.DataFrame({"doc_id": pd.array(ids[:, 1].tolist(), "Int64"), "held_out": np.frombuffer(train, np.uint8) == 0, "n_tokens": out[0].astype(np.int64), "n_known": out[1].astype(np.int64), "train_tokens": n_all, "base_score": out[2], "score": -out[3] / np.log(10), "n_bytes": n, "bits_per_byte": out[3] / np.log(2) / np.maximum(1, n)})
+                d.loc[ids[:, 0] > 0, "doc_id"] = pd.NA
+                yield d[names]
+
+    none = {c: F.lit(None).cast("binary").alias(c) for c in ("words", "ids", "train", "sizes", "raw")}
+    told = known.filter("part >= 0").select("part", F.lit(0).alias("kind"), F.col("bucket").alias("seq"), "words", *[none[c] for c in ("ids", "train", "sizes", "raw")])
+    both = told.unionByName(texts.select("part", F.lit(1).alias("kind"), "seq", none["words"], "ids", "train", "sizes", "raw"))
+    met = both.repartitionById(max(1, parts), F.col("part")).sortWithinPartitions("part", "kind", "seq")
     return met.mapInPandas(each, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double")
