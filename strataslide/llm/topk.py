@@ -1,25 +1,27 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-The dimensions are cut into slices; for a query each slice holds a list of local scores,
-whose sum is the score. Candidates lie in row blocks, queries in blocks of bounded size that
-are broadcast one after another.
+The dimensions, those of the greatest energy first, are cut into slices; for a query each
+slice holds a list of local scores, whose sum is the score. Vectors and queries are packed
+into blocks of bounded size, and every query block meets every vector block.
 
-1. Every row block gathers the k best local scores of each slice and sums those entries over
-   the slices. The k-th greatest of these sums over all blocks is a safe cutoff: k candidates
+1. Every block gathers the k best local scores of each slice and sums those entries over the
+   slices. The k-th greatest of these sums over all blocks is a safe cutoff: k candidates
    reach it.
-2. The cutoffs go to all blocks. A candidate that reaches its cutoff has a slice in which it
-   is at least the cutoff's excess over the least scores, divided by the number of slices,
-   above that slice's least score. Those entries are collected, and bounded from above with
-   the uniform threshold for the slices that did not send them.
-3. Scores of candidates whose upper bound reaches the cutoff are resolved exactly; a block
-   hands on its k best at or above the cutoff, and the k best of those are the answer.
+2. The cutoffs go to all blocks. A block reads its slices one after another and collects the
+   entries that still suffice: with what the slices not yet read can add at most (the product
+   of the two vectors' lengths within the slice) they reach the cutoff. So few candidates are
+   read in all slices, and a slice is left uniformly for every query that has none left.
+3. Candidates that all slices collected have exact scores; a task hands on its k best at or
+   above the cutoff, and the k best of those are the answer.
 
 Components are floor(scale * x) as integers, so scores are exact and ties are real; ties go to
-the smaller id. Defined results: vectors that are null or hold null or non-finite components
-take no part, nor do rows without an id; a shorter vector counts as padded with zeros; rows
-that share a query's id count as its own and are left out; a query id is asked once; with
-fewer than k candidates all are returned; an empty table gives an empty frame. Scores beyond
-2**53 are refused, as float64 products would no longer be exact.
+the smaller id. Products are computed in the narrowest type in which every sum is exact:
+float32, float64, or 64-bit integers (slower). Defined results: vectors that are null or hold
+null or non-finite components take no part, nor do rows without an id; a shorter vector counts
+as padded with zeros; rows that share a query's id count as its own and are left out; a query
+id is asked once; with fewer than k candidates all are returned; an empty table gives an empty
+frame; further columns are not read. Scores beyond 2**61, which a long may not hold, are
+refused.
 """
 
 from __future__ import annotations
@@ -33,7 +35,8 @@ from pyspark.sql import functions as F
 
 from .common import keep
 
-_NONE = -(2.0**60)  # exact in float32 too
+#: Below every score; exact in every type.
+_NONE = -(2**62)
 
 
 def whole_components(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -54,6 +57,11 @@ def _local(queries: np.ndarray, block: np.ndarray, slices: list[slice]) -> list[
     return [queries[:, s] @ block[:, s].T for s in slices]
 
 
+def _lengths(vectors: np.ndarray, slices: list[slice]) -> np.ndarray:
+    """Length of each vector within each slice, never too small."""
+    return np.stack([np.sqrt((vectors[:, s].astype(float) ** 2).sum(axis=1)) for s in slices], axis=1) * (1 + 1e-9)
+
+
 def _lower_bounds(local: list[np.ndarray], own: np.ndarray, k: int) -> np.ndarray:
     """Per query the k greatest sums over the slices of the entries in any slice's local list."""
     n = local[0].shape[1]
@@ -68,73 +76,100 @@ def _lower_bounds(local: list[np.ndarray], own: np.ndarray, k: int) -> np.ndarra
     return np.partition(total, total.shape[1] - k, axis=1)[:, -k:]
 
 
-def _resolve(local: list[np.ndarray], own: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, k: int):
+def _resolve(queries: np.ndarray, block: np.ndarray, slices: list[slice], own: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, k: int, pairs: int = 200_000):
     """(query row, ids, scores) of the k best candidates at or above each query's cutoff."""
-    least = [x.min(axis=1, keepdims=True) for x in local]
-    share = (cutoff[:, None] - sum(least)) / len(local)  # the uniform threshold above each slice's least score
-    upper, sent = np.zeros_like(local[0]), np.zeros(local[0].shape, bool)
-    for x, low in zip(local, least, strict=True):
-        here = x >= low + share
-        sent |= here
-        upper += np.where(here, x, low + share)
-    row, col = np.nonzero(sent & (upper >= cutoff[:, None]) & ~own)
-    score = sum(x[row, col] for x in local)
+    q_len, v_len = _lengths(queries, slices), _lengths(block, slices)
+    kind = queries.dtype if queries.dtype.kind == "i" else np.float64
+    score = (queries[:, slices[0]] @ block[:, slices[0]].T).astype(kind, copy=False)
+    low = cutoff - 0.5 - abs(cutoff) * 1e-12  # sums of lengths are rounded
+    row, col = np.nonzero((score + q_len[:, 1:] @ v_len[:, 1:].T >= low[:, None]) & ~own)
+    score = score[row, col]
+    for n, s in enumerate(slices[1:], 1):  # what is left of the entries meets the next slice
+        kept = []
+        for at in range(0, len(row), pairs):
+            r, c = row[at : at + pairs], col[at : at + pairs]
+            now = score[at : at + pairs] + np.einsum("pd,pd->p", queries[r, s], block[c, s]).astype(kind, copy=False)
+            ok = np.flatnonzero(now + (q_len[r, n + 1 :] * v_len[c, n + 1 :]).sum(axis=1) >= low[r])
+            kept.append((r[ok], c[ok], now[ok]))
+        row, col, score = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (row, col, score)
     reach = score >= cutoff[row]
-    row, col, score = row[reach], col[reach], score[reach]
-    order = np.lexsort((ids[col], -score, row))
-    row, col, score = row[order], col[order], score[order]
-    first = np.searchsorted(row, row, side="left")
-    best = np.arange(len(row)) - first < k
-    return row[best], ids[col[best]], score[best]
+    return _best(row[reach], ids[col[reach]], score[reach].astype(np.int64), k)
+
+
+def _best(row: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of the greatest scores of each row, ties to the smaller id."""
+    order = np.lexsort((ids, -score, row))
+    row, ids, score = row[order], ids[order], score[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[best], ids[best], score[best]
+
 
+def _packed(rows: DataFrame, dims: int, kind: np.dtype, order: np.ndarray, size: int) -> DataFrame:
+    """(ids, vectors): blocks of about `size` rows; dimensions in the order given."""
 
-def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: int = 64, query_every: int = 20, slices: int = 4, query_block: int = 16_384, step: int = 128) -> DataFrame:
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in range(0, len(b), size):
+                part = b.iloc[at : at + size]
+                yield pd.DataFrame({"ids": [part["id"].to_numpy(np.int64).tobytes()], "vectors": [np.ascontiguousarray(_matrix(part["v"].tolist(), dims, kind)[:, order]).tobytes()]})
+
+    return rows.mapInPandas(pack, "ids binary, vectors binary")
+
+
+def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: int = 64, query_every: int = 20, slices: int = 4, block: int = 8_192, query_block: int = 4_096, step: int = 128) -> DataFrame:
     """query_id, rank, id, score: the k greatest inner products of each row whose id is divisible by query_every."""
-    spark = vectors.sparkSession
     rows = keep(whole_components(vectors, id_col, vec_col, scale), "vectors")
-    asked = rows.filter(F.col("id") % query_every == 0).dropDuplicates(["id"])
-    n, dims, high = (x or 0 for x in rows.select(F.count(F.when(F.col("id") % query_every == 0, 1)), F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first())
-    if high * high * dims >= 2**53:
-        raise ValueError("scores of these vectors are not exact in float64")
-    kind = np.float32 if high * high * dims < 2**24 else np.float64  # the narrowest in which every sum is exact
+    dims, high = (x or 0 for x in rows.select(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first())
+    most = high * high * dims
+    if most >= 2**61:
+        raise ValueError("scores of these vectors are beyond a long")
+    kind = np.dtype(np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64)  # the narrowest in which every sum is exact
+    per_dim = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("energy"))
+    energy = np.zeros(max(dims, 1))
+    for r in per_dim.collect():  # a row a dimension
+        energy[r["d"]] = r["energy"]
+    order = np.argsort(-energy[:dims], kind="stable")
     cut = np.linspace(0, dims, min(slices, max(dims, 1)) + 1).astype(int)
     parts = [slice(a, b) for a, b in zip(cut, cut[1:], strict=False)]
-    blocks = max(1, -(-n // query_block))
-    out = None
-    for at in range(blocks):
-        mine = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == at).orderBy("id").collect()  # about query_block rows
-        ids = np.array([r["id"] for r in mine], np.int64)
-        sent = spark.sparkContext.broadcast((ids, _matrix([r["v"] for r in mine], dims, kind)))
-
-        def bounds(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            asked_ids, queries = sent.value
-            best = np.full((len(asked_ids), k), _NONE, kind)
-            for b in batches:
-                block, block_ids = _matrix(b["v"].tolist(), dims, kind), b["id"].to_numpy()
-                for q in range(0, len(asked_ids) if len(b) else 0, step):
-                    own = asked_ids[q : q + step, None] == block_ids[None, :]
-                    here = _lower_bounds(_local(queries[q : q + step], block, parts), own, k)
-                    both = np.concatenate([best[q : q + step], here], axis=1)
-                    best[q : q + step] = np.partition(both, k, axis=1)[:, k:]
-            row, col = np.nonzero(best > _NONE)
-            yield pd.DataFrame({"query_id": asked_ids[row], "bound": best[row, col]})
-
-        nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc()))
-        cutoffs = rows.mapInPandas(bounds, "query_id long, bound double").withColumn("nth", nth).filter(F.col("nth") == k).select("query_id", "bound")
-        known = {r["query_id"]: r["bound"] for r in cutoffs.collect()}  # one number a query of this block
-        # without k candidates there is no cutoff: everything is resolved
-        safe = spark.sparkContext.broadcast(np.array([known.get(x, _NONE / 2) for x in ids.tolist()], kind))
-
-        def resolve(batches: Iterator[pd.DataFrame], sent=sent, safe=safe) -> Iterator[pd.DataFrame]:
-            asked_ids, queries = sent.value
-            for b in batches:
-                block, block_ids = _matrix(b["v"].tolist(), dims, kind), b["id"].to_numpy()
-                for q in range(0, len(asked_ids) if len(b) else 0, step):
-                    own = asked_ids[q : q + step, None] == block_ids[None, :]
-                    row, found, score = _resolve(_local(queries[q : q + step], block, parts), own, block_ids, safe.value[q : q + step], k)
-                    yield pd.DataFrame({"query_id": asked_ids[q + row], "id": found, "score": score.astype(np.int64)})
-
-        found = rows.mapInPandas(resolve, "query_id long, id long, score long")
-        out = found if out is None else out.union(found)
+    asked = rows.filter(F.col("id") % query_every == 0).dropDuplicates(["id"])
+    every = keep(_packed(rows, dims, kind, order, block), "vector_blocks")
+    queries = keep(_packed(asked, dims, kind, order, query_block).withColumn("q", F.monotonically_increasing_id()), "query_blocks")
+    load = lambda ids, raw: (np.frombuffer(ids, np.int64), np.frombuffer(raw, kind).reshape(-1, dims))
+
+    def bounds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of this task's query blocks
+        for b in batches:
+            for ids, raw, q, q_ids, q_raw in zip(b["ids"], b["vectors"], b["q"], b["q_ids"], b["q_vectors"], strict=True):
+                (block_ids, block_v), (asked_ids, asked_v) = load(ids, raw), load(q_ids, q_raw)
+                found = best.setdefault(q, (asked_ids, np.full((len(asked_ids), k), _NONE, kind)))[1]
+                for at in range(0, len(asked_ids), step):
+                    own = asked_ids[at : at + step, None] == block_ids[None, :]
+                    here = _lower_bounds(_local(asked_v[at : at + step], block_v, parts), own, k)
+                    both = np.concatenate([found[at : at + step], here], axis=1)
+                    found[at : at + step] = np.partition(both, k, axis=1)[:, k:]
+        for q, (asked_ids, found) in best.items():
+            row, col = np.nonzero(found > _NONE)
+            yield pd.DataFrame({"q": q, "query_id": asked_ids[row], "bound": found[row, col].astype(np.int64)})
+
+    # a stated set of queries against all rows, in blocks: what meets is blocks, not rows
+    asked_blocks = queries.select("q", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc()))
+    sums = every.crossJoin(asked_blocks).mapInPandas(bounds, "q long, query_id long, bound long")
+    cutoffs = sums.withColumn("nth", nth).filter(F.col("nth") == k).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "bound"))).alias("bounds"))  # of a block's queries
+    told = keep(asked_blocks.join(cutoffs, "q", "left").withColumn("at", F.map_keys("bounds")).withColumn("bound", F.map_values("bounds")).drop("bounds"), "cutoffs")
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for ids, raw, q_ids, q_raw, at_ids, at_bounds in zip(b["ids"], b["vectors"], b["q_ids"], b["q_vectors"], b["at"], b["bound"], strict=True):
+                (block_ids, block_v), (asked_ids, asked_v) = load(ids, raw), load(q_ids, q_raw)
+                # without k candidates there is no cutoff: everything is resolved
+                known = {} if at_ids is None else dict(zip(at_ids.tolist(), at_bounds.tolist(), strict=True))
+                safe = np.array([known.get(x, _NONE) for x in asked_ids.tolist()], np.int64)
+                for at in range(0, len(asked_ids), step):
+                    own = asked_ids[at : at + step, None] == block_ids[None, :]
+                    row, found, score = _resolve(asked_v[at : at + step], block_v, parts, own, block_ids, safe[at : at + step], k)
+                    yield pd.DataFrame({"query_id": asked_ids[at + row], "id": found, "score": score})
+
+    found = every.crossJoin(told.drop("q")).mapInPandas(resolve, "query_id long, id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")

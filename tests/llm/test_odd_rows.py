@@ -4,7 +4,7 @@ import time
 
 import pytest
 
-from strataslide.llm import simhash, toxicity, warc
+from strataslide.llm import simhash, topk, toxicity, warc
 
 PAGES = "page_id long, url string, html string, url_key string, sha1 string, first_id long, at int"
 
@@ -100,3 +100,44 @@ def test_near_copies_are_found(spark, block):
     assert all(linked[k] for k, j in want.items() if j >= 0.9)
     near = [linked[k] for k, j in want.items() if 0.8 <= j < 0.9]
     assert len(near) > 20 and sum(near) >= 0.95 * len(near)
+
+
+@pytest.mark.parametrize(("scale", "shape"), [(64, "array<float>"), (2**20, "array<double>"), (2**27, "array<double>")])
+def test_top_k_of_large_components_and_clashing_columns(spark, scale, shape):
+    """Scores in single, double and whole numbers; columns named as the operator's own."""
+    import math
+    import random
+
+    rng = random.Random(9)
+    rows = [(k, [rng.uniform(-3, 3) for _ in range(7)], "x", k, [1], 5) for k in range(90)]
+    rows += [(100 + k, rows[3][1], "y", 0, None, 6) for k in range(5)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding {shape}, q string, id int, v array<int>, bound int")
+    got = topk.top_k(df.repartition(5), k=4, scale=scale, block=8, query_block=2, step=1).collect()
+    import struct
+
+    cast = (lambda x: struct.unpack("f", struct.pack("f", x))[0]) if shape == "array<float>" else float
+    v = {r[0]: [math.floor(scale * cast(x)) for x in r[1]] for r in rows}
+    want = []
+    for i in (k for k in v if k % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(v[i], v[j], strict=True)), j) for j in v if j != i)[:4]
+        want += [(i, n + 1, j, -x) for n, (x, j) in enumerate(best)]
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_top_k_leaves_most_candidates_early():
+    """Entries that can't reach the cutoff are not read in all slices."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    block = rng.integers(-9, 9, (4000, 32)).astype(np.float64)
+    block[:, :8] *= 40
+    parts = [slice(a, a + 8) for a in range(0, 32, 8)]
+    queries, ids = block[:3].copy(), np.arange(4000)
+    exact = queries @ block.T
+    own = np.zeros_like(exact, bool)
+    cutoff = np.sort(exact, axis=1)[:, -20].astype(np.int64)
+    row, found, score = topk._resolve(queries, block, parts, own, ids, cutoff, 20)
+    assert all(sorted(score[row == q].tolist(), reverse=True) == np.sort(exact[q])[::-1][:20].astype(int).tolist() for q in range(3))
+    first = queries[:, parts[0]] @ block[:, parts[0]].T
+    alive = first + topk._lengths(queries, parts)[:, 1:] @ topk._lengths(block, parts)[:, 1:].T >= cutoff[:, None]
+    assert alive.mean() < 0.1
