@@ -63,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The learnt stages can't be told in SQL; a brute-force version in the tests checks the rest.
+#: The learnt stages can't be told in SQL; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None
