@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import map_rows
 
 SEEDS, LEVELS = 24, 3
+WIDE, NONE = 8, "00000000"
 _ODD = (np.random.default_rng(23).integers(0, 2**63, SEEDS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _FIRST = -(2**63)
 
@@ -94,7 +95,7 @@ class Maker:
         return np.sort(np.array(out, np.uint64)), "b"
 
     def fingerprint(self, text: str) -> str:
-        """mode, level, then LEVELS x SEEDS hashes of 4 hexadecimal digits; 0000: no term."""
+        """mode, level, then LEVELS x SEEDS hashes of WIDE hexadecimal digits; all 0: no term."""
         from xxhash import xxh32_intdigest
 
         h, mode = self.hashes(set(terms(text)))
@@ -108,7 +109,7 @@ class Maker:
             row, col = np.nonzero((mixed & np.uint64((1 << k) - 1)) == 0)
             cut = np.searchsorted(row, np.arange(SEEDS + 1)).tolist()
             held = h[col].tobytes()
-            out += [f"{xxh32_intdigest(held[8 * a : 8 * z]) % 65535 + 1:04x}" if z > a else "0000" for a, z in zip(cut, cut[1:], strict=False)]
+            out += [f"{xxh32_intdigest(held[8 * a : 8 * z]) % (2**32 - 1) + 1:08x}" if z > a else NONE for a, z in zip(cut, cut[1:], strict=False)]
         return "".join(out)
 
 
@@ -120,11 +121,11 @@ def likeness(a: str, b: str) -> float:
         return 0.0
     la, lb = int(a[1:3]), int(b[1:3])
     for k in range(min(la, lb) + LEVELS - 1, max(la, lb) - 1, -1):
-        x, y = a[3 + 4 * SEEDS * (k - la) :], b[3 + 4 * SEEDS * (k - lb) :]
+        x, y = a[3 + WIDE * SEEDS * (k - la) :], b[3 + WIDE * SEEDS * (k - lb) :]
         held = same = 0
-        for s in range(0, 4 * SEEDS, 4):
-            p, q = x[s : s + 4], y[s : s + 4]
-            if p != "0000" or q != "0000":
+        for s in range(0, WIDE * SEEDS, WIDE):
+            p, q = x[s : s + WIDE], y[s : s + WIDE]
+            if p != NONE or q != NONE:
                 held += 1
                 same += p == q
         if held >= SEEDS // 2 or (held and k == max(la, lb)):

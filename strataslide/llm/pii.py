@@ -44,7 +44,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
 #: Where the model looks: digits, at signs and their written-out forms.
-_TRIGGER = re.compile(r"[0-9@]|[\[({](?:at|AT)[\])}]")
+_TRIGGER = re.compile(r"[0-9@]|[\[({]\s?(?:at|AT)\s?[\])}]|(?<=[\s\[({])(?:dot|DOT)(?=[\s\])}])")
 
 
 def luhn(digits: str) -> bool:
@@ -295,7 +295,7 @@ def made_up(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
         name = f"{word()}.{digits(2)}".replace("ó", "o")
         return rng.choice((
             ("phone", f"+{rng.randint(1, 99)} ({area}) {mid}-{end}"), ("phone", f"+1 {area} {mid} {end}"), ("phone", f"({area}) {mid}-{end}"), ("phone", f"{area}-{mid}-{end}"),
-            ("email", f"{name}@{host}"), ("email", f"{name}[at]{host}"), ("email", f"{name} (at) {host}"),
+            ("email", f"{name}@{host}"), ("email", f"{name}[at]{host}"), ("email", f"{name} (at) {host}"), *(("email", f"{name}{at}{host.replace('.', dot)}") for at, dot in ((" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"))), ("", f"{word()} a dot {word()}"), ("", f"the dot {word()} at {word()}"),
             ("ip", ".".join(str(rng.randint(0, 255)) for _ in range(4))), ("card", card()), ("card", "{0}-{1}-{2}-{3}".format(*(lambda c: (c[:4], c[4:8], c[8:12], c[12:]))(card()))),
             ("", digits(rng.randint(1, 9))), ("", f"{digits(4)}-{digits(2)}-{digits(2)}"), ("", "".join(rng.choice("0123456789abcdef") for _ in range(rng.randint(16, 40)))), ("", f"{digits(2)}:{digits(2)}"), ("", f"{digits(1)}.{digits(2)}"),
         ))
@@ -314,17 +314,23 @@ def made_up(n: int, seed: int = 11) -> list[tuple[str, list[Span]]]:
 
 
 def fit(docs: DataFrame, max_fit_windows: int = 1500, generated: int = 900) -> Tagger:
-    """Train on the windows of a hashed sample of texts and on generated ones."""
+    """Train on the first windows of a hashed sample of distinct texts, and on generated ones.
+
+    The sample is about max_fit_windows windows, the first WINDOW characters of a text's first
+    region: labelled by the patterns, they teach what pages look like around personal data.
+    Forms that the patterns miss are taught by the generated texts alone.
+    """
     marked = docs.filter(F.col("text").rlike("[0-9@]")).select("text")
     n = marked.count()
     if n > max_fit_windows:
         marked = marked.filter(F.pmod(F.xxhash64(F.lit(4), "text"), F.lit(1_000_000)) < int(1e6 * max_fit_windows / n))
+    marked = marked.dropDuplicates(["text"])  # a text of many rows, if it is picked, counts once
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for text in b["text"]:
-                for a, z in regions(text)[:1]:  # one region a text is enough to learn from
+                for a, z in regions(text)[:1]:
                     part = text[a : min(z, a + WINDOW)]
                     rows.append((part, _gold(base_spans(text), a, a + len(part)).tolist()))
             yield pd.DataFrame(rows, columns=["part", "gold"])
@@ -340,6 +346,10 @@ def fit(docs: DataFrame, max_fit_windows: int = 1500, generated: int = 900) -> T
     return train(ids, gold)
 
 
+#: An address with @ or a written-out at, bracketed or not, and dots or written-out dots.
+_WRITTEN = re.compile(r"[\w.%+-]+\s?(?:@|[\[({]\s?(?:at|AT)\s?[\])}]|(?<=\s)(?:at|AT)(?=\s))\s?[A-Za-z0-9-]+((?:\.|\s?[\[({]\s?(?:dot|DOT)\s?[\])}]\s?|\s(?:dot|DOT)\s)[A-Za-z0-9-]+)+")
+
+
 def _added_ok(kind: str, found: str) -> bool:
     digits = _DIGITS.sub("", found)
     if kind == "phone":
@@ -348,7 +358,7 @@ def _added_ok(kind: str, found: str) -> bool:
         return 14 <= len(digits) <= 19 and luhn(digits)
     if kind == "ip":
         return re.fullmatch(r"[0-9]+(\.[0-9]+){3}", found) is not None and _ip_ok(found)
-    return re.fullmatch(r"[\w.%+-]+\s?(?:@|[\[({](?:at|AT)[\])}])\s?[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", found) is not None
+    return _WRITTEN.fullmatch(found) is not None
 
 
 def add_spans(texts: list[str], base: list[list[Span]], tagger: Tagger, batch: int = 512) -> list[list[Span]]:
