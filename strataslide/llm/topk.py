@@ -76,19 +76,24 @@ def _lower_bounds(local: list[np.ndarray], own: np.ndarray, k: int) -> np.ndarra
     return np.partition(total, total.shape[1] - k, axis=1)[:, -k:]
 
 
-def _resolve(queries: np.ndarray, block: np.ndarray, slices: list[slice], own: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, k: int, pairs: int = 200_000):
+def _resolve(queries: np.ndarray, block: np.ndarray, slices: list[slice], own: np.ndarray, ids: np.ndarray, cutoff: np.ndarray, k: int, pairs: int = 200_000, sparse: float = 0.05):
     """(query row, ids, scores) of the k best candidates at or above each query's cutoff."""
     q_len, v_len = _lengths(queries, slices), _lengths(block, slices)
-    kind = queries.dtype if queries.dtype.kind == "i" else np.float64
-    score = (queries[:, slices[0]] @ block[:, slices[0]].T).astype(kind, copy=False)
+    kind = queries.dtype
     low = cutoff - 0.5 - abs(cutoff) * 1e-12  # sums of lengths are rounded
-    row, col = np.nonzero((score + q_len[:, 1:] @ v_len[:, 1:].T >= low[:, None]) & ~own)
+    score, read, alive = np.zeros((len(queries), len(block)), kind), 0, ~own
+    while read < len(slices) and alive.mean() > sparse:  # while many are left, whole slices are cheaper than entries
+        s = slices[read]
+        score += queries[:, s] @ block[:, s].T
+        read += 1
+        alive &= score + q_len[:, read:] @ v_len[:, read:].T >= low[:, None]
+    row, col = np.nonzero(alive)
     score = score[row, col]
-    for n, s in enumerate(slices[1:], 1):  # what is left of the entries meets the next slice
+    for n, s in enumerate(slices[read:], read):  # what is left of the entries meets the next slice
         kept = []
         for at in range(0, len(row), pairs):
             r, c = row[at : at + pairs], col[at : at + pairs]
-            now = score[at : at + pairs] + np.einsum("pd,pd->p", queries[r, s], block[c, s]).astype(kind, copy=False)
+            now = score[at : at + pairs] + np.einsum("pd,pd->p", queries[r, s], block[c, s])
             ok = np.flatnonzero(now + (q_len[r, n + 1 :] * v_len[c, n + 1 :]).sum(axis=1) >= low[r])
             kept.append((r[ok], c[ok], now[ok]))
         row, col, score = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (row, col, score)
