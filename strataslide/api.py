@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors as E
-from .catalog import catalog, default_biomarker_tokens, slide_family, supports_biomarkers
-from .functions.raster import find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
+from .catalog import catalog, default_biomarker_tokens, resolve, slide_family, supports_biomarkers
+from .functions.raster import ColorStyle, find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
 from .operators import deepzoom, gates, levels, region
 from .sources import register_sources
 
@@ -70,6 +70,11 @@ class SlideSet:
             self._metadata.unpersist()
             self._metadata = None
 
+    def resolved(self, formats: DataFrame | None = None) -> DataFrame:
+        """path, format_id, format_label, slide_family, error of every file by the catalog (or one with further formats); probes are run where a format has one."""
+        probed = self._load("slide_probes")
+        return resolve(probed, catalog(self.spark) if formats is None else formats, probes="probes").drop("probes")
+
     def tiles(self, with_data: bool = False) -> DataFrame:
         return self._load("slide_tiles", data=str(with_data).lower())
 
@@ -264,6 +269,20 @@ class SlideSet:
         bad = asked.filter("error is not null").select("request_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RASTER.split(", ")], "error")
         return read.unionByName(bad)
 
+    @staticmethod
+    def colored(rasters: DataFrame, style: ColorStyle | None) -> DataFrame:
+        """Rasters under a colour style; without one, and where there is no raster, as they are."""
+        if style is None:
+            return rasters
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                data = [None if d is None else style.apply(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c))).tobytes() for d, h, w, c in zip(b["data"], b["height"], b["width"], b["n_channels"], strict=True)]
+                sizes = {c: b[c].astype("Int64") for c in ("height", "width", "n_channels")}
+                yield b.assign(data=data, **sizes)
+
+        return rasters.mapInPandas(each, rasters.schema)
+
     # --- stored images ---------------------------------------------------------------
 
     def stored_images(self, names: tuple[str, ...] | None = None) -> DataFrame:
@@ -305,6 +324,30 @@ class SlideSet:
         """path and the raster of each slide's label; null where it has none that can be read."""
         return self.metadata.filter("error is null").select("path").join(self.stored_images(("label",)).drop("name"), "path", "left")
 
+    def side_images(self) -> DataFrame:
+        """path, name and the raster of label.jpg and macro.jpg that lie beside slides kept as OLE files."""
+        decoder = self._decoder
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            from .sources.blob import Blob
+
+            for b in batches:
+                out = []
+                for path in b["path"]:
+                    for name in ("label", "macro"):
+                        try:
+                            blob = Blob(f"{path.rpartition('/')[0]}/{name}.jpg")
+                        except OSError:
+                            continue
+                        image = decoder(blob.read(0, blob.size))
+                        blob.close()
+                        if image is not None:
+                            out.append((path, name, *_raster(image)))
+                yield pd.DataFrame(out, columns=["path", "name", "height", "width", "n_channels", "mode", "data"])
+
+        ole = self.metadata.filter("format_id = 'mds'").select("path").filter(F.lower("path").endswith(".mds"))
+        return ole.mapInPandas(each, f"path string, name string, {RASTER}")
+
     def thumbnails(self, w: int = 512, h: int = 512) -> DataFrame:
         """path, raster, error: a stored thumbnail, else the last level, shrunk to fit w x h; multiplex slides have an error."""
         s = self.slides()

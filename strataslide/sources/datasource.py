@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .blob import Blob, listed
 from .containers import parse
-from .planes import planes
+from .planes import accepted, planes
 
 TILES = "path string, format_id string, level int, z int, channel int, col int, row_no int, x0 long, y0 long, cov_w int, cov_h int, file_id int, offset long, length long, data binary"
+PROBES = "path string, probes array<string>"
 PLANES = "path string, channel_index int, name string, level int, height int, width int, dtype string, data binary"
 METADATA = "path string, format_id string, width long, height long, level_count int, levels array<struct<width: long, height: long, downsample: double>>, mpp double, channels array<string>, properties map<string,string>, stored map<string,struct<offset: long, length: long>>, error struct<class: string, message: string>"
 
@@ -76,11 +78,43 @@ class _MetadataReader(_Reader):
                 p = parse(blob, acquisition_id=self._acquisition)
             finally:
                 blob.close()
+            if p.format_id == "mds":
+                p.properties |= side_properties(partition.path)
             yield (partition.path, p.format_id, p.width, p.height, len(p.levels), [(int(w), int(h), float(d)) for w, h, d in p.levels], p.mpp, p.channels, p.properties, {k: (int(a), int(n)) for k, (a, n) in p.stored.items()}, None)
         except Exception as e:  # one file's fault is that file's row
             yield (partition.path, None, None, None, None, None, None, None, None, None, (type(e).__name__, str(e)))
 
 
+def side_properties(path: str) -> dict[str, str]:
+    """What the info.xml beside a slide tells; nothing where it is missing or no XML."""
+    try:
+        blob = Blob(f"{path.rpartition('/')[0]}/info.xml")
+    except OSError:
+        return {}
+    try:
+        text = blob.read(0, blob.size).decode("utf-8", "ignore").replace('encoding="unicode"', 'encoding="utf-8"')
+        items = [dict(e.attrib) for e in ET.fromstring(text.encode()).findall("item")]
+    except ET.ParseError:
+        return {}
+    finally:
+        blob.close()
+    named = ("rows", "cols", "objective", "create_time", "scan_machine")
+    return {f"mds.{k}": v for item in items for k, v in item.items() if k in named}
+
+
+class _ProbesReader(_Reader):
+    def read(self, partition: _File) -> Iterator[tuple]:
+        try:
+            blob = Blob(partition.path)
+        except OSError:
+            yield (partition.path, [])
+            return
+        try:
+            yield (partition.path, accepted(blob))
+        finally:
+            blob.close()
+
+
 class _PlanesReader(_Reader):
     def read(self, partition: _File) -> Iterator[tuple]:
         blob = Blob(partition.path)
@@ -107,6 +141,20 @@ class SlidePlanesSource(DataSource):
         return _PlanesReader(self.options)
 
 
+class SlideProbesSource(DataSource):
+    """A row a file: the formats whose probe accepts it."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "slide_probes"
+
+    def schema(self) -> str:
+        return PROBES
+
+    def reader(self, schema) -> DataSourceReader:
+        return _ProbesReader(self.options)
+
+
 class SlideTilesSource(DataSource):
     """The tile index of each file; option data=true reads the tiles' bytes."""
 
@@ -136,5 +184,5 @@ class SlideMetadataSource(DataSource):
 
 
 def register_sources(spark: SparkSession) -> None:
-    for source in (SlideTilesSource, SlideMetadataSource, SlidePlanesSource):
+    for source in (SlideTilesSource, SlideMetadataSource, SlidePlanesSource, SlideProbesSource):
         spark.dataSource.register(source)

@@ -118,6 +118,14 @@ def test_biomarker_regions(spark, folder):
     has = slides.has_biomarker(spark.createDataFrame([(path["ome.tif"], "CD3"), (path["ome.tif"], "x")], "path string, biomarker string")).collect()
     assert {r["biomarker"]: r["has_biomarker"] for r in has} == {"CD3": True, "x": False}
     assert slides.errors().count() == 1
+    kinds = {r["path"].rpartition("/")[2]: (r["format_id"], r["error"]) for r in slides.resolved().collect()}
+    assert kinds["ome.tif"] == kinds["pages.tiff"] == kinds["one.tif"] == ("ome_tiff", None) and kinds["plain.tif"] == ("generic_tiff", None) and kinds["cells.czi"] == ("czi", None)
+    style = raster.ColorStyle(rgb_rate=(1.0, 0.0, 0.5))
+    tinted = {r["request_id"]: r for r in slides.colored(slides.read_biomarker_region(requests), style).collect()}
+    assert len(tinted) == 10 and tinted[5]["data"] is None
+    now = np.frombuffer(tinted[1]["data"], np.uint8).reshape(tinted[1]["height"], tinted[1]["width"], 4)
+    assert (now[:, :, 0] == image(1)).all() and (now[:, :, 1] == 0).all() and (now[:, :, 2] == image(1) // 2).all() and (now[:, :, 3] == 255).all()
+    assert slides.colored(requests, None) is requests
     thumbs = {r["path"].rpartition("/")[2]: r["error"] for r in slides.thumbnails(9, 9).collect()}
     assert thumbs["ome.tif"]["class"] == "UnsupportedOperationError"
 

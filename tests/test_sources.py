@@ -224,3 +224,17 @@ def test_missing_side_file_and_broken_files(spark, tmp_path):
     assert len(by["a.tmap"]) == 4 and by["a.tmap"].count(None) == 3 and None not in by["b.tmap"]
     errors = spark.read.format("slide_metadata").load(str(tmp_path)).filter("error is not null").count()
     assert errors == 3 and spark.read.format("slide_planes").load(str(tmp_path)).count() == 0
+
+
+def test_side_files_of_ole_slides(spark, tmp_path):
+    from strataslide.api import SlideSet
+    from strataslide.functions.raster import png
+
+    (tmp_path / "a.mds").write_bytes(make_ole({"0000_0000": JPEG}))
+    (tmp_path / "info.xml").write_text('<?xml version="1.0" encoding="unicode"?><r><item rows="3" cols="4"/><item objective="20" other="x"/></r>')
+    (tmp_path / "label.jpg").write_bytes(png(np.zeros((3, 4, 3), np.uint8)))
+    slides = SlideSet(spark, str(tmp_path))
+    p = slides.metadata.filter("format_id = 'mds'").first()["properties"]
+    assert (p["mds.rows"], p["mds.cols"], p["mds.objective"]) == ("3", "4", "20") and "mds.other" not in p
+    assert [(r["name"], r["height"], r["width"]) for r in slides.side_images().collect()] == [("label", 3, 4)]
+    slides.close()
