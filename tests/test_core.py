@@ -17,6 +17,7 @@ from strataslide.catalog import catalog, resolve
 from strataslide.functions import raster
 from strataslide.functions import scalars as S
 from strataslide.operators import deepzoom, levels, metadata, multiplex, region
+from strataslide.plans import deepzoom_queries
 from strataslide.plans.queries import ORACLE_SQL, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -126,8 +127,19 @@ def test_deep_zoom_tiles(spark, tmp_path, joint):
                     limit = max(1, (w, h)[x] // int(ds))
                     row.append((z, int(ds * at), int(min(math.ceil(factor / ds * z), limit - math.ceil(at)))))
                 want.add((key, dz, *t, level, *(v for pair in zip(*row, strict=True) for v in pair)))
-    got = QUERIES["dz_tile_info_joint" if joint else "dz_tile_info"](spark, str(tmp_path)).collect()
+    names = ("slide_id", "dz_level", "col", "row_no", "level", "z_w", "z_h", "l0_x", "l0_y", "l_w", "l_h")
+    got = deepzoom.tiles(deepzoom_queries._read(spark, str(tmp_path)), deepzoom_queries.TILE, deepzoom_queries.OVERLAP, joint=joint).select(*names).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+    # the query sums the same addresses by column
+    sums = {}
+    for t in want:
+        held = sums.setdefault((t[0], t[1], t[4], t[2]), [0] * 13)
+        held[0] += 1
+        for k, v in enumerate(t[5:]):
+            held[1 + 2 * k] += v
+            held[2 + 2 * k] += v * (t[3] + 1)
+    found = QUERIES["dz_tile_info_joint" if joint else "dz_tile_info"](spark, str(tmp_path)).collect()
+    assert {tuple(r)[:4]: list(r)[4:] for r in found} == sums
 
 
 def test_rectangle_join(spark):
