@@ -43,17 +43,17 @@ def _tiles(spark, sf_dir, suffix: str, make: Callable, only: str = "true"):
     return spark.read.format("slide_tiles").load(root).withColumn("slide_id", _slide())
 
 
-@query(f"SELECT slide_id, level, col, row_no, col * 256 * (1 << level) AS x0, row_no * 256 * (1 << level) AS y0, 256 * (1 << level) AS cov, place, length FROM ({_TILES})")
+@query(f"SELECT slide_id, level, col, row_no, CAST(col * 256 * (1 << level) AS BIGINT) AS x0, CAST(row_no * 256 * (1 << level) AS BIGINT) AS y0, 256 * (1 << level) AS cov, place, length FROM ({_TILES})")
 def tmap07_tiles(spark, sf_dir):
     return _tiles(spark, sf_dir, "tmap", W.tmap07).select("slide_id", "level", "col", "row_no", "x0", "y0", F.col("cov_w").alias("cov"), F.col("offset").alias("place"), "length")
 
 
-@query(f"SELECT slide_id, level, col, row_no, col * 1280 AS x0, row_no * 1280 AS y0, length FROM ({_TILES})")
+@query(f"SELECT slide_id, level, col, row_no, CAST(col * 1280 AS BIGINT) AS x0, CAST(row_no * 1280 AS BIGINT) AS y0, length FROM ({_TILES})")
 def dyj_tiles(spark, sf_dir):
     return _tiles(spark, sf_dir, "dyj", W.dyj).select("slide_id", "level", "col", "row_no", "x0", "y0", "length")
 
 
-@query(f"SELECT slide_id, level, col, row_no, (col - min(col) OVER w) * 256 * (1 << level) AS x0, (row_no - min(row_no) OVER w) * 256 * (1 << level) AS y0, place, length FROM ({_TILES}) WINDOW w AS (PARTITION BY slide_id, level)")
+@query(f"SELECT slide_id, level, col, row_no, CAST((col - min(col) OVER w) * 256 * (1 << level) AS BIGINT) AS x0, CAST((row_no - min(row_no) OVER w) * 256 * (1 << level) AS BIGINT) AS y0, place, length FROM ({_TILES}) WINDOW w AS (PARTITION BY slide_id, level)")
 def zyp_tiles(spark, sf_dir):
     return _tiles(spark, sf_dir, "zyp", W.zyp).select("slide_id", "level", "col", "row_no", "x0", "y0", F.col("offset").alias("place"), "length")
 
@@ -63,7 +63,7 @@ def tron_tiles(spark, sf_dir):
     return _tiles(spark, sf_dir, "tron", W.tron).select("slide_id", "level", "col", "row_no", "length")
 
 
-@query(f"SELECT slide_id, level, col, row_no, col * 256 AS x0, row_no * 256 AS y0, place, length FROM ({_TILES}) WHERE level = 0")
+@query(f"SELECT slide_id, level, col, row_no, CAST(col * 256 AS BIGINT) AS x0, CAST(row_no * 256 AS BIGINT) AS y0, place, length FROM ({_TILES}) WHERE level = 0")
 def mdsx_tiles(spark, sf_dir):
     return _tiles(spark, sf_dir, "mdsx", W.mdsx, "level = 0").select("slide_id", "level", "col", "row_no", "x0", "y0", F.col("offset").alias("place"), "length")
 

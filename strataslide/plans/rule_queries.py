@@ -103,17 +103,7 @@ def acquisition_by_id(spark, sf_dir):
     return found.select("slide_id", F.col("o_totalprice").isNull().alias("missing"), F.col("o_totalprice").alias("price"))
 
 
-@query("SELECT slide_id, channel_index, name AS label FROM v_channels WHERE slide_id NOT IN (SELECT slide_id FROM v_channels GROUP BY slide_id, name HAVING count(*) > 1)")
-def labels_without_doubles(spark, sf_dir):
-    named = M.distinct_labels(table(spark, sf_dir, "v_channels"))
-    return named.filter("label = name").join(_doubled(spark, sf_dir), "slide_id", "left_anti").select("slide_id", "channel_index", "label")
-
-
-def _doubled(spark, sf_dir):
-    return table(spark, sf_dir, "v_channels").groupBy("slide_id", "name").agg(F.count("*").alias("n")).filter("n > 1").select("slide_id").distinct()
-
-
-@query("SELECT slide_id, count(*) AS n_channels, count(DISTINCT label) AS n_labels, sum(k) AS n_marked FROM (SELECT slide_id, channel_index, CASE WHEN r > 1 THEN name || ' (' || r || ')' ELSE name END AS label, CASE WHEN r > 1 THEN 1 ELSE 0 END AS k FROM (SELECT *, row_number() OVER (PARTITION BY slide_id, name ORDER BY channel_index) AS r FROM v_channels)) GROUP BY slide_id")
+@query("SELECT slide_id, count(*) AS n_channels, count(DISTINCT label) AS n_labels, CAST(sum(k) AS BIGINT) AS n_marked FROM (SELECT slide_id, channel_index, CASE WHEN r > 1 THEN name || ' (' || r || ')' ELSE name END AS label, CASE WHEN r > 1 THEN 1 ELSE 0 END AS k FROM (SELECT *, row_number() OVER (PARTITION BY slide_id, name ORDER BY channel_index) AS r FROM v_channels)) GROUP BY slide_id")
 def distinct_labels(spark, sf_dir):
     named = M.distinct_labels(table(spark, sf_dir, "v_channels"))
     return named.groupBy("slide_id").agg(F.count("*").alias("n_channels"), F.count_distinct("label").alias("n_labels"), F.sum((F.col("label") != F.col("name")).cast("int")).alias("n_marked"))
@@ -141,7 +131,7 @@ def prefix_thumbnail_level(spark, sf_dir):
     return s.select("slide_id", L.prefix_level(F.col("downsamples"), F.greatest(F.col("width") / 300.0, F.col("height") / 200.0)).alias("level"))
 
 
-@query("WITH l AS (SELECT slide_id, level, CASE WHEN raw <= 0 THEN CAST('Infinity' AS DOUBLE) WHEN raw <= 1 AND level > 0 THEN 1 / raw ELSE raw END AS direct FROM (SELECT slide_id, level, CASE (slide_id + level) % 4 WHEN 0 THEN pow(step, -level) WHEN 1 THEN pow(step, level) WHEN 2 THEN CASE WHEN level > 2 THEN 0.0 ELSE pow(step, level) END ELSE pow(step, level) END AS raw FROM (SELECT *, CAST(unnest(range(level_count)) AS INTEGER) AS level FROM v_slides))), d AS (SELECT slide_id, level, max(direct) OVER (PARTITION BY slide_id ORDER BY level) AS ds FROM l), a AS (SELECT slide_id, list(ds ORDER BY level) AS ds FROM d GROUP BY slide_id) SELECT slide_id, t AS target, CAST(CASE WHEN t < ds[1] THEN 0 ELSE coalesce(list_min(list_filter(range(1, len(ds)), lambda i: ds[i + 1] > t)) - 1, len(ds) - 1) END AS INTEGER) AS level FROM (SELECT *, unnest([1.0, 3.0, 17.0, 100.0]) AS t FROM a)")
+@query("WITH l AS (SELECT slide_id, level, CASE WHEN raw <= 0 THEN CAST('Infinity' AS DOUBLE) WHEN raw <= 1 AND level > 0 THEN 1 / raw ELSE raw END AS direct FROM (SELECT slide_id, level, CASE (slide_id + level) % 4 WHEN 0 THEN pow(step, -level) WHEN 1 THEN pow(step, level) WHEN 2 THEN CASE WHEN level > 2 THEN 0.0 ELSE pow(step, level) END ELSE pow(step, level) END AS raw FROM (SELECT *, CAST(unnest(range(level_count)) AS INTEGER) AS level FROM v_slides))), d AS (SELECT slide_id, level, max(direct) OVER (PARTITION BY slide_id ORDER BY level) AS ds FROM l), a AS (SELECT slide_id, list(ds ORDER BY level) AS ds FROM d GROUP BY slide_id) SELECT slide_id, CAST(t AS DOUBLE) AS target, CAST(CASE WHEN t < ds[1] THEN 0 ELSE coalesce(list_min(list_filter(range(1, len(ds)), lambda i: ds[i + 1] > t)) - 1, len(ds) - 1) END AS INTEGER) AS level FROM (SELECT *, unnest([1.0, 3.0, 17.0, 100.0]) AS t FROM a)")
 def best_level_monotone(spark, sf_dir):
     rows = L.with_levels(table(spark, sf_dir, "v_slides"))
     power = F.pow("step", "level")
