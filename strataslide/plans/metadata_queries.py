@@ -191,7 +191,22 @@ def lut_color(spark, sf_dir):
     return p.select("l_partkey", "l_linenumber", out(0, 1.1).alias("red"), out(1, 1.0).alias("green"), out(2, 0.9).alias("blue"))
 
 
-@query()
+#: Step k gives a slide's k-th scene the first image that fits and no earlier scene has.
+_MATCH = """SELECT slide_id, scene_index, image_index FROM (
+    WITH RECURSIVE s AS (SELECT slide_id, list(struct_pack(i := scene_index, w := w, h := h) ORDER BY scene_index) AS scenes FROM (SELECT slide_id, scene_index, max(x) AS w, max(y) AS h FROM v_scenes GROUP BY slide_id, scene_index) GROUP BY slide_id),
+    m AS (SELECT slide_id, list(struct_pack(i := image_index, w := w, h := h) ORDER BY image_index) AS images FROM (SELECT slide_id, x % 7 AS image_index, max(x) AS w, max(y) AS h FROM v_scenes GROUP BY slide_id, x % 7) GROUP BY slide_id),
+    r AS (
+        SELECT slide_id, 0 AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS image_index, scenes, images FROM s JOIN m USING (slide_id)
+        UNION ALL
+        SELECT slide_id, k, CASE WHEN hit IS NULL THEN used ELSE list_append(used, hit) END, hit, scenes, images FROM (
+            SELECT slide_id, k + 1 AS k, used, scenes, images, list_filter(images, lambda x: NOT list_contains(used, x.i) AND abs(x.w - scenes[k + 1].w) <= 512 AND abs(x.h - scenes[k + 1].h) <= 512)[1].i AS hit FROM r WHERE k < len(scenes)
+        )
+    )
+    SELECT slide_id, scenes[k].i AS scene_index, image_index FROM r WHERE k > 0
+)"""
+
+
+@query(_MATCH)
 def scene_image_match(spark, sf_dir):
     s = table(spark, sf_dir, "v_scenes").groupBy("slide_id", "scene_index").agg(F.max("x").cast("int").alias("w"), F.max("y").cast("int").alias("h"))
     i = table(spark, sf_dir, "v_scenes").groupBy("slide_id", (F.col("x") % 7).alias("image_index")).agg(F.max("x").cast("int").alias("iw"), F.max("y").cast("int").alias("ih"))
