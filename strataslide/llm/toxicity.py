@@ -188,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_000, z_min
             found = [scorer.features(scorer.passages(words(t))) for t in b["text"]]
             yield pd.DataFrame(found, columns=["best", "every"]).assign(toxic=b["toxic"].to_numpy() > 0)
 
-    seen = rows.mapInPandas(features, "best double, every double, toxic boolean").orderBy("best", "every", "toxic").collect()  # about max_fit_rows rows of two numbers
+    seen = sorted(rows.mapInPandas(features, "best double, every double, toxic boolean").collect(), key=tuple)  # about max_fit_rows rows of two numbers
     drop(rows)
     return _calibrate(model, seen)
 
