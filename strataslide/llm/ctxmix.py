@@ -6,11 +6,15 @@ texts; else, and for bytes not seen there, for what follows the byte before). Fo
 decision several predictors look up a hashed context (the three and the five bytes before, the
 word so far) in tables of counts of all training texts. Their log-odds are mixed by weights
 that a gate picks (depth of the decision, whether the word was seen before); a map from the
-mixed log-odds, and a slope and an offset of each text's own, correct them. Weights and map
-start from values fitted on about `dev_rows` training texts while the tables leave these out;
-then their counts are added. Weights, slope and offset adapt along each text: after every
-block of bytes, so the probability of a block rests on what came before it only. Blocks grow
-with the distance from the start.
+mixed log-odds, and a slope and an offset of each text's own, correct them. Weights, slope and
+offset adapt along each text: after every block of bytes, so the probability of a block rests
+on what came before it only. Blocks grow with the distance from the start.
+
+The weights and the map that texts start with are fitted on all training texts: these are dealt
+to two folds by a hash, each fold is mixed from the counts of the other, and the sums of both
+give Newton's step. Steps go on until one promises less than `gain` bits a byte (`rounds` passes
+at most); the map is of the same sums. About `dev_rows` texts only give the place where the
+steps set out.
 
 Beside it a unigram base: counts of words over all training texts. They are summed by ranges
 of the words' 64-bit hashes and handed back to the parts of the input that hold the word, so
@@ -21,20 +25,22 @@ Texts are packed once into compressed blobs of about `blob` bytes, which the pas
 
 Defined results: null or empty text is the end mark alone; equal rows get equal scores; a null
 doc_id counts as training; without training rows contexts are unknown and every byte costs
-eight bits or so; an empty table gives an empty frame. The start values are fitted on texts
-of at most `dev_chars` characters; all else rests on all training texts, whole.
+eight bits or so; an empty table gives an empty frame. Fits set out from texts of at most
+`dev_chars` bytes; what they end with, and all else, rests on all training texts, whole.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +59,8 @@ AT_ONCE, UNFOLD = 200_000, 24_000
 #: Step sizes of a text's own weights: an input of larger log-odds moves less.
 RATE = np.array([0.15, 0.1, 0.1, 0.1, 0.5], np.float32)
 BIAS = 0.3
+#: How far a text's own slope and offset may go, and the log-odds that they may lead to.
+SLOPE, OFFSET, MOST = 0.9, 4.0, 40.0
 _M = np.uint32(0x9E3779B1)
 
 
@@ -411,15 +419,15 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
         decisions &= np.uint32(255)
         np.subtract(decisions, np.float32(128), out=x[0], dtype=np.float32, casting="unsafe")
         for k, slot in enumerate(slots):
-            place = slot[a:b][which]
+            place = np.take(slot[a:b], which, mode="clip")
             place ^= near
-            x[1 + k] = model.tables[k][place]
+            x[1 + k] = np.take(model.tables[k], place, mode="clip")
         g += x[CONTEXTS] != 0
         gate[here] = g
         mixed = fixed[here]
         np.take(weights[-1], g, out=mixed, mode="clip")
         for k in range(INPUTS - 1):
-            part = weights[k][g]
+            part = np.take(weights[k], g, mode="clip")
             part *= x[k]
             mixed += part
     starts = begin[head[np.cumsum(lengths) - lengths]].tolist() if len(lengths) else []
@@ -430,7 +438,7 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
     rate = RATE[:, None].copy()
     rate[:-1] /= SCALE * SCALE
     if after is not None:
-        after |= {"grad": np.zeros((GATES, INPUTS)), "curve": np.zeros((GATES, INPUTS, INPUTS)), "push": np.zeros(CELLS), "spread": np.zeros(CELLS)}
+        told = np.empty((2, many), np.float32), np.empty(many, np.int8)  # push and spread, and the cell
     docs, done, block = np.arange(len(lengths)), 0, 0
     while len(docs):
         block += BLOCK
@@ -451,6 +459,7 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
         if done:
             mixed *= 1 + turn[0, docs][:, None]
             mixed += turn[1, docs][:, None]
+            np.clip(mixed, -MOST, MOST, out=mixed)
         e = (mixed.view(np.uint32) ^ sign).view(np.float32)
         np.exp(e, out=e)
         one = e + np.float32(1)
@@ -466,16 +475,9 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
         push.view(np.uint32)[:] ^= sign
         push *= -1
         if after is not None:
-            for k, d in enumerate(docs.tolist()):
-                n = min(wide, int(left[k]))
-                g = gate[starts[d] + done : starts[d] + done + n]
-                every = np.concatenate([x[:, k, :n] / SCALE, np.full((1, n), BIAS)]).astype(float)
-                for v in np.unique(g).tolist():
-                    m = g == v
-                    after["grad"][v] += every[:, m] @ push[k, :n][m]
-                    after["curve"][v] += (every[:, m] * spread[k, :n][m]) @ every[:, m].T
-                after["push"] += np.bincount(cell[k, :n], push[k, :n], CELLS)
-                after["spread"] += np.bincount(cell[k, :n], spread[k, :n], CELLS)
+            for k, (d, n) in enumerate(zip(docs.tolist(), np.minimum(left, wide).tolist(), strict=True)):
+                here = slice(starts[d] + done, starts[d] + done + n)
+                told[0][0, here], told[0][1, here], told[1][here] = push[k, :n], spread[k, :n], cell[k, :n]
         more = left > wide
         if more.any():
             # damped Newton steps on the text's weights, and on the slope and offset of what comes after
@@ -487,10 +489,36 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
             own[:, docs] += rate * (grad / heft)
             turn[1, docs] += np.float32(0.3) * pushed / heft
             turn[0, docs] += np.float32(0.05) * np.einsum("dl,dl->d", push, mixed) / heft
+            np.clip(turn[0], -SLOPE, SLOPE, out=turn[0])  # a long text that turns would send them off
+            np.clip(turn[1], -OFFSET, OFFSET, out=turn[1])
         docs, done = docs[more], done + wide
+    if after is not None:
+        after |= _sums(inputs, gate, *told)
     return total
 
 
+def _sums(inputs: np.ndarray, gate: np.ndarray, told: np.ndarray, cell: np.ndarray) -> dict[str, np.ndarray]:
+    """Gradient and curvature of the log probability by gate, and by cell of the map, over decisions with their pushes and spreads."""
+    sums = {"grad": np.zeros((GATES, INPUTS)), "curve": np.zeros((GATES, INPUTS, INPUTS)), "push": np.zeros(CELLS), "spread": np.zeros(CELLS)}
+    for a in range(0, len(gate), 8 * UNFOLD):
+        here = slice(a, a + 8 * UNFOLD)
+        order = np.argsort(gate[here], kind="stable")
+        every = np.empty((INPUTS, len(order)), np.float32)
+        for k in range(INPUTS - 1):
+            np.take(inputs[k, here], order, out=every[k], mode="clip")
+        every[:-1] *= np.float32(1 / SCALE)
+        every[-1] = BIAS
+        push, spread = told[0, here][order], told[1, here][order]
+        ends = np.cumsum(np.bincount(gate[here], minlength=GATES)).tolist()
+        for v, (b, z) in enumerate(zip([0, *ends], ends, strict=False)):
+            x = every[:, b:z]
+            sums["grad"][v] += x @ push[b:z]
+            sums["curve"][v] += (x * spread[b:z]) @ x.T
+        sums["push"] += np.bincount(cell[here], told[0, here], CELLS)
+        sums["spread"] += np.bincount(cell[here], told[1, here], CELLS)
+    return sums
+
+
 def words_of(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and 64-bit hash of each word in lower case (A-Z), without the ends, of joined texts."""
     inside = _WORD[data]
@@ -513,19 +541,49 @@ def words_of(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.repeat(np.arange(len(lengths)), per), key.view(np.int64)
 
 
-def adapt(model: Model, raw: list[bytes], rounds: int = 4) -> Model:
-    """Start weights and map from texts that the tables don't know: Newton's method on the gates' weights, then on the map."""
-    for _ in range(rounds if raw else 0):
-        sums: dict = {}
-        for g in groups([len(r) for r in raw]):
-            part: dict = {}
-            losses(model, [raw[i] for i in g], part)
-            sums = {k: v + sums.get(k, 0) for k, v in part.items()}
-        weights = np.array([w + np.linalg.solve(h + 5 * np.eye(INPUTS), g) for w, g, h in zip(model.weights, sums["grad"], sums["curve"], strict=True)])
-        model = replace(model, weights=weights.astype(np.float32))
-    if raw:
-        model = replace(model, cells=(model.cells + 0.5 * sums["push"] / (sums["spread"] + 20)).astype(np.float32))
-    return model
+def fit_sums(model: Model, raw: list[bytes]) -> dict[str, np.ndarray]:
+    """What a step of the fit needs of texts that the model's tables don't know; add up by key."""
+    sums: dict = {}
+    for g in groups([len(r) for r in raw]):
+        part: dict = {}
+        loss = losses(model, [raw[i] for i in g], part).sum()
+        sums = _add([sums, part | {"loss": loss}])
+    return sums
+
+
+def _add(sums: Iterable[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    out: dict = {}
+    for part in sums:
+        out = {k: v + out.get(k, 0) for k, v in part.items()}
+    return out
+
+
+def fit(model: Model, told: Callable[[np.ndarray], dict[str, np.ndarray]], gain: float, rounds: int) -> Model:
+    """Newton's method on the gates' weights, then half a step of it on the map, which is 0 until then.
+
+    told: fit_sums() of all texts at some weights. A step that made the loss larger is halved. The
+    last is one that promises less than `gain` bits; after `rounds` calls the best weights are taken.
+    """
+    weights = np.asarray(model.weights, np.float32)
+    best, step, sums = weights, None, None
+    for _ in range(rounds):
+        now = told(weights)
+        if sums is not None and not now["loss"] <= sums["loss"]:
+            step = step / 2
+        else:
+            best, sums = weights, now
+            step = np.array([np.linalg.solve(h + 5 * np.eye(INPUTS), g) for g, h in zip(sums["grad"], sums["curve"], strict=True)])
+        weights = (best + step).astype(np.float32)
+        if (step * sums["grad"]).sum() / 2 < gain * np.log(2):
+            best = weights
+            break
+    return replace(model, weights=best, cells=(0.5 * sums["push"] / (sums["spread"] + 20)).astype(np.float32))
+
+
+def adapt(model: Model, raw: list[bytes], rounds: int = 5) -> Model:
+    """Start weights and map from texts that the tables don't know, all in this process."""
+    model = replace(model, cells=np.zeros(CELLS, np.float32))
+    return fit(model, lambda w: fit_sums(replace(model, weights=w), raw), 1e-4 * sum(len(r) + 1 for r in raw), rounds) if raw else model
 
 
 def groups(sizes: list[int], size: int = AT_ONCE) -> Iterator[list[int]]:
@@ -631,10 +689,11 @@ def _pairs_of(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 _WORDS, _TRIPLES, _DEV = range(3)
+FOLDS = 2  # of training texts, by their marks; each is fitted on the counts of the other
 
 
 def _gather(batches: Iterator[pd.DataFrame], buckets: int, dev_below: int, dev_bytes: int) -> Iterator[pd.DataFrame]:
-    """(kind, bucket, part, packed): word counts of each part by bucket; of the task: byte triples by first byte, texts to fit on."""
+    """(kind, bucket, part, packed): word counts of each part by bucket; of the task: byte triples by first byte, texts that the fit sets out from."""
     words: dict[int, WordCounts] = {}
     triples, held, n_held = (np.empty(0, np.int64), np.empty(0, np.int64)), [], 0
 
@@ -649,9 +708,10 @@ def _gather(batches: Iterator[pd.DataFrame], buckets: int, dev_below: int, dev_b
                     rows += [(_WORDS, k, p, packed) for k, packed in w.rows(buckets)]
                 words = {part: WordCounts()}
             raw, train = _raw(raw, sizes), np.frombuffer(train, np.uint8) > 0
-            for i in np.flatnonzero(train & (np.frombuffer(marks, "<i4") < dev_below)).tolist():
+            mark = np.frombuffer(marks, "<i4")
+            for i in np.flatnonzero(train & (mark < dev_below) & (mark % FOLDS == 0)).tolist():
                 if len(raw[i]) <= dev_bytes:
-                    rows.append((_DEV, int(np.frombuffer(marks, "<i4")[i]), part, raw[i]))
+                    rows.append((_DEV, int(mark[i]), part, raw[i]))
             for g in groups([len(r) for r in raw]):
                 data, lengths = _join([raw[i] for i in g])
                 words[part].add(*words_of(data, lengths), train[g])
@@ -692,7 +752,30 @@ def _sum_triples(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"packed": [b"".join(x.tobytes() for x in summed(*_pairs_of(group["packed"].tolist())))]})
 
 
-def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_rows: int = 300, dev_chars: int = 50_000, code_rows: int = 1500, blob: int = 2_000_000, bucket_bytes: int = 16_000_000, fold: int = 1, folds: int = 5) -> DataFrame:
+def _folds(raw: list[bytes], train: bytes, marks: bytes) -> list[list[bytes]]:
+    """The training texts of a blob by fold."""
+    fold = np.where(np.frombuffer(train, np.uint8) > 0, np.frombuffer(marks, "<i4") % FOLDS, -1)
+    return [[raw[i] for i in np.flatnonzero(fold == f).tolist()] for f in range(FOLDS)]
+
+
+def _fit_pass(code: Broadcast, tables: Broadcast, bits: int, weights: np.ndarray) -> Callable:
+    """(task, sums) of all training texts, each from the tables of the other fold and a map of zeros."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        models = [Model(code.value, bits, t, weights, np.zeros(CELLS, np.float32)) for t in tables.value]
+        sums: dict = {}
+        for b in batches:
+            for raw, sizes, train, marks in zip(b["raw"], b["sizes"], b["train"], b["marks"], strict=True):
+                for f, learn in enumerate(_folds(_raw(raw, sizes), train, marks)):
+                    if learn:
+                        sums = _add([sums, fit_sums(models[1 - f], learn)])
+        if sums:
+            yield pd.DataFrame({"task": [TaskContext.get().partitionId()], "sums": [pickle.dumps(sums)]})
+
+    return each
+
+
+def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_rows: int = 300, dev_chars: int = 50_000, code_rows: int = 1500, blob: int = 2_000_000, bucket_bytes: int = 16_000_000, fold: int = 1, folds: int = 5, gain: float = 2e-3, rounds: int = 12) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
@@ -700,7 +783,7 @@ def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_row
     texts = keep(map_rows(rows, lambda b: _pack(b, blob), _BLOB), "texts")
     n_train, n_bytes, parts = (x or 0 for x in texts.agg(F.sum("n_train"), F.sum("n_bytes"), F.max("part") + 1).first())
     bits = min(most_bits, max(least_bits, int(n_bytes).bit_length() - 6))  # 3 * 2**most_bits bytes are broadcast at most
-    dev_below = int(1e6 * min(0.1, dev_rows / max(1, n_train)))  # about dev_rows texts, a tenth of few
+    dev_below = int(1e6 * min(1, FOLDS * dev_rows / max(1, n_train)))  # about dev_rows texts of the first fold
     buckets = 1 + int(n_bytes // (4 * bucket_bytes))  # words' keys and counts take a quarter of their texts, or less
 
     # counts of words, summed over all parts, handed back to the parts that asked; and what the code needs
@@ -714,66 +797,65 @@ def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_row
     code = prefix_code(*common_rows(*(_pairs_of([r["packed"] for r in few]) if few else (np.empty(0, np.int64),) * 2), code_rows))
     sent_code = spark.sparkContext.broadcast(code)
 
-    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen = None
-        for b in batches:
-            for raw, sizes, train, marks in zip(b["raw"], b["sizes"], b["train"], b["marks"], strict=True):
-                raw, size = _raw(raw, sizes), np.frombuffer(sizes, "<i8")
-                fitted = (np.frombuffer(marks, "<i4") < dev_below) & (size <= dev_chars)
-                learn = [raw[i] for i in np.flatnonzero((np.frombuffer(train, np.uint8) > 0) & ~fitted)]
-                for g in groups([len(r) for r in learn]):
-                    seen = seen or Counts(sent_code.value, bits)
-                    seen.add([learn[i] for i in g])
-        if seen is not None:
-            for shard, packed in seen.rows():
-                yield pd.DataFrame({"shard": [shard], "packed": [packed]})
+    def contexts(f: int) -> Callable:
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen = None
+            for b in batches:
+                for raw, sizes, train, marks in zip(b["raw"], b["sizes"], b["train"], b["marks"], strict=True):
+                    learn = _folds(_raw(raw, sizes), train, marks)[f]
+                    for g in groups([len(r) for r in learn]):
+                        seen = seen or Counts(sent_code.value, bits)
+                        seen.add([learn[i] for i in g])
+            if seen is not None:
+                for shard, packed in seen.rows():
+                    yield pd.DataFrame({"shard": [shard], "fold": [f], "packed": [packed]})
+
+        return each
 
     size = min(1 << 16, 1 << bits)
 
-    # the texts that the start values are fitted on: their counts come on top of the others'
-    own = Counts(code, bits)
-    for g in groups([len(r) for r in dev]):
-        own.add([dev[i] for i in g])
-    late = dict(own.rows())
-    del own
-    sent_late = spark.sparkContext.broadcast(late)
-
-    def both_odds(shard: int, total: np.ndarray) -> pd.DataFrame:
-        fit = b""
-        if shard in sent_late.value:
-            at, n = _unpack(sent_late.value[shard])
-            fit = log_odds(total[:, at]).tobytes()
-            total[:, at] += n
-        return pd.DataFrame({"shard": [shard], "fit": [fit], "odds": [log_odds(total).tobytes()]})
-
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Log-odds of a shard's slots: of each fold, then of all."""
+
+        def odds() -> pd.DataFrame:
+            return pd.DataFrame({"shard": [now], "odds": [b"".join(log_odds(x).tobytes() for x in (*total, total.sum(axis=0)))]})
+
         now, total = None, None
         for b in batches:
-            for shard, packed in zip(b["shard"], b["packed"], strict=True):
+            for shard, f, packed in zip(b["shard"], b["fold"], b["packed"], strict=True):
                 if shard != now:
                     if now is not None:
-                        yield both_odds(now, total)
-                    now, total = shard, np.zeros((2, size), np.int64)
+                        yield odds()
+                    now, total = shard, np.zeros((FOLDS, 2, size), np.int64)
                 at, n = _unpack(packed)
-                total[:, at] += n
+                total[f][:, at] += n
         if now is not None:
-            yield both_odds(now, total)
-
-    sums = texts.filter("n_train > 0").select("raw", "sizes", "train", "marks").mapInPandas(contexts, "shard int, packed binary")
-    merged = sums.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, fit binary, odds binary")
-    flat, old = np.zeros(CONTEXTS << bits, np.int8), {}
-    for r in merged.collect():  # 2**bits bytes a context
-        flat[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["odds"], np.int8)
-        old[r["shard"]] = np.frombuffer(r["fit"], np.int8)
-    known_not = flat.copy()  # without the texts to fit on
-    for shard, packed in late.items():
-        at, n = _unpack(packed)
-        known_not[shard * size + at] = old.get(shard, 0)
-        if shard not in old:  # slots of these texts alone
-            flat[shard * size + at] = log_odds(n)
-    fitted = adapt(start_model(code, bits, tuple(known_not.reshape(CONTEXTS, -1))), dev)
-    del known_not
-    sent = spark.sparkContext.broadcast(replace(fitted, tables=tuple(flat.reshape(CONTEXTS, -1))))
+            yield odds()
+
+    learned = texts.filter("n_train > 0").select("raw", "sizes", "train", "marks")
+    sums = reduce(DataFrame.unionAll, [learned.mapInPandas(contexts(f), "shard int, fold int, packed binary") for f in range(FOLDS)])  # a task holds one fold's counts
+    merged = keep(sums.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, odds binary"), "odds")
+    flat = [np.zeros(CONTEXTS << bits, np.int8) for _ in range(FOLDS + 1)]
+    for r in merged.toLocalIterator():  # 2**bits bytes a context and fold, and for all
+        for k, x in enumerate(flat):
+            x[r["shard"] * size : (r["shard"] + 1) * size] = np.frombuffer(r["odds"], np.int8, size, k * size)
+    drop(merged)
+    tables = [tuple(x.reshape(CONTEXTS, -1)) for x in flat]
+    del flat
+
+    # the start values: each call of told() is a pass over all training texts, from the other fold's tables
+    fitted = adapt(start_model(code, bits, tables[1]), dev)
+    sent_tables = spark.sparkContext.broadcast(tables[:FOLDS])
+    del tables[:FOLDS]
+
+    def told(weights: np.ndarray) -> dict[str, np.ndarray]:
+        sums = learned.mapInPandas(_fit_pass(sent_code, sent_tables, bits, weights), "task int, sums binary").collect()  # a row a task, some 2 kB
+        return _add(pickle.loads(r["sums"]) for r in sorted(sums, key=lambda r: r["task"]))
+
+    if n_train:
+        fitted = fit(fitted, told, gain * (n_bytes + n_train), rounds)
+    sent_tables.destroy()
+    sent = spark.sparkContext.broadcast(replace(fitted, tables=tables.pop()))
 
     # texts meet their part's words
     base = 0.5 * (distinct + 1) + n_all

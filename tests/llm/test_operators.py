@@ -529,6 +529,63 @@ def test_context_mixing_counts_every_training_text(spark, monkeypatch):
         assert (table == ctxmix.log_odds(counts.counts(k))).all()
 
 
+def test_context_mixing_fits_every_training_text(spark, monkeypatch):
+    """Start weights and map are those of all training texts, each mixed from the other fold's counts, wherever the fit sets out."""
+    import dataclasses
+
+    from strataslide.llm import ctxmix
+
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeäß") for _ in range(rng.randint(2, 7))) for _ in range(60)]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(40 + k % 9)) if k % 7 else "%d;" % k * 60) for k in range(90)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    mark = {r["doc_id"]: r["mark"] for r in df.select("doc_id", F.expr("pmod(xxhash64(3, doc_id, text), 1000000)").alias("mark")).collect()}
+    fold = [ctxmix.utf8([t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 and mark[i] % 2 == f]) for f in (0, 1)]
+    sent, send = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or send(value))
+
+    def model(**how):
+        sent.clear()
+        ctxmix.score(df, least_bits=14, most_bits=14, **how)
+        return next(v for v in sent if isinstance(v, ctxmix.Model))
+
+    def step(weights, cells):
+        """Newton's step from all training texts, told one at a time."""
+        sums = {}
+        for f in (0, 1):
+            other = ctxmix.Counts(found.code, 14)
+            other.add(fold[1 - f])
+            known = dataclasses.replace(found, tables=tuple(ctxmix.log_odds(other.counts(k)) for k in range(ctxmix.CONTEXTS)), weights=weights, cells=cells)
+            for text in fold[f]:
+                ctxmix.losses(known, [text], part := {})
+                sums = {k: v + sums.get(k, 0) for k, v in part.items()}
+        change = np.array([np.linalg.solve(h + 5 * np.eye(ctxmix.INPUTS), g) for g, h in zip(sums["grad"], sums["curve"], strict=True)])
+        return weights + change, 0.5 * sums["push"] / (sums["spread"] + 20), (change * sums["grad"]).sum() / 2 / math.log(2)
+
+    # whatever few texts the fit sets out from, it ends where a step of all texts promises next to nothing
+    none = np.zeros(ctxmix.CELLS, np.float32)
+    found = model(dev_rows=4)
+    weights, cells, promise = step(found.weights, none)
+    assert promise < 2e-3 * sum(len(t) + 1 for f in fold for t in f) and abs(found.cells - cells).max() < 0.15
+    # one step from the fixed start is the step of all texts
+    found = model(dev_rows=0, gain=1e9)
+    weights, cells, _ = step(ctxmix.start_model(found.code, 14, found.tables).weights, none)
+    assert abs(found.weights - weights).max() < 1e-4 and abs(found.cells - cells).max() < 1e-4
+    # and more steps lead to the same model from either start
+    texts = ctxmix.utf8([t for _, t in rows])
+    near, far = (ctxmix.losses(model(dev_rows=n, gain=1e-9, rounds=12), texts) for n in (4, 0))
+    assert abs(near.sum() / far.sum() - 1) < 1e-3
+
+
+def test_context_mixing_of_a_text_that_turns():
+    """A long text that is told well, then isn't, has a finite score."""
+    from strataslide.llm import ctxmix
+
+    model = _mixture(["the cat sat on the mat. " * 40] * 30, 14)
+    text = ctxmix.utf8(["the cat sat on the mat. " * 2000 + "the mat sat on the cat. " * 2000])
+    assert 0 < ctxmix.losses(model, text)[0] < 6 * len(text[0])
+
+
 def test_context_counts_beyond_a_byte():
     """Slots that a byte can't hold keep their whole counts, over many settlements, packed and unpacked."""
     from strataslide.llm import ctxmix
