@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep, map_rows
+from .common import keep, map_rows, tidy
 from .tokens import chunk_tokenizer
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0, with
                     rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)) + ((part,) if with_ids else ()))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
 
-    return map_rows(docs.select("doc_id", "text"), cut, _PIECES + ", ids binary" * with_ids)
+    return map_rows(docs.select("doc_id", "text"), tidy(cut), _PIECES + ", ids binary" * with_ids)
 
 
 def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", capacity: int = 2048, end_id: int = 0, with_ids: bool = False, rows_per_bucket: int = 50_000) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import map_rows, tidy
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -443,4 +443,4 @@ def mask(docs: DataFrame, tagger: Tagger) -> DataFrame:
                 out.append("".join([*done, text[upto:]]) if done else old)
             yield b.set_column(at, b.schema.field(at), pa.array(out, b.schema.field(at).type))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)

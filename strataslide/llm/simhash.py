@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, keep, map_rows
+from .common import fresh, keep, map_rows, tidy
 from .components import components
 
 
@@ -330,7 +330,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, b
             yield pd.DataFrame({"k": b["k"], "name": names, "words": held, "bands": bands})
 
     known = docs.select(F.col(id_col).cast("long").alias("k"), "text")
-    marked = keep(map_rows(known, each, "k long, name long, words binary, bands array<long>", ("k",)).withColumnRenamed("k", id_col), "sketches")
+    marked = keep(map_rows(known, tidy(each), "k long, name long, words binary, bands array<long>", ("k",)).withColumnRenamed("k", id_col), "sketches")
     classes = keep(marked.groupBy("name").agg(F.first("words").alias("words"), F.first("bands").alias("bands")), "classes")
     keyed = classes.select("name", F.posexplode("bands").alias("slot", "bits"))
     radius = wide_radius(similarity) + MARGIN
@@ -343,7 +343,7 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, b
 
     # one text of each candidate; rows that share its id fall out by name
     firsts = marked.join(near, "name", "left_semi").groupBy("name").agg(F.min(id_col).alias("k")).select("k").distinct()
-    sets = known.join(firsts.withColumnRenamed("k", "k_"), F.col("k").eqNullSafe(F.col("k_")), "left_semi").select("text").mapInPandas(shingles, "name long, hashes binary")
+    sets = known.join(firsts.withColumnRenamed("k", "k_"), F.col("k").eqNullSafe(F.col("k_")), "left_semi").select("text").mapInPandas(tidy(shingles), "name long, hashes binary")
     sets = sets.join(near.select("name"), "name", "left_semi").groupBy("name").agg(F.first("hashes").alias("hashes"))
     payload = keep(classes.select("name", "words").join(sets, "name"), "shingles")
     joined = components(compare_buckets(near.select("name", F.lit(0).alias("slot"), F.col("component").alias("bits")), payload, radius, block, _tasks(near, 1), similarity))
@@ -375,6 +375,6 @@ def drop_similar(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, blo
             yield b.append_column(name, pa.array(names, pa.int64()))
 
     again = docs.join(shared.select(own_id).distinct(), own.eqNullSafe(F.col(own_id)), "left_semi")
-    again = again.mapInArrow(mark, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    again = again.mapInArrow(tidy(mark), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
     again = again.join(shared.select(own_id, own_name), own.eqNullSafe(F.col(own_id)) & (F.col(name) == F.col(own_name)), "left_semi").dropDuplicates([id_col, name])
     return lone.unionByName(again.drop(name))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, keep, map_rows
+from .common import drop, keep, map_rows, tidy
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _PREFIXES = (7, 6, 5, 4)
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_fit_rows: int = 20_000, z_min
                 sums = {"": total} if total else {}
         yield _counts(sums)
 
-    per = rows.mapInPandas(count, "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    per = rows.mapInPandas(tidy(count), "key string, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     per = per.filter(F.col("clean") + F.col("toxic") >= min_rows).persist()
     total = per.filter("key = ''").select("clean", "toxic").first()
     lexicon: dict[str, float] = {}
@@ -237,7 +237,7 @@ def reject(docs: DataFrame, model: Model) -> DataFrame:
             texts = b.column(b.schema.get_field_index("text")).to_pylist()
             yield b.filter(pa.array([scorer.score(scorer.passages(words(t))) < 0.5 for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)
 
 
 def score(docs: DataFrame, model: Model, keep_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:

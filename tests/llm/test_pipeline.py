@@ -1,7 +1,10 @@
 """The pipeline's stages against brute force, on documents with nulls, repeated rows and clashing columns."""
 
 import random
+import subprocess
+import sys
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -192,3 +195,38 @@ def test_stages_bear_empty_tables(spark, corpus):
     for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, corpus[0])
         assert docs.count() == 0
+
+
+HELD = """
+import ctypes, random, re
+import pandas as pd, pyarrow as pa
+from strataslide.llm import packing
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+packing.map_rows = lambda df, each, *_: each
+class Docs:
+    def select(self, *_):
+        return self
+each = packing.pieces(Docs(), "word_bpe_49k.json", 2048)
+rng = random.Random(3)
+def batches():
+    for k in range(2):
+        texts = [" ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(300)) for _ in range(2000)]
+        yield pd.DataFrame({"doc_id": [str(i) for i in range(len(texts))], "text": texts})
+for _ in each(batches()):
+    pass
+was = held()
+pa.default_memory_pool().release_unused()
+ctypes.CDLL(None).malloc_trim(0)
+print(was - held())
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+def test_workers_give_memory_back():
+    """A worker that has done its batches of long texts keeps no unused memory from other tasks of its machine."""
+    run = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, timeout=120, cwd=Path(__file__).parents[2])
+    assert run.returncode == 0, run.stderr
+    assert float(run.stdout) < 8, run.stdout
