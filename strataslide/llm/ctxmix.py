@@ -36,6 +36,7 @@ import pickle
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import batched
 
 import numpy as np
 import pandas as pd
@@ -285,39 +286,55 @@ def common_rows(triples: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.
 class Counts:
     """What a task has seen of every slot: times 0 and times 1, interleaved; what a byte can't hold lies beside."""
 
-    def __init__(self, code: Code, bits: int, hold: int = 4_000_000):
+    def __init__(self, code: Code, bits: int, hold: int = 2_000_000):
         self.code, self.bits, self._hold = code, bits, hold
         self._seen = [np.zeros(2 << bits, np.uint8) for _ in range(CONTEXTS)]
         self._over: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
-        self._slots: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+        self._runs: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
         self._held = 0
+        self._size = np.zeros(len(code.decisions), np.int64)  # of the run that begins at a decision
+        own = code.own[(code.own & np.uint32(254)) > 0]  # a context that nothing follows has an empty one
+        self._size[own >> np.uint32(8)] = own >> np.uint32(1) & np.uint32(127)
 
     def add(self, raw: list[bytes]) -> None:
         data, lengths = _join(raw)
-        at, first, size, _ = _expand(self.code, data, _places(lengths))
-        slots = [_slots(c, self.bits)[at] << 1 for c in _contexts(data)]
-        begin = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        for a, b in _cuts(begin, UNFOLD):
-            which, decisions = _unfold(self.code, first[a:b], size[a:b])
-            change = (decisions >> np.uint32(10) & np.uint32((2 << NEAR) - 2) | decisions & np.uint32(1)).astype(np.int64)
-            for held, slot in zip(self._slots, slots, strict=True):
-                here = slot[a:b][which]
-                here ^= change
-                held.append(here.astype(np.int32))
-            self._held += len(which)
+        at, first, _, _ = _expand(self.code, data, _places(lengths))
+        for held, context in zip(self._runs, _contexts(data), strict=True):
+            run = _slots(context, self.bits)[at]
+            run <<= 24
+            run |= first
+            held.append(run)
+        self._held += len(first)
         if self._held >= self._hold:
             self.settle()
 
     def settle(self) -> None:
-        """Add up the slots that are held: sorted first, as a large table is slow to meet at random."""
-        for seen, over, held in zip(self._seen, self._over, self._slots, strict=True):
+        """Add up the runs that are held: equal ones are unfolded once, and slots sorted first, as a large table is slow to meet at random."""
+        for seen, over, held in zip(self._seen, self._over, self._runs, strict=True):
             if held:
-                slot = np.concatenate(held)
-                slot.sort()
+                run = np.concatenate(held)
                 held.clear()
+                run.sort()
+                head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+                times = np.diff(head, append=len(run))
+                run = run[head]
+                slot = run >> 24 << 33
+                slot |= times
+                run &= (1 << 24) - 1
+                size = self._size[run]
+                begin = np.concatenate([[0], np.cumsum(size)])
+                found = np.empty(int(begin[-1]), np.int64)  # slot and bit << 32 | times
+                for a, b in _cuts(begin, UNFOLD):
+                    which, decisions = _unfold(self.code, run[a:b], size[a:b])
+                    change = (decisions >> np.uint32(10) & np.uint32((2 << NEAR) - 2) | decisions & np.uint32(1)).astype(np.int64)
+                    change <<= 32
+                    np.bitwise_xor(slot[a:b][which], change, out=found[int(begin[a]) : int(begin[b])])
+                found.sort()
+                slot = found >> 32
                 head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
-                n = np.diff(head, append=len(slot))
-                slot = slot[head].astype(np.int64)
+                slot = slot[head]
+                found &= (1 << 32) - 1
+                n = np.add.reduceat(found, head)
                 n += seen[slot]
                 far = n > 255
                 if far.any():
@@ -339,14 +356,20 @@ class Counts:
 
     def rows(self, shard_bits: int = 16) -> Iterator[tuple[int, bytes]]:
         """(shard, packed): the slots that were seen, with their two counts."""
+        self.settle()
         size = min(1 << shard_bits, 1 << self.bits)
         shards = (1 << self.bits) // size
-        for k in range(CONTEXTS):
+        for k, (seen, over) in enumerate(zip(self._seen, self._over, strict=True)):
+            slot, n = summed(*map(np.concatenate, zip(*over, strict=True))) if over else (np.empty(0, np.int64),) * 2
+            cut = np.searchsorted(slot, np.arange(shards + 1) * 2 * size).tolist()
+            both, pairs = seen.view(np.uint16), seen.reshape(-1, 2)
             for shard in range(shards):
-                part = self.counts(k, shard * size, (shard + 1) * size)
-                at = np.flatnonzero(part.any(axis=0))
+                at = np.flatnonzero(both[shard * size : (shard + 1) * size])
                 if len(at):
-                    part = part[:, at].T
+                    part = pairs[shard * size : (shard + 1) * size][at].astype(np.int64)
+                    here = slice(cut[shard], cut[shard + 1])
+                    far = slot[here] - 2 * size * shard
+                    part[np.searchsorted(at, far >> 1), far & 1] += n[here]
                     far = np.flatnonzero((part > 254).any(axis=1))  # few counts need more than a byte
                     head = np.array([len(at), len(far)], "<u4").tobytes()
                     yield k * shards + shard, head + at.astype("<u2").tobytes() + np.minimum(part, 255).astype(np.uint8).tobytes() + far.astype("<u4").tobytes() + part[far].astype("<u8").tobytes()
@@ -405,6 +428,7 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
     inputs = np.empty((INPUTS - 1, many), np.float32)
     fixed, flip = np.empty(many, np.float32), np.empty(many, np.uint32)  # the sign bit of a 1
     gate = np.empty(many, np.int8)
+    mapped = model.cells.any()
     weights = np.ascontiguousarray(model.weights.T)
     weights[:-1] /= SCALE
     weights[-1] *= BIAS
@@ -455,7 +479,8 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
         np.clip(mixed, -11.9, 11.9, out=mixed)
         cell = mixed + np.float32(12)
         cell = cell.astype(np.int64)
-        mixed += model.cells[cell]
+        if mapped:
+            mixed += model.cells[cell]
         if done:
             mixed *= 1 + turn[0, docs][:, None]
             mixed += turn[1, docs][:, None]
@@ -500,22 +525,24 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
 def _sums(inputs: np.ndarray, gate: np.ndarray, told: np.ndarray, cell: np.ndarray) -> dict[str, np.ndarray]:
     """Gradient and curvature of the log probability by gate, and by cell of the map, over decisions with their pushes and spreads."""
     sums = {"grad": np.zeros((GATES, INPUTS)), "curve": np.zeros((GATES, INPUTS, INPUTS)), "push": np.zeros(CELLS), "spread": np.zeros(CELLS)}
-    for a in range(0, len(gate), 8 * UNFOLD):
-        here = slice(a, a + 8 * UNFOLD)
+    for a in range(0, len(gate), 2 * UNFOLD):
+        here = slice(a, a + 2 * UNFOLD)
         order = np.argsort(gate[here], kind="stable")
-        every = np.empty((INPUTS, len(order)), np.float32)
+        every, hefty = np.empty((INPUTS + 1, len(order)), np.float32), np.empty((INPUTS, len(order)), np.float32)
         for k in range(INPUTS - 1):
             np.take(inputs[k, here], order, out=every[k], mode="clip")
-        every[:-1] *= np.float32(1 / SCALE)
-        every[-1] = BIAS
-        push, spread = told[0, here][order], told[1, here][order]
+        every[:-2] *= np.float32(1 / SCALE)
+        every[-2] = BIAS
+        np.take(told[0, here], order, out=every[-1], mode="clip")
+        np.multiply(every[:-1], np.take(told[1, here], order, mode="clip"), out=hefty)
         ends = np.cumsum(np.bincount(gate[here], minlength=GATES)).tolist()
         for v, (b, z) in enumerate(zip([0, *ends], ends, strict=False)):
-            x = every[:, b:z]
-            sums["grad"][v] += x @ push[b:z]
-            sums["curve"][v] += (x * spread[b:z]) @ x.T
-        sums["push"] += np.bincount(cell[here], told[0, here], CELLS)
-        sums["spread"] += np.bincount(cell[here], told[1, here], CELLS)
+            x = every[:-1, b:z]
+            sums["grad"][v] += x @ every[-1, b:z]
+            sums["curve"][v] += hefty[:, b:z] @ x.T
+        place = cell[here].astype(np.intp)
+        sums["push"] += np.bincount(place, told[0, here], CELLS)
+        sums["spread"] += np.bincount(place, told[1, here], CELLS)
     return sums
 
 
@@ -807,8 +834,8 @@ def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_row
                         seen = seen or Counts(sent_code.value, bits)
                         seen.add([learn[i] for i in g])
             if seen is not None:
-                for shard, packed in seen.rows():
-                    yield pd.DataFrame({"shard": [shard], "fold": [f], "packed": [packed]})
+                for some in batched(seen.rows(), 32):  # a frame costs more than a shard
+                    yield pd.DataFrame({"shard": [shard for shard, _ in some], "fold": f, "packed": [packed for _, packed in some]})
 
         return each
 

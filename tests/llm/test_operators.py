@@ -659,3 +659,27 @@ def test_repeated_notices(name, between):
     text = licenses.TEMPLATES[name].rstrip(".")
     want = [(name, k * (len(text) + len(between)), k * (len(text) + len(between)) + len(text)) for k in range(10)]
     assert [(f[0], f[3], f[4]) for f in licenses.Scanner(licenses.TEMPLATES).scan((text + between) * 10)] == want
+
+
+def test_equal_contexts_are_unfolded_once(monkeypatch):
+    """Counting works on distinct runs of decisions, so copies cost little; all counts are whole, also those that a byte can't hold."""
+    from strataslide.llm import ctxmix
+
+    rng = random.Random(5)
+    raw = [" ".join("".join(rng.choices("abcdef", k=4)) for _ in range(60)).encode() for _ in range(3)]
+    code = ctxmix.prefix_code(*ctxmix.common_rows(*ctxmix.triple_counts(raw), 20))
+    unfold, sizes = ctxmix._unfold, []
+    monkeypatch.setattr(ctxmix, "_unfold", lambda code, first, size: sizes.append(int(size.sum())) or unfold(code, first, size))
+    once, often = ctxmix.Counts(code, 17), ctxmix.Counts(code, 17)
+    once.add(raw)
+    for _ in range(150):
+        often.add(raw * 2)
+    for seen, times in ((once, 1), (often, 300)):
+        rows = dict(seen.rows())
+        for k in range(ctxmix.CONTEXTS):
+            assert (seen.counts(k) == times * once.counts(k)).all()
+            for shard in range(2):
+                at, n = ctxmix._unpack(rows[2 * k + shard])
+                part = seen.counts(k, shard << 16, shard + 1 << 16)
+                assert (part[:, at] == n).all() and part.sum() == n.sum()
+    assert sum(sizes) < 3 * ctxmix.CONTEXTS * sum(int(once.counts(k).sum()) for k in range(ctxmix.CONTEXTS)), sum(sizes)
