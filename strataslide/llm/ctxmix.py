@@ -155,7 +155,9 @@ def utf8(texts: list) -> list[bytes]:
 
 def _places(lengths: np.ndarray) -> np.ndarray:
     """Places in the joined array that are symbols, text after text."""
-    return np.arange(int(lengths.sum())) + np.repeat(LEAD * (np.arange(len(lengths)) + 1), lengths)
+    ends = np.cumsum(lengths + LEAD).tolist()
+    every = np.arange(ends[-1] if ends else 0)
+    return np.concatenate([every[z - n : z] for z, n in zip(ends, lengths.tolist(), strict=True)] or [every])
 
 
 _POWERS: dict = {}
@@ -171,6 +173,7 @@ def _powers(n: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
 
 _LETTER = np.array([65 <= (c & ~32) <= 90 or 128 <= c < 255 for c in range(256)])
 _LOW = np.array([(c | 32 if 65 <= c <= 90 else c) + 1 if _LETTER[c] else 0 for c in range(256)], np.uint32)
+_FIRST = np.where(_LETTER, 7, np.arange(256)).astype(np.uint32)
 _WORD = np.array([c != 32 and not 9 <= c <= 13 and c != END for c in range(256)])
 #: 64 bits for each byte in lower case.
 _SPREAD = np.random.default_rng(64).integers(0, 2**64, 256, dtype=np.uint64)[[c | 32 if 65 <= c <= 90 else c for c in range(256)]]
@@ -188,20 +191,18 @@ def _contexts(data: np.ndarray) -> list[np.ndarray]:
     five = four * _M
     five[5:] ^= data[: n - 5] * np.uint32(0xC2B2AE35)
     power, inverse = _powers(n, np.uint32)
-    low = _LOW[data]
+    low = np.take(_LOW, data, mode="clip")
     place = np.arange(1, n + 1)
-    place[low > 0] = 0
+    place *= low == 0
     start = np.zeros(n, np.int64)  # just after the last other byte before each place
     np.maximum.accumulate(place[:-1], out=start[1:])
     sums = np.zeros(n + 1, np.uint32)
     low *= power
     np.cumsum(low, dtype=np.uint32, out=sums[1:])
-    word = sums[:-1] - sums[start]
-    word *= inverse[start]
+    word = sums[:-1] - np.take(sums, start, mode="clip")
+    word *= np.take(inverse, start, mode="clip")
     word *= np.uint32(0xB5297A4D)
-    four >>= np.uint32(24)
-    four[1:][_LETTER[data[:-1]]] = 7  # a word's first letter knows the byte before
-    word += four
+    word[1:] += np.take(_FIRST, data[:-1], mode="clip")  # a word's first letter knows the byte before
     return [three, five, word]
 
 
@@ -222,33 +223,28 @@ def _before(data: np.ndarray) -> np.ndarray:
 
 
 def _expand(code: Code, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of decisions of the symbols at `at`: each one's place in data, where it lies in the code and its length; and each symbol's first run.
+    """Runs of decisions of the symbols at `at`: each one's place in data, where it lies in the code and its length; and the symbols of two runs.
 
     A symbol is one run, or two where it is not in the code of its own context.
     """
     two = _before(data)
-    key = code.base[two]
+    key = np.take(code.base, two, mode="clip")
     key += data
-    packed = code.own[key][at]
+    packed = np.take(code.own, np.take(key, at, mode="clip"), mode="clip")
     far = np.flatnonzero(packed & np.uint32(1))
-    head = None
     if len(far):
         rest = code.own[code.last[two[at[far]] & 255] + data[at[far]]]
-        head = np.ones(len(at), np.int64)
-        head[far] = 2
-        ends = np.cumsum(head)
-        second = ends[far] - 1
-        head = ends - head
-        more, places = np.empty(len(at) + len(far), np.uint32), np.empty(len(at) + len(far), np.int64)
-        more[head], places[head] = packed, at
+        second = far + np.arange(1, len(far) + 1)
+        once = np.ones(len(at) + len(far), bool)
+        once[second] = False
+        more, places = np.empty(len(once), np.uint32), np.empty(len(once), np.int64)
+        more[once], places[once] = packed, at
         more[second], places[second] = rest, at[far]
         packed, at = more, places
-    else:
-        head = np.arange(len(at))
     first = (packed >> np.uint32(8)).astype(np.int64)
     packed >>= np.uint32(1)
     packed &= np.uint32(127)
-    return at, first, packed.astype(np.int64), head
+    return at, first, packed.astype(np.int64), far
 
 
 def _unfold(code: Code, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -286,11 +282,11 @@ def common_rows(triples: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.
 class Counts:
     """What a task has seen of every slot: times 0 and times 1, interleaved; what a byte can't hold lies beside."""
 
-    def __init__(self, code: Code, bits: int, hold: int = 2_000_000):
+    def __init__(self, code: Code, bits: int, hold: int = 3_000_000):
         self.code, self.bits, self._hold = code, bits, hold
         self._seen = [np.zeros(2 << bits, np.uint8) for _ in range(CONTEXTS)]
         self._over: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(CONTEXTS)]
-        self._runs: list[list[np.ndarray]] = [[] for _ in range(CONTEXTS)]
+        self._runs = np.empty((CONTEXTS, hold), np.int64)  # slot << 24 | first decision
         self._held = 0
         self._size = np.zeros(len(code.decisions), np.int64)  # of the run that begins at a decision
         own = code.own[(code.own & np.uint32(254)) > 0]  # a context that nothing follows has an empty one
@@ -299,21 +295,23 @@ class Counts:
     def add(self, raw: list[bytes]) -> None:
         data, lengths = _join(raw)
         at, first, _, _ = _expand(self.code, data, _places(lengths))
-        for held, context in zip(self._runs, _contexts(data), strict=True):
-            run = _slots(context, self.bits)[at]
-            run <<= 24
-            run |= first
-            held.append(run)
-        self._held += len(first)
-        if self._held >= self._hold:
-            self.settle()
+        contexts, step = _contexts(data), min(UNFOLD, self._hold)
+        for a in range(0, len(at), step):
+            few = first[a : a + step]
+            if self._held + len(few) > self._hold:
+                self.settle()
+            for held, context in zip(self._runs, contexts, strict=True):
+                run = held[self._held : self._held + len(few)]
+                run[:] = _slots(np.take(context, at[a : a + step], mode="clip"), self.bits)
+                run <<= 24
+                run |= few
+            self._held += len(few)
 
     def settle(self) -> None:
         """Add up the runs that are held: equal ones are unfolded once, and slots sorted first, as a large table is slow to meet at random."""
         for seen, over, held in zip(self._seen, self._over, self._runs, strict=True):
-            if held:
-                run = np.concatenate(held)
-                held.clear()
+            if self._held:
+                run = held[: self._held]
                 run.sort()
                 head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
                 times = np.diff(head, append=len(run))
@@ -328,7 +326,7 @@ class Counts:
                     which, decisions = _unfold(self.code, run[a:b], size[a:b])
                     change = (decisions >> np.uint32(10) & np.uint32((2 << NEAR) - 2) | decisions & np.uint32(1)).astype(np.int64)
                     change <<= 32
-                    np.bitwise_xor(slot[a:b][which], change, out=found[int(begin[a]) : int(begin[b])])
+                    np.bitwise_xor(np.take(slot[a:b], which, mode="clip"), change, out=found[int(begin[a]) : int(begin[b])])
                 found.sort()
                 slot = found >> 32
                 head = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
@@ -411,6 +409,13 @@ def _cuts(begin: np.ndarray, size: int) -> list[tuple[int, int]]:
 
 #: A text's weights move after blocks of this many decisions, twice as many, and so on.
 BLOCK = 192
+#: Decisions of a block worked on together, which stay in a core's cache.
+TOGETHER = 32_000
+
+
+#: The gate (depth << 1 | whether the word was seen) that a mark's bits above the decision's own stand for (seen << 2 | depth).
+_GATE = np.array([(m & 3) << 1 | m >> 2 for m in range(GATES)])
+_GATES = np.arange(GATES, dtype=np.int8)[:, None]
 
 
 def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndarray:
@@ -421,66 +426,69 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
     as large as they are, and weights as much smaller. after: gets what a fit needs, see adapt().
     """
     data, lengths = _join(raw)
-    at, first, size, head = _expand(model.code, data, _places(lengths))
+    at, first, size, far = _expand(model.code, data, _places(lengths))
     begin = np.concatenate([[0], np.cumsum(size)])
-    slots = [_slots(c, model.bits)[at] for c in _contexts(data)]
+    contexts = _contexts(data)
     many = int(begin[-1])
-    inputs = np.empty((INPUTS - 1, many), np.float32)
-    fixed, flip = np.empty(many, np.float32), np.empty(many, np.uint32)  # the sign bit of a 1
-    gate = np.empty(many, np.int8)
-    mapped = model.cells.any()
-    weights = np.ascontiguousarray(model.weights.T)
-    weights[:-1] /= SCALE
-    weights[-1] *= BIAS
+    # a byte each until a block takes them: log-odds, and whether the word was seen << 3 | depth << 1 | bit
+    inputs, marks = np.empty((INPUTS - 1, many), np.int8), np.empty(many, np.int8)
     for a, b in _cuts(begin, UNFOLD):
         which, decisions = _unfold(model.code, first[a:b], size[a:b])
-        here = slice(int(begin[a]), int(begin[b]))
-        np.left_shift(decisions, np.uint32(31), out=flip[here])
-        x = inputs[:, here]
-        g = (decisions & np.uint32(6)).astype(np.int64)
+        x, mark = inputs[:, int(begin[a]) : int(begin[b])], marks[int(begin[a]) : int(begin[b])]
+        mark[:] = decisions & np.uint32(7)
         near = (decisions >> np.uint32(11)).astype(np.int64)
         decisions >>= np.uint32(3)
-        decisions &= np.uint32(255)
-        np.subtract(decisions, np.float32(128), out=x[0], dtype=np.float32, casting="unsafe")
-        for k, slot in enumerate(slots):
-            place = np.take(slot[a:b], which, mode="clip")
+        np.bitwise_xor(decisions.astype(np.uint8), np.uint8(128), out=x[0].view(np.uint8))  # less 128
+        for k, context in enumerate(contexts):
+            place = np.take(_slots(np.take(context, at[a:b], mode="clip"), model.bits), which, mode="clip")
             place ^= near
-            x[1 + k] = np.take(model.tables[k], place, mode="clip")
-        g += x[CONTEXTS] != 0
-        gate[here] = g
-        mixed = fixed[here]
-        np.take(weights[-1], g, out=mixed, mode="clip")
-        for k in range(INPUTS - 1):
-            part = np.take(weights[k], g, mode="clip")
-            part *= x[k]
-            mixed += part
-    starts = begin[head[np.cumsum(lengths) - lengths]].tolist() if len(lengths) else []
+            np.take(model.tables[k], place, mode="clip", out=x[1 + k])
+        mark |= (x[CONTEXTS] != 0).view(np.int8) << np.int8(3)
+    head = np.cumsum(lengths) - lengths  # each text's first symbol, and so its first run
+    starts = begin[head + np.searchsorted(far, head)].tolist()
     counts = np.diff(np.append(starts, many).astype(np.int64))
+    weights = model.weights.T[:, _GATE]
+    weights[:-1] /= SCALE
+    weights[-1] *= BIAS
+    mapped = model.cells.any()
     total = np.zeros(len(lengths))
     own = np.zeros((INPUTS, len(lengths)), np.float32)
     turn = np.zeros((2, len(lengths)), np.float32)  # each text's change of slope and offset after the map
+    scale = np.array([1.0] * CONTEXTS + [1.0, BIAS], np.float32)[:, None]
     rate = RATE[:, None].copy()
     rate[:-1] /= SCALE * SCALE
-    if after is not None:
-        told = np.empty((2, many), np.float32), np.empty(many, np.int8)  # push and spread, and the cell
-    docs, done, block = np.arange(len(lengths)), 0, 0
-    while len(docs):
-        block += BLOCK
+    sums = Sums() if after is not None else None
+    rest, done, block, parts = np.arange(len(lengths)), 0, 0, []
+    while len(rest) or parts:
+        if not parts:  # the next block, a few texts at a time
+            block += BLOCK
+            few = max(1, TOGETHER // block)
+            parts = [rest[k : k + few] for k in range(0, len(rest), few)][::-1]
+        docs = parts.pop()
         left = counts[docs] - done
         wide = min(block, int(left.max()))
         # each text's decisions of the block in a row; what is missing at a text's end is 0 and not counted
-        x, mixed, sign = np.zeros((INPUTS - 1, len(docs), wide), np.float32), np.zeros((len(docs), wide), np.float32), np.zeros((len(docs), wide), np.uint32)
+        x, mark = np.empty((INPUTS - 1, len(docs), wide), np.float32), np.empty((len(docs), wide), np.int8)
         for k, (d, n) in enumerate(zip(docs.tolist(), np.minimum(left, wide).tolist(), strict=True)):
             here = slice(starts[d] + done, starts[d] + done + n)
-            x[:, k, :n], mixed[k, :n], sign[k, :n] = inputs[:, here], fixed[here], flip[here]
-        if done:
-            mixed += np.einsum("kd,kdl->dl", own[:-1, docs], x)
-            mixed += (own[-1, docs] * np.float32(BIAS))[:, None]
+            x[:, k, :n], mark[k, :n] = inputs[:, here], marks[here]
+            if n < wide:
+                x[:, k, n:], mark[k, n:] = 0, 0
+        sign = mark.astype(np.uint32)
+        sign <<= np.uint32(31)  # the sign bit of a 1
+        mark >>= np.int8(1)
+        gate = mark.astype(np.intp)
+        gate += (GATES * np.arange(len(docs)))[:, None]
+        each = (weights[:, None] + (scale * own[:, docs])[:, :, None]).reshape(INPUTS, -1)
+        mixed = np.take(each[-1], gate, mode="clip")
+        for k in range(INPUTS - 1):
+            part = np.take(each[k], gate, mode="clip")
+            part *= x[k]
+            mixed += part
         np.clip(mixed, -11.9, 11.9, out=mixed)
-        cell = mixed + np.float32(12)
-        cell = cell.astype(np.int64)
+        cell = (mixed + np.float32(12)).astype(np.intp)
         if mapped:
-            mixed += model.cells[cell]
+            mixed += np.take(model.cells, cell, mode="clip")
         if done:
             mixed *= 1 + turn[0, docs][:, None]
             mixed += turn[1, docs][:, None]
@@ -494,16 +502,15 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
             one[k, left[k] :] = 0
             miss[k, left[k] :] = 0
         total[docs] += one.sum(axis=1, dtype=np.float64)
-        spread = np.multiply(miss, miss, out=one)
-        np.subtract(miss, spread, out=spread)
-        push = miss
-        push.view(np.uint32)[:] ^= sign
-        push *= -1
-        if after is not None:
-            for k, (d, n) in enumerate(zip(docs.tolist(), np.minimum(left, wide).tolist(), strict=True)):
-                here = slice(starts[d] + done, starts[d] + done + n)
-                told[0][0, here], told[0][1, here], told[1][here] = push[k, :n], spread[k, :n], cell[k, :n]
         more = left > wide
+        if more.any() or sums is not None:
+            spread = np.multiply(miss, miss, out=one)
+            np.subtract(miss, spread, out=spread)
+            push = miss
+            sign ^= np.uint32(1 << 31)
+            push.view(np.uint32)[:] ^= sign
+        if sums is not None:
+            sums.add(x, mark, push, spread, cell)
         if more.any():
             # damped Newton steps on the text's weights, and on the slope and offset of what comes after
             heft = spread.sum(axis=1) + np.float32(40)
@@ -516,34 +523,50 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
             turn[0, docs] += np.float32(0.05) * np.einsum("dl,dl->d", push, mixed) / heft
             np.clip(turn[0], -SLOPE, SLOPE, out=turn[0])  # a long text that turns would send them off
             np.clip(turn[1], -OFFSET, OFFSET, out=turn[1])
-        docs, done = docs[more], done + wide
+        if not parts:
+            rest, done = rest[counts[rest] > done + block], done + block
     if after is not None:
-        after |= _sums(inputs, gate, *told)
+        after |= sums.told()
     return total
 
 
-def _sums(inputs: np.ndarray, gate: np.ndarray, told: np.ndarray, cell: np.ndarray) -> dict[str, np.ndarray]:
+class Sums:
     """Gradient and curvature of the log probability by gate, and by cell of the map, over decisions with their pushes and spreads."""
-    sums = {"grad": np.zeros((GATES, INPUTS)), "curve": np.zeros((GATES, INPUTS, INPUTS)), "push": np.zeros(CELLS), "spread": np.zeros(CELLS)}
-    for a in range(0, len(gate), 2 * UNFOLD):
-        here = slice(a, a + 2 * UNFOLD)
-        order = np.argsort(gate[here], kind="stable")
-        every, hefty = np.empty((INPUTS + 1, len(order)), np.float32), np.empty((INPUTS, len(order)), np.float32)
-        for k in range(INPUTS - 1):
-            np.take(inputs[k, here], order, out=every[k], mode="clip")
-        every[:-2] *= np.float32(1 / SCALE)
-        every[-2] = BIAS
-        np.take(told[0, here], order, out=every[-1], mode="clip")
-        np.multiply(every[:-1], np.take(told[1, here], order, mode="clip"), out=hefty)
-        ends = np.cumsum(np.bincount(gate[here], minlength=GATES)).tolist()
-        for v, (b, z) in enumerate(zip([0, *ends], ends, strict=False)):
-            x = every[:-1, b:z]
-            sums["grad"][v] += x @ every[-1, b:z]
-            sums["curve"][v] += hefty[:, b:z] @ x.T
-        place = cell[here].astype(np.intp)
-        sums["push"] += np.bincount(place, told[0, here], CELLS)
-        sums["spread"] += np.bincount(place, told[1, here], CELLS)
-    return sums
+
+    def __init__(self, at_once: int = 4096):
+        self._gates = np.zeros((INPUTS + INPUTS * (INPUTS + 1) // 2, GATES))  # the gradient's rows, then the curvature's upper half
+        self._push, self._spread = np.zeros(CELLS), np.zeros(CELLS)
+        # the product of both is fast up to some 5,000 decisions
+        self._rows, self._hot = np.empty((len(self._gates), at_once), np.float32), np.empty((GATES, at_once), np.float32)
+
+    def add(self, inputs: np.ndarray, mark: np.ndarray, push: np.ndarray, spread: np.ndarray, cell: np.ndarray) -> None:
+        inputs, mark, push, spread, cell = inputs.reshape(INPUTS - 1, -1), mark.reshape(-1), push.reshape(-1), spread.reshape(-1), cell.reshape(-1)
+        for a in range(0, len(mark), self._hot.shape[1]):
+            here = slice(a, a + self._hot.shape[1])
+            x, p, s = inputs[:, here], push[here], spread[here]
+            rows, hot = self._rows[:, : len(p)], self._hot[:, : len(p)]
+            hot[:] = mark[here] == _GATES
+            np.multiply(x, p, out=rows[: INPUTS - 1])
+            rows[INPUTS - 1] = p
+            np.multiply(x, s, out=rows[INPUTS : 2 * INPUTS - 1])
+            rows[2 * INPUTS - 1] = s
+            at = 2 * INPUTS
+            for k in range(INPUTS - 1):
+                np.multiply(x[k:], rows[INPUTS + k], out=rows[at : at + INPUTS - 1 - k])
+                at += INPUTS - 1 - k
+            self._gates += rows @ hot.T
+            self._push += np.bincount(cell[here], p, CELLS)
+            self._spread += np.bincount(cell[here], s, CELLS)
+
+    def told(self) -> dict[str, np.ndarray]:
+        scale = np.array([1 / SCALE] * (INPUTS - 1) + [BIAS])
+        grad, curve = np.empty((GATES, INPUTS)), np.empty((GATES, INPUTS, INPUTS))
+        grad[_GATE] = self._gates[:INPUTS].T
+        with_bias, i, j = self._gates[INPUTS : 2 * INPUTS].T, *np.triu_indices(INPUTS - 1)
+        curve[_GATE, -1], curve[_GATE, :, -1] = with_bias, with_bias
+        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True), 2 * INPUTS):
+            curve[_GATE, a, b] = curve[_GATE, b, a] = self._gates[k]
+        return {"grad": grad * scale, "curve": curve * scale * scale[:, None], "push": self._push, "spread": self._spread}
 
 
 def words_of(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

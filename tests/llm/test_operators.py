@@ -717,3 +717,35 @@ def test_equal_contexts_are_unfolded_once(monkeypatch):
                 part = seen.counts(k, shard << 16, shard + 1 << 16)
                 assert (part[:, at] == n).all() and part.sum() == n.sum()
     assert sum(sizes) < 3 * ctxmix.CONTEXTS * sum(int(once.counts(k).sum()) for k in range(ctxmix.CONTEXTS)), sum(sizes)
+
+
+def test_scoring_holds_a_byte_an_input():
+    """Decisions wait for their block in a byte an input, in a fit too; the fit's sums are those of a plain loop."""
+    import dataclasses
+    import tracemalloc
+
+    from strataslide.llm import ctxmix
+
+    texts = ctxmix.utf8([f"the cat sat on the {w}, and so did the {w[::-1]}. " * 12 for w in ("mat", "roof", "stool", "dresser")] * 80)
+    code = ctxmix.prefix_code(*ctxmix.common_rows(*ctxmix.triple_counts(texts[:4]), 30))
+    counts = ctxmix.Counts(code, 14)
+    counts.add(texts[:4])
+    model = ctxmix.start_model(code, 14, tuple(ctxmix.log_odds(counts.counts(k)) for k in range(ctxmix.CONTEXTS)))
+    for after in (None, {}):
+        tracemalloc.start()
+        ctxmix.losses(model, texts, after)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 100 * sum(map(len, texts)), most
+
+    # gradients by gate are what the loss of a text of one block gives as its weights move
+    text, told = [texts[0][:25]], {}
+    assert 0 < ctxmix.losses(model, text, told)[0]
+    for gate in range(ctxmix.GATES):
+        for k in range(ctxmix.INPUTS):
+            moved = [model.weights.astype(np.float32).copy() for _ in range(2)]
+            moved[0][gate, k] -= 0.01
+            moved[1][gate, k] += 0.01
+            low, high = (ctxmix.losses(dataclasses.replace(model, weights=w), text)[0] for w in moved)
+            assert abs((low - high) / 0.02 - told["grad"][gate, k]) < 1e-2 * (1 + abs(told["grad"][gate, k])), (gate, k)
+            assert told["curve"][gate, k, 0] == told["curve"][gate, 0, k]
