@@ -13,14 +13,15 @@ sources sorted by cap / weight.
 
 Documents are taken whole: every one floor(target / size of the source) times, then once
 more in hashed order while the rest of the target lasts; in the bucket where it runs out,
-small documents fill what is left. Cumulative sums are kept for ranges of the hash (buckets)
+small documents fill what is left, of equal rows as many as fit. Cumulative sums are kept for ranges of the hash (buckets)
 only, of which there are at most `max_buckets` and one a source: a document's place is its
 bucket's sum and its hash's place in the bucket. So each document's copies and positions
 follow from its own columns and a table of bounded size, which is broadcast; texts are not
 shuffled until they go into order, and a source with most of the rows is no task's work.
 
 Defined results: null text has size 0 and is taken for 0 words; a null source is a source of
-its own, ordered last; equal rows are taken independently; an empty table gives an empty
+its own, ordered last; equal rows have one place in the order, and
+where a target ends among them the last copy is taken of some and not of the others; an empty table gives an empty
 frame; sources without words get target 0.
 """
 
@@ -113,12 +114,16 @@ def plan(sized: DataFrame, ratio: float, max_repeats: float, cycle: tuple[float,
     # the bucket of each source in which the rest runs out
     edge = table.filter((F.col("before") < F.col("rest")) & (F.col("rest") < F.col("before") + F.col("bucket_size")))
     near = rows.select(*_KEY, "bucket", "doc_id", "mark", "size").join(_small(edge.select(*_KEY, "bucket", "before", "rest"), 50_000), [*_KEY, "bucket"])
-    near = near.withColumn("upto", F.col("before") + F.sum("size").over(Window.partitionBy(*_KEY).orderBy("mark")))  # equal marks stand or fall together
+    near = near.groupBy(*_KEY, "bucket", "doc_id", "mark", "size", "before", "rest").agg(F.count("*").alias("rows"))  # equal rows are one, taken so many times
+    words = F.col("size") * F.col("rows")
+    near = near.withColumn("upto", F.col("before") + F.sum(words).over(Window.partitionBy(*_KEY).orderBy("mark")))
     near = keep(near.withColumn("again", F.col("upto") <= F.col("rest")), "edges")
     filled = near.groupBy(*_KEY).agg(F.max(F.when(F.col("again"), F.col("mark"))).alias("cut"), F.greatest(F.max(F.when(F.col("again"), F.col("upto"))), F.max("before")).alias("filled"))
-    small = F.sum("size").over(Window.partitionBy(*_KEY).orderBy("size", "mark"))
-    fills = near.filter(~F.col("again") & (F.col("size") > 0)).withColumn("small", small).join(filled, list(_KEY))
-    fills = keep(fills.filter(F.col("filled") + F.col("small") - F.col("size") / 2 <= F.col("rest")).select(F.col("doc_id").alias("fill_id"), F.col("mark").alias("fill_mark")).distinct(), "fills")
+    smaller = F.sum(words).over(Window.partitionBy(*_KEY).orderBy("size", "mark", "doc_id")) - words
+    fills = near.filter(~F.col("again") & (F.col("size") > 0)).withColumn("smaller", smaller).join(filled, list(_KEY))
+    fits = F.floor((F.col("rest") - F.col("filled") - F.col("smaller")) / F.col("size") + 0.5).cast("long")
+    fills = fills.withColumn("fill_rows", F.least(fits, F.col("rows"))).filter("fill_rows > 0")
+    fills = keep(fills.select(F.col("doc_id").alias("fill_id"), F.col("mark").alias("fill_mark"), "fill_rows", (F.col("fill_rows") < F.col("rows")).alias("fill_part")), "fills")
     cut = table.join(filled.select(*_KEY, "cut"), list(_KEY), "left")
     # buckets before the edge are taken whole, those behind it not at all
     last = F.when(F.col("before") + F.col("bucket_size") <= F.col("rest"), F.lit(2**63 - 1)).when(F.col("before") < F.col("rest"), F.coalesce("cut", F.lit(-1))).otherwise(F.lit(-1))
@@ -130,12 +135,30 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def _some(rows: DataFrame) -> DataFrame:
+    """Of equal rows the first fill_rows have `fill`. They are numbered by where they lie in a written table, in each part of it and then over parts, so equal rows are no task's work."""
+    rows = keep(rows.withColumn("row", F.monotonically_increasing_id()), "equal")
+    key = (*_KEY, "doc_id", "mark")
+    rows = rows.withColumn("part", F.shiftright("row", 33)).withColumn("nth", F.row_number().over(Window.partitionBy(*key, "part").orderBy("row")))
+    parts = rows.groupBy(*key, "part").agg(F.count("*").alias("n"))
+    parts = parts.select(*[F.col(c).alias(f"{c}_") for c in (*key, "part")], (F.sum("n").over(Window.partitionBy(*key).orderBy("part")) - F.col("n")).alias("ahead"))
+    met = F.lit(True)
+    for c in (*key, "part"):
+        met &= F.col(c).eqNullSafe(F.col(f"{c}_"))
+    found = rows.join(parts, met)
+    return found.withColumn("fill", F.col("ahead") + F.col("nth") <= F.col("fill_rows")).select(*[c for c in rows.columns if c not in ("row", "part", "nth")])
+
+
 def placed(docs: DataFrame, table: DataFrame, fills: DataFrame, curriculum: tuple, max_buckets: int) -> DataFrame:
     """docs (with has_source, source_key, doc_id, mark) with copies, positions and their source's columns of the table."""
     rows = docs.join(_small(table.select(*_KEY, "buckets").distinct(), max_buckets), list(_KEY)).withColumn("bucket", _bucket()).drop("buckets")
     rows = rows.join(_small(table, 2 * max_buckets), [*_KEY, "bucket"])
     rows = rows.join(_small(fills, 2 * max_buckets), rows["doc_id"].eqNullSafe(fills["fill_id"]) & (rows["mark"] == fills["fill_mark"]), "left")
-    fill = F.col("fill_mark").isNotNull()
+    rows = rows.withColumn("fill", F.col("fill_mark").isNotNull())
+    if fills.filter("fill_part").limit(1).count():
+        part = F.coalesce("fill_part", F.lit(False))
+        rows = rows.filter(~part).unionByName(_some(rows.filter(part)))
+    fill = F.col("fill")
     again = fill | (F.col("mark") <= F.col("last"))
     rows = rows.withColumn("copies", F.col("whole") + again.cast("long"))
     # words of the source up to a copy; those that fill are spread over the last, partial turn
