@@ -19,13 +19,15 @@ the smaller id. Products are computed in the narrowest type in which every sum i
 float32, float64, or 64-bit integers (slower). Defined results: vectors that are null or hold
 null or non-finite components take no part, nor do rows without an id; a shorter vector counts
 as padded with zeros; rows that share a query's id count as its own and are left out; a query
-id is asked once; with fewer than k candidates all are returned; an empty table gives an empty
-frame; further columns are not read. Scores beyond 2**61, which a long may not hold, are
-refused.
+id is asked once, with the least of its vectors; with fewer than k candidates all are returned;
+an empty table gives an empty frame; further columns are not read. Components and scores that a
+long can't hold count as the nearest long. Rows with a component so large that a score might
+pass 2**61 are set apart: their products are summed in limbs, block by block, and no others'.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,7 +44,8 @@ _NONE = -(2**62)
 def whole_components(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, v array<long>) of the rows that take part."""
     ok = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    v = F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("long"))
+    least = F.lit(-(2**63 - 1))
+    v = F.transform(vec_col, lambda x: F.greatest(F.floor(x.cast("double") * scale).cast("long"), least))
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).filter(ok).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
 
 
@@ -124,10 +127,49 @@ def _packed(rows: DataFrame, dims: int, kind: np.dtype, order: np.ndarray, size:
 def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, scale: int = 64, query_every: int = 20, slices: int = 4, block: int = 8_192, query_block: int = 4_096, step: int = 128) -> DataFrame:
     """query_id, rank, id, score: the k greatest inner products of each row whose id is divisible by query_every."""
     rows = keep(whole_components(vectors, id_col, vec_col, scale), "vectors")
-    dims, high = (x or 0 for x in rows.select(F.max(F.size("v")), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first())
-    most = high * high * dims
-    if most >= 2**61:
-        raise ValueError("scores of these vectors are beyond a long")
+    dims = rows.select(F.max(F.size("v"))).first()[0] or 0
+    rows = rows.withColumn("high", F.coalesce(F.array_max(F.transform("v", lambda x: F.abs(x))), F.lit(0)))
+    apart = F.col("high") > math.isqrt((2**61 - 1) // max(dims, 1))
+    high, large = (x or 0 for x in rows.select(F.max(F.when(~apart, F.col("high"))), F.count_if(apart)).first())
+    asked = rows.filter(F.col("id") % query_every == 0).groupBy("id").agg(F.min(F.struct("v", "high")).alias("least")).select("id", "least.*")
+    found = _close(rows.filter(~apart), asked.filter(~apart), dims, high * high * dims, k, slices, block, query_block, step)
+    if large:
+        found = found.unionByName(_far(asked, rows.filter(apart), dims, k)).unionByName(_far(asked.filter(apart), rows.filter(~apart), dims, k))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+
+
+def _wide_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a @ b.T of longs beyond -2**63, exact but for sums that a long can't hold: these are the nearest long."""
+    limbs = lambda x: [(np.sign(x) * ((abs(x) >> 21 * n) & (2**21 - 1))).astype(float) for n in range(3)]
+    total = np.zeros((len(a), len(b)), object)
+    for n, x in enumerate(limbs(a)):
+        for m, y in enumerate(limbs(b)):
+            for at in range(0, max(a.shape[1], 1), 1024):  # sums of 1024 products of 42 bits are exact
+                total += (x[:, at : at + 1024] @ y[:, at : at + 1024].T).astype(np.int64).astype(object) << 21 * (n + m)
+    return np.clip(total, -(2**63), 2**63 - 1).astype(np.int64)
+
+
+def _far(asked: DataFrame, rows: DataFrame, dims: int, k: int, block: int = 1_024, query_block: int = 256) -> DataFrame:
+    """query_id, id, score: the k best of every block of rows, by products in limbs."""
+    order = np.arange(dims)
+    blocks = _packed(rows, dims, np.dtype(np.int64), order, block)
+    queries = _packed(asked, dims, np.dtype(np.int64), order, query_block).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+
+    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for raw in zip(b["ids"], b["q_ids"], b["vectors"], b["q_vectors"], strict=True):
+                ids, q_ids, v, q = (np.frombuffer(x, np.int64) for x in raw)
+                scores = _wide_products(q.reshape(-1, dims), v.reshape(-1, dims))
+                row, col = np.nonzero(q_ids[:, None] != ids[None, :])
+                row, best, top = _best(row, ids[col], scores[row, col], k)
+                yield pd.DataFrame({"query_id": q_ids[row], "id": best, "score": top})
+
+    return blocks.crossJoin(queries).mapInPandas(score, "query_id long, id long, score long")
+
+
+def _close(rows: DataFrame, asked: DataFrame, dims: int, most: int, k: int, slices: int, block: int, query_block: int, step: int) -> DataFrame:
+    """query_id, id, score: candidates among which are the k best, where no score passes `most`."""
     kind = np.dtype(np.float32 if most < 2**24 else np.float64 if most < 2**53 else np.int64)  # the narrowest in which every sum is exact
     per_dim = rows.select(F.posexplode("v").alias("d", "x")).groupBy("d").agg(F.sum(F.col("x").cast("double") * F.col("x").cast("double")).alias("energy"))
     energy = np.zeros(max(dims, 1))
@@ -136,7 +178,6 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
     order = np.argsort(-energy[:dims], kind="stable")
     cut = np.linspace(0, dims, min(slices, max(dims, 1)) + 1).astype(int)
     parts = [slice(a, b) for a, b in zip(cut, cut[1:], strict=False)]
-    asked = rows.filter(F.col("id") % query_every == 0).dropDuplicates(["id"])
     every = keep(_packed(rows, dims, kind, order, block), "vector_blocks")
     queries = keep(_packed(asked, dims, kind, order, query_block).withColumn("q", F.monotonically_increasing_id()), "query_blocks")
     load = lambda ids, raw: (np.frombuffer(ids, np.int64), np.frombuffer(raw, kind).reshape(-1, dims))
@@ -175,6 +216,4 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embeddi
                     row, found, score = _resolve(asked_v[at : at + step], block_v, parts, own, block_ids, safe[at : at + step], k)
                     yield pd.DataFrame({"query_id": asked_ids[at + row], "id": found, "score": score})
 
-    found = every.crossJoin(told.drop("q")).mapInPandas(resolve, "query_id long, id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
+    return every.crossJoin(told.drop("q")).mapInPandas(resolve, "query_id long, id long, score long")
