@@ -12,8 +12,13 @@ The band is relative to the number of documents, so the lexicon is at most (mean
 terms of a document) / (least document share) terms, however large the corpus; it is
 broadcast as sorted 64-bit hashes. Document frequencies cover every document.
 
-Defined results: a null or empty text has no terms and its own fingerprint; a text with fewer
-than `min_terms` lexicon terms is fingerprinted over all its distinct terms; equal texts have
+A text with fewer than `min_terms` lexicon terms says little by them, so the fingerprint of one
+with fewer than four times as many holds two sections: of its lexicon terms and of all its
+distinct terms. Two texts are compared by lexicon terms where both have `min_terms` of them or
+where one has that section alone, else by all terms. Texts whose numbers of terms differ about
+eightfold or more share no level and have likeness 0.
+
+Defined results: a null or empty text has no terms and its own fingerprint; equal texts have
 equal fingerprints and likeness 1; equal rows count as documents of their own; a null doc_id
 sorts first; an empty table gives an empty frame.
 """
@@ -90,35 +95,49 @@ class Maker:
                 known[w] = h = h if h in lex else -h - 1
             if h >= 0:
                 out.append(h)
-        if len(out) < self._min:
-            return np.sort(np.array([known[w] if known[w] >= 0 else -known[w] - 1 for w in words], np.uint64)), "a"
-        return np.sort(np.array(out, np.uint64)), "b"
+        every = [known[w] if known[w] >= 0 else -known[w] - 1 for w in words] if len(out) < 4 * self._min else []
+        return np.sort(np.array(out, np.uint64)), np.sort(np.array(every, np.uint64))
 
     def fingerprint(self, text: str) -> str:
-        """mode, level, then LEVELS x SEEDS hashes of WIDE hexadecimal digits; all 0: no term."""
-        from xxhash import xxh32_intdigest
-
-        h, mode = self.hashes(set(terms(text)))
-        level = max(0, (max(len(h) - 1, 0) // 2).bit_length())
-        low = max(0, level - 1)
-        if not len(h):
-            return "e"
-        mixed = (h[None, :] * _ODD[:, None]) >> np.uint64(20)
-        out = [f"{mode}{low:02d}"]
-        for k in range(low, low + LEVELS):
-            row, col = np.nonzero((mixed & np.uint64((1 << k) - 1)) == 0)
-            cut = np.searchsorted(row, np.arange(SEEDS + 1)).tolist()
-            held = h[col].tobytes()
-            out += [f"{xxh32_intdigest(held[8 * a : 8 * z]) % (2**32 - 1) + 1:08x}" if z > a else NONE for a, z in zip(cut, cut[1:], strict=False)]
-        return "".join(out)
+        """Sections of mode, level, then LEVELS x SEEDS hashes of WIDE hexadecimal digits; all 0: no term.
+
+        Mode b: lexicon terms, s: fewer than min_terms of them, a: all terms; e alone: no terms.
+        """
+        some, every = self.hashes(set(terms(text)))
+        sections = [_section("b" if len(some) >= self._min else "s", some)] if len(some) else []
+        return "".join([*sections, *([_section("a", every)] if len(every) else [])]) or "e"
+
+
+def _section(mode: str, h: np.ndarray) -> str:
+    from xxhash import xxh32_intdigest
+
+    level = max(0, (max(len(h) - 1, 0) // 2).bit_length())
+    low = max(0, level - 1)
+    mixed = (h[None, :] * _ODD[:, None]) >> np.uint64(20)
+    out = [f"{mode}{low:02d}"]
+    for k in range(low, low + LEVELS):
+        row, col = np.nonzero((mixed & np.uint64((1 << k) - 1)) == 0)
+        cut = np.searchsorted(row, np.arange(SEEDS + 1)).tolist()
+        held = h[col].tobytes()
+        out += [f"{xxh32_intdigest(held[8 * a : 8 * z]) % (2**32 - 1) + 1:08x}" if z > a else NONE for a, z in zip(cut, cut[1:], strict=False)]
+    return "".join(out)
+
+
+def _sections(fingerprint: str) -> dict[str, str]:
+    size = 3 + LEVELS * SEEDS * WIDE
+    return {fingerprint[at]: fingerprint[at : at + size] for at in range(0, len(fingerprint), size)}
 
 
 def likeness(a: str, b: str) -> float:
     """0 to 1; 1 for equal fingerprints."""
     if a == b:
         return 1.0
-    if a[0] != b[0] or a == "e" or b == "e":
+    p, q = _sections(a), _sections(b)
+    few = "s" in p or "s" in q or not ("b" in p and "b" in q)
+    mode = next((m for m in (("a", "bs") if few else ("bs", "a")) if set(m) & set(p) and set(m) & set(q)), None)
+    if mode is None:
         return 0.0
+    a, b = (next(x[m] for m in mode if m in x) for x in (p, q))
     la, lb = int(a[1:3]), int(b[1:3])
     for k in range(min(la, lb) + LEVELS - 1, max(la, lb) - 1, -1):
         x, y = a[3 + WIDE * SEEDS * (k - la) :], b[3 + WIDE * SEEDS * (k - lb) :]
@@ -134,7 +153,9 @@ def likeness(a: str, b: str) -> float:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(part, tail, doc_id, z) sorted within partitions: z is the packed text, tail marks the next part's first row.
+    """(part, tail, key, known, z) sorted within partitions: z is the packed text, tail marks the next part's first row.
+
+    key is doc_id, or the least long where that is null; known tells the two apart.
 
     Parts are ranges of doc_id; each also gets the row that follows its last one, the last
     part the very first row.
@@ -142,6 +163,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("key")
+    known = F.col("doc_id").isNotNull().alias("known")
     ids = docs.select(key)
     cuts = ids.select(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 20_000)).first()[0] or []
     cuts = sorted(set(cuts))
@@ -158,13 +180,13 @@ def _in_order(docs: DataFrame) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = b.column(0).to_numpy()
-            part, z = np.searchsorted(bounds, keys, side="left").tolist(), [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in b.column(1).to_pylist()]
-            rows = [(p, False, k, x) for p, k, x in zip(part, keys.tolist(), z, strict=True)]
-            rows += [(before[k], True, k, x) for _, _, k, x in rows if k in before]
-            yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "tail": pa.array([r[1] for r in rows], pa.bool_()), "key": pa.array([r[2] for r in rows], pa.int64()), "z": pa.array([r[3] for r in rows], pa.binary())})
+            part, z = np.searchsorted(bounds, keys, side="left").tolist(), [zlib.compress((t or "").encode("utf-8", "surrogatepass"), 1) for t in b.column(2).to_pylist()]
+            rows = [(p, False, k, i, x) for p, k, i, x in zip(part, keys.tolist(), b.column(1).to_pylist(), z, strict=True)]
+            rows += [(before[k], True, k, i, x) for _, _, k, i, x in rows if k in before]
+            yield pa.RecordBatch.from_pydict({"part": pa.array([r[0] for r in rows], pa.int32()), "tail": pa.array([r[1] for r in rows], pa.bool_()), "key": pa.array([r[2] for r in rows], pa.int64()), "known": pa.array([r[3] for r in rows], pa.bool_()), "z": pa.array([r[4] for r in rows], pa.binary())})
 
-    sent = docs.select(key, "text").mapInArrow(send, "part int, tail boolean, key long, z binary")
-    return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "tail", "key", "z")
+    sent = docs.select(key, known, "text").mapInArrow(send, "part int, tail boolean, key long, known boolean, z binary")
+    return sent.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "tail", "key", "known", "z")
 
 
 def fingerprints(docs: DataFrame, lex: np.ndarray) -> DataFrame:
@@ -192,10 +214,10 @@ def against_next(docs: DataFrame, lex: np.ndarray) -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Maker(sent.value)
-        held = None  # part, key, text, fingerprint of the row whose follower comes next
+        held = None  # part, id, text, fingerprint of the row whose follower comes next
         for b in batches:
             out = []
-            for part, tail, key, z in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            for part, tail, key, known, z in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
                 if tail and (held is None or held[0] != part):
                     continue  # a further row with the following part's first id
                 text = zlib.decompress(z).decode("utf-8", "surrogatepass")
@@ -204,8 +226,8 @@ def against_next(docs: DataFrame, lex: np.ndarray) -> DataFrame:
                     _, k, t, f = held
                     new = edit(t, text)
                     e = make.fingerprint(new) if new != t else f
-                    out.append((None if k == _FIRST else k, len(t), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), f, e, likeness(f, e), likeness(f, mark)))
-                held = None if tail else (part, key, text, mark)
+                    out.append((k, len(t), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), f, e, likeness(f, e), likeness(f, mark)))
+                held = None if tail else (part, key if known else None, text, mark)
             cols = list(zip(*out, strict=True)) if out else [[] for _ in names]
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)

@@ -101,17 +101,19 @@ def _plain_fingerprint(text, lexicon):
 
     every = sorted(xxh64_intdigest(w.encode()) for w in set(text.lower().split()))
     held = [h for h in every if h in lexicon]
-    mode, h = ("b", held) if len(held) >= 8 else ("a", every)
-    if not h:
-        return "e"
-    low = max(0, max(0, (max(len(h) - 1, 0) // 2).bit_length()) - 1)
-    out = [f"{mode}{low:02d}"]
-    for level in range(low, low + imatch.LEVELS):
-        for s in range(imatch.SEEDS):
-            odd = int(imatch._ODD[s])
-            some = [x for x in h if (x * odd % 2**64 >> 20) % 2**level == 0]
-            out.append(f"{xxh32_intdigest(b''.join(x.to_bytes(8, 'little') for x in some)) % (2**32 - 1) + 1:08x}" if some else "0" * 8)
-    return "".join(out)
+    sections = [("b" if len(held) >= 8 else "s", held), ("a", every if len(held) < 32 else [])]
+    out = []
+    for mode, h in sections:
+        if not h:
+            continue
+        low = max(0, max(0, (max(len(h) - 1, 0) // 2).bit_length()) - 1)
+        out.append(f"{mode}{low:02d}")
+        for level in range(low, low + imatch.LEVELS):
+            for s in range(imatch.SEEDS):
+                odd = int(imatch._ODD[s])
+                some = [x for x in h if (x * odd % 2**64 >> 20) % 2**level == 0]
+                out.append(f"{xxh32_intdigest(b''.join(x.to_bytes(8, 'little') for x in some)) % (2**32 - 1) + 1:08x}" if some else "0" * 8)
+    return "".join(out) or "e"
 
 
 def test_fingerprints_by_definition_and_likeness():
@@ -141,6 +143,32 @@ def test_fingerprints_by_definition_and_likeness():
     assert mean[0] > mean[10] > mean[50] > mean[100]
 
 
+def test_likeness_has_no_step_at_the_least_number_of_terms():
+    """Texts that differ in one lexicon term, or in a share of all words, whatever the number of lexicon terms."""
+    rng = random.Random(14)
+    from xxhash import xxh64_intdigest
+
+    band = [f"w{k}" for k in range(600)]
+    make = imatch.Maker(np.sort(np.array([xxh64_intdigest(w.encode()) for w in band], np.uint64)))
+    rest = [f"x{k}" for k in range(4000)]
+    for n in (1, 5, 7, 8, 9, 16, 20):
+        found = {5: [], 10: [], 50: []}
+        for _ in range(30):
+            some, other = rng.sample(band, n), rng.sample(rest, 200)
+            one = make.fingerprint(" ".join(some + other))
+            if n < 8:  # few terms: all words tell
+                assert imatch.likeness(one, make.fingerprint(" ".join(some + [rng.choice(band)] + other))) > 0.75
+                assert imatch.likeness(one, make.fingerprint(" ".join(some[1:] + other))) > 0.75
+            for share, likes in found.items():
+                swap = lambda x, pool: [rng.choice(pool) if rng.random() * 100 < share else w for w in x]  # noqa: E731, B023
+                likes.append(imatch.likeness(one, make.fingerprint(" ".join(swap(some, band) + swap(other, rest)))))
+        mean = {share: sum(x) / len(x) for share, x in found.items()}
+        assert mean[5] > 0.5 and mean[5] > mean[10] > mean[50] and mean[10] > 0.35 and mean[50] < 0.5, (n, mean)
+    eight = rng.sample(band, 8)
+    other = rng.sample(rest, 200)
+    assert imatch.likeness(make.fingerprint(" ".join(eight + other)), make.fingerprint(" ".join(eight[1:] + other))) > 0.8
+
+
 def test_alignment_reaches_the_best_local_score():
     """Within a band as wide as the template, the matches are those of some best local alignment."""
     rng = random.Random(6)

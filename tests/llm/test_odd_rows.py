@@ -141,3 +141,57 @@ def test_top_k_leaves_most_candidates_early():
     first = queries[:, parts[0]] @ block[:, parts[0]].T
     alive = first + topk._lengths(queries, parts)[:, 1:] @ topk._lengths(block, parts)[:, 1:].T >= cutoff[:, None]
     assert alive.mean() < 0.1
+
+
+def test_top_k_of_repeated_ids_and_of_components_beyond_a_long(spark):
+    """The same answer in any order of rows, and one large row that ends nothing for the others."""
+    import math
+    import random
+
+    rows = [(20, [0.0, 1.0]), (20, [1.0, 0.0]), (1, [4.0, 0.0]), (2, [0.0, 6.0])]
+    for order in (rows, rows[::-1]):
+        got = topk.top_k(spark.createDataFrame(order, "vec_id long, embedding array<float>"), k=1).collect()
+        assert [tuple(r) for r in got] == [(20, 1, 2, 64 * 64 * 6)]
+    rng = random.Random(2)
+    rows = [(k, [rng.uniform(-3, 3) for _ in range(5)]) for k in range(50)]
+    rows += [(60, [1e18, 0.0, -2.0, 1e9, 3.5]), (61, [-1e300, 1.0, 1.0, 1.0, 1.0]), (80, [2.0**40, 2.0**41, -(2.0**42), 1.0, 0.25]), (81, [1e-300, 3.0, 0.0, 0.0, 2.0**50])]
+    held = lambda x: max(-(2**63 - 1), min(2**63 - 1, x))
+    v = {i: [held(math.floor(64 * x)) for x in e] for i, e in rows}
+    want = []
+    for i in (k for k in v if k % 20 == 0):
+        dots = {j: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v[i], v[j], strict=True)))) for j in v if j != i}
+        want += [(i, n + 1, j, dots[j]) for n, j in enumerate(sorted(dots, key=lambda j: (-dots[j], j))[:20])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=16).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_imatch_keeps_the_least_id_and_null_apart(spark):
+    from strataslide.llm import imatch
+
+    rows = [(-(2**63), "least of all"), (None, "none at all"), (5, "five words are in here"), (None, "again none"), (-(2**63), "least again")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = imatch.against_next(docs, imatch.lexicon(docs)).collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0, r["n_chars"]) for r in got) == sorted((i is not None, i or 0, len(t)) for i, t in rows)
+
+
+def test_mixing_takes_a_part_of_equal_rows(spark):
+    """A source that is one repeated row comes as near its target as any other; reruns agree."""
+    from collections import Counter
+
+    from strataslide.llm import mixing
+
+    rows = [(7, "a b c d", "one", k) for k in range(400)] + [(1000 + k, "w " * 9, "two", k) for k in range(100)] + [(None, "n n", None, 1)] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copy int").repartition(5)
+    for got in (mixing.mix(docs, rows_per_bucket=50).collect(), mixing.mix(docs, rows_per_bucket=50).collect()):
+        by = {}
+        for r in got:
+            by.setdefault(r["source"], []).append(r)
+        assert {s: len(x) for s, x in by.items()} == {"one": 400, "two": 100, None: 200}
+        for x in by.values():
+            assert abs(sum(r["taken"] for r in x) - x[0]["target"]) <= x[0]["size"] and all(r["taken"] <= 2 * r["size"] for r in x)
+            assert max(r["copies"] for r in x) - min(r["copies"] for r in x) <= 1
+    mixed = mixing.mixture(docs, rows_per_bucket=50).collect()
+    taken = Counter((r["source"], r["doc_id"], r["copy"]) for r in mixed)
+    assert sum(n for (s, *_), n in taken.items() if s == "one") == sum(r["copies"] for r in by["one"]) and max(n for (s, *_), n in taken.items() if s == "one") <= 2
+    plan = mixing.mix(docs, rows_per_bucket=50)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
