@@ -88,9 +88,9 @@ def marker_names(markers: Column) -> Column:
     return F.filter(F.transform(markers, lambda m: F.trim(m)), lambda m: m != "")
 
 
-def has_evidence(values: Column, words: tuple[str, ...]) -> Column:
-    """Some trimmed lower-cased value holds one of the words."""
-    return F.exists(values, lambda v: F.lower(F.trim(v)).rlike("|".join(words)))
+def has_evidence(values: Column, form: str) -> Column:
+    """Some value, trimmed and in small letters, is wholly of a form (a regular expression)."""
+    return F.exists(values, lambda v: F.lower(F.trim(v)).rlike(rf"\A(?:{form})\z"))
 
 
 def czi_family(brightfield: Column, multiplex: Column) -> Column:

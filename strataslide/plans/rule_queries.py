@@ -14,6 +14,7 @@ from ..operators import levels as L
 from ..operators import metadata as A
 from ..operators import multiplex as M
 from ..operators import region as R
+from ..sources.czi import EVIDENCE
 from .deepzoom_queries import OVERLAP, TILE
 from .registry import query, table
 
@@ -57,14 +58,15 @@ def biomarker_support(spark, sf_dir):
     return p.join(F.broadcast(capable), "format_id").select("slide_id", "format_id", supports_biomarkers(F.col("supports_biomarkers"), F.col("family")).alias("biomarkers"), qptiff_semantics(F.col("format_id"), F.col("family")).alias("semantics"))
 
 
-_LIGHT = "CASE p_size % 5 WHEN 0 THEN ' Transmitted ' WHEN 1 THEN 'transmitted light' WHEN 2 THEN 'EpiFluorescence' ELSE 'other' END"
+_LIGHT = "CASE p_size % 5 WHEN 0 THEN ' Transmitted ' WHEN 1 THEN 'transmitted light' WHEN 2 THEN 'EpiFluorescence' WHEN 3 THEN 'half transmitted' ELSE 'other' END"
+_BRIGHT, _FLUORESCENT = (next(form for of, key, form in EVIDENCE if (of, key) == (family, "illumination_types")) for family in ("brightfield", "multiplex"))
 
 
-@query(f"SELECT slide_id, CASE WHEN b AND m THEN 'error: ambiguous' WHEN b THEN 'brightfield' WHEN m THEN 'multiplex' ELSE 'error: unknown' END AS family FROM (SELECT p_partkey AS slide_id, lower(trim({_LIGHT})) LIKE '%transmitted%' AS b, lower({_LIGHT}) LIKE '%fluores%' OR p_partkey % 7 = 0 AS m FROM part)")
+@query(f"SELECT slide_id, CASE WHEN b AND m THEN 'error: ambiguous' WHEN b THEN 'brightfield' WHEN m THEN 'multiplex' ELSE 'error: unknown' END AS family FROM (SELECT p_partkey AS slide_id, lower(trim({_LIGHT})) IN ('transmitted', 'transmitted light') AS b, lower({_LIGHT}) LIKE '%fluores%' OR p_partkey % 7 = 0 AS m FROM part)")
 def czi_families(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("lights", F.array(F.expr(_LIGHT)))
     dye = F.col("p_partkey") % 7 == 0
-    return p.select(F.col("p_partkey").alias("slide_id"), S.czi_family(S.has_evidence(F.col("lights"), ("transmitted",)), S.has_evidence(F.col("lights"), ("fluores",)) | dye).alias("family"))
+    return p.select(F.col("p_partkey").alias("slide_id"), S.czi_family(S.has_evidence(F.col("lights"), _BRIGHT), S.has_evidence(F.col("lights"), _FLUORESCENT) | dye).alias("family"))
 
 
 @query("SELECT slide_id, coalesce(CASE WHEN slide_id % 2 = 0 THEN a END, b) AS channel_names, coalesce(nullif(n, 0), 4) AS channel_count FROM (SELECT p_partkey AS slide_id, p_brand AS a, p_type AS b, p_size % 4 AS n FROM part)")

@@ -6,6 +6,7 @@ Pixels are read of subblocks that are not compressed (or Zstandard, where that m
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,8 +22,35 @@ _SEGMENT = 32
 
 # Pixel types that are read, as numpy types and samples.
 PIXELS = {0: ("<u1", 1, "gray8"), 1: ("<u2", 1, "gray16"), 2: ("<f4", 1, "gray32float"), 3: ("<u1", 3, "bgr24"), 4: ("<u2", 3, "bgr48")}
-# Dyes that are looked for in the text of a metadata document.
+# Which fact of an OME document is which field. A fact is the names of the elements above, then an attribute.
+OME_FACTS = {
+    "Pixels@SizeC": "channel_count",
+    "Pixels@Type": "pixel_type",
+    "Pixels@PhysicalSizeX": "physical_pixel_sizes",
+    "Pixels@PhysicalSizeY": "physical_pixel_sizes",
+    "Pixels/Channel@Name": "channel_names",
+    "Pixels/Channel@Fluor": "fluorophore_names",
+    "Pixels/Channel@IlluminationType": "illumination_types",
+    "Pixels/Channel@ExcitationWavelength": "excitation_wavelengths",
+    "Pixels/Channel@EmissionWavelength": "emission_wavelengths",
+}
+# Words of an image document's text, all of which stand for a value of a field.
+WORDS = (
+    (("camera pixel type", "uint16"), "pixel_type", "uint16"),
+    (("fluorescencedye",), "illumination_types", "Epifluorescence"),
+    (("additionaldyeinformation",), "illumination_types", "Epifluorescence"),
+)
+# Dyes that are looked for in the text of a document that tells of fluorescence.
 DYES = ("DAPI", "CD3", "FITC", "TRITC", "Cy3", "Cy5")
+# What speaks for a family, as field and whole value.
+EVIDENCE = (
+    ("brightfield", "illumination_types", r"transmitted( light)?"),
+    ("brightfield", "color_type", r"(bgr|rgb)24"),
+    ("multiplex", "illumination_types", r".*fluores.*"),
+    ("multiplex", "fluorophore_names", r".+"),
+    ("multiplex", "excitation_wavelengths", r".*"),
+    ("multiplex", "emission_wavelengths", r".*"),
+)
 
 
 @dataclass(frozen=True)
@@ -105,6 +133,11 @@ class Metadata:
         """Field by field, the other's where this has none."""
         return Metadata(*(getattr(self, f) or getattr(other, f) for f in self.__dataclass_fields__))
 
+    @property
+    def color_type(self) -> str | None:
+        """The pixel type, of images that may be a picture's three colours."""
+        return self.pixel_type if self.channel_count <= 3 else None
+
 
 def document(blob: Blob) -> str:
     at = int(blob.record(_SEGMENT, _FILE)["metadata"])
@@ -114,76 +147,94 @@ def document(blob: Blob) -> str:
     return blob.read(at + _SEGMENT + 256, n).decode("utf-8", "ignore")
 
 
-def _local(tag: str) -> str:
-    return tag.rpartition("}")[2]
+@dataclass(frozen=True)
+class Fact:
+    """An attribute (name in small letters for images, as it is for OME) or, under no name, the text of an element."""
+
+    element: int  # in document order
+    parent: int
+    path: str  # names of the elements from the root, namespaces aside
+    name: str
+    value: str
+
+
+def facts(xml: str) -> list[Fact]:
+    """Everything that a document states, in one pass; a ParseError where it is no XML."""
+    root, out, n = ET.fromstring(xml), [], 0
+    waiting = [(root, "", -1)]
+    while waiting:
+        e, above, parent = waiting.pop()
+        path = f"{above}/{e.tag.rpartition('}')[2]}".lstrip("/")
+        out += [Fact(n, parent, path, k, v) for k, v in e.attrib.items()]
+        out += [Fact(n, parent, path, "", t) for t in (e.text,) if t is not None]
+        out += [Fact(n, parent, path, "tail", c.tail) for c in e if c.tail]
+        waiting += [(c, path, n) for c in reversed(e)]
+        n += 1
+    return out
 
 
-def _distance(root: ET.Element, axis: str) -> float | None:
-    """The value of the distance of an axis: its attribute, its text or its first child's text."""
-    for e in root.iter():
-        attributes = {k.lower(): v for k, v in e.attrib.items()}
-        if e.tag.lower().endswith("distance") and attributes.get("id", "").lower() == axis:
-            value = attributes.get("value", e.text)
-            value = next(iter(e)).text if value is None and len(e) else value
-            if value is not None:
-                try:
-                    return float(value)
-                except ValueError:
-                    return None
-    return None
+def _number(text: str) -> float | None:
+    try:
+        return float(text)
+    except ValueError:
+        return None
 
 
 def described(xml: str, channels: int = 0) -> Metadata:
-    """Of an OME document its first Pixels element; of an image document what its text and scaling tell. channels: by the subblocks."""
+    """Of an OME document what OME_FACTS names of its first Pixels; of an image document what its words and distances tell. channels: by the subblocks."""
     try:
-        root = ET.fromstring(xml)
+        told = facts(xml)
     except ET.ParseError:
         return Metadata()
-    if root.tag.lower().endswith("imagedocument"):
-        return _of_image_document(root, channels)
+    root = ET.fromstring(xml).tag.lower()
+    return _of_image(told, channels) if root.endswith("imagedocument") else _of_ome(told)
+
+
+def _of_ome(told: list[Fact]) -> Metadata:
     out = Metadata()
-    found = next((e for e in root.iter() if _local(e.tag) == "Pixels"), None)
-    if found is None:
-        return out
-    out.channel_count, out.pixel_type = int(found.get("SizeC") or 0), found.get("Type")
-    for c in (e for e in found if _local(e.tag) == "Channel"):
-        for values, key, kind in ((out.channel_names, "Name", str), (out.fluorophore_names, "Fluor", str), (out.illumination_types, "IlluminationType", str), (out.excitation_wavelengths, "ExcitationWavelength", float), (out.emission_wavelengths, "EmissionWavelength", float)):
-            if c.get(key):
-                values.append(kind(c.get(key)))
-    out.physical_pixel_sizes = [float(found.get(k)) for k in ("PhysicalSizeX", "PhysicalSizeY") if found.get(k) is not None]
+    first = min((f.element for f in told if f.path.endswith("Pixels")), default=-1)
+    for f in told:
+        if f.name and f.value and first in (f.element, f.parent):
+            key = OME_FACTS.get(f"{'/'.join(f.path.split('/')[-1 if f.element == first else -2 :])}@{f.name}")
+            if key == "channel_count":
+                out.channel_count = int(f.value)
+            elif key == "pixel_type":
+                out.pixel_type = f.value
+            elif key:
+                getattr(out, key).append(f.value if key.endswith(("names", "types")) else float(f.value))
     return out
 
 
-def _of_image_document(root: ET.Element, channels: int) -> Metadata:
-    out, text = Metadata(), " ".join(t.strip() for t in root.itertext()).lower()
-    if "camera pixel type" in text and "uint16" in text:
-        out.pixel_type = "uint16"
-    if "fluorescencedye" in text or "additionaldyeinformation" in text:
-        out.illumination_types.append("Epifluorescence")
-        out.fluorophore_names = [d for d in DYES if d.lower() in text]
-        out.channel_names = list(out.fluorophore_names)
-    out.channel_count = channels or len(out.fluorophore_names)
-    scaling = [_distance(root, a) for a in "xy"]
-    if None not in scaling:
-        out.physical_pixel_sizes = scaling
-    if out.channel_count > 1:
-        named = [f"channel_{k}" for k in range(out.channel_count)]
-        out.illumination_types = out.illumination_types or ["Epifluorescence"]
-        out.fluorophore_names = out.fluorophore_names or named
-        out.channel_names = out.channel_names or list(named)
-    return out
+def _of_image(told: list[Fact], channels: int) -> Metadata:
+    text = " ".join(f.value for f in told if f.name in ("", "tail")).lower()
+    said = {key: value for words, key, value in WORDS if all(w in text for w in words)}
+    dyes = [d for d in DYES if "illumination_types" in said and d.lower() in text]
+    n = channels or len(dyes)
+    aliases = [f"channel_{k}" for k in range(n)] if n > 1 else []
+    light = [said["illumination_types"]] if "illumination_types" in said else ["Epifluorescence"] * bool(aliases)
+    return Metadata(n, said.get("pixel_type"), light, dyes or aliases, channel_names=dyes or list(aliases), physical_pixel_sizes=_distances(told))
+
+
+def _distances(told: list[Fact]) -> list[float]:
+    """Of x and y the distance that a Distance element of that id states, by its own value, its text or its first child's, in this order; none unless both are numbers."""
+    ids = {f.element: f.value.lower() for f in told if f.name.lower() == "id" and f.path.lower().endswith("distance")}
+    ranked: dict[str, list[tuple[int, int, str]]] = {}
+    for f in told:
+        if f.element in ids and (f.name.lower() == "value" or not f.name):
+            ranked.setdefault(ids[f.element], []).append((f.element, 0 if f.name else 1, f.value))
+        elif f.parent in ids and f.element == f.parent + 1 and not f.name:
+            ranked.setdefault(ids[f.parent], []).append((f.parent, 2, f.value))
+    first = [_number(min(ranked[a])[2]) if a in ranked else None for a in "xy"]
+    return [] if None in first else first
 
 
 def family(m: Metadata) -> str:
-    """brightfield or multiplex; a ValueError where a document speaks for both, a LookupError where it does for neither."""
-    lights = {t.strip().lower() for t in m.illumination_types}
-    bright = bool(lights & {"transmitted", "transmitted light"}) or (m.pixel_type or "").strip().lower() in ("bgr24", "rgb24") and m.channel_count <= 3
-    many = any("fluores" in t for t in lights) or bool(m.fluorophore_names or m.excitation_wavelengths or m.emission_wavelengths)
-    if bright and many:
-        raise ValueError("conflicting CZI metadata prevents classification")
-    if not bright and not many:
-        raise LookupError("insufficient evidence to classify CZI slide family")
-    return "brightfield" if bright else "multiplex"
+    """brightfield or multiplex, by EVIDENCE; a ValueError where a document speaks for both, a LookupError where it does for neither."""
+    held = lambda key: getattr(m, key) if isinstance(getattr(m, key), list) else [getattr(m, key) or ""]
+    votes = sorted({of for of, key, form in EVIDENCE if any(re.fullmatch(form, str(v).strip().lower()) for v in held(key))})
+    if len(votes) == 1:
+        return votes[0]
+    raise ValueError("the CZI metadata speaks for " + " and ".join(votes)) if votes else LookupError("nothing in the CZI metadata tells the slide's family")
 
 
 def biomarkers(m: Metadata) -> list[str]:
