@@ -14,17 +14,19 @@ What can't be read is a row with its error (class, message), not the end of the
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import errors as E
 from .catalog import catalog, default_biomarker_tokens, resolve, slide_family, supports_biomarkers
 from .functions.raster import ColorStyle, find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
-from .operators import deepzoom, gates, levels, region
+from .operators import canvas, deepzoom, gates, levels, multiplex, region
+from .sinks.shared import keep
 from .sources import register_sources
 
 RASTER = "height int, width int, n_channels int, mode string, data binary"
@@ -44,6 +46,18 @@ def _raster(image: np.ndarray) -> tuple:
     return (*image.shape[:2], image.shape[2], "RGBA" if image.shape[2] == 4 else "RGB", np.ascontiguousarray(image).tobytes())
 
 
+#: Requests for up to so many slides are told to the sources, so that no other file is opened; beyond, all are read.
+FEW_SLIDES = 1_000
+#: Bytes that a row's raster may have; larger results come as cells.
+MOST_RASTER = 2**31 - 2**20
+
+
+def _fitted(w: Column, h: Column, most_w: Column, most_h: Column) -> tuple[Column, Column]:
+    """Sides of a w x h image shrunk to fit at its aspect; never enlarged."""
+    scale = F.least(most_w / w, most_h / h, F.lit(1.0))
+    return tuple(F.greatest(F.lit(1), F.rint(side * scale).cast("int")) for side in (w, h))
+
+
 class SlideSet:
     """The slides of a folder. decoder: bytes -> RGBA array or None; JPEG needs one that the cluster has."""
 
@@ -52,11 +66,23 @@ class SlideSet:
         self.spark, self.path, self._decoder, self._acquisition = spark, path, decoder, acquisition_id
         self._metadata: DataFrame | None = None
 
-    def _load(self, source: str, **options: str) -> DataFrame:
+    def _load(self, source: str, paths: list[str] | None = None, **options: str) -> DataFrame:
+        """Rows of a source; of these paths only, if they are given."""
         reader = self.spark.read.format(source).options(**options)
         if self._acquisition is not None:
             reader = reader.option("acquisition_id", str(self._acquisition))
-        return reader.load(self.path)
+        rows = reader.load(self.path)
+        return rows if paths is None else rows.filter(F.col("path").isin(paths))
+
+    @staticmethod
+    def _paths(requests: DataFrame) -> list[str] | None:
+        """The slides that requests name, if these are few."""
+        found = [r["path"] for r in requests.select("path").filter("path is not null").distinct().limit(FEW_SLIDES + 1).collect()]
+        return found if len(found) <= FEW_SLIDES else None
+
+    def _described(self, paths: list[str] | None) -> DataFrame:
+        """metadata of some slides: from what is parsed already, else of these files alone."""
+        return self.metadata if paths is None or self._metadata is not None else self._load("slide_metadata", paths)
 
     @property
     def metadata(self) -> DataFrame:
@@ -75,8 +101,8 @@ class SlideSet:
         probed = self._load("slide_probes")
         return resolve(probed, catalog(self.spark) if formats is None else formats, probes="probes").drop("probes")
 
-    def tiles(self, with_data: bool = False) -> DataFrame:
-        return self._load("slide_tiles", data=str(with_data).lower())
+    def tiles(self, with_data: bool = False, paths: list[str] | None = None) -> DataFrame:
+        return self._load("slide_tiles", paths, data=str(with_data).lower())
 
     def errors(self) -> DataFrame:
         return self.metadata.filter("error is not null").select("path", "error")
@@ -94,18 +120,41 @@ class SlideSet:
     def channels(self) -> DataFrame:
         return self.metadata.select("path", F.posexplode("channels").alias("channel_index", "name"))
 
-    def slides(self) -> DataFrame:
+    def slides(self, paths: list[str] | None = None) -> DataFrame:
         """path, format_id, slide_family, supports_biomarkers, level_count, downsamples and what the format lays down for reading."""
         rules = catalog(self.spark).select("format_id", F.col("slide_family").alias("of_format"), F.col("supports_biomarkers").alias("capable"), "background", F.when(F.col("level_rule").isin("prev", "single"), F.col("level_rule")).otherwise("floor").alias("rule"))
-        m = self.metadata.filter("error is null").select("path", "format_id", "width", "height", "level_count", "levels", "channels", "properties")
+        m = self._described(paths).filter("error is null").select("path", "format_id", "width", "height", "level_count", "levels", "channels", "properties")
+        if paths is None:
+            m = self._with_siblings(m)
         stated = F.try_element_at("properties", F.lit("slide.family"))
         family = F.coalesce(stated, slide_family(F.col("of_format"), F.col("channels")))
         out = m.join(F.broadcast(rules), "format_id").withColumn("slide_family", family)  # a row a format
         return out.withColumn("supports_biomarkers", supports_biomarkers(F.col("capable"), F.col("slide_family"))).withColumn("downsamples", F.col("levels.downsample")).drop("of_format", "capable")
 
+    @staticmethod
+    def _signatures(m: DataFrame) -> DataFrame:
+        """What tells which files of a folder go together: path, folder, height, width, dtype, label."""
+        label, dtype = (F.try_element_at("properties", F.lit(k)) for k in ("ome.sibling-label", "tiff.dtype"))
+        files = m.select("path", F.regexp_replace("path", "[^/]*$", "").alias("folder"), "height", "width", dtype.alias("dtype"), label.alias("label"))
+        return files.filter(F.col("label").isNotNull() & F.lower("path").rlike(r"\.tiff?\z"))
+
+    def _with_siblings(self, m: DataFrame) -> DataFrame:
+        """m where a file of one channel has those of all its siblings, by path; the first of a label wins."""
+        alone = F.try_element_at("properties", F.lit("ome.alone")) == "true"
+        of = multiplex.sibling_groups(self._signatures(m)).groupBy("folder", "height", "width", "dtype").agg(F.transform(F.array_sort(F.collect_list(F.struct("path", "label"))), lambda s: s["label"]).alias("shared"))
+        mine = self._signatures(m.filter(alone)).join(of, ["folder", "height", "width", "dtype"]).select(F.col("path"), "shared")
+        return m.join(mine, "path", "left").withColumn("channels", F.coalesce("shared", "channels")).drop("shared")
+
+    def siblings(self) -> DataFrame:
+        """anchor, biomarker, path: for each file of one channel the files of its folder that hold the channels of its slide."""
+        m = self.metadata.filter("error is null")
+        files = self._signatures(m)
+        anchors = self._signatures(m.filter(F.try_element_at("properties", F.lit("ome.alone")) == "true")).select("folder", "height", "width", "dtype", F.col("path").alias("anchor"))
+        return anchors.join(multiplex.sibling_groups(files), ["folder", "height", "width", "dtype"]).select("anchor", F.col("label").alias("biomarker"), "path")
+
     def best_level(self, requests: DataFrame) -> DataFrame:
         """requests (path, target_downsample, …) with best_level, by the rule of each slide's format."""
-        asked = requests.join(self.slides().select("path", "downsamples", "rule"), "path")
+        asked = requests.join(self.slides(self._paths(requests)).select("path", "downsamples", "rule"), "path")
         level = F.lit(0)
         for rule in ("floor", "prev"):
             level = F.when(F.col("rule") == rule, levels.best_level(F.col("downsamples"), F.col("target_downsample"), rule)).otherwise(level)
@@ -130,9 +179,9 @@ class SlideSet:
         """asked (path, biomarker) with has_biomarker."""
         return asked.join(self.slides().select("path", "channels"), "path", "left").withColumn("has_biomarker", F.coalesce(F.array_contains("channels", F.col("biomarker")), F.lit(False))).drop("channels")
 
-    def _checked(self, requests: DataFrame, wanted: str) -> DataFrame:
+    def _checked(self, requests: DataFrame, wanted: str, paths: list[str] | None = None) -> DataFrame:
         """requests beside what their slide lays down; `error` where one can't be read at all. requests has request_id, path, level."""
-        asked = requests.join(self.slides().select("path", "format_id", "slide_family", "level_count", "levels", "background", "channels", "properties"), "path", "left")
+        asked = requests.join(self.slides(paths).select("path", "format_id", "slide_family", "level_count", "levels", "background", "channels", "properties"), "path", "left")
         missing = F.when(F.col("format_id").isNull(), E.error(E.VALUE, "No such slide"))
         checks = [missing, gates.family_error(F.col("slide_family"), wanted), gates.level_error(F.col("level"), F.col("level_count"), F.col("format_id"))]
         if wanted == "multiplex":
@@ -144,42 +193,59 @@ class SlideSet:
     def read_region(self, requests: DataFrame, cell_size: int = 4096) -> DataFrame:
         """request_id, height, width, n_channels, mode, data, error. x and y are level-0 pixels, w and h pixels of the level.
 
-        The index is joined first, by rectangles. What was met then goes to tasks by file and
-        run of the file and is read by range, in file order. Tiles of one focus plane are
-        taken: requests' z, or that of the slide's most tiles. A level that has no tiles of its
-        own is shrunk from level 0. Colours under tiles are the format's.
+        The index of the slides asked for is scanned once and joined first, by rectangles.
+        What was met then goes to tasks by file and run of the file and is read by range, in
+        file order. Tiles of one focus plane are taken: requests' z, or that of the slide's
+        most tiles. A level that has no tiles of its own is shrunk from level 0. Colours under
+        tiles are the format's. Requests are painted by cells, see read_region_cells for
+        results that are too large for a row.
         """
-        asked = self._checked(requests, "brightfield")
+        cells, asked = self._cells(requests, cell_size)
+        return self._with_errors(canvas.whole(cells), asked)
+
+    def read_region_cells(self, requests: DataFrame, cell_size: int = 4096) -> tuple[DataFrame, DataFrame]:
+        """(cells, errors): the rasters of read_region cut in squares, request_id, left, top, height, width, data (RGBA), so that a request may be of any size; and request_id, error of the others."""
+        cells, asked = self._cells(requests, cell_size, most=None)
+        return cells.select("request_id", "left", "top", "height", "width", "data"), asked.filter("error is not null").select("request_id", "error")
+
+    def _cells(self, requests: DataFrame, cell_size: int = 4096, flat: tuple[int, int, int] | None = None, most: int | None = MOST_RASTER) -> tuple[DataFrame, DataFrame]:
+        """(cells of the results, requests with their errors). requests may have out_w and out_h: what w x h pixels of the level are shrunk to."""
+        paths = self._paths(requests)
+        asked = self._checked(requests, "brightfield", paths)
+        for side, n in (("out_w", "w"), ("out_h", "h")):
+            asked = asked.withColumn(side, F.col(side if side in requests.columns else n).cast("int"))
+        if most is not None:
+            size = F.col("out_w").cast("long") * F.col("out_h") * 4
+            asked = asked.withColumn("error", F.coalesce("error", F.when(size > most, E.error(E.VALUE, F.format_string("a raster of %d bytes is no row; read it as cells", size)))))
         grey = F.try_element_at("properties", F.lit("tmap.background")).try_cast("int")
         color = F.coalesce(*[F.when(F.col("background") == k, F.array(*map(F.lit, v))) for k, v in BACKGROUNDS.items() if k != "grey"], F.when(grey.isNotNull(), F.array(grey, grey, grey, F.lit(255))), F.array(*map(F.lit, BACKGROUNDS["grey"])))
         asked = asked.withColumn("color", color)
-        index = self.tiles()
-        depth = index.groupBy("path", "z").agg(F.count("*").alias("n")).groupBy("path").agg(F.max_by("z", F.struct("n", -F.col("z"))).alias("main_z"))
-        stored = index.groupBy("path").agg(F.collect_set("level").alias("stored_levels"))  # a few numbers a slide
-        good = asked.filter("error is null and not blank").join(depth.join(stored, "path"), "path", "left")
+        index = keep(self.tiles(paths=paths).drop("data"), "tile_index")  # read three times below
+        depth = index.groupBy("path", "z").agg(F.count("*").alias("n"), F.collect_set("level").alias("levels_")).groupBy("path")
+        depth = depth.agg(F.max_by("z", F.struct("n", -F.col("z"))).alias("main_z"), F.array_distinct(F.flatten(F.collect_list("levels_"))).alias("stored_levels"))  # a few numbers a slide
+        good = asked.filter("error is null and not blank").join(depth, "path", "left")
         own = F.coalesce(F.array_contains("stored_levels", F.col("level")), F.lit(False))
         good = good.withColumn("source_level", F.when(own, F.col("level")).otherwise(0)).withColumn("downsample", F.get("levels.downsample", F.col("source_level")))
         scale = F.get("levels.downsample", F.col("level")) / F.col("downsample")
-        good = good.withColumn("out_w", F.col("w")).withColumn("out_h", F.col("h")).withColumn("lw", F.ceil(F.col("w") * scale)).withColumn("lh", F.ceil(F.col("h") * scale))
+        good = good.withColumn("lw", F.ceil(F.col("w") * scale).cast("int")).withColumn("lh", F.ceil(F.col("h") * scale).cast("int"))
         z = F.coalesce(F.col("z"), F.col("main_z")) if "z" in requests.columns else F.col("main_z")
-        span = good.select("request_id", "path", F.col("source_level").alias("level"), z.alias("z"), "x", "y", "downsample", F.ceil(F.col("lw") * F.col("downsample")).alias("w"), F.ceil(F.col("lh") * F.col("downsample")).alias("h"))
+        span = good.select("request_id", "path", F.col("source_level").alias("level"), z.alias("wanted_z"), "x", "y", "downsample", "lw", "lh", F.ceil(F.col("lw") * F.col("downsample")).alias("w"), F.ceil(F.col("lh") * F.col("downsample")).alias("h"))
         index = index.select("path", "format_id", "level", F.col("z"), "offset", "length", "file_id", F.col("x0").alias("x2"), F.col("y0").alias("y2"), F.col("cov_w").cast("long").alias("w2"), F.col("cov_h").cast("long").alias("h2"), "row_no", "col")
-        flat = index.withColumn("z", F.when(F.col("z") >= 0, F.col("z")))  # what lies beside the focus planes belongs to all of them
-        met = region.rectangle_join(span.withColumnRenamed("z", "wanted_z"), flat, ("path", "level"), cell_size).filter("z is null or z = wanted_z")
-        canvases = good.select("request_id", F.col("lw").cast("int").alias("w"), F.col("lh").cast("int").alias("h"), "color")
-        empty = asked.filter("error is null and blank").select("request_id", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "color")
-        painted = region.compose(self._decoded(met), canvases.unionByName(empty), "color")
-        shrunk = good.filter("lw <> out_w or lh <> out_h").select("request_id", F.col("out_w").cast("int").alias("out_w"), F.col("out_h").cast("int").alias("out_h"))
-        painted = self._resized(painted.join(shrunk, "request_id", "left"))
-        return self._with_errors(painted, asked)
+        flat_z = index.withColumn("z", F.when(F.col("z") >= 0, F.col("z")))  # what lies beside the focus planes belongs to all of them
+        met = region.rectangle_join(span, flat_z, ("path", "level"), cell_size).filter("z is null or z = wanted_z")
+        canvases = good.select("request_id", F.col("lw").alias("w"), F.col("lh").alias("h"), "out_w", "out_h", F.col("color").alias("background"))
+        empty = asked.filter("error is null and blank").select("request_id", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "out_w", "out_h", F.col("color").alias("background"))
+        cells = canvas.painted(self._decoded(met), canvases.unionByName(empty), flat=flat)
+        return canvas.shrunk(cells, 4 if flat is None else 3), asked
 
     def _decoded(self, met: DataFrame, run: int = 64 << 20) -> DataFrame:
-        """Tiles that requests met, as pastes; each file's places are read in order, long files by several tasks."""
+        """Tiles that requests met, cut by the cells of their canvases; each file's places are read in order, long files by several tasks."""
         decoder = self._decoder
 
         def decoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from .sources.tiles import TileReader
 
+            names = [c.split()[0] for c in canvas.CROP.split(", ")]
             reader, last, image = TileReader(), None, None
             for b in batches:
                 out = []
@@ -191,28 +257,15 @@ class SlideSet:
                     if image is not None:
                         w, h = max(1, round(t.w2 / t.downsample)), max(1, round(t.h2 / t.downsample))
                         part = image if image.shape[:2] == (h, w) or image.shape[0] <= h and image.shape[1] <= w else resize(image, w, h, "bilinear")
-                        out.append((t.request_id, int((t.x2 - t.x) / t.downsample), int((t.y2 - t.y) / t.downsample), t.row_no * (1 << 31) + t.col, *part.shape[:2], part.tobytes()))
-                yield pd.DataFrame(out, columns=["request_id", "dst_x", "dst_y", "draw_seq", "height", "width", "data"])
+                        out += canvas.crops(t.request_id, int((t.x2 - t.x) / t.downsample), int((t.y2 - t.y) / t.downsample), t.row_no * (1 << 31) + t.col, part, t.lw, t.lh)
+                        if len(out) > 64:
+                            yield pd.DataFrame(out, columns=names)
+                            out = []
+                yield pd.DataFrame(out, columns=names)
             reader.close()
 
         dealt = met.withColumn("run", F.floor(F.col("offset") / run)).repartition("path", "file_id", "run").sortWithinPartitions("path", "file_id", "offset", "level", "row_no", "col").drop("run", "z", "wanted_z")
-        return dealt.mapInPandas(decoded, "request_id long, dst_x int, dst_y int, draw_seq long, height int, width int, data binary")
-
-    @staticmethod
-    def _resized(painted: DataFrame) -> DataFrame:
-        """Rasters brought to (out_w, out_h) where these are given."""
-
-        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for t in b.itertuples(index=False):
-                    row = (t.request_id, t.height, t.width, t.n_channels, t.mode, t.data)
-                    if not pd.isna(t.out_w):
-                        row = (t.request_id, *_raster(resize(np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels), int(t.out_w), int(t.out_h), "lanczos")))
-                    out.append(row)
-                yield pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data"])
-
-        return painted.mapInPandas(each, f"request_id long, {RASTER}")
+        return dealt.mapInPandas(decoded, canvas.CROP)
 
     @staticmethod
     def _with_errors(rasters: DataFrame, asked: DataFrame) -> DataFrame:
@@ -253,7 +306,8 @@ class SlideSet:
                     y0, y1, _ = slice(y, y + t.h).indices(h)
                     try:
                         if x0 < x1 and y0 < y1:
-                            part = to_uint8(found.read(found.index(t.biomarker), t.level, x0, y0, x1 - x0, y1 - y0), wide=np.float64)
+                            channel = 0 if t.apart else found.index(t.biomarker)  # a sibling's first plane is the channel
+                            part = to_uint8(found.read(channel, t.level, x0, y0, x1 - x0, y1 - y0), wide=np.float64)
                         else:
                             part = np.zeros((t.h, t.w), np.uint8)
                         out.append((t.request_id, *_raster(rgba(part)), None))
@@ -263,7 +317,9 @@ class SlideSet:
             if blob is not None:
                 blob.close()
 
-        good = asked.filter("error is null").select("request_id", "path", F.col("level").cast("int").alias("level"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "biomarker")
+        held = self.siblings().select(F.col("anchor").alias("path"), "biomarker", F.col("path").alias("sibling"))
+        asked = asked.join(held, ["path", "biomarker"], "left")
+        good = asked.filter("error is null").select("request_id", F.coalesce("sibling", "path").alias("path"), F.col("sibling").isNotNull().alias("apart"), F.col("level").cast("int").alias("level"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "biomarker")
         dealt = good.repartition("path", "biomarker").sortWithinPartitions("path", "biomarker", "level", "y", "x")
         read = dealt.mapInPandas(each, f"request_id long, {RASTER}, error {E.SCHEMA}")
         bad = asked.filter("error is not null").select("request_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RASTER.split(", ")], "error")
@@ -349,20 +405,25 @@ class SlideSet:
         return ole.mapInPandas(each, f"path string, name string, {RASTER}")
 
     def thumbnails(self, w: int = 512, h: int = 512) -> DataFrame:
-        """path, raster, error: a stored thumbnail, else the last level, shrunk to fit w x h; multiplex slides have an error."""
+        """path, raster, error: a stored thumbnail, else the last level, shrunk to fit w x h; multiplex slides have an error.
+
+        Levels are shrunk cell by cell, so no task holds one, however large a slide's only level is.
+        """
         s = self.slides()
         held = self.stored_images(("thumbnail",)).drop("name")
         rest = s.filter("slide_family = 'brightfield'").join(held.select("path"), "path", "left_anti")
         last = F.col("level_count") - 1
         rest = rest.withColumn("request_id", F.xxhash64("path"))
-        ask = rest.select("request_id", "path", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), last.alias("level"), F.get("levels.width", last).alias("w"), F.get("levels.height", last).alias("h"))
-        made = self.read_region(ask).filter("error is null").join(rest.select("request_id", "path"), "request_id").drop("request_id", "error")
+        lw, lh = F.get("levels.width", last), F.get("levels.height", last)
+        out_w, out_h = _fitted(lw, lh, F.lit(w), F.lit(h))
+        ask = rest.select("request_id", "path", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), last.alias("level"), lw.alias("w"), lh.alias("h"), out_w.alias("out_w"), out_h.alias("out_h"))
+        made = canvas.whole(self._cells(ask)[0]).join(rest.select("request_id", "path"), "request_id").drop("request_id")
 
         def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 yield pd.DataFrame([(t.path, *_raster(thumbnail(np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels), w, h))) for t in b.itertuples(index=False)], columns=["path", "height", "width", "n_channels", "mode", "data"])
 
-        fitted = held.unionByName(made.select(*held.columns)).mapInPandas(fit, f"path string, {RASTER}")
+        fitted = held.mapInPandas(fit, f"path string, {RASTER}").unionByName(made)
         refused = s.filter("slide_family <> 'brightfield'").select("path", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RASTER.split(", ")], E.error(E.UNSUPPORTED_OPERATION, "Multiplex slides do not support generic thumbnails").alias("error"))
         return fitted.withColumn("error", F.lit(None).cast(E.SCHEMA)).unionByName(refused)
 
@@ -382,31 +443,34 @@ class SlideSet:
     def deepzoom_tiles(self, addresses: DataFrame, tile_size: int = 254, overlap: int = 1, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
         """request_id, raster, error of addresses (request_id, path, dz_level, col, row_no; biomarker for multiplex slides).
 
-        The region is read, laid on the background and shrunk to the tile's size, never
-        enlarged. A level or address that isn't there is an error.
+        The region is read, laid on the background and shrunk to the tile's size cell by cell,
+        never enlarged. A level or address that isn't there is an error.
         """
         dz = self._pyramid(tile_size)
         asked = addresses.join(dz, ["path", "dz_level"], "left")
         wrong = deepzoom.address_error(F.col("dz_level"), F.coalesce("n_levels", F.lit(0)), F.col("col"), F.col("row_no"), F.col("cols"), F.col("rows"))
         asked = asked.withColumn("wrong", wrong).withColumn("error", E.first((F.col("wrong").isNotNull(), E.VALUE, F.col("wrong"))))
         places = deepzoom.tile_places(asked.filter("wrong is null"), tile_size, overlap)
-        read = places.select("request_id", "path", F.col("l0_x").alias("x"), F.col("l0_y").alias("y"), "level", F.col("l_w").cast("int").alias("w"), F.col("l_h").cast("int").alias("h"), *(["biomarker"] if "biomarker" in addresses.columns else []))
-        if "biomarker" in addresses.columns:
-            tiles = self.read_region(read.filter("biomarker is null").drop("biomarker")).unionByName(self.read_biomarker_region(read.filter("biomarker is not null")))
-        else:
-            tiles = self.read_region(read)
-
-        def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for t in b.itertuples(index=False):
-                    image = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels)
-                    out.append((t.request_id, *_raster(thumbnail(on_background(image, background), int(t.z_w), int(t.z_h)))))
-                yield pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data"])
-
-        good = tiles.filter("error is null").drop("error").join(places.select("request_id", "z_w", "z_h"), "request_id").mapInPandas(fit, f"request_id long, {RASTER}")
-        bad = asked.select("request_id", "error").unionByName(tiles.select("request_id", "error"))
-        return self._with_errors(good, bad)
+        out_w, out_h = _fitted(F.col("l_w"), F.col("l_h"), F.col("z_w"), F.col("z_h"))
+        read = places.select("request_id", "path", F.col("l0_x").alias("x"), F.col("l0_y").alias("y"), "level", F.col("l_w").cast("int").alias("w"), F.col("l_h").cast("int").alias("h"), out_w.alias("out_w"), out_h.alias("out_h"), *(["biomarker"] if "biomarker" in addresses.columns else []))
+        plain = read.filter("biomarker is null").drop("biomarker") if "biomarker" in read.columns else read
+        cells, plain = self._cells(plain, flat=background)
+        good, bad = canvas.whole(cells, 3), [asked.select("request_id", "error"), plain.select("request_id", "error")]
+        if "biomarker" in read.columns:
+            tiles = self.read_biomarker_region(read.filter("biomarker is not null").drop("out_w", "out_h"))
+            bad.append(tiles.select("request_id", "error"))
+
+            def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                for b in batches:
+                    out = []
+                    for t in b.itertuples(index=False):
+                        image = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels)
+                        out.append((t.request_id, *_raster(thumbnail(on_background(image, background), int(t.z_w), int(t.z_h)))))
+                    yield pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data"])
+
+            read_ = tiles.filter("error is null").drop("error").join(places.select("request_id", "z_w", "z_h"), "request_id")
+            good = good.unionByName(read_.mapInPandas(fit, f"request_id long, {RASTER}"))
+        return self._with_errors(good, functools.reduce(DataFrame.unionByName, bad))
 
     def descriptors(self, tile_size: int = 254, overlap: int = 1) -> DataFrame:
         return self.metadata.filter("error is null").select("path", deepzoom.descriptor(F.col("width"), F.col("height"), tile_size, overlap).alias("dzi"))

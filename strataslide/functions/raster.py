@@ -70,6 +70,20 @@ def from_png(data: bytes) -> np.ndarray:
     return out
 
 
+def image_size(data: bytes) -> tuple[int, int] | None:
+    """(width, height) by the header of a PNG or JPEG; null for anything else."""
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
+        return int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+    at = 2 if data[:2] == b"\xff\xd8" else len(data)
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # a frame's header
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        alone = kind == 0xFF or kind == 0x01 or 0xD0 <= kind <= 0xD7  # filling and marks without a length
+        at += (1 if kind == 0xFF else 2) if alone else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
 # --- geometry ----------------------------------------------------------------
 
 
@@ -118,6 +132,21 @@ def _weights(n: int, m: int, kernel: str) -> np.ndarray:
     return w / w.sum(axis=1, keepdims=True)
 
 
+def weights_between(n: int, m: int, a: int, b: int, kernel: str) -> tuple[int, np.ndarray]:
+    """(first, matrix): of the m x n matrix of weights the columns a to b, and of these the rows that reach them."""
+    radius, f = _KERNELS[kernel]
+    scale = n / m
+    wide = max(scale, 1.0)
+    reach = radius * wide
+    first = max(0, int(np.floor((a - reach) / scale - 0.5)))
+    last = min(m, int(np.ceil((b + reach) / scale + 0.5)) + 1)
+    center = (np.arange(first, last) + 0.5) * scale
+    low, high = max(0, int(center[0] - reach) - 1), min(n, int(center[-1] + reach) + 2)  # all that these rows reach
+    x = (np.arange(low, high)[None, :] + 0.5 - center[:, None]) / wide
+    w = np.where(abs(x) < radius, f(x), 0)
+    return first, (w / w.sum(axis=1, keepdims=True))[:, a - low : b - low]
+
+
 def resize(image: np.ndarray, w: int, h: int, kernel: str = "lanczos") -> np.ndarray:
     """Separable resampling to exactly w x h."""
     src = image if image.ndim == 3 else image[:, :, None]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,17 +136,20 @@ def match_scenes(scenes: DataFrame, images: DataFrame, near: int = 512) -> DataF
 def greedy_entries(tokens: DataFrame, key: str, order: str, token: str, marks: tuple[str, str] = ("StartPosition", "DataLength")) -> DataFrame:
     """Entries 'name, StartPosition, p, DataLength, l' of a token stream, consumed greedily: key, name, position, length.
 
-    For files whose values may equal the marks; one file's stream at a time.
+    For files whose values may equal the marks or be names of what follows. Whether an entry
+    may begin at a token is told by the four that come after it; an entry is taken unless one
+    before it took its first token. Entries five tokens apart don't touch, so the stream falls
+    into chains of entries that overlap, and only a chain is folded in order. order is total
+    within a key; numbers are longs, with a sign or without.
     """
-
-    def read(group: pd.DataFrame) -> pd.DataFrame:
-        t, at, out = group.sort_values(order)[token].tolist(), 0, []
-        while at + 4 < len(t):
-            if t[at + 1] == marks[0] and t[at + 3] == marks[1] and t[at + 2].lstrip("-").isdigit() and t[at + 4].lstrip("-").isdigit():
-                out.append((group[key].iloc[0], t[at], int(t[at + 2]), int(t[at + 4])))
-                at += 5
-            else:
-                at += 1
-        return pd.DataFrame(out, columns=[key, "name", "position", "length"])
-
-    return tokens.groupBy(key).applyInPandas(read, f"{key} {dict(tokens.dtypes)[key]}, name string, position long, length long")
+    w = Window.partitionBy(key).orderBy(order)
+    ahead = lambda k: F.lead(token, k).over(w)
+    number = lambda c: F.when(F.col(c).rlike(r"\A-?[0-9]+\z"), F.col(c).try_cast("long"))
+    rows = tokens.select(key, F.col(token).alias("name"), (F.row_number().over(w) - 1).cast("long").alias("at"), *[ahead(k).alias(f"t{k}") for k in range(1, 5)])
+    starts = rows.filter((F.col("t1") == marks[0]) & (F.col("t3") == marks[1])).withColumn("position", number("t2")).withColumn("length", number("t4")).filter("position is not null and length is not null")
+    near = Window.partitionBy(key).orderBy("at")
+    chain = F.sum(F.when(F.col("at") - F.lag("at").over(near) < 5, 0).otherwise(1)).over(near)
+    chains = starts.withColumn("chain", chain).groupBy(key, "chain").agg(F.array_sort(F.collect_list(F.struct("at", "name", "position", "length"))).alias("entries"))
+    first = lambda: F.slice("entries", 1, 1)
+    take = lambda taken, e: F.when(e["at"] >= F.element_at(taken, -1)["at"] + 5, F.concat(taken, F.array(e))).otherwise(taken)
+    return chains.select(key, F.explode(F.aggregate("entries", first(), take)).alias("e")).select(key, "e.name", "e.position", "e.length")

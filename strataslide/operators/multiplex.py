@@ -106,6 +106,20 @@ def sibling_channels(files: DataFrame) -> DataFrame:
     return pairs.withColumn("nth", first).filter("nth = 1").drop("nth")
 
 
+def sibling_groups(files: DataFrame) -> DataFrame:
+    """Channels that files of one folder, shape and type share: folder, height, width, dtype, label, path; by path, the first of a label wins.
+
+    Every file of a group has the same channels, so they are kept once a group, not once an anchor.
+    """
+    return files.groupBy("folder", "height", "width", "dtype", "label").agg(F.min("path").alias("path"))
+
+
+def channel_page(order: Column, size_z: Column, size_t: Column, channel: Column) -> Column:
+    """The page that holds a channel's first focus plane and time: dimensions named between XY and C go through all their places first."""
+    places = lambda letter, n: F.when((F.instr(order, letter) > 0) & (F.instr(order, letter) < F.instr(order, "C")), F.greatest(n, F.lit(1))).otherwise(1)
+    return channel * places("Z", size_z) * places("T", size_t)
+
+
 def axes_dimensions(axes: Column, shape: Column) -> Column:
     """struct(width, height) of a shape by its axes letters."""
     side = lambda letter: F.get(shape, F.instr(axes, letter) - 1)

@@ -93,6 +93,22 @@ def token_pairs(spark, sf_dir):
     return A.token_pairs(rows, "conv_id", "o", "text")
 
 
+_TOKENS = "SELECT slide_id, place, CASE WHEN o_orderkey % 11 = 0 THEN 'x' WHEN place % 4 = 1 THEN 'StartPosition' WHEN place % 4 = 3 THEN 'DataLength' ELSE CAST(o_orderkey AS {text}) END AS name FROM (SELECT o_custkey % 50 AS slide_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS place FROM {orders})"
+_FIVE = ", ".join(f"lead(name, {k}) OVER w AS t{k}" for k in range(1, 5))
+
+
+@query(
+    f"WITH RECURSIVE c AS (SELECT slide_id, place, name, CAST(t2 AS BIGINT) AS position, CAST(t4 AS BIGINT) AS length FROM (SELECT *, {_FIVE} FROM ({_TOKENS.format(text='VARCHAR', orders='orders')}) WINDOW w AS (PARTITION BY slide_id ORDER BY place)) WHERE t1 = 'StartPosition' AND t3 = 'DataLength' AND regexp_full_match(t2, '[0-9]+') AND regexp_full_match(t4, '[0-9]+')),"
+    " n AS (SELECT a.slide_id, a.place, min(b.place) AS after FROM c a JOIN c b ON b.slide_id = a.slide_id AND b.place >= a.place + 5 GROUP BY ALL),"
+    " walk AS (SELECT slide_id, min(place) AS place FROM c GROUP BY slide_id UNION ALL SELECT n.slide_id, n.after FROM walk JOIN n ON n.slide_id = walk.slide_id AND n.place = walk.place)"
+    " SELECT slide_id, name, position, length FROM walk JOIN c USING (slide_id, place)"
+)
+def token_entries(spark, sf_dir):
+    """Streams in which a value is also the next entry's name, so that entries overlap in chains."""
+    tokens = spark.sql(_TOKENS.format(text="STRING", orders="{orders}"), orders=table(spark, sf_dir, "orders"))
+    return A.greedy_entries(tokens, "slide_id", "place", "name")
+
+
 _ASSOC = "SELECT slide_id, name, made FROM (SELECT p_partkey AS slide_id, CASE WHEN p_size % 4 = 0 THEN 'thumbnail' ELSE 'label' END AS name, false AS made FROM part UNION ALL SELECT p_partkey, 'thumbnail', true FROM part WHERE p_size % 4 <> 0 AND p_size % 3 <> 0)"
 
 

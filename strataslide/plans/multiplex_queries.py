@@ -80,3 +80,18 @@ def axes_dimensions(spark, sf_dir):
     axes = F.element_at(F.array(*map(F.lit, ("CYX", "YXS", "YX", "QZC"))), (F.col("vec_id") % 4 + 1).cast("int"))
     d = table(spark, sf_dir, "embeddings").select("vec_id", M.axes_dimensions(axes, F.array(F.col("label").cast("long"), "vec_id", F.col("vec_id") + 1)).alias("d"))
     return d.select("vec_id", "d.width", "d.height")
+
+
+@query(f"SELECT folder, height, width, dtype, label, min(path) AS path FROM ({_FILES}) GROUP BY ALL")
+def sibling_groups(spark, sf_dir):
+    files = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS folder", "c_custkey % 3 AS height", "c_custkey % 2 AS width", "'u16' AS dtype", "c_name AS path", "c_mktsegment AS label")
+    return M.sibling_groups(files)
+
+
+_ORDERS = ("XYZCT", "XYCZT", "XYZTC", "XYTCZ", "XYCTZ", "XYTZC")
+
+
+@query(f"SELECT p_partkey, CAST(c * CASE WHEN o IN ('XYZCT', 'XYZTC', 'XYTZC') THEN greatest(z, 1) ELSE 1 END * CASE WHEN o IN ('XYZTC', 'XYTCZ', 'XYTZC') THEN greatest(t, 1) ELSE 1 END AS BIGINT) AS page FROM (SELECT p_partkey, {list(_ORDERS)}[1 + p_partkey % 6] AS o, p_size % 5 AS z, p_size % 3 AS t, p_partkey % 7 AS c FROM part)")
+def channel_pages(spark, sf_dir):
+    order = F.element_at(F.array(*map(F.lit, _ORDERS)), (F.col("p_partkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", M.channel_page(order, F.col("p_size") % 5, F.col("p_size") % 3, F.col("p_partkey") % 7).cast("long").alias("page"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import canvas as V
 from ..operators import region as R
 from .registry import query, table
 
@@ -78,3 +79,38 @@ def block_subtile_join(spark, sf_dir):
 def overlay_last_wins(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").selectExpr("l_partkey AS slide_id", "CAST(l_quantity AS INT) % 8 AS cx", "l_linenumber % 8 AS cy", "l_shipdate", "l_orderkey", "l_linenumber", "l_extendedprice AS value")
     return R.overlay(rows, ("slide_id", "cx", "cy"), "value", ("l_shipdate", "l_orderkey", "l_linenumber", "value"))
+
+
+# Rectangles of one colour in place of decoded tiles.
+_W, _H, _CELL, _UNDER = 200, 150, 64, 7
+_PAINTS = "SELECT o_custkey % 20 AS slide_id, o_orderkey AS draw_seq, CAST(o_orderkey * 7 % 230 - 15 AS INT) AS x, CAST(o_orderkey * 3 % 170 - 10 AS INT) AS y, CAST(5 + o_orderkey % 13 AS INT) AS w, CAST(4 + o_orderkey % 9 AS INT) AS h, CAST(o_orderkey % 251 AS INT) AS color FROM {orders}"
+
+
+@query(
+    f"WITH p AS (SELECT slide_id, px, py, arg_max(color, draw_seq) AS v FROM (SELECT *, unnest(range(y, y + h)) AS py FROM (SELECT *, unnest(range(x, x + w)) AS px FROM ({_PAINTS.format(orders='orders')}))) WHERE px BETWEEN 0 AND {_W - 1} AND py BETWEEN 0 AND {_H - 1} GROUP BY ALL),"
+    f" g AS (SELECT slide_id, px, py FROM (SELECT DISTINCT o_custkey % 20 AS slide_id FROM orders), range({_W}) a(px), range({_H}) b(py))"
+    f" SELECT slide_id, CAST(px // {_CELL} AS INTEGER) AS cell_x, CAST(py // {_CELL} AS INTEGER) AS cell_y, count(*) AS pixels, CAST(sum(coalesce(v, {_UNDER})) AS BIGINT) AS total, CAST(sum(coalesce(v, {_UNDER}) * (1 + (px % {_CELL}) * 3 + py % {_CELL})) AS BIGINT) AS placed FROM g LEFT JOIN p USING (slide_id, px, py) GROUP BY ALL"
+)
+def canvas_paint(spark, sf_dir):
+    """Sums, plain and by place, of the cells that overlapping pastes leave."""
+    import numpy as np
+    import pandas as pd
+
+    orders = table(spark, sf_dir, "orders")
+
+    def cut(batches):
+        for b in batches:
+            rows = [c for t in b.itertuples() for c in V.crops(t.slide_id, t.x, t.y, t.draw_seq, np.full((t.h, t.w, 4), t.color, np.uint8), _W, _H, _CELL)]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in V.CROP.split(", ")])
+
+    def sums(batches):
+        for b in batches:
+            rows = []
+            for t in b.itertuples():
+                v = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 4)[:, :, 0].astype(np.int64)
+                rows.append((t.request_id, t.cell_x, t.cell_y, v.size, v.sum(), (v * (1 + 3 * np.arange(t.width) + np.arange(t.height)[:, None])).sum()))
+            yield pd.DataFrame(rows, columns=["slide_id", "cell_x", "cell_y", "pixels", "total", "placed"])
+
+    pastes = spark.sql(_PAINTS, orders=orders).mapInPandas(cut, V.CROP)
+    canvases = orders.select((F.col("o_custkey") % 20).alias("request_id")).distinct().selectExpr("request_id", f"{_W} AS w", f"{_H} AS h", f"{_W} AS out_w", f"{_H} AS out_h", f"array({_UNDER}, {_UNDER}, {_UNDER}, 255) AS background")
+    return V.painted(pastes, canvases, _CELL).mapInPandas(sums, "slide_id long, cell_x int, cell_y int, pixels long, total long, placed long")

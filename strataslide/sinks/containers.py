@@ -54,7 +54,7 @@ def tron(tiles) -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         for level, col, row, _, length in tiles:
-            z.writestr(f"{level}/1/{row}_{col}.jpg", bytes(length))
+            z.writestr(f"{level}/1/{col}_{row}.jpg", bytes(length))
     return out.getvalue()
 
 

@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _drop(spark: SparkSession, path: str) -> None:
@@ -30,3 +30,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     path = f"{at.rstrip('/')}/strataslide/{name}-{uuid.uuid4().hex}"
     atexit.register(_drop, spark, path)
     return path
+
+
+def keep(df: DataFrame, name: str) -> DataFrame:
+    """df as a table below the shared folder: what several steps read is worked out once, and survives lost executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -47,10 +47,11 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-def listed(path: str) -> list[str]:
-    """The files of a folder (all below it), or the path itself."""
+def sized(path: str) -> list[tuple[str, int]]:
+    """The files of a folder (all below it), or the path itself, with their sizes."""
     where, at = file_system(path)
-    if where.get_file_info(at).type != fs.FileType.Directory:
-        return [path]
+    here = where.get_file_info(at)
+    if here.type != fs.FileType.Directory:
+        return [(path, here.size or 0)]
     head = path[: len(path) - len(at)] if path.endswith(at) else ""
-    return sorted(head + f.path for f in where.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File)
+    return sorted((head + f.path, f.size or 0) for f in where.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File)

@@ -17,11 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from ..functions.raster import xml_properties
+from ..functions.raster import image_size, xml_properties
 from .blob import Blob
 from .planes import is_ome_candidate, open_planes
-from .tiff import text, tiff_pages
+from .tiff import samples, text, tiff_pages
 
+# Sides of tiles where the file doesn't tell.
+MDS_TILE, TRON_TILE = 512, 1024
 TILE = np.dtype([("level", "i4"), ("z", "i4"), ("channel", "i4"), ("col", "i4"), ("row_no", "i4"), ("x0", "i8"), ("y0", "i8"), ("cov_w", "i4"), ("cov_h", "i4"), ("file_id", "i4"), ("offset", "i8"), ("length", "i8")])
 
 
@@ -350,17 +352,19 @@ def mds(blob: Blob) -> Parsed:
     for path, data in ole_streams(blob).items():
         if m := re.fullmatch(r"DSI0/([0-9.]+)/(\d+)_(\d+)", path):
             found.setdefault(float(m[1]), {})[int(m[2]), int(m[3])] = data
-    out, parts, side = Parsed("mds"), [], 256
+    out, parts = Parsed("mds"), []
     scales = sorted(found, reverse=True)
+    first = found[scales[0]] if scales else {}
+    tw, th = (image_size(first[min(first)]) if first else None) or (MDS_TILE, MDS_TILE)  # all tiles are of the first one's size
     for level, scale in enumerate(scales):
         grid = found[scale]
         rc = np.array(sorted(grid), np.int64)
         factor = scales[0] / scale
-        out.levels.append((int(rc[:, 1].max() + 1) * side, int(rc[:, 0].max() + 1) * side, factor))
+        out.levels.append((int(rc[:, 1].max() + 1) * tw, int(rc[:, 0].max() + 1) * th, factor))
         base = sum(len(p) for p in parts)
         out.data |= {base + k: grid[int(r), int(c)] for k, (r, c) in enumerate(rc)}
-        wide = int(side * factor)
-        parts.append(_tiles(len(rc), level=level, col=rc[:, 1], row_no=rc[:, 0], x0=rc[:, 1] * wide, y0=rc[:, 0] * wide, cov_w=wide, cov_h=wide, length=[len(grid[int(r), int(c)]) for r, c in rc]))
+        wide, high = int(tw * factor), int(th * factor)
+        parts.append(_tiles(len(rc), level=level, col=rc[:, 1], row_no=rc[:, 0], x0=rc[:, 1] * wide, y0=rc[:, 0] * high, cov_w=wide, cov_h=high, length=[len(grid[int(r), int(c)]) for r, c in rc]))
     if not parts:
         raise ValueError("no tiles")
     out.tiles = np.concatenate(parts)
@@ -457,7 +461,10 @@ class _View(io.RawIOBase):
 
 
 def tron(blob: Blob) -> Parsed:
-    """ZIP members: <level>/1/<row>_<col>.jpg tiles, and stored images by name. Members are listed, nothing is unpacked."""
+    """ZIP members: <level>/1/<col>_<row>.jpg tiles, and stored images by name. Members are listed, nothing is unpacked.
+
+    A level spans the tiles from its least to its greatest column and row.
+    """
     out, rows = Parsed("tron"), []
     with zipfile.ZipFile(_View(blob)) as z:
         for m in z.infolist():
@@ -465,17 +472,19 @@ def tron(blob: Blob) -> Parsed:
             name, extra = struct.unpack("<HH", blob.read(m.header_offset + 26, 4))
             place = (m.header_offset + 30 + name + extra, m.compress_size)
             if t := re.fullmatch(r"(\d+)/\d+/(\d+)[_/](\d+)\.(?:jpg|jpeg|png)", m.filename):
-                rows.append((int(t[1]), int(t[3]), int(t[2]), *place))
+                rows.append((int(t[1]), int(t[2]), int(t[3]), *place))
             elif stem.lower() in ("label", "macro", "thumbnail", "sample", "blank"):
                 out.stored[stem.lower()] = place
     if rows:
         r = np.array(rows, np.int64)
-        level = r[:, 0] - r[:, 0].min()
-        wide = 256 * 2**level
-        out.tiles = _tiles(len(r), level=level, col=r[:, 1], row_no=r[:, 2], x0=r[:, 1] * wide, y0=r[:, 2] * wide, cov_w=wide, cov_h=wide, offset=r[:, 3], length=r[:, 4])
-        base = r[level == 0]
-        out.width, out.height = int(base[:, 1].max() + 1) * 256, int(base[:, 2].max() + 1) * 256
-        out.levels = _halved(out.width, out.height, 2, int(level.max()) + 1)
+        folders, level = np.unique(r[:, 0], return_inverse=True)
+        least, most = (np.stack([f.reduceat(r[np.argsort(level, kind="stable"), c], np.searchsorted(np.sort(level), range(len(folders)))) for c in (1, 2)], 1) for f in (np.minimum, np.maximum))
+        sides = (most - least + 1) * TRON_TILE
+        out.width, out.height = map(int, sides[0])
+        out.levels = [(int(w), int(h), out.width / int(w)) for w, h in sides]
+        wide = (TRON_TILE * out.width / sides[level, 0]).astype(np.int64)
+        place = (r[:, 1:3] - least[level]) * wide[:, None]
+        out.tiles = _tiles(len(r), level=level, col=r[:, 1], row_no=r[:, 2], x0=place[:, 0], y0=place[:, 1], cov_w=wide, cov_h=wide, offset=r[:, 3], length=r[:, 4])
     return out.stated("tron")
 
 
@@ -529,6 +538,8 @@ def tiff(blob: Blob) -> Parsed:
         many = open_planes(blob)
         out.format_id, out.channels, out.mpp, out.levels = many.format_id, many.names, many.mpp, many.levels
         out.properties |= many.properties
+        if many.format_id == "ome_tiff":
+            out.properties |= {"ome.sibling-label": text(pages[0], 285) or blob.name.rpartition("/")[2].rpartition(".")[0], "tiff.dtype": samples(pages[0])[0].str}
     if out.mpp is None and 282 in pages[0]:
         num, den = pages[0][282][:2]
         unit = pages[0].get(296, (2,))[0]

@@ -1,4 +1,7 @@
-"""Spark data sources over containers: one partition a file, reads by range, errors as rows.
+"""Spark data sources over containers: files dealt by size, reads by range, errors as rows.
+
+Equality and membership of `path` and `level` are pushed into the sources: a file that is not
+asked for is not opened. Spark still applies the filters to what comes back.
 
     register_sources(spark)
     spark.read.format("slide_tiles").option("data", "true").load("/slides")
@@ -12,9 +15,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from .blob import Blob, listed
+from .blob import Blob, sized
 from .containers import parse
 from .planes import accepted, planes
 
@@ -24,9 +27,27 @@ PLANES = "path string, channel_index int, name string, level int, height int, wi
 METADATA = "path string, format_id string, width long, height long, level_count int, levels array<struct<width: long, height: long, downsample: double>>, mpp double, channels array<string>, properties map<string,string>, stored map<string,struct<offset: long, length: long>>, error struct<class: string, message: string>"
 
 
+#: A partition takes files up to so many, or so many bytes together.
+MOST_FILES, MOST_BYTES = 64, 1 << 30
+
+
 @dataclass
-class _File(InputPartition):
-    path: str
+class _Files(InputPartition):
+    paths: tuple[str, ...]
+
+
+def dealt(files: list[tuple[str, int]], data: bool) -> list[_Files]:
+    """Runs of files; without their data a file counts as its index at most."""
+    out: list[list[str]] = []
+    held = 0
+    for path, size in files:
+        cost = size if data else min(size, MOST_BYTES // MOST_FILES)
+        if not out or len(out[-1]) >= MOST_FILES or held + cost > MOST_BYTES:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += cost
+    return [_Files(tuple(p)) for p in out]
 
 
 def side_file(path: str, number: int) -> Blob | None:
@@ -43,27 +64,48 @@ class _Reader(DataSourceReader):
         self._with_data = str(options.get("data", "false")).lower() == "true"
         acquisition = options.get("acquisition_id")  # of MCD files; other options are not looked at
         self._acquisition = int(acquisition) if acquisition else None
+        self._asked: dict[str, set] = {}  # of path and level, where only some are asked for
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo | In) and f.attribute in (("path",), ("level",)):
+                values = set(f.value) if isinstance(f, In) else {f.value}
+                column = f.attribute[0]
+                self._asked[column] = values & self._asked.get(column, values)
+            yield f
 
-    def partitions(self) -> list[_File]:
-        return [_File(p) for p in listed(self._path)]
+    def _asks(self, column: str, value) -> bool:
+        return column not in self._asked or value in self._asked[column]
+
+    def partitions(self) -> list[_Files]:
+        return dealt([(p, n) for p, n in sized(self._path) if self._asks("path", p)], self._with_data)
+
+    def read(self, partition: _Files) -> Iterator[tuple]:
+        for path in partition.paths:
+            yield from self.file(path)
 
 
 class _TilesReader(_Reader):
-    def read(self, partition: _File) -> Iterator[tuple]:
-        blob = Blob(partition.path)
+    def file(self, path: str) -> Iterator[tuple]:
+        try:
+            blob = Blob(path)
+        except OSError:  # slide_metadata tells
+            return
         try:
             found = parse(blob, self._with_data)
             aside: dict[int, Blob] = {0: blob}
             for k, t in enumerate(found.tiles.tolist()):
+                if not self._asks("level", t[0]):
+                    continue
                 data = None
                 if self._with_data:
                     if k in found.data:
                         data = found.data[k]
                     else:  # tiles of side files lie in <name>.DT<n>
                         if t[9] not in aside:
-                            aside[t[9]] = side_file(partition.path, t[9])
+                            aside[t[9]] = side_file(path, t[9])
                         data = aside[t[9]].read(t[10], t[11]) if aside[t[9]] is not None else None
-                yield (partition.path, found.format_id, *t, data)
+                yield (path, found.format_id, *t, data)
         except Exception:  # slide_metadata tells what is wrong with the file
             return
         finally:
@@ -71,18 +113,18 @@ class _TilesReader(_Reader):
 
 
 class _MetadataReader(_Reader):
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def file(self, path: str) -> Iterator[tuple]:
         try:
-            blob = Blob(partition.path)
+            blob = Blob(path)
             try:
                 p = parse(blob, acquisition_id=self._acquisition)
             finally:
                 blob.close()
             if p.format_id == "mds":
-                p.properties |= side_properties(partition.path)
-            yield (partition.path, p.format_id, p.width, p.height, len(p.levels), [(int(w), int(h), float(d)) for w, h, d in p.levels], p.mpp, p.channels, p.properties, {k: (int(a), int(n)) for k, (a, n) in p.stored.items()}, None)
+                p.properties |= side_properties(path)
+            yield (path, p.format_id, p.width, p.height, len(p.levels), [(int(w), int(h), float(d)) for w, h, d in p.levels], p.mpp, p.channels, p.properties, {k: (int(a), int(n)) for k, (a, n) in p.stored.items()}, None)
         except Exception as e:  # one file's fault is that file's row
-            yield (partition.path, None, None, None, None, None, None, None, None, None, (type(e).__name__, str(e)))
+            yield (path, None, None, None, None, None, None, None, None, None, (type(e).__name__, str(e)))
 
 
 def side_properties(path: str) -> dict[str, str]:
@@ -103,24 +145,27 @@ def side_properties(path: str) -> dict[str, str]:
 
 
 class _ProbesReader(_Reader):
-    def read(self, partition: _File) -> Iterator[tuple]:
+    def file(self, path: str) -> Iterator[tuple]:
         try:
-            blob = Blob(partition.path)
+            blob = Blob(path)
         except OSError:
-            yield (partition.path, [])
+            yield (path, [])
             return
         try:
-            yield (partition.path, accepted(blob))
+            yield (path, accepted(blob))
         finally:
             blob.close()
 
 
 class _PlanesReader(_Reader):
-    def read(self, partition: _File) -> Iterator[tuple]:
-        blob = Blob(partition.path)
+    def file(self, path: str) -> Iterator[tuple]:
+        try:
+            blob = Blob(path)
+        except OSError:  # as above
+            return
         try:
-            for channel, name, level, plane in planes(blob, self._acquisition):
-                yield (partition.path, channel, name, level, *plane.shape, plane.dtype.str, plane.tobytes())
+            for channel, name, level, plane in planes(blob, self._acquisition, lambda level: self._asks("level", level)):
+                yield (path, channel, name, level, *plane.shape, plane.dtype.str, plane.tobytes())
         except Exception:  # as above
             return
         finally:
@@ -184,5 +229,7 @@ class SlideMetadataSource(DataSource):
 
 
 def register_sources(spark: SparkSession) -> None:
+    """Registers the sources; the session's filters then reach Python data sources."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     for source in (SlideTilesSource, SlideMetadataSource, SlidePlanesSource, SlideProbesSource):
         spark.dataSource.register(source)

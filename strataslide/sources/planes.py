@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Callable, Iterator
@@ -72,8 +73,14 @@ def is_ome_candidate(pages: list[dict]) -> bool:
     return is_ome(pages) or "fluidigm mcd viewer" in text(pages[0], 305).lower() and bool(text(pages[0], 285))
 
 
-def ome_document(xml: str) -> tuple[list[str], float | None]:
-    """Channel names and mean pixel size in micrometres of an OME document, namespaces aside."""
+def channel_stride(order: str, sizes: dict[str, int]) -> int:
+    """Pages from a channel to the next, by the order of dimensions after X and Y: those before C go through all their places first."""
+    dims = order.upper().replace("X", "").replace("Y", "")
+    return math.prod(max(1, sizes.get(d, 1)) for d in dims.partition("C")[0])
+
+
+def ome_document(xml: str) -> tuple[list[str], float | None, int]:
+    """Channel names, mean pixel size in micrometres and pages from a channel to the next of an OME document, namespaces aside."""
     from ..functions.scalars import UNITS_UM
 
     root = ET.fromstring(xml)
@@ -88,31 +95,34 @@ def ome_document(xml: str) -> tuple[list[str], float | None]:
             sizes.append(float(pixels.get(f"PhysicalSize{axis}")) * UNITS_UM[unit])
         except (TypeError, ValueError, KeyError):
             continue
-    return [e.get("Name") or f"Channel {k}" for k, e in enumerate(channels)], sum(sizes) / len(sizes) if sizes else None
+    told = dict(pixels.attrib) if pixels is not None else {}
+    stride = channel_stride(told.get("DimensionOrder", "XYCZT"), {d: int(told.get(f"Size{d}") or 1) for d in "CZT"})
+    return [e.get("Name") or f"Channel {k}" for k, e in enumerate(channels)], sum(sizes) / len(sizes) if sizes else None, stride
 
 
-def _by_page(blob: Blob, levels: list[list[dict]], n: int) -> Callable:
-    """Channel c is page c of its level, or sample c of the one page."""
+def _by_page(blob: Blob, levels: list[list[dict]], n: int, stride: int = 1) -> Callable:
+    """Channel c is page c * stride of its level (of several focus planes or times the first), or sample c of the one page."""
 
     def read(c: int, level: int, x: int, y: int, w: int, h: int) -> np.ndarray:
         pages = levels[level]
-        return tiff_region(blob, pages[c], x, y, w, h)[:, :, 0] if len(pages) >= n else tiff_region(blob, pages[0], x, y, w, h)[:, :, c]
+        return tiff_region(blob, pages[c * stride], x, y, w, h)[:, :, 0] if len(pages) > (n - 1) * stride else tiff_region(blob, pages[0], x, y, w, h)[:, :, c]
 
     return read
 
 
 def _ome(blob: Blob, pages: list[dict]) -> Planes:
-    names, mpp = ome_document(text(pages[0], 270)) if is_ome(pages) else ([], None)
+    names, mpp, stride = ome_document(text(pages[0], 270)) if is_ome(pages) else ([], None, 1)
     named = [text(p, 285) for p in pages]
     if not names and len(pages) > 1 and all(named):
         names = named
-    if not names:  # a file of one channel, whose siblings have the others
+    alone = not names
+    if alone:  # a file of one channel, whose siblings have the others
         names = [named[0] or blob.name.rpartition("/")[2].rpartition(".")[0]]
         pages = pages[:1]
     w, h = pages[0][256][0], pages[0][257][0]
-    if len(pages) < len(names) and samples(pages[0])[1] < len(names):
+    if len(pages) <= (len(names) - 1) * stride and samples(pages[0])[1] < len(names):
         raise ValueError("fewer pages than channels")
-    return Planes("ome_tiff", names, [(w, h, 1.0)], _by_page(blob, [pages], len(names)), mpp)
+    return Planes("ome_tiff", names, [(w, h, 1.0)], _by_page(blob, [pages], len(names), stride), mpp, properties={"ome.alone": "true"} if alone else {})
 
 
 def _qptiff(blob: Blob, pages: list[dict]) -> Planes:
@@ -201,10 +211,10 @@ def open_planes(blob: Blob, acquisition_id: int | None = None) -> Planes:
     raise ValueError("no multiplex container")
 
 
-def planes(blob: Blob, acquisition_id: int | None = None) -> Iterator[tuple[int, str, int, np.ndarray]]:
-    """(channel, name, level, plane), one plane at a time."""
+def planes(blob: Blob, acquisition_id: int | None = None, wanted: Callable[[int], bool] = lambda level: True) -> Iterator[tuple[int, str, int, np.ndarray]]:
+    """(channel, name, level, plane) of the wanted levels, one plane at a time."""
     p = open_planes(blob, acquisition_id)
-    for level in range(len(p.levels)):
+    for level in filter(wanted, range(len(p.levels))):
         for k, name in enumerate(p.names):
             c = k if p.indices is None else p.indices[name]
             yield c, name, level, p.plane(c, level)

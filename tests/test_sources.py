@@ -157,8 +157,8 @@ def test_metadata(spark, folder):
     size = {n: (r["format_id"], r["width"], r["height"], r["level_count"]) for n, r in got.items()}
     assert size["a.tmap"] == ("tmap", 500, 300, 3) and size["b.tmap"] == ("tmap", 1000, 700, 3)
     assert size["c.dyj"] == ("dyj", 2560, 2560, 3) and size["d.zyp"] == ("zyp", 700, 500, 3) and size["e.mdsx"] == ("mds", 600, 400, 1)
-    assert size["f.tif"] == ("generic_tiff", 30, 20, 1) and size["g.bif"] == ("bif", 30, 20, 1) and size["h.mds"] == ("mds", 512, 768, 1)
-    assert size["i.ibl"] == ("ibl", 1500, 900, 2) and size["j.ibl"] == ("ibl", 1500, 900, 3) and size["k.tron"] == ("tron", 256, 512, 2)
+    assert size["f.tif"] == ("generic_tiff", 30, 20, 1) and size["g.bif"] == ("bif", 30, 20, 1) and size["h.mds"] == ("mds", 1024, 1536, 1)
+    assert size["i.ibl"] == ("ibl", 1500, 900, 2) and size["j.ibl"] == ("ibl", 1500, 900, 3) and size["k.tron"] == ("tron", 2048, 1024, 2)
     assert got["d.zyp"]["mpp"] == 0.25 and got["d.zyp"]["properties"]["openslide.objective-power"] == "40" and got["f.tif"]["mpp"] == 0.25
     assert got["e.mdsx"]["properties"]["motic.ImageMatrix.Width"] == "600" and not any("ScanPath" in k for k in got["e.mdsx"]["properties"])
     assert got["d.zyp"]["stored"]["label"]["offset"] == 60 and set(got["b.tmap"]["stored"]) == {"macro_label", "thumbnail"} and "label" in got["k.tron"]["stored"]
