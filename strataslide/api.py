@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import errors as E
 from .catalog import catalog, default_biomarker_tokens, resolve, slide_family, supports_biomarkers
-from .functions.raster import ColorStyle, find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
+from .functions.raster import ColorStyle, centred, find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
 from .operators import canvas, deepzoom, gates, levels, multiplex, region
 from .sinks.shared import keep
 from .sources import register_sources
@@ -429,29 +429,48 @@ class SlideSet:
 
     # --- Deep Zoom ----------------------------------------------------------------------
 
-    def _pyramid(self, tile_size: int) -> DataFrame:
-        per = self.slides().filter("width > 0 and height > 0").select("path", "width", "height", "levels", "slide_family")
-        dz = deepzoom.levels(per, tile_size)
-        dz = dz.withColumn("level", levels.best_level(F.col("levels.downsample"), F.col("factor").cast("double")))
-        at = F.get("levels", F.col("level"))
-        return dz.withColumn("downsample", at["downsample"]).withColumn("level_w", at["width"]).withColumn("level_h", at["height"]).drop("levels")
-
-    def deepzoom(self, tile_size: int = 254, overlap: int = 1) -> DataFrame:
-        """Every Deep Zoom tile of every slide: its level, address and what to read for it."""
-        return deepzoom.tiles(self._pyramid(tile_size), tile_size, overlap).select("path", "dz_level", "col", "row_no", "level", "l0_x", "l0_y", "l_w", "l_h", "z_w", "z_h")
-
-    def deepzoom_tiles(self, addresses: DataFrame, tile_size: int = 254, overlap: int = 1, background: tuple[int, int, int] = (255, 255, 255)) -> DataFrame:
+    def _pyramid(self, tile_size: int, limit_bounds: bool = False, paths: list[str] | None = None) -> DataFrame:
+        """Deep Zoom levels of every slide, by its format's rules; cut to the slide's bounds if it has any and its format knows them."""
+        per = deepzoom.with_rules(self.slides(paths).filter("width > 0 and height > 0"), self.spark).select("path", "width", "height", "levels", "slide_family", "pyramid", "lap", "fit", "cuts", "properties", "downsamples", "rule")
+        whole = (F.col("width"), F.col("height"))
+        per = per.withColumn("whole_w", whole[0]).withColumn("whole_h", whole[1])
+        told = {c: F.when(F.col("cuts") & F.lit(limit_bounds), F.try_element_at("properties", F.lit(f"openslide.bounds-{c}")).try_cast("long")) for c in ("x", "y", "width", "height")}
+        per = deepzoom.bounded(per.withColumns({f"told_{c}": v for c, v in told.items()}), tuple(f"told_{c}" for c in told))
+        dz = deepzoom.levels(per, tile_size, F.col("pyramid"))
+        level = F.lit(0)
+        for rule in ("floor", "prev"):
+            level = F.when(F.col("rule") == rule, levels.best_level(F.col("downsamples"), F.col("factor").cast("double"), rule)).otherwise(level)
+        at = F.get("levels", level)
+        scaled = lambda side, n, of: F.ceil(at[side] * F.col(n) / F.col(of)).cast("long")
+        dz = dz.withColumn("level", level.cast("int")).withColumn("downsample", at["downsample"]).withColumn("level_w", scaled("width", "width", "whole_w")).withColumn("level_h", scaled("height", "height", "whole_h"))
+        return dz.drop("levels", "properties", "downsamples", "rule", "whole_w", "whole_h", "cuts", *[f"told_{c}" for c in told])
+
+    def deepzoom(self, tile_size: int = 254, overlap: int = 1, limit_bounds: bool = False) -> DataFrame:
+        """Every Deep Zoom tile of every slide: its level, address and what to read for it, by its format's rules."""
+        return deepzoom.places(deepzoom.addresses(self._pyramid(tile_size, limit_bounds)), tile_size, overlap).select("path", "dz_level", "col", "row_no", "level", "l0_x", "l0_y", "l_w", "l_h", "z_w", "z_h")
+
+    def tile_coordinates(self, addresses: DataFrame, tile_size: int = 254) -> DataFrame:
+        """addresses (path, dz_level, col, row_no) with left, top, width, height: the tile without overlap, in level-0 pixels; null for an address that isn't there."""
+        asked = addresses.join(self._pyramid(tile_size, paths=self._paths(addresses)), ["path", "dz_level"], "left")
+        there = (F.col("col") >= 0) & (F.col("row_no") >= 0) & (F.col("col") < F.col("cols")) & (F.col("row_no") < F.col("rows"))
+        spots = {"left": F.col("col") * tile_size, "top": F.col("row_no") * tile_size}
+        spots |= {"width": F.least(F.lit(tile_size), F.col("z_width") - spots["left"]), "height": F.least(F.lit(tile_size), F.col("z_height") - spots["top"])}
+        return asked.select(*[asked[c] for c in addresses.columns], *[F.when(there, (v * F.col("factor")).cast("long")).alias(k) for k, v in spots.items()])
+
+    def deepzoom_tiles(self, addresses: DataFrame, tile_size: int = 254, overlap: int = 1, background: tuple[int, int, int] = (255, 255, 255), limit_bounds: bool = False) -> DataFrame:
         """request_id, raster, error of addresses (request_id, path, dz_level, col, row_no; biomarker for multiplex slides).
 
-        The region is read, laid on the background and shrunk to the tile's size cell by cell,
-        never enlarged. A level or address that isn't there is an error.
+        The region is read, laid on the background and brought to the tile's size cell by
+        cell, as the format has it: shrunk but never enlarged, or to the exact sides, or with
+        white around it to a whole tile. A level or address that isn't there is an error.
         """
-        dz = self._pyramid(tile_size)
+        dz = self._pyramid(tile_size, limit_bounds, None if "biomarker" in addresses.columns else self._paths(addresses))
         asked = addresses.join(dz, ["path", "dz_level"], "left")
         wrong = deepzoom.address_error(F.col("dz_level"), F.coalesce("n_levels", F.lit(0)), F.col("col"), F.col("row_no"), F.col("cols"), F.col("rows"))
         asked = asked.withColumn("wrong", wrong).withColumn("error", E.first((F.col("wrong").isNotNull(), E.VALUE, F.col("wrong"))))
-        places = deepzoom.tile_places(asked.filter("wrong is null"), tile_size, overlap)
-        out_w, out_h = _fitted(F.col("l_w"), F.col("l_h"), F.col("z_w"), F.col("z_h"))
+        places = deepzoom.places(asked.filter("wrong is null"), tile_size, overlap)
+        shrink = F.col("fit") == "shrink"
+        out_w, out_h = (F.when(shrink, fitted).otherwise(F.col(z).cast("int")) for fitted, z in zip(_fitted(F.col("l_w"), F.col("l_h"), F.col("z_w"), F.col("z_h")), ("z_w", "z_h"), strict=True))
         read = places.select("request_id", "path", F.col("l0_x").alias("x"), F.col("l0_y").alias("y"), "level", F.col("l_w").cast("int").alias("w"), F.col("l_h").cast("int").alias("h"), out_w.alias("out_w"), out_h.alias("out_h"), *(["biomarker"] if "biomarker" in addresses.columns else []))
         plain = read.filter("biomarker is null").drop("biomarker") if "biomarker" in read.columns else read
         cells, plain = self._cells(plain, flat=background)
@@ -465,12 +484,19 @@ class SlideSet:
                     out = []
                     for t in b.itertuples(index=False):
                         image = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, t.n_channels)
-                        out.append((t.request_id, *_raster(thumbnail(on_background(image, background), int(t.z_w), int(t.z_h)))))
+                        image = on_background(image, background)
+                        image = thumbnail(image, int(t.z_w), int(t.z_h)) if t.fit == "shrink" else resize(image, int(t.z_w), int(t.z_h))
+                        if t.fit == "pad":
+                            image = centred(image, tile_size + 2 * overlap, tile_size + 2 * overlap)
+                        out.append((t.request_id, *_raster(image)))
                     yield pd.DataFrame(out, columns=["request_id", "height", "width", "n_channels", "mode", "data"])
 
-            read_ = tiles.filter("error is null").drop("error").join(places.select("request_id", "z_w", "z_h"), "request_id")
+            read_ = tiles.filter("error is null").drop("error").join(places.select("request_id", "z_w", "z_h", "fit"), "request_id")
             good = good.unionByName(read_.mapInPandas(fit, f"request_id long, {RASTER}"))
         return self._with_errors(good, functools.reduce(DataFrame.unionByName, bad))
 
-    def descriptors(self, tile_size: int = 254, overlap: int = 1) -> DataFrame:
-        return self.metadata.filter("error is null").select("path", deepzoom.descriptor(F.col("width"), F.col("height"), tile_size, overlap).alias("dzi"))
+    def descriptors(self, tile_size: int = 254, overlap: int = 1, image_format: str = "jpeg") -> DataFrame:
+        """path, dzi: each slide's document, in the form of its format's pyramid."""
+        s = deepzoom.with_rules(self.slides(), self.spark)
+        form = lambda name: deepzoom.descriptor(F.col("width"), F.col("height"), tile_size, overlap, image_format, name)
+        return s.select("path", F.when(F.col("pyramid") == "tiled", form("width")).when(F.col("pyramid") == "floor", form("height")).otherwise(form("line")).alias("dzi"))

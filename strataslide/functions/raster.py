@@ -98,6 +98,14 @@ def pad(image: np.ndarray, w: int, h: int, fill: int = 0) -> np.ndarray:
     return out
 
 
+def centred(image: np.ndarray, w: int, h: int, fill: int = 255) -> np.ndarray:
+    """In the middle of w x h, which is no smaller."""
+    out = np.full((h, w, *image.shape[2:]), fill, image.dtype)
+    y, x = (h - image.shape[0]) // 2, (w - image.shape[1]) // 2
+    out[y : y + image.shape[0], x : x + image.shape[1]] = image
+    return out
+
+
 def rgba(image: np.ndarray) -> np.ndarray:
     """Grey, RGB or RGBA to RGBA with full alpha."""
     image = image if image.ndim == 3 else image[:, :, None]

@@ -2,9 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Formats whose pyramid isn't the usual one: format, sizes of levels, overlap of
+# tiles, whether it may be cut to the slide's bounds, how a region becomes the tile.
+#   halving, floor, tiled: see levels(). axis, joint, before, both: see places().
+#   shrink: to fit the tile, never enlarged; exact: to the tile's sides; pad: exact, then white around it to a whole tile.
+PYRAMIDS = (
+    ("mds", "halving", "joint", False, "shrink"),
+    ("kfb", "halving", "axis", True, "shrink"),
+    ("sdpc", "halving", "axis", True, "shrink"),
+    ("tron", "halving", "axis", True, "shrink"),
+    ("isyntax", "floor", "before", False, "exact"),
+    ("qptiff", "tiled", "both", False, "pad"),
+)
+USUAL = ("halving", "axis", False, "shrink")
+
+
+def with_rules(slides: DataFrame, spark: SparkSession) -> DataFrame:
+    """slides (format_id, slide_family) with pyramid, lap, cuts and fit of their format; QPTIFF has its own for multiplex slides only."""
+    rules = spark.createDataFrame(list(PYRAMIDS), "format_id string, pyramid string, lap string, cuts boolean, fit string")
+    out = slides.join(F.broadcast(rules), "format_id", "left")  # a row a format
+    plain = (F.col("format_id") == "qptiff") & (F.col("slide_family") != "multiplex")
+    return out.withColumns({c: F.when(plain, F.lit(v)).otherwise(F.coalesce(c, F.lit(v))) for c, v in zip(("pyramid", "lap", "cuts", "fit"), USUAL, strict=True)})
+
 
 def _long(c: Column) -> Column:
     return c.cast("long")
@@ -19,20 +41,18 @@ def _ceil_div(a: Column, b: Column) -> Column:
     return _long(F.floor((a + b - 1) / b))
 
 
-def levels(slides: DataFrame, tile_size: int = 254, variant: str = "halving") -> DataFrame:
+def levels(slides: DataFrame, tile_size: int = 254, variant: str | Column = "halving") -> DataFrame:
     """A row a Deep Zoom level: n_levels, dz_level, factor, z_width, z_height, cols, rows.
 
     halving: sides are halved with a ceiling down to 1 x 1. floor: sides are floors, at least
-    1. tiled: the pyramid ends at one tile (at least one level).
+    1. tiled: the pyramid ends at one tile (at least one level). variant may be a column.
     """
+    kind = F.lit(variant) if isinstance(variant, str) else variant
     side = F.greatest("width", "height")
-    n = ceil_log2(side) + 1 if variant != "tiled" else ceil_log2(_ceil_div(side, F.lit(tile_size))) + 1
+    n = F.when(kind == "tiled", ceil_log2(_ceil_div(side, F.lit(tile_size)))).otherwise(ceil_log2(side)) + 1
     out = slides.withColumn("n_levels", n.cast("int")).withColumn("dz_level", F.explode(F.sequence(F.lit(0), F.col("n_levels") - 1)))
     out = out.withColumn("factor", F.expr("shiftleft(CAST(1 AS BIGINT), n_levels - 1 - dz_level)"))
-    if variant == "floor":
-        size = lambda c: F.greatest(_long(F.floor(F.col(c) / F.col("factor"))), F.lit(1).cast("long"))
-    else:
-        size = lambda c: _ceil_div(F.col(c), F.col("factor"))
+    size = lambda c: F.when(kind == "floor", F.greatest(_long(F.floor(F.col(c) / F.col("factor"))), F.lit(1).cast("long"))).otherwise(_ceil_div(F.col(c), F.col("factor")))
     out = out.withColumn("z_width", size("width")).withColumn("z_height", size("height"))
     ts = F.lit(tile_size)
     return out.withColumn("cols", _ceil_div(F.col("z_width"), ts)).withColumn("rows", _ceil_div(F.col("z_height"), ts))
@@ -71,6 +91,33 @@ def tile_places(addressed: DataFrame, tile_size: int = 254, overlap: int = 1, jo
     return out
 
 
+def places(addressed: DataFrame, tile_size: int = 254, overlap: int = 1) -> DataFrame:
+    """z_w, z_h, l0_x, l0_y, l_w, l_h of addresses by each row's `lap`, in one pass.
+
+    axis: overlap on either side of an axis that has a neighbour. joint: on both axes if the
+    tile has a neighbour on any. before: on the near sides only, cut at the level. both: on
+    both sides, cut at the level; what is read is counted in the slide level's own pixels.
+    addressed has factor, downsample, level_w, level_h and, of cut slides, bounds_x, bounds_y.
+    """
+    lap, ts, out = F.col("lap"), F.lit(tile_size).cast("long"), addressed
+    l_z = F.col("factor") / F.col("downsample")
+    is_ = lambda *kinds: lap.isin(*kinds)
+    near, far = {a: F.col(a) > 0 for a in ("col", "row_no")}, {"col": F.col("col") < F.col("cols") - 1, "row_no": F.col("row_no") < F.col("rows") - 1}
+    for axis, at, z_lim, l_lim, side in (("x", "col", "z_width", "level_w", "w"), ("y", "row_no", "z_height", "level_h", "h")):
+        before = F.when(F.when(is_("joint"), near["col"] | near["row_no"]).otherwise(near[at]), overlap).otherwise(0)
+        after = F.when(F.when(is_("joint"), far["col"] | far["row_no"]).when(is_("before"), False).otherwise(far[at]), overlap).otherwise(0)
+        start = ts * F.col(at) - before
+        start = F.when(is_("joint", "both"), F.greatest(start, F.lit(0).cast("long"))).otherwise(start)
+        end = F.when(is_("before"), ts * (F.col(at) + 1)).otherwise(ts * (F.col(at) + 1) + after)
+        cut = F.least(end, F.col(z_lim)) - start
+        z = F.when(is_("before", "both"), cut).otherwise(F.least(ts, F.col(z_lim) - ts * F.col(at)) + before + after)
+        shift = F.col(f"bounds_{axis}") if f"bounds_{axis}" in addressed.columns else F.lit(0)
+        out = out.withColumn(f"z_{side}", _long(z)).withColumn(f"l0_{axis}", _long(F.when(is_("before", "both"), start * F.col("factor")).otherwise(F.col("downsample") * (l_z * start))) + shift)
+        whole = F.when(is_("before", "both"), F.col(f"z_{side}") * F.col("factor") / F.col("downsample"))
+        out = out.withColumn(f"l_{side}", _long(whole.otherwise(F.least(F.ceil(l_z * F.col(f"z_{side}")), _long(F.col(l_lim)) - F.ceil(l_z * start)))))
+    return out
+
+
 def floor_places(addressed: DataFrame, tile_size: int = 254, overlap: int = 1) -> DataFrame:
     """As tile_places, of the floor pyramid: overlap before a tile only, cut at the level's far sides."""
     out = addressed
@@ -99,10 +146,18 @@ def address_error(dz_level: Column, n_levels: Column, col: Column, row: Column,
     return F.when(bad, "Invalid level").when((col < 0) | (row < 0) | (col >= cols) | (row >= rows), "Invalid address")
 
 
-def descriptor(width: Column, height: Column, tile_size: int, overlap: int, image_format: str = "jpeg") -> Column:
-    """The DZI document."""
-    text = f'<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" Format="{image_format}" Overlap="{overlap}" TileSize="{tile_size}"><Size Height="%d" Width="%d" /></Image>'
-    return F.format_string(text, height, width)
+# The three forms of a DZI document; on one line, over lines with the width or the height first.
+DESCRIPTORS = {
+    "line": '<Image xmlns="http://schemas.microsoft.com/deepzoom/2008" Format="{format}" Overlap="{overlap}" TileSize="{tile}"><Size Height="{height}" Width="{width}" /></Image>',
+    "width": '<?xml version="1.0" encoding="UTF-8"?>\n<Image xmlns="http://schemas.microsoft.com/deepzoom/2008"\n       Format="{format}"\n       Overlap="{overlap}"\n       TileSize="{tile}">\n    <Size Width="{width}" Height="{height}"/>\n</Image>',
+    "height": '<?xml version="1.0" encoding="UTF-8"?>\n<Image xmlns="http://schemas.microsoft.com/deepzoom/2008"\n  Format="{format}"\n  Overlap="{overlap}"\n  TileSize="{tile}">\n  <Size Height="{height}" Width="{width}"/>\n</Image>',
+}
+
+
+def descriptor(width: Column, height: Column, tile_size: int, overlap: int, image_format: str = "jpeg", form: str = "line") -> Column:
+    """The DZI document, in one of its forms."""
+    text = DESCRIPTORS[form].format(format=image_format, overlap=overlap, tile=tile_size, width="%1$d", height="%2$d")
+    return F.format_string(text, width, height)
 
 
 def bounded(slides: DataFrame, bounds: tuple[str, str, str, str]) -> DataFrame:

@@ -239,3 +239,63 @@ def test_facts_of_czi_documents():
         Z.family(Z.Metadata(illumination_types=["transmitted light"], fluorophore_names=["x"]))
     with pytest.raises(LookupError):
         Z.family(Z.Metadata(pixel_type="bgr24", channel_count=4))
+
+
+@pytest.mark.parametrize("size", [16, 23])
+def test_deepzoom_of_mds_is_joint(spark, tmp_path, size):
+    """Pixels of the full level against slices of the whole; the overlap before a tile is on both axes or on none."""
+    whole = RNG.integers(0, 255, (40, 60, 3), dtype=np.uint8)
+    (tmp_path / "a.mds").write_bytes(make_ole({f"{r:04d}_{c:04d}": raster.png(whole[20 * r : 20 * r + 20, 20 * c : 20 * c + 20]) for r in range(2) for c in range(3)}))
+    slides, path = SlideSet(spark, str(tmp_path)), f"{tmp_path}/a.mds"
+    cols, rows = -(-60 // size), -(-40 // size)
+    asked = [(c * 10 + r, path, 6, c, r) for c in range(cols) for r in range(rows)]
+    got = {r["request_id"]: r for r in slides.deepzoom_tiles(spark.createDataFrame(asked, "request_id long, path string, dz_level int, col long, row_no long"), size, 2).collect()}
+    for _, _, _, c, r in asked:
+        near, far = 2 * (c > 0 or r > 0), 2 * (c < cols - 1 or r < rows - 1)
+        x, y = max(size * c - near, 0), max(size * r - near, 0)
+        z = [min(size, n - size * k) + near + far for n, k in ((60, c), (40, r))]
+        want = whole[y : y + min(z[1], 40 - y), x : x + min(z[0], 60 - x)]
+        t = got[c * 10 + r]
+        assert (np.frombuffer(t["data"], np.uint8).reshape(t["height"], t["width"], 3) == want).all()
+
+
+def test_deepzoom_of_multiplex_qptiff_ends_at_a_tile(spark, tmp_path):
+    """Levels down to one tile, overlap on both sides, white around what is smaller than a whole tile."""
+    planes = RNG.integers(0, 60_000, (2, 50, 70)).astype(np.uint16)
+    data = bytearray(tiff(planes[:1], "<PerkinElmer-QPI-ImageDescription><ImageType>FullResolution</ImageType><Biomarker>DAPI</Biomarker></PerkinElmer-QPI-ImageDescription>"))
+    (tmp_path / "a.qptiff").write_bytes(bytes(data))
+    slides, path = SlideSet(spark, str(tmp_path)), f"{tmp_path}/a.qptiff"
+    levels = slides.deepzoom(20, 1).select("dz_level").distinct().count()
+    assert levels == 3  # 70 pixels are four tiles of 20, two, one
+    asked = spark.createDataFrame([(1, path, 2, 1, 1, "DAPI"), (2, path, 2, 3, 2, "DAPI"), (3, path, 3, 0, 0, "DAPI"), (4, path, 2, 0, 0, "no")], "request_id long, path string, dz_level int, col long, row_no long, biomarker string")
+    got = {r["request_id"]: r for r in slides.deepzoom_tiles(asked, 20, 1).collect()}
+    image = lambda k: np.frombuffer(got[k]["data"], np.uint8).reshape(22, 22, 3)
+    grey = lambda part: np.repeat(raster.to_uint8(part, wide=np.float64)[:, :, None], 3, axis=2)
+    assert (image(1) == grey(planes[0][19:41, 19:41])).all()
+    want = np.full((22, 22, 3), 255, np.uint8)
+    want[5:16, 5:16] = grey(planes[0][39:50, 59:70])
+    assert (image(2) == want).all()
+    assert got[3]["error"]["message"] == "Invalid level" and got[4]["error"]["class"] == "UnknownBiomarkerError"
+    told = slides.tile_coordinates(asked.filter("request_id <> 4"), 20).collect()
+    assert {r["request_id"]: (r["left"], r["top"], r["width"], r["height"]) for r in told} == {1: (20, 20, 20, 20), 2: (60, 40, 10, 10), 3: (None,) * 4}
+    assert slides.descriptors(20, 1, "png").first()["dzi"].splitlines()[5].strip() == '<Size Width="70" Height="50"/>'
+    slides.close()
+
+
+def test_pyramids_by_format(spark):
+    """All rules in one plan are the single ones; bounds move and shrink what may be cut."""
+    from pyspark.sql import functions as F
+
+    from strataslide.operators import deepzoom
+
+    rows = [(f, fam, 1000 + 137 * k, 700 + 91 * k) for k, (f, fam) in enumerate([("tmap", "brightfield"), ("mds", "brightfield"), ("isyntax", "brightfield"), ("qptiff", "multiplex"), ("qptiff", "brightfield"), ("tron", "brightfield")])]
+    slides = deepzoom.with_rules(spark.createDataFrame(rows, "format_id string, slide_family string, width long, height long"), spark)
+    told = {(r["format_id"], r["slide_family"]): (r["pyramid"], r["lap"], r["cuts"], r["fit"]) for r in slides.collect()}
+    assert told["qptiff", "brightfield"] == told["tmap", "brightfield"] == deepzoom.USUAL and told["tron", "brightfield"] == ("halving", "axis", True, "shrink")
+    names = ["format_id", "slide_family", "dz_level", "col", "row_no", "z_w", "z_h", "l0_x", "l0_y", "l_w", "l_h"]
+    lay = lambda df: df.withColumn("downsample", F.lit(1.0)).withColumn("level_w", F.col("width")).withColumn("level_h", F.col("height"))
+    got = deepzoom.places(deepzoom.addresses(lay(deepzoom.levels(slides, 100, F.col("pyramid")))), 100, 2).select(*names).collect()
+    for pyramid, lap, places in (("halving", "axis", deepzoom.tile_places), ("halving", "joint", lambda a, t, o: deepzoom.tile_places(a, t, o, joint=True)), ("floor", "before", deepzoom.floor_places), ("tiled", "both", deepzoom.tiled_places)):
+        some = slides.filter((F.col("pyramid") == pyramid) & (F.col("lap") == lap))
+        one = places(deepzoom.addresses(lay(deepzoom.levels(some, 100, pyramid))), 100, 2).select(*names).collect()
+        assert one and sorted(one) == sorted(r for r in got if told[r["format_id"], r["slide_family"]][:2] == (pyramid, lap))
