@@ -99,7 +99,9 @@ class SlideSet:
     def resolved(self, formats: DataFrame | None = None) -> DataFrame:
         """path, format_id, format_label, slide_family, error of every file by the catalog (or one with further formats); probes are run where a format has one."""
         probed = self._load("slide_probes")
-        return resolve(probed, catalog(self.spark) if formats is None else formats, probes="probes").drop("probes")
+        found = resolve(probed, catalog(self.spark) if formats is None else formats, probes="probes")
+        read = F.array_contains("probes", F.col("format_id"))  # of a vendor's formats, a file that is read here all the same
+        return found.withColumn("error", F.when(~F.coalesce(read, F.lit(False)), F.col("error"))).drop("probes")
 
     def tiles(self, with_data: bool = False, paths: list[str] | None = None) -> DataFrame:
         return self._load("slide_tiles", paths, data=str(with_data).lower())
@@ -182,6 +184,7 @@ class SlideSet:
     def _checked(self, requests: DataFrame, wanted: str, paths: list[str] | None = None) -> DataFrame:
         """requests beside what their slide lays down; `error` where one can't be read at all. requests has request_id, path, level."""
         asked = requests.join(self.slides(paths).select("path", "format_id", "slide_family", "level_count", "levels", "background", "channels", "properties"), "path", "left")
+        asked = asked.withColumn("level", gates.effective_level(F.col("level"), F.col("level_count"), F.col("format_id")))
         missing = F.when(F.col("format_id").isNull(), E.error(E.VALUE, "No such slide"))
         checks = [missing, gates.family_error(F.col("slide_family"), wanted), gates.level_error(F.col("level"), F.col("level_count"), F.col("format_id"))]
         if wanted == "multiplex":
@@ -407,16 +410,27 @@ class SlideSet:
     def thumbnails(self, w: int = 512, h: int = 512) -> DataFrame:
         """path, raster, error: a stored thumbnail, else the last level, shrunk to fit w x h; multiplex slides have an error.
 
-        Levels are shrunk cell by cell, so no task holds one, however large a slide's only level is.
+        Levels are shrunk cell by cell, so no task holds one, however large a slide's only level
+        is. Of MDS slides kept as OLE files the middle of a single level is taken, or the corner
+        of the last one, at exactly w x h; of others of that maker the first level below twice
+        the size. Those of BIF slides are no larger than 1,024.
         """
         s = self.slides()
         held = self.stored_images(("thumbnail",)).drop("name")
         rest = s.filter("slide_family = 'brightfield'").join(held.select("path"), "path", "left_anti")
         last = F.col("level_count") - 1
         rest = rest.withColumn("request_id", F.xxhash64("path"))
-        lw, lh = F.get("levels.width", last), F.get("levels.height", last)
-        out_w, out_h = _fitted(lw, lh, F.lit(w), F.lit(h))
-        ask = rest.select("request_id", "path", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), last.alias("level"), lw.alias("w"), lh.alias("h"), out_w.alias("out_w"), out_h.alias("out_h"))
+        ole, flat = (F.col("format_id") == "mds") & F.lower("path").endswith(".mds"), (F.col("format_id") == "mds") & F.lower("path").endswith(".mdsx")
+        fits = F.array_position(F.transform("levels", lambda v: (v["width"] <= 2 * w) & (v["height"] <= 2 * h)), True)
+        level = F.when(flat, F.greatest(fits.cast("int") - 1, F.lit(0))).otherwise(last)
+        lw, lh = F.get("levels.width", level), F.get("levels.height", level)
+        single = ole & (F.col("level_count") == 1)
+        middle = F.greatest(F.lit(256), F.least(F.lit(1024), F.floor(lw / 4), F.floor(lh / 4)))
+        x, y = (F.when(single, F.greatest(F.lit(0), F.floor((n - middle) / 2))).otherwise(0).cast("long") for n in (lw, lh))
+        rw, rh = (F.when(single, middle).when(ole, F.least(n, F.lit(512))).otherwise(n).cast("int") for n in (lw, lh))
+        most = lambda n: F.when(F.col("format_id") == "bif", F.least(F.lit(n), F.lit(1024))).otherwise(n)
+        out_w, out_h = (F.when(ole, n).otherwise(fitted).cast("int") for n, fitted in zip((w, h), _fitted(lw, lh, most(w), most(h)), strict=True))
+        ask = rest.select("request_id", "path", x.alias("x"), y.alias("y"), level.alias("level"), rw.alias("w"), rh.alias("h"), out_w.alias("out_w"), out_h.alias("out_h"))
         made = canvas.whole(self._cells(ask)[0]).join(rest.select("request_id", "path"), "request_id").drop("request_id")
 
         def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

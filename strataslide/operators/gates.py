@@ -9,6 +9,8 @@ from ..errors import UNKNOWN_BIOMARKER, UNSUPPORTED_OPERATION, VALUE, error
 
 # Formats for which a level out of range is a blank region; others take it as an error.
 BLANK_LEVELS = ("bif", "tmap")
+# Formats that look at the upper bound only; a negative level counts from the last.
+FROM_LAST = ("mds", "qptiff", "isyntax")
 
 
 def family_error(family: Column, wanted: str) -> Column:
@@ -20,13 +22,18 @@ def family_error(family: Column, wanted: str) -> Column:
     return F.when(family != wanted, error(UNSUPPORTED_OPERATION, message))
 
 
+def effective_level(level: Column, count: Column, format_id: Column) -> Column:
+    """The level that is meant: of formats without a lower bound -1 is the last one, -2 the one before."""
+    return F.when(format_id.isin(*FROM_LAST) & (level < 0) & (level >= -count), level + count).otherwise(level)
+
+
 def out_of_range(level: Column, count: Column) -> Column:
     return (level < 0) | (level >= count)
 
 
 def level_error(level: Column, count: Column, format_id: Column) -> Column:
     message = F.format_string("Level %d not available (0-%d)", level, count - 1)
-    return F.when(out_of_range(level, count) & ~format_id.isin(*BLANK_LEVELS), error(VALUE, message))
+    return F.when(out_of_range(effective_level(level, count, format_id), count) & ~format_id.isin(*BLANK_LEVELS), error(VALUE, message))
 
 
 def biomarker_error(biomarker: Column, names: Column) -> Column:

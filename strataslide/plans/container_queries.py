@@ -24,7 +24,7 @@ def _files(spark, rows, suffix: str, order: list[str], make: Callable) -> str:
         return pd.DataFrame({"name": [f"{slide['slide_id'].iloc[0]}.{suffix}"], "data": [make(slide.sort_values(order, kind="stable"))]})
 
     made = rows.groupBy("slide_id").applyInPandas(each, "name string, data binary")
-    write_blobs(made, root, "name").write.format("noop").mode("overwrite").save()
+    write_blobs(made, root, "name")
     register_sources(spark)
     return root.removeprefix("file:")
 

@@ -21,7 +21,7 @@ from .registry import query, table
 # --- gates --------------------------------------------------------------------
 
 _FAMILY = "CASE request_id % 3 WHEN 0 THEN 'brightfield' WHEN 1 THEN 'multiplex' ELSE 'qptiff' END"
-_FORMAT = "CASE request_id % 4 WHEN 0 THEN 'bif' WHEN 1 THEN 'tmap' WHEN 2 THEN 'ibl' ELSE 'dyj' END"
+_FORMAT = "CASE request_id % 5 WHEN 0 THEN 'bif' WHEN 1 THEN 'tmap' WHEN 2 THEN 'ibl' WHEN 3 THEN 'mds' ELSE 'dyj' END"
 
 
 @query(f"SELECT request_id, CASE WHEN f <> 'multiplex' THEN 'UnsupportedOperationError' END AS biomarkers, CASE WHEN f <> 'multiplex' THEN 'Biomarker operations are not supported for ' || f || ' slides' END AS message, CASE WHEN f <> 'brightfield' THEN 'UnsupportedOperationError' END AS regions FROM (SELECT request_id, {_FAMILY} AS f FROM v_requests)")
@@ -31,10 +31,10 @@ def family_gates(spark, sf_dir):
     return r.select("request_id", many["class"].alias("biomarkers"), many["message"].alias("message"), bright["class"].alias("regions"))
 
 
-@query(f"SELECT request_id, level < 0 OR level >= 3 AS outside, CASE WHEN (level < 0 OR level >= 3) AND f NOT IN ('bif', 'tmap') THEN 'Level ' || level || ' not available (0-2)' END AS message FROM (SELECT request_id, CAST(request_id % 6 - 1 AS INTEGER) AS level, {_FORMAT} AS f FROM v_requests)")
+@query(f"SELECT request_id, CAST(CASE WHEN f = 'mds' AND level BETWEEN -3 AND -1 THEN level + 3 ELSE level END AS INTEGER) AS effective, level < 0 OR level >= 3 AS outside, CASE WHEN ((level < 0 AND NOT (f = 'mds' AND level >= -3)) OR level >= 3) AND f NOT IN ('bif', 'tmap') THEN 'Level ' || level || ' not available (0-2)' END AS message FROM (SELECT request_id, CAST(request_id % 11 - 5 AS INTEGER) AS level, {_FORMAT} AS f FROM v_requests)")
 def level_gates(spark, sf_dir):
-    r = table(spark, sf_dir, "v_requests").withColumn("level", (F.col("request_id") % 6 - 1).cast("int"))
-    return r.select("request_id", G.out_of_range(F.col("level"), F.lit(3)).alias("outside"), G.level_error(F.col("level"), F.lit(3), F.expr(_FORMAT))["message"].alias("message"))
+    r = table(spark, sf_dir, "v_requests").withColumn("level", (F.col("request_id") % 11 - 5).cast("int"))
+    return r.select("request_id", G.effective_level(F.col("level"), F.lit(3), F.expr(_FORMAT)).cast("int").alias("effective"), G.out_of_range(F.col("level"), F.lit(3)).alias("outside"), G.level_error(F.col("level"), F.lit(3), F.expr(_FORMAT))["message"].alias("message"))
 
 
 @query("WITH n AS (SELECT slide_id, list(name) AS names FROM v_channels GROUP BY slide_id) SELECT request_id, CASE WHEN NOT coalesce(list_contains(names, b), false) THEN 'Biomarker ''' || b || ''' not found' END AS message FROM (SELECT request_id, slide_id % 10 AS slide_id, 'CD' || CAST(request_id % 60 AS VARCHAR) AS b FROM v_requests) r LEFT JOIN n USING (slide_id)")

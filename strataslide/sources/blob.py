@@ -6,6 +6,10 @@ import numpy as np
 from pyarrow import fs
 
 
+#: A folder of a writer's own; what lies in one of that name is no slide.
+HIDDEN = ".strataslide"
+
+
 class Blob:
     """read(offset, n) on a path or on bytes."""
 
@@ -54,4 +58,4 @@ def sized(path: str) -> list[tuple[str, int]]:
     if here.type != fs.FileType.Directory:
         return [(path, here.size or 0)]
     head = path[: len(path) - len(at)] if path.endswith(at) else ""
-    return sorted((head + f.path, f.size or 0) for f in where.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File)
+    return sorted((head + f.path, f.size or 0) for f in where.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and f"/{HIDDEN}/" not in f.path)

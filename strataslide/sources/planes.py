@@ -220,8 +220,18 @@ def planes(blob: Blob, acquisition_id: int | None = None, wanted: Callable[[int]
             yield c, name, level, p.plane(c, level)
 
 
+# Suffixes of slides that vendors' libraries read; those that are plain tiled TIFF are read here too.
+TIFF_SLIDES = ("svs", "svslide")
+
+
 def accepted(blob: Blob) -> list[str]:
-    """Formats whose probe accepts the file."""
+    """Formats whose probe accepts the file, and openslide for a tiled TIFF of its suffixes."""
+    if blob.name.lower().rpartition(".")[2] in TIFF_SLIDES:
+        try:
+            pages = tiff_pages(blob)
+            return ["openslide"] if pages and 324 in pages[0] else []
+        except Exception:  # no TIFF
+            return []
     try:
         found = open_planes(blob)
     except Exception:  # a file that a probe can't read is none of its format

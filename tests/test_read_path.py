@@ -299,3 +299,55 @@ def test_pyramids_by_format(spark):
         some = slides.filter((F.col("pyramid") == pyramid) & (F.col("lap") == lap))
         one = places(deepzoom.addresses(lay(deepzoom.levels(some, 100, pyramid))), 100, 2).select(*names).collect()
         assert one and sorted(one) == sorted(r for r in got if told[r["format_id"], r["slide_family"]][:2] == (pyramid, lap))
+
+
+def test_files_are_written_all_or_none(spark, tmp_path):
+    import pandas as pd
+
+    from strataslide import sinks
+
+    images = spark.createDataFrame([(k, f"{k}".encode() * k) for k in range(40)], "id long, data binary").repartition(5)
+    told = sinks.write_blobs(images, str(tmp_path / "a"), "concat('tiles/', id % 3, '/', id, '.bin')")
+    assert {r["name"]: r["bytes"] for r in told.collect()} == {f"tiles/{k % 3}/{k}.bin": len(f"{k}") * k for k in range(40)}
+    assert {str(p.relative_to(tmp_path / "a")) for p in (tmp_path / "a" / "tiles").rglob("*") if p.is_file()} == {f"tiles/{k % 3}/{k}.bin" for k in range(40)}
+    assert (tmp_path / "a/tiles/1/7.bin").read_bytes() == b"7777777"
+
+    def fails(batches):
+        for b in batches:
+            if (b["id"] == 33).any():
+                raise RuntimeError("no such luck")
+            yield b
+
+    with pytest.raises(Exception, match="no such luck"):
+        sinks.write_blobs(images.mapInPandas(fails, "id long, data binary"), str(tmp_path / "b"), "concat(id, '.bin')")
+    assert not [p for p in (tmp_path / "b").rglob("*") if p.is_file()]
+    twice = sinks.write_blobs(spark.createDataFrame(pd.DataFrame({"data": [b"x", b"yy"]})).coalesce(1), str(tmp_path / "c"), "'one'")
+    assert [tuple(r) for r in twice.collect()] == [("one", 2)] and (tmp_path / "c/one").read_bytes() == b"yy"
+    empty = sinks.write_blobs(images.limit(0), str(tmp_path / "d"), "'none'")
+    assert empty.count() == 0
+    from strataslide.sources.blob import sized
+
+    assert [p.rpartition("/")[2] for p, _ in sized(str(tmp_path / "c"))] == ["one"]
+
+
+def test_thumbnails_of_mds(spark, tmp_path):
+    """One level: its middle, a quarter of the lesser side but 256 at least, brought to the exact size."""
+    whole = RNG.integers(0, 255, (40, 60, 3), dtype=np.uint8)
+    (tmp_path / "a.mds").write_bytes(make_ole({f"{r:04d}_{c:04d}": raster.png(whole[20 * r : 20 * r + 20, 20 * c : 20 * c + 20]) for r in range(2) for c in range(3)}))
+    r = SlideSet(spark, str(tmp_path)).thumbnails(50, 30).first()
+    canvas_ = np.full((256, 256, 4), (240, 240, 240, 255), np.uint8)
+    canvas_[:40, :60, :3] = whole
+    got = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], 4)
+    want = raster.resize(canvas_, 50, 30)
+    assert got.shape == want.shape and abs(got.astype(int) - want).max() <= 1
+
+
+def test_availability_of_what_is_read_here(spark, tmp_path):
+    plain = tiff([RNG.integers(0, 9, (4, 5))])
+    tiled = bytearray(plain)
+    at = tiled.index(struct.pack("<HH", 273, 4))  # strips become tiles
+    struct.pack_into("<H", tiled, at, 324)
+    for name, data in {"a.svs": bytes(tiled), "b.svs": plain, "c.ndpi": bytes(tiled), "d.svs": b"nothing"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["path"].rpartition("/")[2]: (r["format_id"], r["error"]) for r in SlideSet(spark, str(tmp_path)).resolved().collect()}
+    assert got == {"a.svs": ("openslide", None), **{n: ("openslide", "Backend not available") for n in ("b.svs", "c.ndpi", "d.svs")}}
