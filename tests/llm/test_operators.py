@@ -431,7 +431,7 @@ def test_licenses(spark, odd):
 
 def test_registered():
     numbers = {int(re.match(r"op(\d+)_", k)[1]) for k in queries.QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
 
 
 def test_context_mixing(spark, docs, odd):
