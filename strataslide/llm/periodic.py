@@ -12,7 +12,8 @@ word by word at the end. A run is taken at the smallest block that holds it whol
 periods up to a quarter of the block are enough for an exponent of 4.
 
 Documents are independent: a map over batches, no shuffle. A batch is worked on in slices
-of a few megabytes; a longer text is a slice of its own, at some 200 bytes of memory a word.
+of a few megabytes; a longer text is a slice of its own, at some 70 bytes of memory a word
+(measured on 1.5 million words).
 
 Defined results: null and empty texts have no words and no runs; rows that share an id, and
 equal rows, each give their own row; null ids stay null; an empty table gives an empty
