@@ -131,6 +131,8 @@ class SlideSet:
         stated = F.try_element_at("properties", F.lit("slide.family"))
         family = F.coalesce(stated, slide_family(F.col("of_format"), F.col("channels")))
         out = m.join(F.broadcast(rules), "format_id").withColumn("slide_family", family)  # a row a format
+        picture = F.when(F.col("slide_family") == "brightfield", F.when(F.col("format_id") == "czi", "black").when(F.col("format_id") == "qptiff", "transparent"))
+        out = out.withColumn("background", F.coalesce(picture, "background"))  # pictures of formats that else hold channels
         return out.withColumn("supports_biomarkers", supports_biomarkers(F.col("capable"), F.col("slide_family"))).withColumn("downsamples", F.col("levels.downsample")).drop("of_format", "capable")
 
     @staticmethod
@@ -235,7 +237,9 @@ class SlideSet:
         span = good.select("request_id", "path", F.col("source_level").alias("level"), z.alias("wanted_z"), "x", "y", "downsample", "lw", "lh", F.ceil(F.col("lw") * F.col("downsample")).alias("w"), F.ceil(F.col("lh") * F.col("downsample")).alias("h"))
         index = index.select("path", "format_id", "level", F.col("z"), "offset", "length", "file_id", F.col("x0").alias("x2"), F.col("y0").alias("y2"), F.col("cov_w").cast("long").alias("w2"), F.col("cov_h").cast("long").alias("h2"), "row_no", "col")
         flat_z = index.withColumn("z", F.when(F.col("z") >= 0, F.col("z")))  # what lies beside the focus planes belongs to all of them
-        met = region.rectangle_join(span, flat_z, ("path", "level"), cell_size).filter("z is null or z = wanted_z")
+        pictures = flat_z.filter("format_id = 'czi'")
+        under = region.scene_grounds(pictures, ("path", "level"), "row_no").select("path", F.lit("czi").alias("format_id"), "level", F.lit(None).cast("int").alias("z"), F.lit(0).cast("long").alias("offset"), F.lit(0).cast("long").alias("length"), F.lit(0).alias("file_id"), "x2", "y2", "w2", "h2", "row_no", F.lit(0).alias("col"))
+        met = region.rectangle_join(span, flat_z.unionByName(under), ("path", "level"), cell_size).filter("z is null or z = wanted_z")
         canvases = good.select("request_id", F.col("lw").alias("w"), F.col("lh").alias("h"), "out_w", "out_h", F.col("color").alias("background"))
         empty = asked.filter("error is null and blank").select("request_id", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "out_w", "out_h", F.col("color").alias("background"))
         cells = canvas.painted(self._decoded(met), canvases.unionByName(empty), flat=flat)
@@ -254,13 +258,19 @@ class SlideSet:
                 out = []
                 for t in b.itertuples(index=False):
                     place = (t.path, t.file_id, t.offset, t.level, t.row_no, t.col)
+                    if t.format_id == "czi" and t.col == 0:  # a scene's ground
+                        out += canvas.grounds(t.request_id, t.x2 - t.x, t.y2 - t.y, t.row_no * (1 << 31), t.w2, t.h2, t.lw, t.lh)
+                        continue
                     if place != last:  # a tile that several requests met is read once
-                        data = reader.read(t.path, t.format_id, t.level, t.row_no, t.col, t.file_id, t.offset, t.length)
-                        last, image = place, decoder(data) if data else None
+                        found = reader.image(t.path, t.format_id, t.level, t.row_no, t.col, t.file_id, t.offset, t.length)
+                        last, image = place, found if isinstance(found, np.ndarray) else decoder(found) if found else None
                     if image is not None:
                         w, h = max(1, round(t.w2 / t.downsample)), max(1, round(t.h2 / t.downsample))
                         part = image if image.shape[:2] == (h, w) or image.shape[0] <= h and image.shape[1] <= w else resize(image, w, h, "bilinear")
-                        out += canvas.crops(t.request_id, int((t.x2 - t.x) / t.downsample), int((t.y2 - t.y) / t.downsample), t.row_no * (1 << 31) + t.col, part, t.lw, t.lh)
+                        x, y = int((t.x2 - t.x) / t.downsample), int((t.y2 - t.y) / t.downsample)
+                        if t.format_id == "qptiff":  # sides of levels that aren't whole multiples: tiles keep their places in the level
+                            x, y = (int(np.ceil(a / t.downsample) - int(b / t.downsample)) for a, b in ((t.x2, t.x), (t.y2, t.y)))
+                        out += canvas.crops(t.request_id, x, y, t.row_no * (1 << 31) + t.col, part, t.lw, t.lh)
                         if len(out) > 64:
                             yield pd.DataFrame(out, columns=names)
                             out = []

@@ -115,6 +115,14 @@ def rgba(image: np.ndarray) -> np.ndarray:
     return np.concatenate([color, np.full((*color.shape[:2], 1), 255, np.uint8)], axis=2)
 
 
+def shown(image: np.ndarray) -> np.ndarray:
+    """Stored samples as RGBA: of 16 bits the upper eight; two are grey with one that is left out. A ValueError for other types."""
+    if image.dtype.kind != "u" or image.dtype.itemsize > 2:
+        raise ValueError(f"samples of type {image.dtype} are no picture's")
+    image = image if image.dtype.itemsize == 1 else (image >> 8).astype(np.uint8)
+    return rgba(image[:, :, :1] if image.shape[2] == 2 else image[:, :, :4])
+
+
 def on_background(image: np.ndarray, background: tuple[int, int, int]) -> np.ndarray:
     """RGBA composed on an opaque colour, as RGB."""
     a = image[:, :, 3:].astype(np.uint32)

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.raster import on_background, weights_between
 
 CELL = 1024
+#: Bytes of finished cells that a task hands on together.
+MOST_HELD = 16 << 20
 CROP = "request_id long, cell_x int, cell_y int, left int, top int, draw_seq long, height int, width int, data binary"
 CELLS = "request_id long, cell_x int, cell_y int, left int, top int, height int, width int, data binary, w int, h int, out_w int, out_h int"
 _CELLS = [c.split()[0] for c in CELLS.split(", ")]
@@ -34,37 +36,72 @@ _CELLS = [c.split()[0] for c in CELLS.split(", ")]
 
 def crops(request_id: int, x: int, y: int, draw_seq: int, image: np.ndarray, w: int, h: int, cell: int = CELL) -> Iterator[tuple]:
     """The parts of an image at (x, y) by the cells of a w x h canvas, with their places in the cell."""
-    x0, y0, x1, y1 = max(0, x), max(0, y), min(w, x + image.shape[1]), min(h, y + image.shape[0])
+    for cx, cy, a, b, c, d in _by_cell(x, y, image.shape[1], image.shape[0], w, h, cell):
+        yield request_id, cx, cy, a - cx * cell, c - cy * cell, draw_seq, d - c, b - a, np.ascontiguousarray(image[c - y : d - y, a - x : b - x]).tobytes()
+
+
+def grounds(request_id: int, x: int, y: int, draw_seq: int, width: int, height: int, w: int, h: int, cell: int = CELL) -> Iterator[tuple]:
+    """As crops, of a width x height rectangle that shows the canvas's background again; without data, as the cell has its colour."""
+    for cx, cy, a, b, c, d in _by_cell(x, y, width, height, w, h, cell):
+        yield request_id, cx, cy, a - cx * cell, c - cy * cell, draw_seq, d - c, b - a, None
+
+
+def _by_cell(x: int, y: int, width: int, height: int, w: int, h: int, cell: int) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """cell_x, cell_y and the bounds x0, x1, y0, y1 of a rectangle's parts, on a w x h canvas."""
+    x0, y0, x1, y1 = max(0, x), max(0, y), min(w, x + width), min(h, y + height)
     if x0 >= x1 or y0 >= y1:
         return
     for cy in range(y0 // cell, (y1 - 1) // cell + 1):
         for cx in range(x0 // cell, (x1 - 1) // cell + 1):
             a, b = max(x0, cx * cell), min(x1, cx * cell + cell)
             c, d = max(y0, cy * cell), min(y1, cy * cell + cell)
-            part = image[c - y : d - y, a - x : b - x]
-            yield request_id, cx, cy, a - cx * cell, c - cy * cell, draw_seq, d - c, b - a, np.ascontiguousarray(part).tobytes()
+            yield cx, cy, a, b, c, d
 
 
 def painted(pastes: DataFrame, canvases: DataFrame, cell: int = CELL, flat: tuple[int, int, int] | None = None) -> DataFrame:
-    """Every cell of every canvas: its crops pasted in draw order without blending; laid on the colour `flat`, as RGB, if one is given."""
+    """Every cell of every canvas: its crops pasted in draw order without blending; laid on the colour `flat`, as RGB, if one is given.
+
+    Cells and crops come as one sorted stream, a cell before its crops, so a task holds one cell
+    and a batch, however many crops a cell has, and millions of small cells cost no group each.
+    """
     side = lambda n: F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / cell).cast("int")))
     asked = canvases.filter("w > 0 and h > 0 and out_w > 0 and out_h > 0").withColumn("cell_x", side("w")).withColumn("cell_y", side("h"))
 
-    def paint(key: tuple, spots: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        parts = parts.sort_values("draw_seq", kind="stable")
-        for s in spots.itertuples():
-            left, top = s.cell_x * cell, s.cell_y * cell
-            image = np.empty((min(cell, s.h - top), min(cell, s.w - left), 4), np.uint8)
-            image[:] = s.background
-            for t in parts.itertuples():
-                image[t.top : t.top + t.height, t.left : t.left + t.width] = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 4)
-            image = image if flat is None else on_background(image, flat)
-            out.append((s.request_id, s.cell_x, s.cell_y, left, top, *image.shape[:2], image.tobytes(), s.w, s.h, s.out_w, s.out_h))
-        return pd.DataFrame(out, columns=_CELLS)
+    def paint(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, open_ = None, []  # cells of one key, each with its row; more than one if a request is repeated
+        out, held = [], 0  # cells that are done, and their bytes
+
+        def done() -> int:
+            for s, image in open_:
+                image = image if flat is None else on_background(image, flat)
+                out.append((s.request_id, int(s.cell_x), int(s.cell_y), int(s.cell_x) * cell, int(s.cell_y) * cell, *image.shape[:2], image.tobytes(), int(s.w), int(s.h), int(s.out_w), int(s.out_h)))
+            return sum(image.size for _, image in open_)
+
+        for b in batches:
+            for t in b.itertuples(index=False):
+                now = (t.request_id, t.cell_x, t.cell_y)
+                if now != key:
+                    held += done()
+                    key, open_ = now, []
+                    if held > MOST_HELD:
+                        yield pd.DataFrame(out, columns=_CELLS)
+                        out.clear()
+                        held = 0
+                if t.background is not None:
+                    image = np.empty((min(cell, int(t.h) - int(t.cell_y) * cell), min(cell, int(t.w) - int(t.cell_x) * cell), 4), np.uint8)
+                    image[:] = t.background
+                    open_.append((t._replace(data=None), image))
+                    continue
+                top, left, height, width = (int(v) for v in (t.top, t.left, t.height, t.width))
+                for s, image in open_:
+                    image[top : top + height, left : left + width] = s.background if t.data is None else np.frombuffer(t.data, np.uint8).reshape(height, width, 4)
+        done()
+        yield pd.DataFrame(out, columns=_CELLS)
 
     keys = ("request_id", "cell_x", "cell_y")
-    return asked.groupBy(*keys).cogroup(pastes.groupBy(*keys)).applyInPandas(paint, CELLS)
+    both = asked.select(*keys, "w", "h", "out_w", "out_h", "background").unionByName(pastes, allowMissingColumns=True)
+    order = [*keys, F.col("background").isNull(), "draw_seq", "top", "left", "height", "width"]
+    return both.repartition(*keys).sortWithinPartitions(*order).mapInPandas(paint, CELLS)
 
 
 def shrunk(cells: DataFrame, channels: int = 4, cell: int = CELL, kernel: str = "lanczos", held: int = 4) -> DataFrame:

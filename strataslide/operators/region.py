@@ -73,6 +73,21 @@ def rectangle_join(left: DataFrame, right: DataFrame, keys: tuple[str, ...], cel
     return pairs.filter(both & corner).drop("cell_x", "cell_y")
 
 
+def scene_grounds(tiles: DataFrame, keys: tuple[str, ...], scene: str = "scene") -> DataFrame:
+    """keys, scene and the rectangle (x2, y2, w2, h2) that bounds a scene's tiles, of slides with several scenes.
+
+    On a canvas of several scenes each is laid down whole, so what is empty in a later one
+    covers an earlier one: its rectangle is painted before its tiles. A request thus meets
+    scenes and tiles in one join of rectangles, in the order (scene, ground, tiles). Bounds are
+    aggregated before anything moves, and only they are counted a slide.
+    """
+    x1, y1 = F.max(F.col("x2") + F.col("w2")), F.max(F.col("y2") + F.col("h2"))
+    x0, y0 = F.min("x2"), F.min("y2")
+    bounds = tiles.groupBy(*keys, scene).agg(x0.alias("x2"), y0.alias("y2"), (x1 - x0).alias("w2"), (y1 - y0).alias("h2"))
+    several = bounds.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    return bounds.join(several, list(keys), "left_semi")
+
+
 def sub_tiles(blocks: DataFrame, tile_w: int = 612, tile_h: int = 512, per_side: int = 4) -> DataFrame:
     """The per_side x per_side sub-tiles of each block, with their level-0 origin."""
     out = blocks.withColumn("sub_col", F.explode(F.sequence(F.lit(0), F.lit(per_side - 1)))).withColumn("sub_row", F.explode(F.sequence(F.lit(0), F.lit(per_side - 1))))

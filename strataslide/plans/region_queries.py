@@ -114,3 +114,53 @@ def canvas_paint(spark, sf_dir):
     pastes = spark.sql(_PAINTS, orders=orders).mapInPandas(cut, V.CROP)
     canvases = orders.select((F.col("o_custkey") % 20).alias("request_id")).distinct().selectExpr("request_id", f"{_W} AS w", f"{_H} AS h", f"{_W} AS out_w", f"{_H} AS out_h", f"array({_UNDER}, {_UNDER}, {_UNDER}, 255) AS background")
     return V.painted(pastes, canvases, _CELL).mapInPandas(sums, "slide_id long, cell_x int, cell_y int, pixels long, total long, placed long")
+
+
+# Scenes of subblocks, 16 pixels in one: each pixel's value is told by its subblock and place.
+_SUBBLOCKS = "SELECT DISTINCT slide_id, scene_index AS scene, CAST(x // 32 + 30 * scene_index AS BIGINT) AS x, CAST(y // 32 + 9 * scene_index AS BIGINT) AS y, CAST(8 AS BIGINT) AS w, CAST(6 AS BIGINT) AS h FROM v_scenes"
+_ASKED = "SELECT request_id, slide_id, x // 16 AS x, y // 16 AS y, CAST(w // 16 AS BIGINT) AS w, CAST(h // 16 AS BIGINT) AS h FROM v_requests"
+_SPREAD = "SELECT *, unnest(range(y, y + h)) AS py FROM (SELECT *, unnest(range(x, x + w)) AS px FROM ({}))"
+
+
+@query(
+    f"WITH b AS ({_SUBBLOCKS}), g AS (SELECT *, count(*) OVER (PARTITION BY slide_id) AS n FROM (SELECT slide_id, scene, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM b GROUP BY slide_id, scene)),"
+    f" laid AS (SELECT slide_id, px, py, scene, 1 + x * 4096 + y AS seq, (x * 31 + y * 17 + scene * 7 + px * 3 + py) % 256 AS v FROM ({_SPREAD.format('SELECT * FROM b')}) UNION ALL SELECT slide_id, px, py, scene, 0, {_UNDER} FROM ({_SPREAD.format('SELECT * FROM g WHERE n > 1')})),"
+    f" seen AS (SELECT slide_id, px, py, arg_max(v, scene * 4294967296 + seq) AS v FROM laid GROUP BY slide_id, px, py),"
+    f" want AS (SELECT request_id, slide_id, px, py, px - x AS dx, py - y AS dy FROM ({_SPREAD.format(_ASKED)}))"
+    f" SELECT request_id, count(*) AS pixels, CAST(sum(coalesce(v, {_UNDER})) AS BIGINT) AS total, CAST(sum(coalesce(v, {_UNDER}) * (1 + 3 * dx + dy)) AS BIGINT) AS placed FROM want LEFT JOIN seen USING (slide_id, px, py) GROUP BY request_id"
+)
+def scene_canvas(spark, sf_dir):
+    """Regions of canvases of several scenes: sums, plain and by place, of what the scenes leave."""
+    import numpy as np
+    import pandas as pd
+
+    whole = lambda c, n: F.floor(F.col(c) / n).cast("long")
+    s = table(spark, sf_dir, "v_scenes")
+    blocks = s.select("slide_id", F.col("scene_index").alias("scene"), (whole("x", 32) + 30 * F.col("scene_index")).alias("x2"), (whole("y", 32) + 9 * F.col("scene_index")).alias("y2"), F.lit(8).cast("long").alias("w2"), F.lit(6).cast("long").alias("h2")).distinct()
+    laid = blocks.withColumn("seq", 1 + F.col("x2") * 4096 + F.col("y2")).unionByName(R.scene_grounds(blocks, ("slide_id",)).withColumn("seq", F.lit(0).cast("long")))
+    asked = table(spark, sf_dir, "v_requests").select("request_id", "slide_id", *[whole(c, 16).alias(c) for c in "xywh"])
+    met = R.rectangle_join(asked, laid, ("slide_id",), 32)
+
+    def cut(batches):
+        for b in batches:
+            rows = []
+            for t in b.itertuples():
+                seq, x, y = t.scene * (1 << 32) + t.seq, t.x2 - t.x, t.y2 - t.y
+                if t.seq == 0:
+                    rows += V.grounds(t.request_id, x, y, seq, t.w2, t.h2, t.w, t.h, _CELL)
+                    continue
+                value = (t.x2 * 31 + t.y2 * 17 + t.scene * 7 + 3 * np.arange(t.x2, t.x2 + t.w2) + np.arange(t.y2, t.y2 + t.h2)[:, None]) % 256
+                rows += V.crops(t.request_id, x, y, seq, np.repeat(value.astype(np.uint8)[:, :, None], 4, 2), t.w, t.h, _CELL)
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in V.CROP.split(", ")])
+
+    def sums(batches):
+        for b in batches:
+            rows = []
+            for t in b.itertuples():
+                v = np.frombuffer(t.data, np.uint8).reshape(t.height, t.width, 4)[:, :, 0].astype(np.int64)
+                rows.append((t.request_id, v.size, v.sum(), (v * (1 + 3 * (t.left + np.arange(t.width)) + t.top + np.arange(t.height)[:, None])).sum()))
+            yield pd.DataFrame(rows, columns=["request_id", "pixels", "total", "placed"])
+
+    canvases = asked.selectExpr("request_id", "CAST(w AS INT) AS w", "CAST(h AS INT) AS h", "CAST(w AS INT) AS out_w", "CAST(h AS INT) AS out_h", f"array({_UNDER}, {_UNDER}, {_UNDER}, 255) AS background")
+    per = V.painted(met.mapInPandas(cut, V.CROP), canvases, _CELL).mapInPandas(sums, "request_id long, pixels long, total long, placed long")
+    return per.groupBy("request_id").agg(*[F.sum(c).alias(c) for c in ("pixels", "total", "placed")])

@@ -19,6 +19,7 @@ import numpy as np
 
 from ..functions.raster import image_size, xml_properties
 from .blob import Blob
+from . import czi
 from .planes import is_ome_candidate, open_planes
 from .tiff import samples, text, tiff_pages
 
@@ -496,9 +497,11 @@ def _page_tiles(page: dict, level: int, factor: float) -> np.ndarray:
     if 324 in page:
         tw, th, offsets, lengths = page[322][0], page[323][0], page[324], page[325]
     else:
-        tw, th, offsets, lengths = w, page.get(278, (h,))[0], page.get(273, ()), page.get(279, ())
-    place = np.arange(len(offsets))
+        tw, th, offsets, lengths = w, min(h, page.get(278, (h,))[0]), page.get(273, ()), page.get(279, ())
     cols = max(1, -(-w // tw))
+    n = cols * max(1, -(-h // max(1, th)))  # of samples in planes of their own the first plane's; the others are found by it
+    offsets, lengths = offsets[:n], lengths[:n]
+    place = np.arange(len(offsets))
     fx = lambda v: (np.asarray(v) * factor).astype(np.int64)
     return _tiles(len(offsets), level=level, col=place % cols, row_no=place // cols, x0=fx(place % cols * tw), y0=fx(place // cols * th), cov_w=int(tw * factor), cov_h=int(th * factor), offset=offsets, length=lengths)
 
@@ -538,6 +541,8 @@ def tiff(blob: Blob) -> Parsed:
         many = open_planes(blob)
         out.format_id, out.channels, out.mpp, out.levels = many.format_id, many.names, many.mpp, many.levels
         out.properties |= many.properties
+        if many.pages:
+            out.tiles = np.concatenate([_page_tiles(page, n, many.levels[n][2]) for n, page in enumerate(many.pages)])
         if many.format_id == "ome_tiff":
             out.properties |= {"ome.sibling-label": text(pages[0], 285) or blob.name.rpartition("/")[2].rpartition(".")[0], "tiff.dtype": samples(pages[0])[0].str}
     if out.mpp is None and 282 in pages[0]:
@@ -552,10 +557,15 @@ def tiff(blob: Blob) -> Parsed:
 
 
 def multiplex(blob: Blob, acquisition_id: int | None = None) -> Parsed:
-    """Planes of channels; there are no tiles, see the source slide_planes."""
+    """Planes of channels, which have no tiles, see the source slide_planes; a CZI picture's subblocks are tiles, row_no their scene and col their order."""
     found = open_planes(blob, acquisition_id)
     out = Parsed(found.format_id, *found.levels[0][:2], levels=found.levels, mpp=found.mpp, channels=found.names, properties=dict(found.properties))
     out.properties["slide.family"] = found.family
+    rows = [(scene, k, z, x, y, w, h, b.position) for scene, k, z, x, y, w, h, b in czi.laid_out(found.blocks)]
+    if rows:
+        r = np.array(rows, np.int64)
+        out.tiles = _tiles(len(r), row_no=r[:, 0], col=r[:, 1], z=r[:, 2], x0=r[:, 3], y0=r[:, 4], cov_w=r[:, 5], cov_h=r[:, 6], offset=r[:, 7], length=r[:, 5] * r[:, 6])
+        out.properties["czi.scene-count"] = str(len(np.unique(r[:, 0])))
     return out.stated(found.format_id)
 
 

@@ -1,7 +1,8 @@
 """CZI: the subblock directory and the metadata document, read by range.
 
 A file is segments, each led by 32 bytes: a name, and how many bytes are allocated and used.
-Pixels are read of subblocks that are not compressed (or Zstandard, where that module is there).
+Pixels are read of subblocks that are not compressed (or Zstandard, where that module is there);
+JPEG goes to the caller's decoder.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ _DIMENSION = np.dtype([("name", "S4"), ("start", "<i4"), ("size", "<i4"), ("coor
 _SEGMENT = 32
 
 # Pixel types that are read, as numpy types and samples.
-PIXELS = {0: ("<u1", 1, "gray8"), 1: ("<u2", 1, "gray16"), 2: ("<f4", 1, "gray32float"), 3: ("<u1", 3, "bgr24"), 4: ("<u2", 3, "bgr48")}
+PIXELS = {0: ("<u1", 1, "gray8"), 1: ("<u2", 1, "gray16"), 2: ("<f4", 1, "gray32float"), 3: ("<u1", 3, "bgr24"), 4: ("<u2", 3, "bgr48"), 9: ("<u1", 4, "bgra32")}
+# Compressions of subblocks.
+PLAIN, JPEG, ZSTD, ZSTD_HEADED = 0, 1, 5, 6
 # Which fact of an OME document is which field. A fact is the names of the elements above, then an attribute.
 OME_FACTS = {
     "Pixels@SizeC": "channel_count",
@@ -81,39 +84,82 @@ def directory(blob: Blob) -> list[Subblock]:
     at += _SEGMENT + 128
     raw, out, pos = blob.read(at, n * (_ENTRY.itemsize + 12 * _DIMENSION.itemsize)), [], 0
     for _ in range(n):
-        e = np.frombuffer(raw, _ENTRY, 1, pos)[0]
-        pos += _ENTRY.itemsize
-        d = np.frombuffer(raw, _DIMENSION, int(e["dimensions"]), pos)
-        pos += d.nbytes
-        names = [x.decode().strip("\0 ") for x in d["name"].tolist()]
-        out.append(Subblock(int(e["pixel_type"]), int(e["position"]), int(e["compression"]), *(dict(zip(names, d[c].tolist(), strict=True)) for c in ("start", "size", "stored"))))
+        block, pos = _entry(raw, pos)
+        out.append(block)
     return out
 
 
+def _entry(raw: bytes, pos: int) -> tuple[Subblock, int]:
+    """The entry at pos, and where the next begins."""
+    e = np.frombuffer(raw, _ENTRY, 1, pos)[0]
+    d = np.frombuffer(raw, _DIMENSION, int(e["dimensions"]), pos + _ENTRY.itemsize)
+    names = [x.decode().strip("\0 ") for x in d["name"].tolist()]
+    return Subblock(int(e["pixel_type"]), int(e["position"]), int(e["compression"]), *(dict(zip(names, d[c].tolist(), strict=True)) for c in ("start", "size", "stored"))), pos + _ENTRY.itemsize + d.nbytes
+
+
+def block_at(blob: Blob, position: int) -> Subblock:
+    """The subblock of a segment, by the entry that the segment itself holds, so that one is read without the directory."""
+    raw = blob.read(position + _SEGMENT + 16, _ENTRY.itemsize + 12 * _DIMENSION.itemsize)
+    return _entry(raw, 0)[0]
+
+
+def laid_out(blocks: list[Subblock]) -> Iterator[tuple[int, int, int, int, int, int, int, Subblock]]:
+    """scene, order within it (from 1), z, x, y, width, height of the full-size subblocks of a picture's first channel and time, from the origin; of a scene those that come later lie above."""
+    ox, oy = origin(blocks)
+    shown = [b for b in blocks if b.full and b.size.get("X", 0) > 0 and b.size.get("Y", 0) > 0 and b.start.get("C", 0) == 0 and b.start.get("T", 0) == 0]
+    shown.sort(key=lambda b: (b.start.get("S", 0), b.start.get("M", 0), b.position))
+    for k, b in enumerate(shown, 1):
+        yield b.start.get("S", 0), k, b.start.get("Z", 0), b.start.get("X", 0) - ox, b.start.get("Y", 0) - oy, b.size["X"], b.size["Y"], b
+
+
 def origin(blocks: list[Subblock]) -> tuple[int, int]:
     """Least x and y of the subblocks that have a size."""
     sized = [b for b in blocks if b.size.get("X", 0) > 0 and b.size.get("Y", 0) > 0]
     return min((b.start.get("X", 0) for b in sized), default=0), min((b.start.get("Y", 0) for b in sized), default=0)
 
 
-def pixels(blob: Blob, block: Subblock) -> np.ndarray:
-    """height x width of a subblock, the first sample of a colour one."""
+def stored(blob: Blob, block: Subblock) -> bytes:
+    """A subblock's data as they lie in the file."""
+    head = block.position + _SEGMENT
+    meta, size = (int.from_bytes(blob.read(head + a, n), "little") for a, n in ((0, 4), (8, 8)))
+    return blob.read(head + max(256, 16 + _ENTRY.itemsize + _DIMENSION.itemsize * len(block.size)) + meta, size)
+
+
+def _unpacked(raw: bytes, compression: int) -> bytes:
+    """Out of Zstandard; under a header that says so, low bytes of all samples come before the high ones."""
+    import zstandard
+
+    head = raw[: raw[0]] if compression == ZSTD_HEADED else b""
+    out = zstandard.ZstdDecompressor().decompress(raw[len(head) :], max_output_size=1 << 31)
+    if len(head) >= 3 and head[1] == 1 and head[2] & 1:
+        out = np.frombuffer(out, np.uint8).reshape(2, -1).T.tobytes()
+    return out
+
+
+def colors(blob: Blob, block: Subblock) -> np.ndarray:
+    """height x width x samples of a subblock, in the file's order of samples."""
     kind, samples, _ = PIXELS.get(block.pixel_type, (None, 0, ""))
     if kind is None:
         raise ValueError(f"CZI pixel type {block.pixel_type} is not read")
-    head = block.position + _SEGMENT
-    meta, _, size = (int.from_bytes(blob.read(head + a, n), "little") for a, n in ((0, 4), (4, 4), (8, 8)))
-    raw = blob.read(head + max(256, 16 + _ENTRY.itemsize + _DIMENSION.itemsize * len(block.size)) + meta, size)
-    if block.compression in (5, 6):
-        import zstandard
-
-        raw = zstandard.ZstdDecompressor().decompress(raw[raw[0] if block.compression == 6 else 0 :], max_output_size=1 << 31)
-        if block.compression == 6:
-            raise ValueError("CZI byte packing is not read")
-    elif block.compression != 0:
+    if block.compression not in (PLAIN, ZSTD, ZSTD_HEADED):
         raise ValueError(f"CZI compression {block.compression} is not read")
+    raw = stored(blob, block)
+    raw = raw if block.compression == PLAIN else _unpacked(raw, block.compression)
     h, w = block.stored["Y"], block.stored["X"]
-    return np.frombuffer(raw, kind, h * w * samples).reshape(h, w, samples)[:, :, 0]
+    return np.frombuffer(raw, kind, h * w * samples).reshape(h, w, samples)
+
+
+def pixels(blob: Blob, block: Subblock) -> np.ndarray:
+    """height x width of a subblock, the first sample of a colour one."""
+    return colors(blob, block)[:, :, 0]
+
+
+def picture(blob: Blob, block: Subblock) -> np.ndarray | bytes:
+    """A subblock as red, green, blue (or grey); of JPEG its bytes."""
+    if block.compression == JPEG:
+        return stored(blob, block)
+    found = colors(blob, block)
+    return found[:, :, 2::-1] if found.shape[2] >= 3 else found
 
 
 @dataclass

@@ -28,6 +28,8 @@ class Planes:
     family: str = "multiplex"
     properties: dict[str, str] = field(default_factory=dict)
     indices: dict[str, int] | None = None  # of names, where these aren't simply in order
+    blocks: list = field(default_factory=list)  # a picture's subblocks, see czi.laid_out
+    pages: list[dict] = field(default_factory=list)  # a picture's page of each level
 
     def index(self, name: str) -> int | None:
         """The channel of a name, of doubled names the last."""
@@ -140,7 +142,8 @@ def _qptiff(blob: Blob, pages: list[dict]) -> Planes:
     w0 = levels[0][0][0]
     sizes = [(w, h, w0 / w) for (w, h), _ in levels]
     bright = len(names) == 1 and names[0].strip().lower() in ("h&e", "he")
-    found = Planes("qptiff", names, sizes, _by_page(blob, [[pages[k] for k in held] for _, held in levels], len(names)), family="brightfield" if bright else "multiplex")
+    shown = [pages[held[0]] for _, held in levels] if bright else []
+    found = Planes("qptiff", names, sizes, _by_page(blob, [[pages[k] for k in held] for _, held in levels], len(names)), family="brightfield" if bright else "multiplex", pages=shown)
     found.properties |= {"qptiff.biomarkers": ",".join(names), "qptiff.biomarker-count": str(len(names))}
     return found
 
@@ -173,6 +176,8 @@ def _czi(blob: Blob) -> Planes:
     sizes = [s * 1e6 if s < 1e-3 else s for s in m.physical_pixel_sizes]
     found.mpp = sum(sizes) / len(sizes) if sizes else None
     found.properties |= {"czi.pixel-type": m.pixel_type or "", "czi.channel-count": str(m.channel_count)}
+    if found.family == "brightfield":
+        found.blocks = blocks
     return found
 
 

@@ -90,6 +90,20 @@ def tiff_region(blob: Blob, page: dict, x: int, y: int, w: int, h: int) -> np.nd
     return out
 
 
+def place_in_page(page: dict, k: int) -> tuple[int, int, int, int]:
+    """x, y, w, h of a page's k-th tile or strip, cut at the page's sides."""
+    width, height = page[256][0], page[257][0]
+    tw, th = (page[322][0], page[323][0]) if 324 in page else (width, min(height, page.get(278, (height,))[0]))
+    row, col = divmod(k, -(-width // tw))
+    return col * tw, row * th, min(tw, width - col * tw), min(th, height - row * th)
+
+
+def whole_jpeg(page: dict, data: bytes) -> bytes:
+    """A tile's JPEG with the tables that its page holds for all tiles."""
+    tables = page.get(347, b"")
+    return tables[:-2] + data[2:] if isinstance(tables, bytes) and tables[-2:] == b"\xff\xd9" and data[:2] == b"\xff\xd8" else data
+
+
 def tiff_page_pixels(blob: Blob, page: dict) -> np.ndarray:
     """A whole page as height x width x samples."""
     return tiff_region(blob, page, 0, 0, page[256][0], page[257][0])
