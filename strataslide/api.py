@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from . import errors as E
 from .catalog import catalog, default_biomarker_tokens, resolve, slide_family, supports_biomarkers
-from .functions.raster import ColorStyle, centred, find_jpeg, from_png, on_background, resize, rgba, thumbnail, to_uint8
+from .functions.icc import Profile
+from .functions.raster import ColorStyle, centred, find_jpeg, from_png, on_background, read_correction, resize, rgba, thumbnail, to_uint8
 from .operators import canvas, deepzoom, gates, levels, multiplex, region
 from .sinks.shared import keep
 from .sources import register_sources
@@ -50,6 +51,8 @@ def _raster(image: np.ndarray) -> tuple:
 FEW_SLIDES = 1_000
 #: Bytes that a row's raster may have; larger results come as cells.
 MOST_RASTER = 2**31 - 2**20
+#: Colour styles, and their bytes, that are sent to every task.
+MOST_STYLES, MOST_STYLE_BYTES = 256, 64 << 20
 
 
 def _fitted(w: Column, h: Column, most_w: Column, most_h: Column) -> tuple[Column, Column]:
@@ -339,8 +342,8 @@ class SlideSet:
         return read.unionByName(bad)
 
     @staticmethod
-    def colored(rasters: DataFrame, style: ColorStyle | None) -> DataFrame:
-        """Rasters under a colour style; without one, and where there is no raster, as they are."""
+    def colored(rasters: DataFrame, style: ColorStyle | Profile | None) -> DataFrame:
+        """Rasters under a colour style or ICC profile; without one, and where there is no raster, as they are."""
         if style is None:
             return rasters
 
@@ -352,6 +355,51 @@ class SlideSet:
 
         return rasters.mapInPandas(each, rasters.schema)
 
+    @staticmethod
+    def corrected(rasters: DataFrame, styles: DataFrame) -> DataFrame:
+        """Rasters, each under the style that its column `style` names, if there is such a one.
+
+        styles: name, document (LUT XML or an ICC profile); of a doubled name the first document
+        by order counts. A raster without a style, of an unknown one or of one whose document
+        is broken stays as it is. The styles go to every task, so they are at most MOST_STYLES
+        and MOST_STYLE_BYTES; more are a ValueError.
+        """
+        known = styles.filter("name is not null and document is not null").groupBy("name").agg(F.min("document").alias("document"))
+        n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("document")), F.lit(0))).first()
+        if n > MOST_STYLES or size > MOST_STYLE_BYTES:
+            raise ValueError(f"{n} styles of {size} bytes are too many to send to every task")
+        held = {r["name"]: bytes(r["document"]) for r in known.collect()}
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            read: dict[str, ColorStyle | Profile | None] = {}
+            for b in batches:
+                data = []
+                for name, d, h, w, c in zip(b["style"], b["data"], b["height"], b["width"], b["n_channels"], strict=True):
+                    if d is not None and name in held:
+                        if name not in read:
+                            read[name] = read_correction(held[name])
+                        if read[name] is not None:
+                            d = read[name].apply(np.frombuffer(d, np.uint8).reshape(int(h), int(w), int(c))).tobytes()
+                    data.append(d)
+                yield b.assign(data=data, **{c: b[c].astype("Int64") for c in ("height", "width", "n_channels")})
+
+        return rasters.mapInPandas(each, rasters.schema)
+
+    @staticmethod
+    def style_info(styles: DataFrame) -> DataFrame:
+        """name, kind (lut or icc; null if broken), has_transform and what a LUT states, of styles (name, document)."""
+
+        def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                out = []
+                for name, document in zip(b["name"], b["document"], strict=True):
+                    found = None if document is None else read_correction(bytes(document))
+                    lut = found if isinstance(found, ColorStyle) else None
+                    out.append((name, None if found is None else "icc" if lut is None else "lut", found is not None, *((lut.gamma, lut.ccm, lut.rgb_rate, lut.hsv_rate) if lut else (None,) * 4)))
+                yield pd.DataFrame(out, columns=["name", "kind", "has_transform", "gamma", "ccm", "rgb_rate", "hsv_rate"])
+
+        return styles.select("name", "document").mapInPandas(each, "name string, kind string, has_transform boolean, gamma double, ccm array<double>, rgb_rate array<double>, hsv_rate array<double>")
+
     # --- stored images ---------------------------------------------------------------
 
     def stored_images(self, names: tuple[str, ...] | None = None) -> DataFrame:

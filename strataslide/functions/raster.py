@@ -202,6 +202,7 @@ class ColorStyle:
     gamma: float = 1.0
     ccm: tuple[float, ...] = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0)
     rgb_rate: tuple[float, ...] = (1.0, 1.0, 1.0)
+    hsv_rate: tuple[float, ...] = (1.0, 1.0, 1.0)  # stated, never applied
 
     def apply(self, image: np.ndarray) -> np.ndarray:
         x = image[:, :, :3] / 255.0
@@ -223,7 +224,17 @@ def read_style(xml: str) -> ColorStyle:
         return tuple(values) if len(values) == n else default
 
     gamma = root.findtext("gamma")
-    return ColorStyle(float(gamma) if gamma else 1.0, floats("ccm", 9, ColorStyle.ccm), floats("rgbRate", 3, ColorStyle.rgb_rate))
+    return ColorStyle(float(gamma) if gamma else 1.0, floats("ccm", 9, ColorStyle.ccm), floats("rgbRate", 3, ColorStyle.rgb_rate), floats("hsvRate", 3, ColorStyle.hsv_rate))
+
+
+def read_correction(document: bytes):
+    """What a style's document holds: a ColorStyle of LUT XML or the Profile of an ICC file; None where it is neither, so images stay as they are."""
+    from .icc import read_profile
+
+    try:
+        return read_profile(document) if document[36:40] == b"acsp" else read_style(document.decode("utf-8"))
+    except (ValueError, ET.ParseError):
+        return None
 
 
 def find_jpeg(data: bytes) -> int:

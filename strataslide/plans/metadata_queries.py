@@ -207,6 +207,54 @@ def lut_color(spark, sf_dir):
     return p.select("l_partkey", "l_linenumber", out(0, 1.1).alias("red"), out(1, 1.0).alias("green"), out(2, 0.9).alias("blue"))
 
 
+# A profile of three primaries and one gamma, as fixed-point numbers of 1/65536 and 1/256.
+_PRIMARIES = ((39974, 13461, 10028), (20387, 41027, 9783), (2831, 11048, 39885))
+_GAMMA = 563
+_PER = 65536
+
+
+def _profile() -> bytes:
+    import struct
+
+    curve = b"curv" + struct.pack(">xxxxIHxx", 1, _GAMMA)
+    tags = [(b"rgb"[k : k + 1] + b"XYZ", b"XYZ " + struct.pack(">xxxx3i", *[row[k] for row in _PRIMARIES])) for k in range(3)] + [(c + b"TRC", curve) for c in (b"r", b"g", b"b")]
+    table, body = struct.pack(">I", len(tags)), b""
+    for name, held in tags:
+        table += name + struct.pack(">II", 132 + 12 * len(tags) + len(body), len(held))
+        body += held
+    return (bytes(16) + b"RGB XYZ " + bytes(12) + b"acsp").ljust(128, b"\0") + table + body
+
+
+def _icc_sql() -> str:
+    import numpy as np
+
+    from ..functions.icc import SRGB
+
+    m = np.linalg.inv(SRGB) @ (np.array(_PRIMARIES) / _PER)
+    light = [" + ".join(f"CAST({v!r} AS DOUBLE) * pow({c} / 255.0, {_GAMMA / 256})" for v, c in zip(row, "rgb", strict=True)) for row in m.tolist()]
+    encode = "CAST(floor(255 * CASE WHEN least(greatest({0}, 0), 1) <= 0.0031308 THEN 12.92 * least(greatest({0}, 0), 1) ELSE 1.055 * pow(least(greatest({0}, 0), 1), 1 / CAST(2.4 AS DOUBLE)) - 0.055 END + 0.5) AS INTEGER)"
+    colors = "SELECT r, g, b, count(*) AS n FROM (SELECT CAST(l_partkey % 256 AS INTEGER) AS r, CAST(l_suppkey * 3 % 256 AS INTEGER) AS g, CAST(l_linenumber * 31 % 256 AS INTEGER) AS b FROM lineitem) GROUP BY ALL"
+    return f"SELECT r, g, b, n, {', '.join(f'{encode.format(f"({x})")} AS {name}' for x, name in zip(light, ('red', 'green', 'blue'), strict=True))} FROM ({colors})"
+
+
+@query(_icc_sql())
+def icc_color(spark, sf_dir):
+    """Each colour of the table, once, from a profile's space to sRGB."""
+    import numpy as np
+
+    from ..functions.icc import read_profile
+
+    profile = read_profile(_profile())
+
+    def each(batches):
+        for b in batches:
+            image = np.stack([b[c].to_numpy() for c in "rgb"], 1).astype(np.uint8)[:, None, :]
+            yield b.assign(**{name: profile.apply(image)[:, 0, k].astype(np.int32) for k, name in enumerate(("red", "green", "blue"))})
+
+    at = table(spark, sf_dir, "lineitem").selectExpr("CAST(l_partkey % 256 AS INT) AS r", "CAST(l_suppkey * 3 % 256 AS INT) AS g", "CAST(l_linenumber * 31 % 256 AS INT) AS b")
+    return at.groupBy("r", "g", "b").agg(F.count("*").alias("n")).mapInPandas(each, "r int, g int, b int, n long, red int, green int, blue int")
+
+
 #: Step k gives a slide's k-th scene the first image that fits and no earlier scene has.
 _MATCH = """SELECT slide_id, scene_index, image_index FROM (
     WITH RECURSIVE s AS (SELECT slide_id, list(struct_pack(i := scene_index, w := w, h := h) ORDER BY scene_index) AS scenes FROM (SELECT slide_id, scene_index, max(x) AS w, max(y) AS h FROM v_scenes GROUP BY slide_id, scene_index) GROUP BY slide_id),
