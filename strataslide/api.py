@@ -118,6 +118,12 @@ class SlideSet:
     def properties(self) -> DataFrame:
         return self.metadata.select("path", F.explode("properties").alias("key", "value"))
 
+    def scans(self) -> DataFrame:
+        """path, version, scan_scale, pixel_size (millimetres), focus_layers, tile_count of TMAP slides, as their headers state them."""
+        told = {"version": "int", "scan_scale": "int", "pixel_size": "double", "focus_layers": "int", "tile_count": "int"}
+        held = self.metadata.filter("format_id = 'tmap'")
+        return held.select("path", *[F.try_element_at("properties", F.lit("tmap." + k.replace("_", "-"))).cast(kind).alias(k) for k, kind in told.items()])
+
     def associated_images(self) -> DataFrame:
         """Stored images with their place in the file."""
         return self.metadata.select("path", F.explode("stored").alias("name", "place")).select("path", "name", "place.offset", "place.length")

@@ -97,7 +97,7 @@ def tmap06(blob: Blob) -> Parsed:
     grid = _tiles(int(keep.sum()), level=t["layer"][keep], col=wide("col") * 8 + col, row_no=wide("row") * 8 + row, x0=wide("x") + col * tw * factor, y0=wide("y") + row * th * factor, cov_w=tw * factor, cov_h=th * factor, file_id=wide("file"), offset=t["offset"][keep], length=t["length"][keep])
     far = _tiles(len(shrunk), level=shrunk["layer"], z=-1, x0=shrunk["x"], y0=shrunk["y"], cov_w=tw * step ** shrunk["layer"].astype(np.int64), cov_h=th * step ** shrunk["layer"].astype(np.int64), file_id=shrunk["file"], offset=shrunk["offset"], length=shrunk["length"])
     out.tiles = np.concatenate([grid, far])
-    out.properties |= {"tmap.scan-scale": str(head["scale"]), "tmap.background": str(head["background"]), "tmap.version": "06"}
+    out.properties |= {"tmap.scan-scale": str(head["scale"]), "tmap.background": str(head["background"]), "tmap.version": "06", "tmap.pixel-size": repr(pixel), "tmap.focus-layers": str(head["focus"]), "tmap.tile-count": "0"}  # of tiles this version states none
     return out.stated("tmap")
 
 
@@ -133,7 +133,7 @@ def tmap07(blob: Blob) -> Parsed:
     for k, image in enumerate(blob.records(304, _TMAP07_IMAGE, 8)[::-1]):
         if image["w"] > 0 and image["h"] > 0:
             out.stored[f"image-{int(image['kind'])}" if f"image-{int(image['kind'])}" not in out.stored else f"image-{int(image['kind'])}-{k}"] = (int(image["offset"]), int(image["length"]))
-    out.properties |= {"tmap.scan-scale": str(a["scale"]), "tmap.background": str(a["background"]), "tmap.version": "07"}
+    out.properties |= {"tmap.scan-scale": str(a["scale"]), "tmap.background": str(a["background"]), "tmap.version": "07", "tmap.pixel-size": repr(float(b["pixel_mm"])), "tmap.focus-layers": str(focus), "tmap.tile-count": str(b["tiles"])}
     return out.stated("tmap")
 
 

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
+from strataslide.api import SlideSet
 from strataslide.sources import containers as C
 from strataslide.sources import tiff as T
 from strataslide.sources import register_sources
@@ -238,3 +239,12 @@ def test_side_files_of_ole_slides(spark, tmp_path):
     assert (p["mds.rows"], p["mds.cols"], p["mds.objective"]) == ("3", "4", "20") and "mds.other" not in p
     assert [(r["name"], r["height"], r["width"]) for r in slides.side_images().collect()] == [("label", 3, 4)]
     slides.close()
+
+
+def test_what_tmap_headers_state(spark, tmp_path):
+    for name, data in {"a.tmap": make_tmap07(), "b.tmap": make_tmap06(), "c.dyj": make_dyj()}.items():
+        (tmp_path / name).write_bytes(data)
+    slides = SlideSet(spark, str(tmp_path))
+    got = {r["path"].rpartition("/")[2]: tuple(r)[1:] for r in slides.scans().collect()}
+    assert got == {"a.tmap": (7, 4, pytest.approx(0.00025), 1, 4), "b.tmap": (6, 4, pytest.approx(0.0005), 1, 0)}
+    slides.close()
