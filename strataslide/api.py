@@ -15,6 +15,7 @@ What can't be read is a row with its error (class, message), not the end of the
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -62,10 +63,16 @@ def _fitted(w: Column, h: Column, most_w: Column, most_h: Column) -> tuple[Colum
 
 
 class SlideSet:
-    """The slides of a folder. decoder: bytes -> RGBA array or None; JPEG needs one that the cluster has."""
+    """The slides of a folder. decoder: bytes -> RGBA array or None; JPEG needs one that the cluster has.
 
-    def __init__(self, spark: SparkSession, path: str, decoder: Callable[[bytes], np.ndarray | None] = decode_png, acquisition_id: int | None = None):
+    A format of one's own is a row of `formats` (see catalog.register) and, in `readers`, the
+    reader of its suffix as "module:function": from a Blob to a Parsed with levels and a tile
+    index. All that follows (regions, Deep Zoom, thumbnails) is then as for any other.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, decoder: Callable[[bytes], np.ndarray | None] = decode_png, acquisition_id: int | None = None, formats: DataFrame | None = None, readers: dict[str, str] | None = None):
         register_sources(spark)
+        self._formats, self._readers = catalog(spark) if formats is None else formats, readers or {}
         self.spark, self.path, self._decoder, self._acquisition = spark, path, decoder, acquisition_id
         self._metadata: DataFrame | None = None
 
@@ -74,6 +81,8 @@ class SlideSet:
         reader = self.spark.read.format(source).options(**options)
         if self._acquisition is not None:
             reader = reader.option("acquisition_id", str(self._acquisition))
+        if self._readers:
+            reader = reader.option("readers", json.dumps({k.lower().lstrip("."): v for k, v in self._readers.items()}))
         rows = reader.load(self.path)
         return rows if paths is None else rows.filter(F.col("path").isin(paths))
 
@@ -102,7 +111,7 @@ class SlideSet:
     def resolved(self, formats: DataFrame | None = None) -> DataFrame:
         """path, format_id, format_label, slide_family, error of every file by the catalog (or one with further formats); probes are run where a format has one."""
         probed = self._load("slide_probes")
-        found = resolve(probed, catalog(self.spark) if formats is None else formats, probes="probes")
+        found = resolve(probed, self._formats if formats is None else formats, probes="probes")
         read = F.array_contains("probes", F.col("format_id"))  # of a vendor's formats, a file that is read here all the same
         return found.withColumn("error", F.when(~F.coalesce(read, F.lit(False)), F.col("error"))).drop("probes")
 
@@ -133,7 +142,7 @@ class SlideSet:
 
     def slides(self, paths: list[str] | None = None) -> DataFrame:
         """path, format_id, slide_family, supports_biomarkers, level_count, downsamples and what the format lays down for reading."""
-        rules = catalog(self.spark).select("format_id", F.col("slide_family").alias("of_format"), F.col("supports_biomarkers").alias("capable"), "background", F.when(F.col("level_rule").isin("prev", "single"), F.col("level_rule")).otherwise("floor").alias("rule"))
+        rules = self._formats.select("format_id", F.col("slide_family").alias("of_format"), F.col("supports_biomarkers").alias("capable"), "background", F.when(F.col("level_rule").isin("prev", "single"), F.col("level_rule")).otherwise("floor").alias("rule"))
         m = self._described(paths).filter("error is null").select("path", "format_id", "width", "height", "level_count", "levels", "channels", "properties")
         if paths is None:
             m = self._with_siblings(m)

@@ -10,6 +10,7 @@ asked for is not opened. Spark still applies the filters to what comes back.
 
 from __future__ import annotations
 
+import json
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -64,6 +65,7 @@ class _Reader(DataSourceReader):
         self._with_data = str(options.get("data", "false")).lower() == "true"
         acquisition = options.get("acquisition_id")  # of MCD files; other options are not looked at
         self._acquisition = int(acquisition) if acquisition else None
+        self._readers: dict[str, str] = json.loads(options.get("readers") or "{}")  # suffix -> module:function
         self._asked: dict[str, set] = {}  # of path and level, where only some are asked for
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -92,7 +94,7 @@ class _TilesReader(_Reader):
         except OSError:  # slide_metadata tells
             return
         try:
-            found = parse(blob, self._with_data)
+            found = parse(blob, self._with_data, readers=self._readers)
             aside: dict[int, Blob] = {0: blob}
             for k, t in enumerate(found.tiles.tolist()):
                 if not self._asks("level", t[0]):
@@ -117,7 +119,7 @@ class _MetadataReader(_Reader):
         try:
             blob = Blob(path)
             try:
-                p = parse(blob, acquisition_id=self._acquisition)
+                p = parse(blob, acquisition_id=self._acquisition, readers=self._readers)
             finally:
                 blob.close()
             if p.format_id == "mds":

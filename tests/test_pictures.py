@@ -179,3 +179,33 @@ def test_pixels_of_tiff_pictures(spark, tmp_path):
     assert (image(5)[:, :, :3] == 255 - (grey >> 8)).all() and (image(6)[:, :, :3] == rgb[3:11, 2:11]).all()
     assert (image(7)[:7, :5, :3] == rgb[30:, 40:]).all() and (image(7)[7:] == (255, 255, 255, 0)).all()
     slides.close()
+
+
+def test_a_format_from_outside(spark, tmp_path):
+    from strataslide.catalog import catalog, register
+    from strataslide.catalog.formats import SCHEMA
+
+    parts = [RNG.integers(0, 256, (20, 20, 3), dtype=np.uint8) for _ in range(4)]
+    coded = [raster.png(p) for p in parts]
+    (tmp_path / "a.strip").write_bytes(struct.pack("<6I", 20, 4, *map(len, coded)) + b"".join(coded))
+    row = ("strip", [".strip"], 0, "brightfield", False, True, False, False, False, False, "white", "single", "single")
+    formats = register(catalog(spark), spark.createDataFrame([row], SCHEMA))
+    slides = SlideSet(spark, str(tmp_path), formats=formats, readers={".strip": "tests.plugged_reader:parse"})
+    meta = slides.metadata.first()
+    assert (meta["format_id"], meta["width"], meta["height"], meta["error"]) == ("strip", 80, 20, None)
+    found = slides.resolved().first()
+    assert (found["format_id"], found["slide_family"], found["error"]) == ("strip", "brightfield", None)
+    whole = np.hstack(parts)
+    got = slides.read_region(spark.createDataFrame([(1, meta["path"], 13, 2, 0, 60, 25)], ASK)).first()
+    image = np.frombuffer(got["data"], np.uint8).reshape(25, 60, 4)
+    assert (image[:18, :, :3] == whole[2:, 13:73]).all() and (image[18:] == 255).all()
+    top = slides.deepzoom(32, 0).agg({"dz_level": "max"}).first()[0]
+    tile = slides.deepzoom_tiles(spark.createDataFrame([(1, meta["path"], top, 1, 0)], "request_id long, path string, dz_level int, col long, row_no long"), 32, 0).first()
+    assert (np.frombuffer(tile["data"], np.uint8).reshape(20, 32, 3) == whole[:, 32:64]).all()
+    slides.close()
+    plain = SlideSet(spark, str(tmp_path))  # without it, the file is an error's row
+    assert plain.errors().first()["error"]["class"] == "ValueError"
+    plain.close()
+    broken = SlideSet(spark, str(tmp_path), readers={"strip": "tests.plugged_reader:nothing"})
+    assert broken.errors().first()["error"]["class"] == "AttributeError"
+    broken.close()
