@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..api import SlideSet
@@ -14,16 +15,16 @@ from ..sources import register_sources
 from .registry import query, table
 
 
-def _files(spark, rows, suffix: str, order: list[str], make: Callable) -> str:
-    """make(a slide's rows in order) is the file <slide_id>.<suffix>; the folder of all. A task holds one slide's rows."""
+def _files(spark, rows, suffix: str, order: list[str], make: Callable, name: tuple[str, ...] = ("slide_id",)) -> str:
+    """make(rows of equal name in order) is the file <name>.<suffix>, e.g. <slide_id>.<suffix>; the folder of all. A task holds one file's rows."""
     import pandas as pd
 
     root = scratch(spark, f"containers-{suffix}")
 
     def each(slide: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"name": [f"{slide['slide_id'].iloc[0]}.{suffix}"], "data": [make(slide.sort_values(order, kind="stable"))]})
+        return pd.DataFrame({"name": [f"{'_'.join(str(slide[c].iloc[0]) for c in name)}.{suffix}"], "data": [make(slide.sort_values(order, kind="stable"))]})
 
-    made = rows.groupBy("slide_id").applyInPandas(each, "name string, data binary")
+    made = rows.groupBy(*name).applyInPandas(each, "name string, data binary")
     write_blobs(made, root, "name")
     register_sources(spark)
     return root.removeprefix("file:")
@@ -72,13 +73,34 @@ _NAMED = "SELECT p.slide_id, CAST(row_number() OVER (PARTITION BY p.slide_id ORD
 _SUMS = "round(list_sum(list_transform(range(64), lambda i: (i + 1) * CAST(px[i + 1] AS DOUBLE))), 3)"
 
 
+#: Channels of a slide go into files of so many, the last up to twice as many; by index, in runs of so many to be numbered.
+_MOST_CHANNELS, _RUN = 256, 1 << 16
+
+
+def _numbered(channels):
+    """channels (slide_id, channel_index) with `first`, the number within its slide of the first channel of its file."""
+    runs = channels.withColumn("run", F.floor(F.col("channel_index") / _RUN))
+    before = Window.partitionBy("slide_id").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    counted = runs.groupBy("slide_id", "run").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("all", F.sum("n").over(Window.partitionBy("slide_id")))
+    place = F.row_number().over(Window.partitionBy("slide_id", "run").orderBy("channel_index")) - 1
+    at = runs.withColumn("place", place).join(counted.drop("n"), ["slide_id", "run"])
+    last = F.greatest(F.floor(F.col("all") / _MOST_CHANNELS) - 1, F.lit(0))
+    return at.withColumn("first", (F.least(F.floor((F.col("place") + F.col("before")) / _MOST_CHANNELS), last) * _MOST_CHANNELS).cast("long")).drop("run", "place", "before", "all")
+
+
 def _planes(spark, sf_dir, suffix: str, make: Callable):
-    """Planes of 8 x 8 numbers; make(names, planes)."""
+    """Planes of 8 x 8 numbers; make(names, planes). A slide's channels are in files <slide_id>_<first>, so a file and what its reader holds stay small however many the slide has."""
     import numpy as np
 
     names = table(spark, sf_dir, "v_channels").select("channel_index", F.concat_ws(" ", "name", F.col("channel_index").cast("string")).alias("name"))
-    rows = table(spark, sf_dir, "v_planes").join(names, "channel_index").select("slide_id", "channel_index", "name", "px")
-    return _files(spark, rows, suffix, ["channel_index"], lambda s: make(s["name"].tolist(), [np.array(p, np.float32).reshape(8, 8) for p in s["px"]]))
+    rows = _numbered(table(spark, sf_dir, "v_planes").join(names, "channel_index").select("slide_id", "channel_index", "name", "px"))
+    return _files(spark, rows, suffix, ["channel_index"], lambda s: make(s["name"].tolist(), [np.array(p, np.float32).reshape(8, 8) for p in s["px"]]), ("slide_id", "first"))
+
+
+def _part(place: int, kind: str):
+    """Of a path <slide_id>_<first>.<suffix> the slide (1) or the number of its first channel (2)."""
+    return F.regexp_extract("path", r"(-?\d+)_(\d+)\.\w+$", place).cast(kind)
 
 
 def _summed(spark, root: str, names: bool = True):
@@ -89,9 +111,10 @@ def _summed(spark, root: str, names: bool = True):
     def each(batches):
         for b in batches:
             flat = [np.frombuffer(d, t).astype(float) for d, t in zip(b["data"], b["dtype"], strict=True)]
-            yield pd.DataFrame({"slide_id": b["slide_id"], "channel": b["channel_index"], "name": b["name"], "total": [round(float((f * np.arange(1, len(f) + 1)).sum()), 3) for f in flat]})
+            yield pd.DataFrame({"slide_id": b["slide_id"], "channel": b["channel"], "name": b["name"], "total": [round(float((f * np.arange(1, len(f) + 1)).sum()), 3) for f in flat]})
 
-    found = spark.read.format("slide_planes").load(root).withColumn("slide_id", _slide()).select("slide_id", "channel_index", "name", "dtype", "data")
+    found = spark.read.format("slide_planes").load(root)
+    found = found.select(_part(1, "long").alias("slide_id"), (F.col("channel_index") + _part(2, "int")).alias("channel"), "name", "dtype", "data")
     return found.mapInPandas(each, "slide_id long, channel int, name string, total double").select("slide_id", "channel", *(["name"] if names else []), "total")
 
 
@@ -147,7 +170,7 @@ def biomarker_regions(spark, sf_dir):
 
     slides = SlideSet(spark, _planes(spark, sf_dir, "tif", _ome))
     c = F.col("channel_index")
-    asked = slides.channels().select((F.xxhash64("path", "channel_index")).alias("request_id"), "path", "channel_index", F.col("name").alias("biomarker"), (c % 9).cast("long").alias("x"), (c % 7).cast("long").alias("y"), F.lit(0).alias("level"), F.lit(4).alias("w"), F.lit(3).alias("h"))
+    asked = slides.channels().withColumn("channel_index", c + _part(2, "int")).select((F.xxhash64("path", "channel_index")).alias("request_id"), "path", "channel_index", F.col("name").alias("biomarker"), (c % 9).cast("long").alias("x"), (c % 7).cast("long").alias("y"), F.lit(0).alias("level"), F.lit(4).alias("w"), F.lit(3).alias("h"))
     read = slides.read_biomarker_region(asked.drop("channel_index")).filter("error is null").select("request_id", "width", "height", "data")
 
     def each(batches):
@@ -156,4 +179,4 @@ def biomarker_regions(spark, sf_dir):
             yield pd.DataFrame({"request_id": b["request_id"], "w": b["width"], "h": b["height"], "total": [int((g * np.arange(1, len(g) + 1)).sum()) for g in grey]})
 
     found = read.mapInPandas(each, "request_id long, w int, h int, total long")
-    return found.join(asked.select("request_id", _slide(), F.col("channel_index").alias("channel")), "request_id").select("slide_id", "channel", "w", "h", "total")
+    return found.join(asked.select("request_id", _part(1, "long").alias("slide_id"), F.col("channel_index").alias("channel")), "request_id").select("slide_id", "channel", "w", "h", "total")

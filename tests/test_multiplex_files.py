@@ -172,3 +172,45 @@ def test_deepzoom_tiles_and_thumbnails(spark, pyramid):
     fixed = slides.read_fixed_region(spark.createDataFrame([(1, path, 0, 0, 0, 4, 4)], "request_id long, path string, x long, y long, level int, w int, h int")).first()
     assert fixed["error"]["class"] == "UnsupportedOperationError"
     slides.close()
+
+
+def test_channels_of_a_slide_go_into_several_files(spark, tmp_path, monkeypatch):
+    """A slide of many channels: no file holds more than twice the stated number, and numbers and sums are those of one file."""
+    from strataslide.plans import container_queries as C
+    from strataslide.plans.registry import QUERIES
+
+    rng = np.random.default_rng(5)
+    ids = [*range(0, 3000, 7), 1 << 20, 5 << 20]
+    rows = [(k, [float(v) for v in rng.normal(size=64).astype(np.float32)], 3 if n % 40 else 4) for n, k in enumerate(ids)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(C, "_MOST_CHANNELS", 20)
+    monkeypatch.setattr(C, "_RUN", 500)
+    made = []
+    write = C.write_blobs
+    monkeypatch.setattr(C, "write_blobs", lambda images, root, name: made.append(write(images, root, name).collect()))
+    want = {}
+    for slide in (3, 4):
+        for at, (k, px, _) in enumerate(r for r in rows if r[2] == slide):
+            want[slide, at] = (f" {k}", px)
+    for name in ("named_page_planes", "ome_tiff_planes", "qptiff_planes", "mcd_planes", "czi_planes"):
+        got = {(r["slide_id"], r["channel"]): r for r in QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got.keys() == want.keys()
+        for key, r in got.items():
+            px = np.array(want[key][1], np.float32)
+            px = np.floor(abs(px) * 1000) if name == "czi_planes" else px
+            assert abs(r["total"] - float((px.astype(float) * np.arange(1, 65)).sum())) < 0.002
+            assert name == "czi_planes" or r["name"].endswith(want[key][0])
+    per_slide = {s: sum(k[0] == s for k in want) for s in (3, 4)}
+    assert [len(files) for files in made] == [sum(max(1, n // 20) for n in per_slide.values())] * 5
+    regions = {(r["slide_id"], r["channel"]): (r["w"], r["h"]) for r in QUERIES["biomarker_regions"](spark, str(tmp_path)).collect()}
+    assert regions == {(s, c): (min(4, 8 - c % 9) if c % 9 < 8 else 4, 3 if c % 9 == 8 else min(3, 8 - c % 7)) for s, c in want}
+
+
+def test_a_channels_subblocks_are_not_looked_for_among_all(monkeypatch):
+    """Of 300 channels each read meets its own subblocks only."""
+    planes = [np.full((8, 8), k, np.uint16) for k in range(300)]
+    found = open_planes(Blob(makers.czi(planes, "<ImageDocument/>", tile=5)))
+    met = []
+    overlapping = Z.overlapping
+    monkeypatch.setattr(Z, "overlapping", lambda blocks, *a: met.append(len(blocks)) or overlapping(blocks, *a))
+    assert [int(found.plane(found.index(n), 0)[0, 0]) for n in found.names] == list(range(300)) and max(met) <= 5
