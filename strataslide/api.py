@@ -52,6 +52,8 @@ def _raster(image: np.ndarray) -> tuple:
 FEW_SLIDES = 1_000
 #: Bytes that a row's raster may have; larger results come as cells.
 MOST_RASTER = 2**31 - 2**20
+#: Pixels of a multiplex file that requests ask of one task.
+MOST_PIXELS = 1 << 22
 #: Colour styles, and their bytes, that are sent to every task.
 MOST_STYLES, MOST_STYLE_BYTES = 256, 64 << 20
 
@@ -351,7 +353,10 @@ class SlideSet:
         held = self.siblings().select(F.col("anchor").alias("path"), "biomarker", F.col("path").alias("sibling"))
         asked = asked.join(held, ["path", "biomarker"], "left")
         good = asked.filter("error is null").select("request_id", F.coalesce("sibling", "path").alias("path"), F.col("sibling").isNotNull().alias("apart"), F.col("level").cast("int").alias("level"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"), F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"), "biomarker")
-        dealt = good.repartition("path", "biomarker").sortWithinPartitions("path", "biomarker", "level", "y", "x")
+        # a file's biomarkers go to a task for each so many pixels, not to every task, as each reads the file's directory
+        tasks = good.groupBy("path").agg((1 + F.floor(F.sum(F.col("w").cast("double") * F.col("h")) / MOST_PIXELS)).alias("tasks"))
+        good = good.join(tasks, "path").withColumn("task", F.pmod(F.xxhash64("biomarker"), F.greatest("tasks", F.lit(1)))).drop("tasks")
+        dealt = good.repartition("path", "task").drop("task").sortWithinPartitions("path", "biomarker", "level", "y", "x")
         read = dealt.mapInPandas(each, f"request_id long, {RASTER}, error {E.SCHEMA}")
         bad = asked.filter("error is not null").select("request_id", *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in RASTER.split(", ")], "error")
         return read.unionByName(bad)

@@ -214,3 +214,19 @@ def test_a_channels_subblocks_are_not_looked_for_among_all(monkeypatch):
     overlapping = Z.overlapping
     monkeypatch.setattr(Z, "overlapping", lambda blocks, *a: met.append(len(blocks)) or overlapping(blocks, *a))
     assert [int(found.plane(found.index(n), 0)[0, 0]) for n in found.names] == list(range(300)) and max(met) <= 5
+
+
+def test_a_file_is_opened_by_few_tasks(spark, tmp_path):
+    """Regions of all channels of a small file are one task's, so its directory isn't read by every task."""
+    from pyspark.sql import functions as F
+
+    names = [f"m{k}" for k in range(16)]
+    (tmp_path / "a.tif").write_bytes(makers.tiff_pages([(PLANES[0], makers.ome(names) if k == 0 else "", "", "") for k in range(16)]))
+    slides = SlideSet(spark, str(tmp_path))
+    asked = slides.channels().select(F.col("channel_index").cast("long").alias("request_id"), "path", F.col("name").alias("biomarker"), F.lit(1).cast("long").alias("x"), F.lit(2).cast("long").alias("y"), F.lit(0).alias("level"), F.lit(4).alias("w"), F.lit(3).alias("h"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = slides.read_biomarker_region(asked).filter("error is null").withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(got) == 16 and len({r["task"] for r in got}) == 1
