@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from ..functions.raster import on_background, weights_between
 
 CELL = 1024
-#: Bytes of finished cells that a task hands on together.
-MOST_HELD = 16 << 20
+#: Bytes of finished cells that a task hands on together, and what a cell counts for besides its pixels.
+MOST_HELD, A_CELL = 16 << 20, 4 << 10
 CROP = "request_id long, cell_x int, cell_y int, left int, top int, draw_seq long, height int, width int, data binary"
 CELLS = "request_id long, cell_x int, cell_y int, left int, top int, height int, width int, data binary, w int, h int, out_w int, out_h int"
 _CELLS = [c.split()[0] for c in CELLS.split(", ")]
@@ -75,7 +75,7 @@ def painted(pastes: DataFrame, canvases: DataFrame, cell: int = CELL, flat: tupl
             for s, image in open_:
                 image = image if flat is None else on_background(image, flat)
                 out.append((s.request_id, int(s.cell_x), int(s.cell_y), int(s.cell_x) * cell, int(s.cell_y) * cell, *image.shape[:2], image.tobytes(), int(s.w), int(s.h), int(s.out_w), int(s.out_h)))
-            return sum(image.size for _, image in open_)
+            return sum(image.size + A_CELL for _, image in open_)
 
         for b in batches:
             for t in b.itertuples(index=False):
