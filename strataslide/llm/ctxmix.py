@@ -415,7 +415,6 @@ TOGETHER = 32_000
 
 #: The gate (depth << 1 | whether the word was seen) that a mark's bits above the decision's own stand for (seen << 2 | depth).
 _GATE = np.array([(m & 3) << 1 | m >> 2 for m in range(GATES)])
-_GATES = np.arange(GATES, dtype=np.int8)[:, None]
 
 
 def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndarray:
@@ -430,11 +429,12 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
     begin = np.concatenate([[0], np.cumsum(size)])
     contexts = _contexts(data)
     many = int(begin[-1])
-    # a byte each until a block takes them: log-odds, and whether the word was seen << 3 | depth << 1 | bit
-    inputs, marks = np.empty((INPUTS - 1, many), np.int8), np.empty(many, np.int8)
+    # a byte each until a block takes them: log-odds, and at last whether the word was seen << 3 | depth << 1 | bit
+    inputs = np.empty((INPUTS, many), np.int8)
     for a, b in _cuts(begin, UNFOLD):
         which, decisions = _unfold(model.code, first[a:b], size[a:b])
-        x, mark = inputs[:, int(begin[a]) : int(begin[b])], marks[int(begin[a]) : int(begin[b])]
+        x = inputs[:, int(begin[a]) : int(begin[b])]
+        mark = x[-1]
         mark[:] = decisions & np.uint32(7)
         near = (decisions >> np.uint32(11)).astype(np.int64)
         decisions >>= np.uint32(3)
@@ -450,7 +450,7 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
     weights = model.weights.T[:, _GATE]
     weights[:-1] /= SCALE
     weights[-1] *= BIAS
-    mapped = model.cells.any()
+    mapped, bound = model.cells.any(), (12 + float(np.abs(model.cells).max())) * (1 + SLOPE) + OFFSET > MOST
     total = np.zeros(len(lengths))
     own = np.zeros((INPUTS, len(lengths)), np.float32)
     turn = np.zeros((2, len(lengths)), np.float32)  # each text's change of slope and offset after the map
@@ -468,12 +468,12 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
         left = counts[docs] - done
         wide = min(block, int(left.max()))
         # each text's decisions of the block in a row; what is missing at a text's end is 0 and not counted
-        x, mark = np.empty((INPUTS - 1, len(docs), wide), np.float32), np.empty((len(docs), wide), np.int8)
+        held = np.empty((INPUTS, len(docs), wide), np.int8)
         for k, (d, n) in enumerate(zip(docs.tolist(), np.minimum(left, wide).tolist(), strict=True)):
-            here = slice(starts[d] + done, starts[d] + done + n)
-            x[:, k, :n], mark[k, :n] = inputs[:, here], marks[here]
+            held[:, k, :n] = inputs[:, starts[d] + done : starts[d] + done + n]
             if n < wide:
-                x[:, k, n:], mark[k, n:] = 0, 0
+                held[:, k, n:] = 0
+        x, mark = held[:-1].astype(np.float32), held[-1]
         sign = mark.astype(np.uint32)
         sign <<= np.uint32(31)  # the sign bit of a 1
         mark >>= np.int8(1)
@@ -486,22 +486,24 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
             part *= x[k]
             mixed += part
         np.clip(mixed, -11.9, 11.9, out=mixed)
-        cell = (mixed + np.float32(12)).astype(np.intp)
+        cell = (mixed + np.float32(12)).astype(np.intp if mapped else np.uint8)
         if mapped:
             mixed += np.take(model.cells, cell, mode="clip")
         if done:
             mixed *= 1 + turn[0, docs][:, None]
             mixed += turn[1, docs][:, None]
+        if bound:  # else map, slope and offset can't lead there
             np.clip(mixed, -MOST, MOST, out=mixed)
         e = (mixed.view(np.uint32) ^ sign).view(np.float32)
         np.exp(e, out=e)
         one = e + np.float32(1)
         miss = np.divide(e, one, out=e)  # the probability that the decision didn't get
-        np.log(one, out=one)
         for k in np.flatnonzero(left < wide).tolist():
-            one[k, left[k] :] = 0
+            one[k, left[k] :] = 1
             miss[k, left[k] :] = 0
-        total[docs] += one.sum(axis=1, dtype=np.float64)
+        half = (wide + 1) // 2  # a logarithm of two decisions' product, which MOST keeps finite
+        one[:, : wide - half] *= one[:, half:]
+        total[docs] += np.log(one[:, :half]).sum(axis=1)
         more = left > wide
         if more.any() or sums is not None:
             spread = np.multiply(miss, miss, out=one)
@@ -510,17 +512,17 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
             sign ^= np.uint32(1 << 31)
             push.view(np.uint32)[:] ^= sign
         if sums is not None:
-            sums.add(x, mark, push, spread, cell)
+            sums.add(held, push, cell)
         if more.any():
             # damped Newton steps on the text's weights, and on the slope and offset of what comes after
             heft = spread.sum(axis=1) + np.float32(40)
             grad = np.empty((INPUTS, len(docs)), np.float32)
-            np.einsum("dl,kdl->kd", push, x, out=grad[:-1])
+            grad[:-1] = np.matmul(x.transpose(1, 0, 2), push[:, :, None])[:, :, 0].T
             pushed = push.sum(axis=1)
             grad[-1] = pushed * np.float32(BIAS)
             own[:, docs] += rate * (grad / heft)
             turn[1, docs] += np.float32(0.3) * pushed / heft
-            turn[0, docs] += np.float32(0.05) * np.einsum("dl,dl->d", push, mixed) / heft
+            turn[0, docs] += np.float32(0.05) * np.matmul(push[:, None], mixed[:, :, None])[:, 0, 0] / heft
             np.clip(turn[0], -SLOPE, SLOPE, out=turn[0])  # a long text that turns would send them off
             np.clip(turn[1], -OFFSET, OFFSET, out=turn[1])
         if not parts:
@@ -533,40 +535,59 @@ def losses(model: Model, raw: list[bytes], after: dict | None = None) -> np.ndar
 class Sums:
     """Gradient and curvature of the log probability by gate, and by cell of the map, over decisions with their pushes and spreads."""
 
-    def __init__(self, at_once: int = 4096):
-        self._gates = np.zeros((INPUTS + INPUTS * (INPUTS + 1) // 2, GATES))  # the gradient's rows, then the curvature's upper half
+    def __init__(self, hold: int = 60_000):
+        self._grad, self._curve = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
         self._push, self._spread = np.zeros(CELLS), np.zeros(CELLS)
-        # the product of both is fast up to some 5,000 decisions
-        self._rows, self._hot = np.empty((len(self._gates), at_once), np.float32), np.empty((GATES, at_once), np.float32)
-
-    def add(self, inputs: np.ndarray, mark: np.ndarray, push: np.ndarray, spread: np.ndarray, cell: np.ndarray) -> None:
-        inputs, mark, push, spread, cell = inputs.reshape(INPUTS - 1, -1), mark.reshape(-1), push.reshape(-1), spread.reshape(-1), cell.reshape(-1)
-        for a in range(0, len(mark), self._hot.shape[1]):
-            here = slice(a, a + self._hot.shape[1])
-            x, p, s = inputs[:, here], push[here], spread[here]
-            rows, hot = self._rows[:, : len(p)], self._hot[:, : len(p)]
-            hot[:] = mark[here] == _GATES
-            np.multiply(x, p, out=rows[: INPUTS - 1])
-            rows[INPUTS - 1] = p
-            np.multiply(x, s, out=rows[INPUTS : 2 * INPUTS - 1])
-            rows[2 * INPUTS - 1] = s
-            at = 2 * INPUTS
-            for k in range(INPUTS - 1):
-                np.multiply(x[k:], rows[INPUTS + k], out=rows[at : at + INPUTS - 1 - k])
-                at += INPUTS - 1 - k
-            self._gates += rows @ hot.T
-            self._push += np.bincount(cell[here], p, CELLS)
-            self._spread += np.bincount(cell[here], s, CELLS)
+        self._inputs, self._pushes, self._keys, self._held = np.empty((INPUTS - 1, hold), np.int8), np.empty(hold, np.float32), np.empty(hold, np.uint8), 0
+        self._rows, self._weighed = np.ones((INPUTS, hold), np.float32), np.empty((INPUTS, hold), np.float32)
+
+    def add(self, held: np.ndarray, push: np.ndarray, cell: np.ndarray) -> None:
+        """held: inputs and gates' marks; what is missing has no push."""
+        held, push, cell = held.reshape(INPUTS, -1), push.reshape(-1), cell.reshape(-1)
+        a, hold = 0, len(self._pushes)
+        while a < len(push):
+            n = min(hold - self._held, len(push) - a)
+            here = slice(self._held, self._held + n)
+            self._inputs[:, here], self._pushes[here] = held[:-1, a : a + n], push[a : a + n]
+            key = self._keys[here]
+            np.left_shift(held[-1, a : a + n].view(np.uint8), np.uint8(5), out=key)
+            key |= cell[a : a + n].astype(np.uint8)
+            self._held, a = self._held + n, a + n
+            if self._held == hold:
+                self._settle()
+
+    def _settle(self) -> None:
+        """Add up what is held, gate by gate: a product of a matrix and one row is faster than one of two so narrow matrices."""
+        if not self._held:
+            return
+        keys, rows, weighed = self._keys[: self._held], self._rows[:, : self._held], self._weighed[:, : self._held]
+        order = np.argsort(keys, kind="stable")
+        for row, held in zip(rows[:-1], self._inputs, strict=True):
+            row[:] = np.take(held[: self._held], order, mode="clip")
+        push = np.take(self._pushes, order, mode="clip")
+        spread = np.abs(push)
+        spread -= push * push
+        keys = np.take(keys, order, mode="clip")
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        cell = keys[head] & 31
+        self._push += np.bincount(cell, np.add.reduceat(push, head, dtype=np.float64), CELLS)
+        self._spread += np.bincount(cell, np.add.reduceat(spread, head, dtype=np.float64), CELLS)
+        np.multiply(rows, spread, out=weighed)
+        ends = np.searchsorted(keys, np.arange(0, GATES << 5, 32, dtype=np.uint8)).tolist()
+        for gate, a, z in zip(_GATE.tolist(), ends, [*ends[1:], self._held], strict=True):
+            if a < z:
+                here = rows[:, a:z]
+                self._grad[gate] += here @ push[a:z]
+                for k in range(INPUTS):
+                    self._curve[gate, k, k:] += here[k:] @ weighed[k, a:z]
+        self._held = 0
 
     def told(self) -> dict[str, np.ndarray]:
+        self._settle()
         scale = np.array([1 / SCALE] * (INPUTS - 1) + [BIAS])
-        grad, curve = np.empty((GATES, INPUTS)), np.empty((GATES, INPUTS, INPUTS))
-        grad[_GATE] = self._gates[:INPUTS].T
-        with_bias, i, j = self._gates[INPUTS : 2 * INPUTS].T, *np.triu_indices(INPUTS - 1)
-        curve[_GATE, -1], curve[_GATE, :, -1] = with_bias, with_bias
-        for k, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True), 2 * INPUTS):
-            curve[_GATE, a, b] = curve[_GATE, b, a] = self._gates[k]
-        return {"grad": grad * scale, "curve": curve * scale * scale[:, None], "push": self._push, "spread": self._spread}
+        upper = np.triu(self._curve)
+        curve = upper + np.triu(upper, 1).transpose(0, 2, 1)
+        return {"grad": self._grad * scale, "curve": curve * scale * scale[:, None], "push": self._push, "spread": self._spread}
 
 
 def words_of(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -825,7 +846,7 @@ def _fit_pass(code: Broadcast, tables: Broadcast, bits: int, weights: np.ndarray
     return each
 
 
-def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_rows: int = 300, dev_chars: int = 50_000, code_rows: int = 1500, blob: int = 2_000_000, bucket_bytes: int = 16_000_000, fold: int = 1, folds: int = 5, gain: float = 2e-3, rounds: int = 12) -> DataFrame:
+def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_rows: int = 300, dev_chars: int = 50_000, code_rows: int = 1500, blob: int = 2_000_000, bucket_bytes: int = 16_000_000, count_bytes: int = 64_000_000, fold: int = 1, folds: int = 5, gain: float = 2e-3, rounds: int = 12) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
@@ -883,7 +904,9 @@ def score(docs: DataFrame, *, least_bits: int = 22, most_bits: int = 24, dev_row
             yield odds()
 
     learned = texts.filter("n_train > 0").select("raw", "sizes", "train", "marks")
-    sums = reduce(DataFrame.unionAll, [learned.mapInPandas(contexts(f), "shard int, fold int, packed binary") for f in range(FOLDS)])  # a task holds one fold's counts
+    # a task holds one fold's counts, of some count_bytes of texts: what it hands on takes as long for few texts as for many
+    shares = max(1 + int(n_bytes // count_bytes), spark.sparkContext.defaultParallelism // FOLDS)
+    sums = reduce(DataFrame.unionAll, [learned.coalesce(shares).mapInPandas(contexts(f), "shard int, fold int, packed binary") for f in range(FOLDS)])
     merged = keep(sums.repartition("shard").sortWithinPartitions("shard").mapInPandas(merge, "shard int, odds binary"), "odds")
     flat = [np.zeros(CONTEXTS << bits, np.int8) for _ in range(FOLDS + 1)]
     for r in merged.toLocalIterator():  # 2**bits bytes a context and fold, and for all

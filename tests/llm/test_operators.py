@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataslide.llm import imatch, licenses, mixing, packing, pii, queries, simhash, tokens, topk, toxicity, warc
@@ -749,3 +750,42 @@ def test_scoring_holds_a_byte_an_input():
             low, high = (ctxmix.losses(dataclasses.replace(model, weights=w), text)[0] for w in moved)
             assert abs((low - high) / 0.02 - told["grad"][gate, k]) < 1e-2 * (1 + abs(told["grad"][gate, k])), (gate, k)
             assert told["curve"][gate, k, 0] == told["curve"][gate, 0, k]
+
+
+def test_context_counts_are_handed_on_once_a_share(spark, monkeypatch):
+    """Counting tasks follow the bytes of the texts, not the files they lie in, and the tables are the same."""
+    from strataslide.llm import ctxmix
+
+    df = spark.createDataFrame([(k, f"the cat {k % 7} sat on the mat {k % 11}. " * 9) for k in range(120)], "doc_id long, text string").repartition(24)
+    tasks, unite, sent, send = [], DataFrame.unionAll, [], spark.sparkContext.broadcast
+    monkeypatch.setattr(DataFrame, "unionAll", lambda a, b: tasks.append(a.rdd.getNumPartitions() + b.rdd.getNumPartitions()) or unite(a, b))
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: sent.append(value) or send(value))
+    for count_bytes in (64_000_000, 1_000):
+        ctxmix.score(df, least_bits=14, most_bits=14, dev_rows=10, count_bytes=count_bytes)
+    assert tasks[0] <= spark.sparkContext.defaultParallelism < tasks[1], tasks
+    few, many = (v for v in sent if isinstance(v, ctxmix.Model))
+    assert all((a == b).all() for a, b in zip(few.tables, many.tables, strict=True))
+
+
+def test_fit_sums_are_whole_over_many_settlements():
+    """Sums that are held and settled by gate are those of each decision by itself, wherever they are cut."""
+    from strataslide.llm import ctxmix
+
+    rng = np.random.default_rng(3)
+    grad, curve, sums = np.zeros((ctxmix.GATES, ctxmix.INPUTS)), np.zeros((ctxmix.GATES, ctxmix.INPUTS, ctxmix.INPUTS)), ctxmix.Sums(hold=500)
+    cells = np.zeros((2, ctxmix.CELLS))
+    scale = np.array([1 / ctxmix.SCALE] * (ctxmix.INPUTS - 1) + [ctxmix.BIAS])
+    for rows, wide in ((3, 7), (4, 125), (2, 900), (1, 1), (5, 333)):
+        held = rng.integers(-128, 128, (ctxmix.INPUTS, rows, wide)).astype(np.int8)
+        held[-1] = rng.choice([0, 1, 2, 5, 7], (rows, wide))  # some gates have none
+        push = rng.uniform(-1, 1, (rows, wide)).astype(np.float32)
+        cell = rng.integers(0, ctxmix.CELLS, (rows, wide))
+        sums.add(held, push, cell)
+        cells += [np.bincount(cell.reshape(-1), x.reshape(-1), ctxmix.CELLS) for x in (push, np.abs(push) - push * push)]
+        x = np.concatenate([held[:-1].reshape(ctxmix.INPUTS - 1, -1), np.ones((1, rows * wide))]) * scale[:, None]
+        for k, (p, gate) in enumerate(zip(push.reshape(-1).astype(float), ctxmix._GATE[held[-1].reshape(-1)], strict=True)):
+            grad[gate] += p * x[:, k]
+            curve[gate] += (abs(p) - p * p) * np.outer(x[:, k], x[:, k])
+    told = sums.told()
+    assert abs(told["grad"] - grad).max() < 1e-4 * abs(grad).max() and abs(told["curve"] - curve).max() < 1e-4 * abs(curve).max()
+    assert abs(told["push"] - cells[0]).max() < 1e-3 and abs(told["spread"] - cells[1]).max() < 1e-3
